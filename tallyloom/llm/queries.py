@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, minhash
+from . import bpe, decontaminate, language, linededup, minhash
 from ._util import read
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(read(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -33,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": decontaminate.ORACLE, "op9_minhash": minhash.ORACLE}
+    return {"op2_linededup": linededup.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op9_minhash": minhash.ORACLE}
