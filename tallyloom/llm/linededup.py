@@ -4,12 +4,13 @@ A line is the set of its lower-cased words. Its words are ordered by rarity in t
 first; two lines with a Jaccard similarity of ``percent`` / 100 must share a word among the first
 few of both (the longer line's probing prefix and the shorter line's indexing prefix). Lines are
 joined on these words. A pair stays a candidate if the sizes allow the similarity (length filter)
-and if the words after the shared one are enough for it (positional filter); candidates are
+and if the words after the shared one are enough for it (positional filter) and the sets' parities, 64
+bits each, differ in no more bits than the sets may in words; candidates are
 verified on the full sets. A line is removed if its set equals that of an earlier line or is as
 similar as asked to one, "earlier" by doc_id and then line number.
 
 Rarity is the count of a word's bucket of ``BUCKETS``: it orders, so that a shared bucket costs time and
-no match. Prefixes are joined on 32-bit hashes and verified on 56-bit ones. Only DataFrame functions are used. Equal
+no match. Prefixes are joined on 32-bit hashes and verified on 64-bit ones. Only DataFrame functions are used. Equal
 sets are one class before the join, so groups of copies of a line cost a row for each.
 
 Results for odd input: null texts have no line and stay null; lines without a word are never
@@ -32,27 +33,22 @@ def _lines(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
+def _hashed(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, size (distinct words), id and id2 (of the set), hashes (of the words, ascending); no lines without a word."""
+    words = F.array_remove(F.split(F.lower("line"), SPACE), "")
+    sets = lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("hashes")).where(F.size("hashes") > 0)
+    return sets.select("doc_id", "line_no", F.size("hashes").alias("size"), F.xxhash64("hashes").alias("id"), F.xxhash64(F.lit(1), "hashes").alias("id2"), "hashes")
 
 
-def _levels(documents: DataFrame, scratch: Scratch) -> DataFrame:
+def _levels(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """One row: a level of frequency, 0 to 127, for every bucket of words."""
-    words = documents.select(F.explode(_words(F.col("text").cast("string"))).alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n"))
-    every = documents.sparkSession.range(0, BUCKETS, 1, 1).withColumnRenamed("id", "bucket")
+    counts = lines.select(F.explode("words").alias("word")).groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    every = lines.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     level = F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int").alias("level")
     one = every.join(counts, "bucket", "left").select("bucket", level).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("x"))
     return scratch.keep(one.select(F.col("x.level").alias("levels")), "levels")
 
 
-def _tokens(lines: DataFrame, levels: DataFrame) -> DataFrame:
-    """The lines' distinct words as numbers in ascending order: level of frequency, then 56 bits of hash."""
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    number = F.transform(hashes, lambda h: F.shiftleft(F.get("levels", F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    return lines.select("doc_id", "line_no", "line", levels.scalar().alias("levels")).select("doc_id", "line_no", F.sort_array(number).alias("tokens"))
-
-
 def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
@@ -60,41 +56,40 @@ def _ceil(a: Column, b: int) -> Column:
 def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier one makes superfluous."""
     scratch = Scratch(documents.sparkSession, "lines")
-    levels = _levels(documents, scratch)
-    tokens = _tokens(_lines(documents), levels).where(F.size("tokens") > 0)
-    key = ["id", "id2", "size"]
-    keyed = tokens.select("doc_id", "line_no", "tokens", F.size("tokens").alias("size"), F.xxhash64("tokens").alias("id"), F.xxhash64(F.lit(1), "tokens").alias("id2"))
+    key, n = ["id", "id2", "size"], F.col("size")
+    short = F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("words")
+    lines = scratch.keep(_hashed(_lines(documents)).select("doc_id", "line_no", *key, short), "lines")
+    classes = scratch.keep(lines.groupBy(*key).agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "classes")
 
     # s - ceil(percent s / 100) + 1 words of a line may meet a shorter or equal one, s - ceil(2 percent s / (100 + percent)) + 1 a longer one
-    n = F.col("size")
     probe, index = n - _ceil(n * percent, 100) + 1, n - _ceil(n * (2 * percent), 100 + percent) + 1
-    posted = keyed.select(*key, "doc_id", "line_no", probe.alias("probe"), index.alias("index"), F.transform(F.slice("tokens", F.lit(1), probe), lambda t: F.hash(t)).alias("prefix"))
-    posted = scratch.keep(posted.drop("probe"), "posted")
-    classes = scratch.keep(posted.groupBy(*key).agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "classes")
-
+    ranked = F.sort_array(F.transform("words", lambda w: F.shiftleft(F.get("levels", w.bitwiseAND(F.lit(BUCKETS - 1))).cast("long"), 32).bitwiseOR(w.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    parity = F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, shiftrightunsigned(w, 26)))")
     # the smallest sets that can have a similar, unequal one: n of n + 1
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    rows = posted.where(n >= least).join(classes, key).where("doc_id <=> first.doc_id and line_no = first.line_no").select("id", "size", "index", "prefix")
-    rows = rows.select("id", "size", "index", F.posexplode("prefix").alias("at", "token"))
-    x = rows.where("at < index").select("token", F.col("id").alias("ix"), F.col("size").alias("sx"), F.col("at").alias("px"))
-    y = rows.select("token", F.col("id").alias("iy"), F.col("size").alias("sy"), F.col("at").alias("py"))
+    rows = lines.where(n >= least).select("*", _levels(lines, scratch).scalar().alias("levels"))
+    rows = rows.select("doc_id", "line_no", *key, index.alias("index"), parity.alias("parity"), F.slice(ranked, F.lit(1), probe).alias("prefix"))
+    rows = rows.join(classes, key).where("doc_id <=> first.doc_id and line_no = first.line_no")
+    rows = rows.select("id", "size", "index", "parity", F.posexplode("prefix").alias("at", "token"))
+    x = rows.where("at < index").select("token", F.col("id").alias("ix"), F.col("size").alias("sx"), F.col("at").alias("px"), F.col("parity").alias("bx"))
+    y = rows.select("token", F.col("id").alias("iy"), F.col("size").alias("sy"), F.col("at").alias("py"), F.col("parity").alias("by"))
     need = "floor(({p} * (sx + sy) + {q} - 1) / {q})".format(p=percent, q=100 + percent)
-    both = x.join(y, "token").where(f"(sx < sy or (sx = sy and ix < iy)) and 100 * sx >= {percent} * sy and 1 + least(sx - px, sy - py) - 1 >= {need}")
+    # words in one set only turn a bit of the parities each: the sets differ by as many at least as bits do
+    both = x.join(y, "token").where(f"(sx < sy or (sx = sy and ix < iy)) and 100 * sx >= {percent} * sy and least(sx - px, sy - py) >= {need} and bit_count(bx ^ by) <= sx + sy - 2 * {need}")
     pairs = scratch.keep(both.select("ix", "iy").distinct(), "pairs")
 
     ids = pairs.select(F.explode(F.array("ix", "iy")).alias("id")).distinct()
-    wanted = scratch.keep(classes.join(small(ids), "id", "left_semi").select("id", "id2", "size", "first.doc_id", "first.line_no"), "wanted")
+    wanted = scratch.keep(classes.join(small(ids), "id", "left_semi").select(*key, "first.doc_id", "first.line_no"), "wanted")
     at = wanted.select("doc_id", "line_no").distinct()
-    some = _lines(documents).join(small(at), ["doc_id", "line_no"], "left_semi") if pairs.limit(1).count() else _lines(documents).where("false")
-    sets = _tokens(some, levels).select(F.xxhash64("tokens").alias("id"), F.xxhash64(F.lit(1), "tokens").alias("id2"), F.size("tokens").alias("size"), "tokens")
-    sets = scratch.keep(wanted.join(sets, key).dropDuplicates(["id", "id2"]), "sets")
-    a, b = (sets.select(F.col("id").alias(f"i{k}"), F.col("id2").alias(f"j{k}"), F.col("size").alias(f"s{k}"), F.struct(F.col("doc_id").isNotNull(), "doc_id", "line_no").alias(f"w{k}"), F.col("tokens").alias(f"t{k}")) for k in "xy")
+    found = _hashed(_lines(documents).join(small(at), ["doc_id", "line_no"], "left_semi"))
+    sets = scratch.keep(wanted.join(found.select(*key, "hashes"), key).dropDuplicates(["id", "id2"]), "sets")
+    a, b = (sets.select(F.col("id").alias(f"i{k}"), F.col("id2").alias(f"j{k}"), F.col("size").alias(f"s{k}"), F.struct(F.col("doc_id").isNotNull(), "doc_id", "line_no").alias(f"w{k}"), F.col("hashes").alias(f"t{k}")) for k in "xy")
     close = pairs.join(a, "ix").join(b, "iy").withColumn("o", F.size(F.array_intersect("tx", "ty"))).where(f"100 * o >= {percent} * (sx + sy - o)")
     later = close.select(F.when(F.col("wx") < F.col("wy"), F.struct(F.col("iy").alias("id"), F.col("jy").alias("id2"), F.col("sy").alias("size"))).otherwise(F.struct(F.col("ix").alias("id"), F.col("jx").alias("id2"), F.col("sx").alias("size"))).alias("k"))
     gone = scratch.keep(later.select("k.*").distinct(), "gone")
 
     verdict = classes.join(gone.withColumn("gone", F.lit(True)), key, "left").select(*key, "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = posted.select(*key, "doc_id", "line_no").join(verdict, key).where("gone or not (doc_id <=> first.doc_id and line_no = first.line_no)")
+    out = lines.select(*key, "doc_id", "line_no").join(verdict, key).where("gone or not (doc_id <=> first.doc_id and line_no = first.line_no)")
     return scratch.keep(out.select("doc_id", "line_no").distinct(), "removed")
 
 
