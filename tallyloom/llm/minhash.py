@@ -2,8 +2,8 @@
 
 Each document posts its value under every coordinate. Two documents whose shingle sets have a
 Jaccard similarity J agree in a coordinate with probability J, so a pair is a candidate if it
-agrees in at least ``matches`` of ``coordinates``; at J = 0.85, 38 of 64 lose fewer than one link
-in 10 million. Candidates are found by
+agrees in at least ``matches`` of ``coordinates``; at J = 0.85, 90 of 128 lose fewer than one link
+in 100,000. Candidates are found by
 
 * skip merging: values that one document alone has, and then documents that have fewer than
   ``matches`` shared values, can't be in a pair and leave, before any pair is made;
@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 from ._util import Scratch, bounded_batches, components, slices, small
 from ._words import SPACED, Words, mix, sets
 
-SHINGLE, PERCENT, COORDINATES, MATCHES = 5, 85, 64, 38
+SHINGLE, PERCENT, COORDINATES, MATCHES = 5, 85, 128, 90
 #: While pairs across components would be more than so many for each document in the lists, another star comes first.
-PAIRS_EACH, STARS = 8, 4
+PAIRS_EACH, STARS = 8, 1
 
-SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
+SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bytes binary"
 
 
 def signatures(documents: DataFrame, shingle: int = SHINGLE, coordinates: int = COORDINATES) -> DataFrame:
@@ -58,7 +58,7 @@ def signatures(documents: DataFrame, shingle: int = SHINGLE, coordinates: int =
                 a[full], b[full] = np.add.reduceat(mix(values), at), np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), at)
                 for j in range(coordinates):
                     out[full, j] = np.minimum.reduceat((((values ^ shift[j]) * factor[j]) >> np.uint64(32)).astype(np.uint32), at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([x.tobytes() for x in out], pa.binary()), pa.array([x.tobytes() for x in out.astype(np.uint8)], pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bytes"])
 
     bounded_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURES)
@@ -69,12 +69,17 @@ def _keys(signature: str, coordinates: int) -> F.Column:
     return F.expr(f"transform(sequence(0, {coordinates - 1}), j -> shiftleft(cast(j as bigint), 32) + cast(conv(hex(substring({signature}, 4 * j + 1, 4)), 16, 10) as bigint))")
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """The pairs (a, b) that agree in enough coordinates."""
-    sig = reps.select("rep", "signature")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    same = F.expr(f"size(filter(sequence(0, {coordinates - 1}), j -> substring(sa, 4 * j + 1, 4) = substring(sb, 4 * j + 1, 4)))")
-    return both.where(same >= matches).select("a", "b")
+def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, coordinates: int, matches: int) -> DataFrame:
+    """The pairs (a, b) whose sizes allow the similarity and that agree in enough coordinates, by a byte of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, coordinates) for i in (2, 3))
+            keep = pa.array((x == y).sum(axis=1) >= matches)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    both = pairs.join(reps.select("rep", "n_shingles", "bytes").toDF("a", "na", "sa"), "a").join(reps.select("rep", "n_shingles", "bytes").toDF("b", "nb", "sb"), "b")
+    return both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -107,42 +112,44 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     sigs = scratch.keep(signatures(documents, shingle, coordinates), "signatures")
     known = sigs.where("doc_id is not null and n_shingles > 0")
     key = ["n_shingles", "set_a", "set_b"]
-    reps = scratch.keep(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "reps")
+    reps = scratch.keep(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("bytes").alias("bytes")), "reps")
 
     # sets of n and n + 1 shingles differ too much while 100 n < percent (n + 1)
-    least = percent // (100 - percent) + bool(percent % (100 - percent)) if percent < 100 else None
-    posts = reps.where(F.col("n_shingles") >= least).select("rep", F.explode(_keys("signature", coordinates)).alias("key")) if least else reps.where("false").select("rep", F.lit(0).cast("long").alias("key"))
+    least = percent // (100 - percent) + bool(percent % (100 - percent)) if percent < 100 else 1 << 40
+    posts = reps.where(F.col("n_shingles") >= least).select("rep", "n_shingles", F.explode(_keys("signature", coordinates)).alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1")
-    live = posts.join(lists, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "key", "centre"))).alias("all")).where(F.size("all") >= matches)
-    live = scratch.keep(live.select("rep", F.slice("all", F.lit(1), F.size("all") - (matches - 1)).alias("rarest")), "live")
-
-    tried = scratch.keep(live.select(F.explode(F.array_distinct(F.col("rarest.centre"))).alias("a"), F.col("rep").alias("b")).where("a <> b").distinct(), "tried0")
-    links = scratch.keep(confirmed(scratch.keep(_agreeing(tried, reps, coordinates, matches), "try0"), documents, shingle, percent), "links0")
-    prefix = scratch.keep(live.select("rep", F.explode("rarest.key").alias("key")), "prefix")
+    live = posts.join(lists, "key").groupBy("rep").agg(F.first("n_shingles").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key", "centre"))).alias("all")).where(F.size("all") >= matches)
+    rarest = F.slice("all", F.lit(1), F.size("all") - (matches - 1))
+    live = scratch.keep(live.select("rep", "size", F.size("all").alias("shared"), rarest.alias("rarest")), "live")
+
+    stars = live.select(F.explode(F.array_distinct(F.col("rarest.centre"))).alias("a"), F.col("rep").alias("b")).where("a <> b")
+    tried = scratch.keep(stars, "tried0")
+    links = scratch.keep(confirmed(_agreeing(tried, reps, percent, coordinates, matches), documents, shingle, percent), "links0")
+    lists = scratch.keep(live.select("rep", "size", "shared", F.posexplode("rarest.key").alias("at", "key")), "lists0")
     for step in range(1, STARS + 2):
-        labels = components(links, scratch, f"c{step}")
-        posted = prefix.join(labels, prefix.rep == labels.node, "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        by = posted.groupBy("key", "label").agg(F.count("*").alias("m"), F.min_by("rep", F.xxhash64("rep", F.lit(step))).alias("one"))
-        mixed = by.groupBy("key").agg(F.count("*").alias("labels"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min_by("one", F.xxhash64("one", F.lit(step))).alias("centre")).where("labels > 1")
+        # a document's least partner so far, and that one's: documents of one label are in one component
+        near = links.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x")).groupBy("x.v").agg(F.min("x.u").alias("u")).select("v", F.least("v", "u").alias("u"))
+        labels = scratch.keep(near.join(near.toDF("u", "w"), "u", "left").select(F.col("v").alias("rep"), F.coalesce("w", "u").alias("label")), f"labels{step}")
+        posted = lists.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        mixed = posted.groupBy("key", "label").agg(F.count("*").alias("m"), F.min_by("rep", F.xxhash64("rep", F.lit(step))).alias("one")).groupBy("key")
+        mixed = mixed.agg(F.count("*").alias("labels"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min_by("one", F.xxhash64("one", F.lit(step))).alias("centre")).where("labels > 1")
         mixed = scratch.keep(mixed, f"mixed{step}")
         across, docs = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.sum("n")).first()
         if not across:
             break
-        posted = posted.join(mixed.select("key", "centre"), "key")
+        lists = scratch.keep(posted.join(mixed.select("key", "centre"), "key").select("rep", "size", "shared", "at", "key", "label", "centre"), f"lists{step}")
         last = step > STARS or across <= PAIRS_EACH * docs
-        if last:
-            x, y = posted.select("key", F.col("rep").alias("a"), F.col("label").alias("la")), posted.select("key", F.col("rep").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("a < b and la <> lb").select("a", "b")
-        else:
-            centre = posted.select("key", F.col("rep").alias("centre"), F.col("label").alias("lc"))
-            pairs = posted.join(centre, ["key", "centre"]).where("rep <> centre and label <> lc").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+        x, y = (lists.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("rep", "size", "shared", "at", "label"))) for k in "xy")
+        y = y if last else y.join(mixed.select("key", F.col("centre").alias("y_rep")), ["key", "y_rep"], "left_semi")
+        fits = F.expr(f"x_label <> y_label and 100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size) and least(x_shared - x_at, y_shared - y_at) >= {matches}")
+        pairs = x.join(y, "key").where(fits & (F.expr("x_rep < y_rep") if last else F.lit(True))).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
         fresh = scratch.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"fresh{step}")
-        more = scratch.keep(confirmed(scratch.keep(_agreeing(fresh, reps, coordinates, matches), f"try{step}"), documents, shingle, percent), f"links{step}")
-        tried, found = tried.unionByName(fresh), more.limit(1).count()
-        links = links.unionByName(more)
+        more = scratch.keep(confirmed(_agreeing(fresh, reps, percent, coordinates, matches), documents, shingle, percent), f"links{step}")
+        lists = lists.drop("centre")
+        tried, links = tried.unionByName(fresh), links.unionByName(more)
         if last:
-            labels = components(links, scratch, "end") if found else labels
             break
+    labels = components(links, scratch, "end")
     joined = reps.join(labels, reps.rep == labels.node, "left").select(*key, F.coalesce("label", "rep").alias("component"))
     out = sigs.select("doc_id", *key).join(joined, key, "left")
     label = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
