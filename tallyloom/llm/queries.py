@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, linededup, minhash
+from . import bpe, decontaminate, htmltext, language, linededup, minhash, warc
 from ._util import read
 
 
@@ -14,6 +14,14 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(read(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -37,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_linededup": linededup.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op9_minhash": minhash.ORACLE}
+    return {"op2_linededup": linededup.ORACLE, "op3_warc": warc.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op9_minhash": minhash.ORACLE}
