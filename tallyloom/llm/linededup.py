@@ -41,10 +41,10 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 
 def _levels(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row: a level of frequency, 0 to 127, for every bucket of words."""
-    counts = lines.select(F.explode("words").alias("word")).groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    """One row: a level of frequency, 0 to 127, in the upper half of a number for every bucket of words."""
+    counts = lines.select(F.explode("words").alias("word")).groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
-    level = F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int").alias("level")
+    level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("long"), 32).alias("level")
     one = every.join(counts, "bucket", "left").select("bucket", level).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("x"))
     return scratch.keep(one.select(F.col("x.level").alias("levels")), "levels")
 
@@ -57,20 +57,20 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier one makes superfluous."""
     scratch = Scratch(documents.sparkSession, "lines")
     key, n = ["id", "id2", "size"], F.col("size")
-    short = F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("words")
+    short = F.transform("hashes", lambda h: F.shiftrightunsigned(h, 32)).alias("words")
     lines = scratch.keep(_hashed(_lines(documents)).select("doc_id", "line_no", *key, short), "lines")
     classes = scratch.keep(lines.groupBy(*key).agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "classes")
 
     # s - ceil(percent s / 100) + 1 words of a line may meet a shorter or equal one, s - ceil(2 percent s / (100 + percent)) + 1 a longer one
     probe, index = n - _ceil(n * percent, 100) + 1, n - _ceil(n * (2 * percent), 100 + percent) + 1
-    ranked = F.sort_array(F.transform("words", lambda w: F.shiftleft(F.get("levels", w.bitwiseAND(F.lit(BUCKETS - 1))).cast("long"), 32).bitwiseOR(w.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
-    parity = F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, shiftrightunsigned(w, 26)))")
+    ranked = F.sort_array(F.expr(f"transform(words, w -> get(levels, cast(w & {BUCKETS - 1} as int)) | w)"))
+    parity = F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, cast(shiftright(w, 26) as int)))")
     # the smallest sets that can have a similar, unequal one: n of n + 1
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
     rows = lines.where(n >= least).select("*", _levels(lines, scratch).scalar().alias("levels"))
-    rows = rows.select("doc_id", "line_no", *key, index.alias("index"), parity.alias("parity"), F.slice(ranked, F.lit(1), probe).alias("prefix"))
+    rows = rows.select("doc_id", "line_no", *key, index.alias("index"), parity.alias("parity"), F.transform(F.slice(ranked, F.lit(1), probe), lambda t: F.hash(t)).alias("prefix"))
     rows = rows.join(classes, key).where("doc_id <=> first.doc_id and line_no = first.line_no")
-    rows = rows.select("id", "size", "index", "parity", F.posexplode("prefix").alias("at", "token"))
+    rows = scratch.keep(rows.select("id", "size", "index", "parity", "prefix"), "rows").select("id", "size", "index", "parity", F.posexplode("prefix").alias("at", "token"))
     x = rows.where("at < index").select("token", F.col("id").alias("ix"), F.col("size").alias("sx"), F.col("at").alias("px"), F.col("parity").alias("bx"))
     y = rows.select("token", F.col("id").alias("iy"), F.col("size").alias("sy"), F.col("at").alias("py"), F.col("parity").alias("by"))
     need = "floor(({p} * (sx + sy) + {q} - 1) / {q})".format(p=percent, q=100 + percent)

@@ -158,7 +158,7 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
 ORACLE = r"""
 with p as (select page_id, coalesce(html, '') as payload from pages),
 h as (select page_id, payload, strlen(payload) as payload_bytes, sha1(payload) as hx from p),
-d as (select *, (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(v // (32 ** k) as bigint) % 32, 1), '' order by g, k desc)
+d as (select *, (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v // cast(32 ** k as bigint)) % 32, 1), '' order by g, k desc)
     from (select g, k, cast(('0x' || substr(hx, 5 * g + 1, 5)) as bigint) as v from range(8) a(g), range(4) b(k))) as payload_digest from h),
 f as (select payload_digest, min(page_id) as first from d group by 1)
 select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
