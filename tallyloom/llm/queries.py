@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, htmltext, language, linededup, minhash, warc
+from . import bpe, decontaminate, htmltext, language, linededup, minhash, quality, warc
 from ._util import read
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"))
+
+
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(read(spark, sf_dir, "documents"))
 
