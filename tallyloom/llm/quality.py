@@ -27,8 +27,8 @@ from ._util import Scratch, small
 SPACE, SPACES = "[ \\t-\\r]+", " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SHARE, STEPS, LEAST, FLOOR = 0.75, 3, 50, 0.01
-#: Quantiles of chi-square with as many degrees of freedom as there are features: of 1 - 1e-10, and of one half.
-CUTOFF, MEDIAN = 52.7, 3.357
+#: Quantiles of chi-square with as many degrees of freedom as there are features: of 1 - 1.5e-7, and of one half.
+CUTOFF, MEDIAN = 37.33, 3.357
 #: Distances are counted in steps of this ratio.
 RATIO = 1.02
 FEATURES = ["f0", "f1", "f2", "f3"]
