@@ -1,15 +1,502 @@
-"""The queries of the engine's own operators with the equivalent SQL."""
+"""The queries of the engine's own operators, named by operator, with the equivalent SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import numbers, text
+from .operators import consolidate, grid, matching, narrative, validate, workbook
+from .plans import dims
+from .plans.fixtures import fixture, table, with_fixture
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, tuple[Query, str | None]] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _found[name] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _found.items() if s}
+
+
+# text and numbers
+
+_NORM = "trim(regexp_replace(replace(lower({x}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+_NORMG = "trim(regexp_replace(replace(lower({x}), '&', ' and '), '[^a-z0-9%$]+', ' ', 'g'))"
+
+
+def _in(xs: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+@_query("t1_normalize_text", f"SELECT doc_id, {_NORM.format(x='text')} AS norm FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("norm"))
+
+
+@_query("t2_snake_key", f"SELECT DISTINCT p_name, replace({_NORM.format(x='p_name')}, ' ', '_') AS key FROM part")
+def _(s, d):
+    return table(s, d, "part").select("p_name", text.snake_key(F.col("p_name")).alias("key")).distinct()
+
+
+@_query("t3_compact", "SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS compact FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text.compact(F.col("text")).alias("compact"))
+
+
+@_query("t4_phrase", f"SELECT doc_id, contains(' ' || {_NORM.format(x='text')} || ' ', ' of the ') AS has FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text.has_phrase(text.normalize_text(F.col("text")), F.lit("of the")).alias("has"))
+
+
+@_query("t5_signal", with_fixture("fx_pages", f" SELECT report_id, page_number, contains(' ' || {_NORM.format(x='text')} || ' ', ' finance cost ') OR contains(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 'financecost') AS has FROM fx_pages"))
+def _(s, d):
+    return fixture(s, d, "fx_pages").select("report_id", "page_number", text.has_signal(F.col("text"), "finance cost").alias("has"))
+
+
+_SHOWN = "regexp_replace(l, '\\s', '', 'g')"
+
+
+@_query(
+    "t9_densities",
+    "WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda l: length(trim(l)) > 0) AS ls FROM documents) SELECT doc_id, "
+    f"CASE WHEN len(ls) = 0 THEN 0.0 ELSE round(len(list_filter(ls, lambda l: 4 * length(regexp_replace({_SHOWN}, '[^0-9]', '', 'g')) >= length({_SHOWN}) OR regexp_matches(l, '\\b(?:19|20)[0-9]{{2}}\\b') OR len(regexp_split_to_array(trim(l), ' {{2,}}')) >= 3)) / len(ls), 6) END AS table_density, "
+    f"CASE WHEN len(ls) = 0 THEN 0.0 ELSE round(len(list_filter(ls, lambda l: len(regexp_split_to_array(trim(l), ' +')) >= 6 AND 100 * length(regexp_replace({_SHOWN}, '[^A-Za-z]', '', 'g')) >= 55 * length({_SHOWN}))) / len(ls), 6) END AS narrative_density FROM x",
+)
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text.table_density(F.col("text")).alias("table_density"), text.narrative_density(F.col("text")).alias("narrative_density"))
+
+
+@_query("t11_clean_text", "SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10)) AS clean FROM documents")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("clean"))
+
+
+@_query("t12_chunks")
+def _(s, d):
+    pages = fixture(s, d, "fx_pages").withColumn("text", text.clean_text(F.col("text")))
+    return narrative.chunked(pages).select("report_id", "page_number", "chunk_index", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@_query("t13_chunk_score", with_fixture("fx_pages", f" SELECT report_id, page_number, CAST(1.0 + 2.0 * len(list_filter({_in(dims.KEYWORDS)}, lambda k: contains(lower(text), k))) AS DOUBLE) AS score FROM fx_pages"))
+def _(s, d):
+    return fixture(s, d, "fx_pages").select("report_id", "page_number", narrative.chunk_score(F.col("text"), F.lit("Other")).alias("score"))
+
+
+@_query("t15_sheet_names")
+def _(s, d):
+    names = table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_type", F.lit("of: the [company]")).alias("name"), F.col("p_partkey").alias("id"))
+    return workbook.sheet_names(names).select("id", "name", "sheet")
+
+
+@_query("t17_generic_phrases", with_fixture("fx_insights", f" SELECT insight_id, array_to_string(list_filter({_in([' '.join(''.join(c if c.isalnum() else ' ' for c in p).split()) for p in dims.GENERIC])}, lambda p: contains({_NORMG.format(x='takeaway')}, p)), '|') AS patterns FROM fx_insights"))
+def _(s, d):
+    return narrative.governed(fixture(s, d, "fx_insights").withColumn("area", F.lit(""))).select("insight_id", "patterns")
+
+
+_AMOUNT = "CASE WHEN cell IN ('', '-') OR regexp_matches(cell, '[A-Za-z]') THEN NULL WHEN starts_with(cell, '(') THEN -CAST(regexp_extract(cell, '[0-9]+') AS DOUBLE) ELSE CAST(regexp_extract(cell, '-?[0-9]+') AS DOUBLE) END"
+
+
+@_query("n1_parse_amounts", with_fixture("fx_cells", f" SELECT page_number, row_index, col_index, {_AMOUNT} AS amount FROM fx_cells"))
+def _(s, d):
+    return fixture(s, d, "fx_cells").select("page_number", "row_index", "col_index", numbers.parse_amount(F.col("cell")).alias("amount"))
+
+
+@_query("n2_parse_percent", "SELECT o_orderkey, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS value FROM orders")
+def _(s, d):
+    return table(s, d, "orders").select("o_orderkey", numbers.parse_amount(F.concat((F.col("o_orderkey") % 100).cast("string"), F.lit("%")), percent_divides=True, repair=False).alias("value"))
+
+
+@_query("n3_scale_multiplier", "SELECT p_partkey, CAST(CASE p_partkey % 5 WHEN 0 THEN 1000000000 WHEN 1 THEN 1000000 WHEN 2 THEN 1000 WHEN 3 THEN 1000 END AS BIGINT) AS scale, CAST(CASE p_partkey % 5 WHEN 0 THEN 1000000000 WHEN 2 THEN 1000 END AS BIGINT) AS table_scale FROM part")
+def _(s, d):
+    x = F.element_at(F.array(*map(F.lit, ("Rupees in billion", "5 mn", "Amounts in '000", "two thousands", "1,000"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(s, d, "part").select("p_partkey", numbers.scale(x).alias("scale"), numbers.table_scale(x).alias("table_scale"))
+
+
+@_query("n9_years_in_text", with_fixture("fx_cells", " SELECT page_number, row_index, col_index, array_to_string(regexp_extract_all(cell, '\\b(?:19|20)[0-9]{2}\\b'), ',') AS years FROM fx_cells"))
+def _(s, d):
+    return fixture(s, d, "fx_cells").select("page_number", "row_index", "col_index", F.array_join(numbers.years(F.col("cell")).cast("array<string>"), ",").alias("years"))
+
+
+@_query("n11_tolerance_match", with_fixture("fx_statements", " SELECT entity_id, value_year, abs(total_assets - (total_liabilities + total_equity)) <= greatest(0.5, abs(total_assets) * 0.0001) AS ok FROM fx_statements"))
+def _(s, d):
+    return fixture(s, d, "fx_statements").select("entity_id", "value_year", numbers.amounts_match(F.col("total_assets"), F.col("total_liabilities") + F.col("total_equity")).alias("ok"))
+
+
+@_query("n14_confidence_gate", with_fixture("fx_metric_values", " SELECT input_key, CASE WHEN confidence >= 0.8 THEN metric END AS normalized, confidence < 0.8 AS review FROM fx_metric_values"))
+def _(s, d):
+    return fixture(s, d, "fx_metric_values").select("input_key", F.when(F.col("confidence") >= 0.8, F.col("metric")).alias("normalized"), (F.col("confidence") < 0.8).alias("review"))
+
+
+# grids
+
+_HEAD = ", head AS (SELECT page_number, table_index, col_index, CAST(cell AS INT) AS value_year FROM fx_cells WHERE row_index = 0 AND regexp_matches(cell, '^(19|20)[0-9]{2}$'))"
+
+
+@_query("p1_year_header", with_fixture("fx_cells", _HEAD + " SELECT page_number, table_index, 0 AS header_row, col_index, value_year FROM head"))
+def _(s, d):
+    return grid.year_columns(fixture(s, d, "fx_cells"))
+
+
+@_query("p2_labels", with_fixture("fx_cells", " SELECT page_number, table_index, row_index, 0 AS label_col, cell AS metric FROM fx_cells WHERE col_index = 0"))
+def _(s, d):
+    return grid.labels(fixture(s, d, "fx_cells"))
+
+
+@_query("p3_unpivot_facts", with_fixture("fx_cells", _HEAD + f" SELECT c.page_number, c.table_index, c.row_index, l.cell AS metric, h.value_year, {_AMOUNT.replace('cell', 'c.cell')} AS value FROM fx_cells c JOIN head h USING (page_number, table_index, col_index) JOIN fx_cells l ON l.page_number = c.page_number AND l.table_index = c.table_index AND l.row_index = c.row_index AND l.col_index = 0 WHERE c.row_index > 0 AND {_AMOUNT.replace('cell', 'c.cell')} IS NOT NULL"))
+def _(s, d):
+    return grid.unpivot(fixture(s, d, "fx_cells"))
+
+
+@_query("n10_note_columns", with_fixture("fx_cells", " SELECT DISTINCT page_number, table_index, 1 AS col_index FROM fx_cells"))
+def _(s, d):
+    return grid.note_columns(fixture(s, d, "fx_cells"))
+
+
+_QUALITY = ", q AS (SELECT page_number, table_index, CAST(count(*) FILTER (cell <> '') AS INT) AS filled, CAST(count(*) FILTER (NOT regexp_matches(cell, '[A-Za-z]') AND cell <> '-' AND NOT regexp_matches(cell, '^(19|20)[0-9]{2}$')) AS INT) AS numbers, CAST(count(*) FILTER (regexp_matches(cell, '[A-Za-z]')) AS INT) AS texts, CAST(count(*) FILTER (regexp_matches(cell, '^(19|20)[0-9]{2}$')) AS INT) AS year_cells FROM fx_cells GROUP BY 1, 2), r AS (SELECT *, CAST(least(100, numbers * 4 + texts * 2 + year_cells * 10) AS INT) AS score, numbers > 0 AND texts = 0 AS numeric_only FROM q)"
+
+
+@_query("a3_table_quality", with_fixture("fx_cells", _QUALITY + " SELECT * FROM r"))
+def _(s, d):
+    return grid.quality(fixture(s, d, "fx_cells"))
+
+
+@_query("o1_suspicious_top20", with_fixture("fx_cells", _QUALITY + " SELECT * FROM r ORDER BY score, page_number, table_index LIMIT 20"))
+def _(s, d):
+    return grid.suspicious(fixture(s, d, "fx_cells"))
+
+
+@_query("n6_split_negatives", with_fixture("fx_cells", ", x AS (SELECT page_number, row_index, 2 * col_index + k AS col_index, CASE WHEN k = 1 THEN replace(replace(cell, '(', ''), ')', '') WHEN starts_with(cell, '(') THEN '(' ELSE '' END AS cell, cell AS was FROM fx_cells, range(2) t(k)) SELECT page_number, 0 AS table_index, row_index, CAST(col_index AS INT) AS col_index, CASE WHEN was LIKE '(%' AND cell <> '(' THEN was WHEN regexp_matches(cell, '^[0-9]') AND trim(lag(cell, 1) OVER w) = '(' THEN '(' || cell || ')' ELSE cell END AS cell FROM x WINDOW w AS (PARTITION BY page_number, row_index ORDER BY col_index)"))
+def _(s, d):
+    c = fixture(s, d, "fx_cells").select("page_number", "table_index", "row_index", "col_index", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "cell")
+    split = F.when(F.col("k") == 1, F.regexp_replace("cell", "[()]", "")).when(F.col("cell").startswith("("), "(").otherwise("")
+    return grid.split_negatives(c.select("page_number", "table_index", "row_index", (2 * F.col("col_index") + F.col("k")).alias("col_index"), split.alias("cell")))
+
+
+@_query("n7_shifted_rows")
+def _(s, d):
+    c = fixture(s, d, "fx_cells")
+    move = (F.col("row_index") > 0) & (F.col("col_index") >= 2) & (F.col("row_index") % 2 == 0)
+    return grid.shifted(c.withColumn("col_index", F.when(move, F.col("col_index") + 1).otherwise(F.col("col_index"))))
+
+
+@_query("n8_merged_cells", with_fixture("fx_cells", " SELECT page_number, table_index, row_index, 2 AS col_index, array_to_string([x.cell, x.cell, x.cell], '|') AS parts FROM fx_cells x WHERE col_index = 2 AND row_index > 0 AND cell <> '-' AND (SELECT count(*) FROM fx_cells h WHERE h.page_number = x.page_number AND h.row_index = 0 AND h.col_index >= 2) = 3"))
+def _(s, d):
+    c = fixture(s, d, "fx_cells").where("row_index = 0 or (col_index <= 2 and cell <> '-')")
+    merged = F.when((F.col("row_index") > 0) & (F.col("col_index") == 2), F.concat_ws(" ", "cell", "cell", "cell")).otherwise(F.col("cell"))
+    return grid.merged_cells(c.withColumn("cell", merged))
+
+
+@_query("w5_header_inheritance", with_fixture("fx_cells", ", m AS (SELECT page_number, table_index, row_index, cell AS metric, row_index % 3 <> 1 AS has_value FROM fx_cells WHERE col_index = 0 AND row_index > 0), h AS (SELECT *, last_value(CASE WHEN NOT has_value THEN metric END IGNORE NULLS) OVER (PARTITION BY page_number, table_index ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading FROM m) SELECT page_number, table_index, row_index, CASE WHEN has_value AND heading IS NOT NULL THEN heading || ' - ' || metric ELSE metric END AS label FROM h"))
+def _(s, d):
+    rows = fixture(s, d, "fx_cells").where("col_index = 0 and row_index > 0").select("page_number", "table_index", "row_index", F.col("cell").alias("metric"), (F.col("row_index") % 3 != 1).alias("has_value"))
+    return grid.inherit(rows).select("page_number", "table_index", "row_index", "label")
+
+
+@_query("w8_analysis_sections", with_fixture("fx_cells", " SELECT page_number, table_index, row_index, cell AS metric, CAST(sum(CASE WHEN cell LIKE 'M%' OR cell LIKE 'S%' THEN 1 ELSE 0 END) OVER (PARTITION BY page_number, table_index ORDER BY row_index) AS INT) AS section FROM fx_cells WHERE col_index = 0"))
+def _(s, d):
+    return grid.sections(fixture(s, d, "fx_cells").where("col_index = 0").select("page_number", "table_index", "row_index", F.col("cell").alias("metric")), "^[MS]")
+
+
+@_query("w11_best_strategy", "SELECT page_number, strategy_rank, quality FROM (SELECT CAST(p_partkey % 200 AS INT) AS page_number, CAST(p_partkey % 3 AS INT) AS strategy_rank, CAST(p_size AS INT) AS quality, row_number() OVER (PARTITION BY p_partkey % 200 ORDER BY p_size DESC, p_partkey % 7 DESC, p_partkey % 5 DESC, p_partkey DESC, p_partkey % 3) AS rn FROM part) WHERE rn = 1")
+def _(s, d):
+    p = table(s, d, "part").select((F.col("p_partkey") % 200).cast("int").alias("page_number"), (F.col("p_partkey") % 3).cast("int").alias("strategy_rank"), F.col("p_size").cast("int").alias("quality"), (F.col("p_partkey") % 7).alias("n_values"), (F.col("p_partkey") % 5).alias("n_years"), F.col("p_partkey").alias("n_labels"))
+    return grid.best_strategy(p).select("page_number", "strategy_rank", "quality")
+
+
+# consolidation
+
+_RANKED = """, c AS (SELECT *, 'int:' || CAST(value AS VARCHAR) AS value_text, lower(trim(table_type)) AS t,
+  CASE WHEN trim(original_metric) = '' THEN 0 ELSE greatest(0, 100 - CASE WHEN regexp_matches(trim(original_metric), '\\([^)]*$') OR regexp_matches(trim(original_metric), '(?i)\\b(?:of|and|to|from|for|with|by|in|at|the)$') THEN 25 ELSE 0 END
+    - CASE WHEN length(regexp_replace(original_metric, '[^A-Za-z]', '', 'g')) < 4 THEN 15 ELSE 0 END + least(10, len(regexp_extract_all(original_metric, '[A-Za-z]+')))) END AS cleanliness,
+  CASE WHEN requires_review THEN 0 ELSE 30 END + CASE WHEN trim(original_metric) <> metric THEN 10 ELSE 0 END + CASE WHEN len(regexp_extract_all(trim(original_metric), '\\S+')) >= 2 THEN 10 ELSE 0 END + 5 AS context,
+  CASE table_type WHEN 'income_statement' THEN 100 WHEN 'balance_sheet' THEN 100 WHEN 'cash_flow_statement' THEN 100 WHEN 'ratio_analysis' THEN 75 WHEN 'debt_schedule' THEN 65 ELSE 35 END AS priority FROM fx_metric_values),
+w AS (SELECT *, row_number() OVER (PARTITION BY metric, value_year ORDER BY confidence DESC, cleanliness DESC, context DESC, priority DESC, source_report_year DESC, page_number DESC, t, value_text, input_key) AS rn FROM c)"""
+
+
+@_query("w1_consolidate_best_value", with_fixture("fx_metric_values", _RANKED + " SELECT metric, value_year, value, source_report_year, page_number, table_type FROM w WHERE rn = 1"))
+def _(s, d):
+    return consolidate.best_value(fixture(s, d, "fx_metric_values")).select("metric", "value_year", "value", "source_report_year", "page_number", "table_type")
+
+
+@_query("p16_source_class", with_fixture("fx_metric_values", " SELECT DISTINCT table_type, CASE table_type WHEN 'ratio_analysis' THEN 75 WHEN 'debt_schedule' THEN 65 WHEN 'notes' THEN 35 ELSE 100 END AS priority, CASE table_type WHEN 'ratio_analysis' THEN 'analysis_or_ratio' WHEN 'debt_schedule' THEN 'supporting_schedule' WHEN 'notes' THEN 'note_disclosure' ELSE 'primary_statement' END AS source_class FROM fx_metric_values"))
+def _(s, d):
+    return fixture(s, d, "fx_metric_values").select("table_type", consolidate.table_priority().alias("priority"), consolidate.source_class().alias("source_class")).distinct()
+
+
+@_query("p17_p18_label_scores", with_fixture("fx_metric_values", _RANKED + " SELECT input_key, CAST(cleanliness AS INT) AS cleanliness, CAST(context AS INT) AS context FROM c"))
+def _(s, d):
+    return consolidate.candidates(fixture(s, d, "fx_metric_values")).select("input_key", "cleanliness", "context")
+
+
+@_query("a1_candidate_groups", with_fixture("fx_metric_values", " SELECT metric, value_year, CAST(count(*) AS INT) AS candidate_count, CAST(count(DISTINCT value) AS INT) AS distinct_values FROM fx_metric_values GROUP BY 1, 2"))
+def _(s, d):
+    return consolidate.final_groups(fixture(s, d, "fx_metric_values")).select("metric", "value_year", "candidate_count", "distinct_values")
+
+
+_TIES = _RANKED + ", b AS (SELECT * FROM w WHERE rn = 1), t AS (SELECT w.metric, w.value_year, count(DISTINCT w.value_text) > 1 AS tie FROM w JOIN b ON w.metric = b.metric AND w.value_year = b.value_year AND w.source_report_year = b.source_report_year AND w.confidence = b.confidence AND w.cleanliness = b.cleanliness AND w.context = b.context AND w.priority = b.priority GROUP BY 1, 2)"
+
+
+@_query("w2_unresolved_ties", with_fixture("fx_metric_values", _TIES + " SELECT * FROM t"))
+def _(s, d):
+    return consolidate.selections(fixture(s, d, "fx_metric_values")).where("rn = 1").select("metric", "value_year", "tie")
+
+
+@_query("w3_resolution_reasons", with_fixture("fx_metric_values", _TIES + """, g AS (SELECT metric, value_year, min(confidence) AS c, min(cleanliness) AS l, min(context) AS x, min(priority) AS p, min(source_report_year) AS y, count(DISTINCT value) AS n FROM c GROUP BY 1, 2)
+  SELECT metric, value_year, CASE WHEN tie AND n > 1 THEN 'unresolved_equal_precedence_conflict' WHEN c < b.confidence THEN 'higher_normalization_confidence' WHEN l < b.cleanliness THEN 'cleaner_reconstructed_label' WHEN x < b.context THEN 'more_complete_source_context' WHEN p < b.priority THEN 'preferred_financial_statement_source' WHEN y < b.source_report_year THEN 'latest_source_report_year' ELSE 'stable_tie_break' END AS resolution_reason
+  FROM g JOIN b USING (metric, value_year) JOIN t USING (metric, value_year) WHERE metric = 'total_assets'"""))
+def _(s, d):
+    return consolidate.final_groups(fixture(s, d, "fx_metric_values").where("metric = 'total_assets'")).select("metric", "value_year", "resolution_reason")
+
+
+@_query("r6_consolidation_groups")
+def _(s, d):
+    return consolidate.final_groups(fixture(s, d, "fx_metric_values")).select("metric", "value_year", "value", "source_report_year", "page_number", "table_type", "candidate_count", "resolution_reason", "conflict_status")
+
+
+@_query("r7_consolidation_summary")
+def _(s, d):
+    return consolidate.summary(fixture(s, d, "fx_metric_values"))
+
+
+@_query("a2_report_duplicates", with_fixture("fx_metric_values", " SELECT metric, value_year, source_report_year, table_type, CAST(count(*) AS INT) AS n, CAST(count(DISTINCT value) AS INT) AS n_values, array_to_string(list_sort(list(page_number))[1:10], ',') AS pages FROM fx_metric_values GROUP BY 1, 2, 3, 4 HAVING count(*) > 1"))
+def _(s, d):
+    return consolidate.duplicates(fixture(s, d, "fx_metric_values")).withColumn("pages", F.col("pages"))
+
+
+@_query("j14_sign_pairs", with_fixture("fx_metric_values", " SELECT page_number, table_type, regexp_replace(lower(original_metric), '[^a-z0-9]+', '', 'g') AS label, abs(value) AS amount, count(*) FILTER (value > 0) AS n_pos, count(*) FILTER (value < 0) AS n_neg FROM fx_metric_values GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (value > 0) > 0 AND count(*) FILTER (value < 0) > 0"))
+def _(s, d):
+    return consolidate.sign_pairs(fixture(s, d, "fx_metric_values"))
+
+
+@_query("j15_scale_disagreement", with_fixture("fx_metric_values", ", v AS (SELECT DISTINCT metric, value_year, source_report_year, page_number, abs(value) AS a FROM fx_metric_values WHERE value <> 0) SELECT metric, value_year, source_report_year, coalesce((SELECT bool_or(abs(y.a / x.a - f) / f <= 0.05) FROM v x, v y, (VALUES (1e3), (1e6), (1e9)) s(f) WHERE x.metric = o.metric AND x.value_year = o.value_year AND x.source_report_year = o.source_report_year AND y.metric = o.metric AND y.value_year = o.value_year AND y.source_report_year = o.source_report_year AND x.page_number = 1 AND y.page_number = 1), false) AS disagrees FROM (SELECT DISTINCT metric, value_year, source_report_year FROM fx_metric_values WHERE page_number = 1) o"))
+def _(s, d):
+    m = fixture(s, d, "fx_metric_values").where("page_number = 1")
+    g = m.groupBy("metric", "value_year", "source_report_year").agg(F.collect_set(F.abs("value")).alias("v"))
+    return g.select("metric", "value_year", "source_report_year", consolidate._scale_pair(F.col("v")).alias("disagrees"))
+
+
+@_query("j1_report_years", with_fixture("fx_metric_values", " SELECT r.source_report_year, count(*) AS n FROM (SELECT DISTINCT source_report_year FROM fx_metric_values WHERE source_report_year % 2 = 0) r JOIN fx_metric_values m ON m.source_report_year = r.source_report_year GROUP BY 1"))
+def _(s, d):
+    m = fixture(s, d, "fx_metric_values")
+    r = m.where("source_report_year % 2 = 0").select("source_report_year").distinct()
+    return m.join(r, "source_report_year").groupBy("source_report_year").agg(F.count("*").alias("n"))
+
+
+# matching
+
+_OVER = ", o AS (SELECT l.page_number, l.box_index AS raw, r.box_index AS cls, greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0)) AS i, (l.x1 - l.x0) * (l.y1 - l.y0) AS a, (r.x1 - r.x0) * (r.y1 - r.y0) AS b FROM fx_boxes l JOIN fx_boxes r ON l.page_number = r.page_number WHERE l.side = 'detected' AND r.side = 'classified')"
+
+
+@_query("j3_bbox_overlap", with_fixture("fx_boxes", _OVER + " SELECT page_number, raw, cls, round(greatest(i / (a + b - i), i / least(a, b)), 6) AS score FROM o WHERE round(greatest(i / (a + b - i), i / least(a, b)), 6) >= 0.8"))
+def _(s, d):
+    b = fixture(s, d, "fx_boxes")
+    return matching.overlaps(b.where("side = 'detected'"), b.where("side = 'classified'"))
+
+
+@_query("j7_greedy_match")
+def _(s, d):
+    b = fixture(s, d, "fx_boxes")
+    left, right = b.where("side = 'detected'"), b.where("side = 'classified'")
+    pairs = matching.overlaps(left, right, 0.3).withColumn("precedence", F.lit(2)).unionByName(matching.positional(left, right).withColumn("score", F.lit(0.0)).withColumn("precedence", F.lit(3)))
+    return matching.assign(pairs)
+
+
+@_query("j13_unmatched", with_fixture("fx_boxes", _OVER + " SELECT page_number, box_index AS raw FROM fx_boxes x WHERE side = 'detected' AND NOT EXISTS (SELECT 1 FROM o WHERE o.page_number = x.page_number AND o.raw = x.box_index AND round(greatest(i / (a + b - i), i / least(a, b)), 6) >= 0.8)"))
+def _(s, d):
+    b = fixture(s, d, "fx_boxes")
+    left = b.where("side = 'detected'")
+    return matching.unmatched(left.select("page_number", F.col("box_index").alias("raw")), matching.overlaps(left, b.where("side = 'classified'")), ["page_number", "raw"])
+
+
+_WORDS = [("debt", "debt_schedule", 3), ("finance cost", "income_statement", 2), ("margin", "income_statement", 1), ("capacity", "notes", 1)]
+
+
+@_query("j5_type_scores", with_fixture("fx_pages", ", k(word, table_type, weight) AS (VALUES " + ", ".join(map(str, _WORDS)) + f") SELECT report_id, page_number, table_type, CAST(sum(weight) AS BIGINT) AS score FROM fx_pages JOIN k ON contains(' ' || {_NORM.format(x='text')} || ' ', ' ' || word || ' ') GROUP BY 1, 2, 3"))
+def _(s, d):
+    return matching.type_scores(fixture(s, d, "fx_pages"), s.createDataFrame(_WORDS, "word string, table_type string, weight int"))
+
+
+_TERMS = [(k, 0, k.replace("_", " ")) for k, _, _ in dims.REGISTRY] + [(k, 1, a) for k, _, al in dims.REGISTRY for a in al]
+
+
+@_query("j10_registry_lookup", with_fixture("fx_insights", ", r(key, kind, term) AS (VALUES " + ", ".join(map(str, _TERMS)) + "), l AS (SELECT insight_id, CASE insight_id % 4 WHEN 0 THEN 'Net Sales' WHEN 1 THEN 'Gross Profit' WHEN 2 THEN 'Assets' ELSE area END AS label FROM fx_insights), m AS (SELECT insight_id, label, min((kind, key)) AS x FROM l JOIN r ON term = trim(regexp_replace(replace(lower(label), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) GROUP BY 1, 2) SELECT l.insight_id, l.label, m.x[2] AS key, CAST(CASE WHEN m.x[1] = 0 THEN 1.0 WHEN m.x[1] = 1 THEN 0.96 END AS DOUBLE) AS confidence FROM l LEFT JOIN m USING (insight_id)"))
+def _(s, d):
+    label = F.when(F.col("insight_id") % 4 == 0, "Net Sales").when(F.col("insight_id") % 4 == 1, "Gross Profit").when(F.col("insight_id") % 4 == 2, "Assets").otherwise(F.col("area"))
+    return workbook.lookup(fixture(s, d, "fx_insights").select("insight_id", label.alias("label")), s.createDataFrame(_TERMS, "key string, kind int, term string"))
+
+
+@_query("j11_nearest_metric", "SELECT vec_id, best, score FROM (SELECT q.vec_id, r.vec_id AS best, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 4) DESC, r.vec_id) AS rn FROM embeddings q JOIN embeddings r ON r.vec_id < 50 WHERE q.vec_id >= 50) WHERE rn = 1")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    return workbook.nearest(e.where("vec_id >= 50"), e.where("vec_id < 50"))
+
+
+# validation
+
+@_query("n12_accounting_equation", with_fixture("fx_statements", " SELECT entity_id, value_year, 'accounting_equation' AS rule_name, 'critical' AS severity, round(CAST(total_liabilities + total_equity AS DOUBLE), 4) AS expected, round(CAST(total_assets AS DOUBLE), 4) AS actual FROM fx_statements WHERE abs(total_liabilities + total_equity - total_assets) > greatest(0.5, abs(total_liabilities + total_equity) * 0.0001)"))
+def _(s, d):
+    return validate.sum_rule(fixture(s, d, "fx_statements"), "accounting_equation", "critical", "total_assets", [("total_liabilities", 1), ("total_equity", 1)])
+
+
+@_query("n12_ratio_rules", with_fixture("fx_statements", ", x AS (SELECT *, CAST(entity_id % 7 AS DOUBLE) / 10 AS roe, CAST(total_liabilities AS DOUBLE) / nullif(CAST(total_assets AS DOUBLE), 0) AS e FROM fx_statements) SELECT entity_id, value_year, 'leverage' AS rule_name, 'minor' AS severity, round(e, 4) AS expected, round(roe, 4) AS actual FROM x WHERE e IS NULL OR abs(e - roe) > greatest(0.0001, abs(e) * 0.0001)"))
+def _(s, d):
+    return validate.ratio_rule(fixture(s, d, "fx_statements").withColumn("roe", (F.col("entity_id") % 7).cast("double") / 10), "leverage", "minor", "roe", "total_liabilities", "total_assets")
+
+
+_ISSUES = ", i AS (SELECT DISTINCT entity_id, round(CAST(total_liabilities + total_equity AS DOUBLE), 4) AS e, round(CAST(total_assets AS DOUBLE), 4) AS a FROM fx_statements WHERE abs(total_liabilities + total_equity - total_assets) > greatest(0.5, abs(total_liabilities + total_equity) * 0.0001)), g AS (SELECT entity_id, count(*) AS n FROM i GROUP BY 1)"
+
+
+@_query("a11_validation_score", with_fixture("fx_statements", _ISSUES + " SELECT DISTINCT f.entity_id, CAST(greatest(0, 100 - 10 * coalesce(n, 0)) AS DOUBLE) AS score, 100 - 10 * coalesce(n, 0) >= 80 AS is_valid FROM fx_statements f LEFT JOIN g USING (entity_id)"))
+def _(s, d):
+    f = fixture(s, d, "fx_statements")
+    return validate.scores(f.select("entity_id").distinct(), validate.sum_rule(f, "accounting_equation", "major", "total_assets", [("total_liabilities", 1), ("total_equity", 1)]))
+
+
+@_query("a6_duplicate_labels", with_fixture("fx_cells", ", l AS (SELECT page_number, table_index, CASE WHEN row_index % 3 = 0 THEN 'other' ELSE lower(cell) END AS label FROM fx_cells WHERE col_index = 0 AND row_index > 0), c AS (SELECT page_number, table_index, label FROM l GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT page_number, table_index, string_agg(label, ', ' ORDER BY label) AS labels FROM c GROUP BY 1, 2"))
+def _(s, d):
+    return validate.duplicate_labels(fixture(s, d, "fx_cells").withColumn("cell", F.when((F.col("row_index") % 3 == 0) & (F.col("row_index") > 0), "OTHER").otherwise(F.col("cell"))))
+
+
+_REQUIRED = ["revenue", "equity", "total_assets", "net_profit"]
+
+
+@_query("v2_missing_metrics", with_fixture("fx_metric_values", ", e AS (SELECT DISTINCT page_number AS entity_id FROM fx_metric_values), r(metric) AS (VALUES ('revenue'), ('equity'), ('total_assets'), ('net_profit')) SELECT entity_id, metric FROM e, r WHERE NOT EXISTS (SELECT 1 FROM fx_metric_values m WHERE m.page_number = e.entity_id AND m.metric = r.metric)"))
+def _(s, d):
+    return validate.missing(fixture(s, d, "fx_metric_values").select(F.col("page_number").alias("entity_id"), "metric"), _REQUIRED)
+
+
+@_query("w10_year_order", with_fixture("fx_cells", _HEAD + " SELECT DISTINCT page_number, table_index FROM (SELECT *, lag(y) OVER (PARTITION BY page_number, table_index ORDER BY col_index) AS b FROM (SELECT *, CASE WHEN page_number % 5 = 0 THEN 4000 - value_year ELSE value_year END AS y FROM head)) WHERE b <= y"))
+def _(s, d):
+    y = grid.year_columns(fixture(s, d, "fx_cells"))
+    return validate.years_out_of_order(y.withColumn("value_year", F.when(F.col("page_number") % 5 == 0, 4000 - F.col("value_year")).otherwise(F.col("value_year"))))
+
+
+@_query("a8_first_observations", with_fixture("fx_metric_values", " SELECT page_number AS entity_id, metric, arg_min(value, input_key || CAST(value AS VARCHAR)) AS value FROM fx_metric_values GROUP BY 1, 2"))
+def _(s, d):
+    return validate.first_values(fixture(s, d, "fx_metric_values").select(F.col("page_number").alias("entity_id"), "metric", "value", F.concat("input_key", F.col("value").cast("string")).alias("ordinal")))
+
+
+@_query("l14_integrity_violations", with_fixture("fx_metric_values", " SELECT 'value_year_after_report' AS rule, count(*) AS n FROM fx_metric_values WHERE value_year > source_report_year UNION ALL SELECT 'page_not_positive', count(*) FROM fx_metric_values WHERE page_number <= 0 UNION ALL SELECT 'duplicate_input', (SELECT count(*) FROM (SELECT input_key FROM fx_metric_values GROUP BY 1 HAVING count(*) > 1))"))
+def _(s, d):
+    m = fixture(s, d, "fx_metric_values")
+    one = m.agg(F.count_if(F.col("value_year") > F.col("source_report_year")).alias("value_year_after_report"), F.count_if(F.col("page_number") <= 0).alias("page_not_positive"))
+    dup = m.groupBy("input_key").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate_input").alias("rule"), "n")
+    return one.select(F.expr("stack(2, 'value_year_after_report', value_year_after_report, 'page_not_positive', page_not_positive) as (rule, n)")).unionByName(dup)
+
+
+# narrative and insights
+
+@_query("p10_page_type", None)
+def _(s, d):
+    return fixture(s, d, "fx_pages").select("report_id", "page_number", narrative.page_type(F.col("text")).alias("page_type"))
+
+
+@_query("p13_ignored_keywords", with_fixture("fx_pages", f" SELECT report_id, page_number, array_to_string(list_filter({_in(dims.IGNORED)}, lambda k: contains(lower(substr(text, 1, 900)), k)), '|') AS hits FROM fx_pages"))
+def _(s, d):
+    return fixture(s, d, "fx_pages").select("report_id", "page_number", F.array_join(text.found_in(F.lower(F.substr("text", F.lit(1), F.lit(900))), dims.IGNORED), "|").alias("hits"))
+
+
+@_query("w6_section_continuation")
+def _(s, d):
+    p = fixture(s, d, "fx_pages")
+    direct = F.when(F.col("page_number") % 10 == 1, "Chairman Review").when(F.col("page_number") % 10 == 7, "Risks").when(F.col("page_number") % 10 == 9, "Outlook")
+    return narrative.continued(p.select("report_id", "page_number", direct.alias("direct"), (F.col("page_number") % 3 != 0).alias("accepted"), (F.col("page_number") % 11 / 10).alias("confidence"), (F.col("page_number") % 13 == 0).alias("terminal"), (F.col("page_number") % 4 != 0).alias("fits")))
+
+
+@_query("w7_chunk_rank_round_robin", with_fixture("fx_insights", f", r AS (SELECT *, row_number() OVER (PARTITION BY page_number, source_section ORDER BY confidence DESC, insight_id) AS turn, coalesce(list_position({_in(dims.SECTIONS)}, source_section), 13) AS sr FROM fx_insights) SELECT insight_id, CAST(row_number() OVER (PARTITION BY page_number ORDER BY turn, sr, source_section, insight_id) AS INT) AS position FROM r"))
+def _(s, d):
+    return narrative.round_robin(fixture(s, d, "fx_insights").withColumn("score", F.col("confidence")), ["page_number"], ["insight_id"]).select("insight_id", "position")
+
+
+_QUANT = f"(regexp_matches(x, '[0-9]') AND (regexp_matches(x, '(?i)(?:rs\\.?|pkr|usd|\\$)\\s*[0-9]') OR regexp_matches(x, '[0-9][0-9,]*(?:\\.[0-9]+)?\\s*%') OR len(list_filter({_in(dims.QUANTITATIVE)}, lambda k: contains({_NORMG.format(x='x')}, k))) > 0))"
+_GOV = ", t AS (SELECT *, area || ' ' || takeaway AS x FROM fx_insights), q AS (SELECT *, " + _QUANT + f" AS quantified, len(list_filter({_in([' '.join(''.join(c if c.isalnum() else ' ' for c in p).split()) for p in dims.GENERIC])}, lambda p: contains({_NORMG.format(x='x')}, p))) > 0 AS generic FROM t), g AS (SELECT *, CASE WHEN generic AND NOT quantified AND confidence < 0.7 THEN 'reject' WHEN confidence < 0.5 AND NOT quantified THEN 'reject' WHEN confidence < 0.7 THEN 'review' ELSE 'export' END AS route FROM q)"
+
+
+@_query("p14_governance_route", with_fixture("fx_insights", _GOV + " SELECT insight_id, quantified, route FROM g"))
+def _(s, d):
+    return narrative.governed(fixture(s, d, "fx_insights")).select("insight_id", "quantified", "route")
+
+
+@_query("a16_governance_counts", with_fixture("fx_insights", _GOV + " SELECT source_section, count(*) FILTER (route = 'reject') AS rejected, count(*) FILTER (route = 'review') AS review, count(*) FILTER (route = 'export') AS exported, count(*) FILTER (route = 'reject' AND generic) AS generic FROM g GROUP BY 1"))
+def _(s, d):
+    g = narrative.governed(fixture(s, d, "fx_insights"))
+    return g.groupBy("source_section").agg(F.count_if(F.col("route") == "reject").alias("rejected"), F.count_if(F.col("route") == "review").alias("review"), F.count_if(F.col("route") == "export").alias("exported"), F.count_if((F.col("route") == "reject") & (F.col("patterns") != "")).alias("generic"))
+
+
+@_query("a5_confidence_histogram", with_fixture("fx_insights", ", b(bucket) AS (VALUES ('0.0'), ('0.1-0.5'), ('0.5-0.7'), ('0.7-0.9'), ('0.9+')), c AS (SELECT CASE WHEN confidence = 0 THEN '0.0' WHEN confidence >= 0.9 THEN '0.9+' WHEN confidence >= 0.7 THEN '0.7-0.9' WHEN confidence >= 0.5 THEN '0.5-0.7' ELSE '0.1-0.5' END AS bucket FROM fx_insights) SELECT b.bucket, count(c.bucket) AS n FROM b LEFT JOIN c USING (bucket) GROUP BY 1"))
+def _(s, d):
+    return narrative.histogram(fixture(s, d, "fx_insights"))
+
+
+@_query("j12_insight_source_semi", with_fixture("fx_insights", " SELECT insight_id FROM fx_insights WHERE page_number % 2 = 0 AND source_section = 'Risks'"))
+def _(s, d):
+    i = fixture(s, d, "fx_insights")
+    ranked = i.where("page_number % 2 = 0 and source_section = 'Risks'").select("page_number", F.concat(F.lit("  RISKS "), F.lit("")).alias("source_section"))
+    return narrative.sourced(i, ranked).select("insight_id")
+
+
+@_query("w9_insight_dedupe", with_fixture("fx_insights", " SELECT area, source_section, page_number, min(insight_id) AS insight_id FROM fx_insights GROUP BY 1, 2, 3"))
+def _(s, d):
+    return narrative.keep_first(fixture(s, d, "fx_insights"), ["area", "source_section", "page_number"], ["insight_id"]).select("area", "source_section", "page_number", "insight_id")
+
+
+@_query("o4_llm_batches", with_fixture("fx_insights", f" SELECT insight_id, source_section, CAST((row_number() OVER (PARTITION BY source_section, page_number ORDER BY insight_id) - 1) // {dims.BATCH} AS BIGINT) AS batch FROM fx_insights"))
+def _(s, d):
+    return workbook.batches(fixture(s, d, "fx_insights"), ["source_section", "page_number"], ["insight_id"], dims.BATCH).select("insight_id", "source_section", "batch")
+
+
+# workbook
+
+@_query("a9_metric_pivot", with_fixture("fx_metric_values", " SELECT metric, table_type, " + ", ".join(f"arg_max(value, input_key || CAST(value AS VARCHAR)) FILTER (value_year = {y}) AS y{y}" for y in range(1995, 1999)) + " FROM fx_metric_values GROUP BY 1, 2"))
+def _(s, d):
+    m = fixture(s, d, "fx_metric_values").withColumn("input_key", F.concat("input_key", F.col("value").cast("string")))
+    return workbook.pivot(m, list(range(1995, 1999)))
+
+
+@_query("a10_label_suffix", with_fixture("fx_metric_values", ", n AS (SELECT metric, count(DISTINCT table_type) AS k FROM fx_metric_values GROUP BY 1) SELECT DISTINCT f.metric, table_type, CASE WHEN k > 1 THEN f.metric || ' (' || table_type || ')' ELSE f.metric END AS label FROM fx_metric_values f JOIN n ON n.metric = f.metric"))
+def _(s, d):
+    return workbook.suffixed(fixture(s, d, "fx_metric_values"))
+
+
+@_query("j16_sheet_route", with_fixture("fx_metric_values", " SELECT DISTINCT table_type, CASE table_type WHEN 'income_statement' THEN 'Income Statement' WHEN 'balance_sheet' THEN 'Balance Sheet' WHEN 'cash_flow_statement' THEN 'Cash Flow Statement' WHEN 'notes' THEN 'Notes' WHEN 'ratio_analysis' THEN 'Ratio Analysis' ELSE 'Debt Schedule' END AS sheet FROM fx_metric_values"))
+def _(s, d):
+    return fixture(s, d, "fx_metric_values").select("table_type", workbook.sheet(F.col("table_type")).alias("sheet")).distinct()
+
+
+@_query("a12_template_coverage", with_fixture("fx_metric_values", ", e AS (SELECT table_type, count(DISTINCT metric) AS have, count(DISTINCT value_year) AS years FROM fx_metric_values WHERE page_number % 4 = 0 GROUP BY 1) SELECT table_type, round(50.0 * have / 6 + 25.0 * least(years, 5) / 5, 2) AS score FROM e"))
+def _(s, d):
+    return workbook.coverage(fixture(s, d, "fx_metric_values").where("page_number % 4 = 0"), 6, 5)
+
+
+@_query("u1_year_union", with_fixture("fx_metric_values", " SELECT value_year AS year FROM fx_metric_values UNION SELECT source_report_year FROM fx_metric_values"))
+def _(s, d):
+    m = fixture(s, d, "fx_metric_values")
+    return m.select(F.explode(F.array("value_year", "source_report_year")).alias("year")).distinct()
+
+
+@_query("u3_intersect_except", with_fixture("fx_metric_values", " SELECT y.value_year, y.value_year IN (SELECT source_report_year FROM fx_metric_values) AS reported FROM (SELECT DISTINCT value_year FROM fx_metric_values) y"))
+def _(s, d):
+    m = fixture(s, d, "fx_metric_values")
+    v, r = m.select("value_year").distinct(), m.select(F.col("source_report_year").alias("value_year")).distinct()
+    return v.intersect(r).withColumn("reported", F.lit(True)).unionByName(v.exceptAll(r).withColumn("reported", F.lit(False)))
+
+
+@_query("s_incremental_upsert", with_fixture("fx_metric_values", _RANKED + " SELECT metric, value_year, value FROM w WHERE rn = 1"))
+def _(s, d):
+    m = fixture(s, d, "fx_metric_values")
+    old = consolidate.best_value(m.where("source_report_year < 1997")).select(*m.columns)
+    return consolidate.upsert(old, m.where("source_report_year >= 1997")).select("metric", "value_year", "value")
