@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from ._util import bounded_batches, slices
 
-#: Pieces kept with their ids by a worker, and pairs of tokens; then it starts anew.
-CACHE = 300_000
+#: Pieces kept with their ids by a worker, in two halves of so many, and pairs of tokens.
+CACHE = 400_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -90,7 +90,7 @@ class Vocabulary:
         while n:
             out.append(last[n])
             n = before[n]
-        if len(known) > CACHE:
+        if len(known) > 2 * CACHE:
             known.clear()
         return tuple(out[::-1])
 
@@ -174,15 +174,19 @@ class _Known(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, piece: str) -> tuple[str, tuple[int, ...]]:
+        if (out := self.older.get(piece)) is not None:
+            self[piece] = out
+            return out
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
         ids = (whole,) if whole is not None else self.vocabulary.encode(data)
         out = ",".join(map(str, ids)), ids
         if len(data) <= 64:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # what is not met again leaves with the older half
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
