@@ -12,8 +12,8 @@ reached offset also reaches its pointer's target, then all pointers double their
 records takes log2(n) rounds. A record's bytes are then put together from its pieces.
 
 Results for odd input: a null html is an empty payload; rows without page_id are written with an id of
-"-" and are read back with a null page_id (equal payloads: the known least id is the response). Rows that repeat a page_id are each
-written; if their payloads are equal, the first of them (any) is the response. An empty table gives no rows.
+"-" and are read back with a null page_id; they are revisits of an equal payload with an id. Rows that repeat a page_id are each
+written; each that has the group's least page_id is a response. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,11 +40,10 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest, bytes and refers_to (null: a response) of every row."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", digest(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("row", F.monotonically_increasing_id())
-    many = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first.page_id", "first.row")
-    many = many.toDF("d", "first_id", "first_row")
-    out = rows.join(small(many), rows.digest == many.d, "left")
-    first = F.col("d").isNull() | (F.col("row") == F.col("first_row"))
+    rows = rows.withColumn("digest", digest(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
+    many = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    out = rows.join(small(many.select(F.col("digest").alias("d"), "first_id")), rows.digest == F.col("d"), "left")
+    first = F.col("d").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
     return out.select("page_id", "url", "payload", "digest", "bytes", F.when(first, None).otherwise(F.coalesce(F.col("first_id").cast("string"), F.lit("-"))).alias("refers_to"))
 
 
