@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import consolidate, grid, matching, narrative, validate, workbook
+from .operators import consolidate, grid, labels, matching, narrative, validate, workbook
 from .plans import dims
 from .plans.fixtures import fixture, table, with_fixture
 
@@ -500,3 +500,57 @@ def _(s, d):
     m = fixture(s, d, "fx_metric_values")
     old = consolidate.best_value(m.where("source_report_year < 1997")).select(*m.columns)
     return consolidate.upsert(old, m.where("source_report_year >= 1997")).select("metric", "value_year", "value")
+
+
+# labels and sources
+
+@_query("l1_reconstruct_labels", with_fixture("fx_cells", " SELECT page_number, table_index, row_index, cell AS label, 1 AS parts, CASE WHEN row_index = 0 THEN 'year' ELSE 'note' END AS stop_reason FROM fx_cells WHERE col_index = 0"))
+def _(s, d):
+    return labels.reconstruct(fixture(s, d, "fx_cells")).select("page_number", "table_index", "row_index", "label", "parts", "stop_reason")
+
+
+@_query("l2_deglue_labels", with_fixture("fx_insights", " SELECT insight_id, CASE insight_id % 3 WHEN 0 THEN 'Profit and sales' WHEN 1 THEN 'operations x' ELSE 'no change' END AS label FROM fx_insights"))
+def _(s, d):
+    raw = F.when(F.col("insight_id") % 3 == 0, "Pro fit a nd sale s").when(F.col("insight_id") % 3 == 1, "operati ons x").otherwise("no change")
+    return labels.deglue(fixture(s, d, "fx_insights").select("insight_id", raw.alias("label"))).select("insight_id", F.col("repaired").alias("label"))
+
+
+@_query("l7_parent_prefix", with_fixture("fx_insights", " SELECT insight_id, source_section AS label FROM fx_insights"))
+def _(s, d):
+    return fixture(s, d, "fx_insights").select("insight_id", labels.strip_parent(F.concat_ws(" - ", "area", "source_section")).alias("label"))
+
+
+_ALIASES = [("total_assets", "total assets", 0), ("assets", "assets", 1), ("revenue", "net sales", 2), ("revenue", "revenue", 3)]
+
+
+@_query("l9_canonical_labels", with_fixture("fx_insights", " SELECT insight_id, CASE insight_id % 4 WHEN 0 THEN 'total_assets' WHEN 1 THEN 'assets' WHEN 2 THEN 'revenue' END AS metric FROM fx_insights"))
+def _(s, d):
+    raw = F.element_at(F.array(*map(F.lit, ("Total assets, net", "Assets", "Net Sales (local)", "My revenue"))), (F.col("insight_id") % 4 + 1).cast("int"))
+    return labels.canonical(fixture(s, d, "fx_insights").select("insight_id", raw.alias("label")), s.createDataFrame(_ALIASES, "metric string, alias string, ordinal int")).select("insight_id", "metric")
+
+
+@_query("t7_fuzzy_sections")
+def _(s, d):
+    return labels.fuzzy(fixture(s, d, "fx_insights").select("insight_id", F.regexp_replace("source_section", "s", "").alias("label")), ("Business Review", "Outlook", "Risks")).select("insight_id", "phrase", "ratio")
+
+
+@_query("w4_note_context", with_fixture("fx_cells", ", m AS (SELECT page_number, table_index, row_index, cell AS label, row_index % 4 = 1 AS header, row_index % 4 > 1 AS has_value FROM fx_cells WHERE col_index = 0 AND row_index > 0), h AS (SELECT *, last_value(CASE WHEN header THEN label END IGNORE NULLS) OVER (PARTITION BY page_number, table_index ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n, max(CASE WHEN header THEN row_index END) OVER w AS nr, max(CASE WHEN NOT header AND NOT has_value THEN row_index END) OVER w AS sr FROM m WINDOW w AS (PARTITION BY page_number, table_index ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT h.page_number, h.table_index, h.row_index, CASE WHEN h.has_value AND coalesce(CASE WHEN h.nr IS NULL OR h.sr > h.nr THEN x.label END, h.n) IS NOT NULL THEN coalesce(CASE WHEN h.nr IS NULL OR h.sr > h.nr THEN x.label END, h.n) || ' - ' || h.label ELSE h.label END AS label FROM h LEFT JOIN m x ON x.page_number = h.page_number AND x.row_index = h.sr"))
+def _(s, d):
+    rows = fixture(s, d, "fx_cells").where("col_index = 0 and row_index > 0").select("page_number", "table_index", "row_index", F.col("cell").alias("label"), (F.col("row_index") % 4 == 1).alias("header"), (F.col("row_index") % 4 > 1).alias("has_value"), F.lit(True).alias("dependent"))
+    return labels.note_context(rows).select("page_number", "table_index", "row_index", F.col("inherited").alias("label"))
+
+
+@_query("s12_html_tables", "SELECT page_id, 0 AS table_index, CAST(i AS INT) AS row_index, CAST(j AS INT) AS col_index, CASE WHEN i = 0 THEN 'A' ELSE CAST(page_id AS VARCHAR) END AS cell FROM pages, range(2) a(i), range(2) b(j)")
+def _(s, d):
+    from .sources.readers import html_cells
+
+    page = F.concat(F.lit("<table><tr><th colspan=2>A</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("<td>"), F.col("page_id").cast("string"), F.lit("</table>"))
+    return html_cells(table(s, d, "pages").select("page_id", page.alias("html")))
+
+
+@_query("s7_page_text", with_fixture("fx_pages", " SELECT report_id, page_number, CASE WHEN page_number % 2 = 0 THEN 'native' ELSE 'ocr' END AS text_source, length(CASE WHEN page_number % 2 = 0 THEN text ELSE 'scan ' || text END) AS n FROM fx_pages"))
+def _(s, d):
+    from .sources.readers import best_text
+
+    p = fixture(s, d, "fx_pages").withColumn("ocr_text", F.concat(F.lit("scan "), "text")).withColumn("text", F.when(F.col("page_number") % 2 == 0, F.col("text")).otherwise("  "))
+    return best_text(p).select("report_id", "page_number", "text_source", F.length("text").cast("long").alias("n"))
