@@ -12,7 +12,9 @@ in 100,000. Candidates are found by
   of these;
 * stars: in a list each document is paired with the list's least document, not with all. Lists
   whose documents are then in one component need no more pairs. In the others all pairs across
-  components are compared (after further stars with other centres while these would be many).
+  components are compared (after a further star with another centre while these would be many), but for pairs of
+  one centre that can't be similar enough by what each shares with it, unless they share a shingle
+  beside it: these are joined on such shingles instead, so a group of near copies that are far from each other costs no pair for each two.
 
 Every candidate is confirmed on the two full sets. Equal sets are one class from the start, so
 that groups of exact copies cost a row for each copy.
@@ -82,28 +84,46 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, coordinates: int,
     return both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids with 100 * intersection >= percent * union on the full shingle sets."""
+def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids), "doc_id", "left_semi")
+
+
+def compared(pairs: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids with both sizes and the intersection's, of the full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(slices(batches, "ta"), "tb"):
             (va, fa), (vb, fb) = (sets(Words(batch.column(i), SPACED), shingle) for i in (2, 3))
-            keep = np.zeros(batch.num_rows, bool)
+            common = np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
-                x, y = va[fa[i] : fa[i + 1]], vb[fb[i] : fb[i + 1]]
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)) or not len(x):
-                    continue
-                z = np.concatenate([x, y])
+                z = np.concatenate([va[fa[i] : fa[i + 1]], vb[fb[i] : fb[i + 1]]])
                 z.sort()
-                inter = int((z[1:] == z[:-1]).sum())
-                keep[i] = 100 * inter >= percent * (len(x) + len(y) - inter)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+                common[i] = (z[1:] == z[:-1]).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(fa).astype(np.int64)), pa.array(np.diff(fb).astype(np.int64)), pa.array(common)], names=["a", "b", "na", "nb", "common"])
 
     bounded_batches(documents.sparkSession)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small(ids), "doc_id", "left_semi")
+    texts = _texts(documents, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, common long").distinct()
+
+
+def _alike(percent: int) -> str:
+    return f"common > 0 and 100 * common >= {percent} * (na + nb - common)"
+
+
+def gains(members: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
+    """(home, value, rep): the shingles that each document (rep) has and its home, another document, has not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(slices(batches, "ta"), "tb"):
+            (va, fa), (vb, fb) = (sets(Words(batch.column(i), SPACED), shingle) for i in (2, 3))
+            more = [np.setdiff1d(vb[fb[i] : fb[i + 1]], va[fa[i] : fa[i + 1]], assume_unique=True) for i in range(batch.num_rows)]
+            at = pa.array(np.repeat(np.arange(len(more)), [len(x) for x in more]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([*more, np.zeros(0, np.uint64)]).view(np.int64)), batch.column(1).take(at)], names=["home", "value", "rep"])
+
+    texts = _texts(documents, members.select(F.explode(F.array("home", "rep")).alias("doc_id")).distinct())
+    both = members.join(texts.toDF("rep", "tb"), "rep").join(texts.toDF("home", "ta"), "home")
+    return both.select("home", "rep", "ta", "tb").mapInArrow(run, "home long, value long, rep long").distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -124,8 +144,11 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 
     stars = live.select(F.explode(F.array_distinct(F.col("rarest.centre"))).alias("a"), F.col("rep").alias("b")).where("a <> b")
     tried = scratch.keep(stars, "tried0")
-    links = scratch.keep(confirmed(_agreeing(tried, reps, percent, coordinates, matches), documents, shingle, percent), "links0")
-    lists = scratch.keep(live.select("rep", "size", "shared", F.posexplode("rarest.key").alias("at", "key")), "lists0")
+    seen = scratch.keep(compared(_agreeing(tried, reps, percent, coordinates, matches), documents, shingle), "seen0")
+    links = seen.where(_alike(percent)).select("a", "b")
+    # a document's home is the least centre that it was compared with, or itself, and held what they share
+    home = seen.select(F.explode(F.array(F.struct(F.col("b").alias("rep"), F.col("a").alias("home"), F.col("common").alias("held")), F.struct(F.col("a").alias("rep"), F.col("a").alias("home"), F.col("na").alias("held")))).alias("x")).groupBy("x.rep").agg(F.min(F.struct("x.home", "x.held")).alias("h")).select("rep", "h.home", "h.held")
+    lists = scratch.keep(live.join(home, "rep", "left").select("rep", "size", "shared", "home", "held", F.posexplode("rarest.key").alias("at", "key")), "lists0")
     for step in range(1, STARS + 2):
         # a document's least partner so far, and that one's: documents of one label are in one component
         near = links.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x")).groupBy("x.v").agg(F.min("x.u").alias("u")).select("v", F.least("v", "u").alias("u"))
@@ -137,14 +160,24 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         across, docs = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.sum("n")).first()
         if not across:
             break
-        lists = scratch.keep(posted.join(mixed.select("key", "centre"), "key").select("rep", "size", "shared", "at", "key", "label", "centre"), f"lists{step}")
+        lists = scratch.keep(posted.join(mixed.select("key", "centre"), "key").select("rep", "size", "shared", "home", "held", "at", "key", "label", "centre"), f"lists{step}")
         last = step > STARS or across <= PAIRS_EACH * docs
-        x, y = (lists.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("rep", "size", "shared", "at", "label"))) for k in "xy")
+        x, y = (lists.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("rep", "size", "shared", "home", "held", "at", "label"))) for k in "xy")
         y = y if last else y.join(mixed.select("key", F.col("centre").alias("y_rep")), ["key", "y_rep"], "left_semi")
         fits = F.expr(f"x_label <> y_label and 100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size) and least(x_shared - x_at, y_shared - y_at) >= {matches}")
-        pairs = x.join(y, "key").where(fits & (F.expr("x_rep < y_rep") if last else F.lit(True))).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+        # two documents of one home that share no shingle beside it share no more than either does with it
+        most = "least(x_held, y_held)"
+        hopeless = F.coalesce(F.expr(f"x_home = y_home and 100 * {most} < {percent} * (x_size + y_size - {most})"), F.lit(False))
+        pairs = x.join(y, "key").where(fits & ((F.expr("x_rep < y_rep") & ~hopeless) if last else F.lit(True))).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+        if last:  # those that do share one are found by it
+            g = gains(lists.where("home <> rep").select("home", "rep").distinct(), documents, shingle).join(lists.select("rep", "label").distinct(), "rep")
+            g = scratch.keep(g, "gains")
+            more = g.groupBy("home", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("home", "value")
+            g = g.join(more, ["home", "value"])
+            u, v = (g.select("home", "value", F.col("rep").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
+            pairs = pairs.unionByName(u.join(v, ["home", "value"]).where("a < b and la <> lb").select("a", "b"))
         fresh = scratch.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"fresh{step}")
-        more = scratch.keep(confirmed(_agreeing(fresh, reps, percent, coordinates, matches), documents, shingle, percent), f"links{step}")
+        more = scratch.keep(compared(_agreeing(fresh, reps, percent, coordinates, matches), documents, shingle).where(_alike(percent)).select("a", "b"), f"links{step}")
         lists = lists.drop("centre")
         tried, links = tried.unionByName(fresh), links.unionByName(more)
         if last:
