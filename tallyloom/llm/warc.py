@@ -70,25 +70,33 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     r.select(text.alias("value")).write.mode("overwrite").option("lineSep", END).text(path)
 
 
-def pieces(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """file, split, at (offset), text: what stands behind each "WARC/1.", up to the next, in all archives below path.
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, split, nth (ascending in a split), text: what stands behind each "WARC/1.", up to the next, in all archives below path.
 
-    Offsets are sums of lengths: of the pieces before it in its split, and of the splits before that.
+    The same files are cut into the same splits each time, so nth names the same piece in every reading.
     """
     read = spark.read.option("lineSep", MAGIC).option("pathGlobFilter", "*.txt").text(path)
     meta = [F.col(f"_metadata.{a}").alias(b) for a, b in (("file_path", "file"), ("file_block_start", "split"))]
-    cut = read.select("value", *meta, F.monotonically_increasing_id().alias("nth")).withColumn("size", F.octet_length("value").cast("long") + len(MAGIC))
-    cut = scratch.keep(cut, "cut")
+    return read.select(*meta, F.monotonically_increasing_id().alias("nth"), F.col("value").alias("text"))
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """file, split, nth, at (offset), next (the successor's offset; null if the piece is no sound record head).
+
+    Offsets are sums of lengths: of the pieces before it in its split, and of the splits before that.
+    """
+    head = F.split("text", END, 2)
+    length = F.regexp_extract(F.concat(F.lit("\r\n"), head[0], F.lit("\r\n")), r"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", 1)
+    sound = F.col("text").rlike(r"^\d\r\n") & (F.size(head) == 2) & (length != "")
+    whole = len(MAGIC) + F.octet_length(head[0]) + len(END) + length.try_cast("long") + len(END)
+    cut = pieces(spark, path).select("file", "split", "nth", (F.octet_length("text").cast("long") + len(MAGIC)).alias("size"), F.when(sound, whole).alias("whole"))
     till = F.sum("size").over(Window.partitionBy("file", "split").orderBy("nth"))
     totals = cut.groupBy("file", "split").agg(F.sum("size").alias("total"))
     bases = totals.select("file", "split", (F.sum("total").over(Window.partitionBy("file").orderBy("split")) - F.col("total")).alias("base"))
     # the lengths count a magic behind every piece; the file's first piece, which is empty in a sound archive, has none before it
-    at = (F.col("base") + F.col("till") - F.col("size") - len(MAGIC)).alias("at")
-    offsets = cut.select("file", "split", "nth", "size", till.alias("till")).join(small(bases), ["file", "split"]).select("file", "split", "nth", at)
-    placed = cut.select("file", "split", "nth", F.col("value").alias("text")).join(offsets, ["file", "split", "nth"]).where("at >= 0")
-    placed = scratch.keep(placed.select("file", "split", "at", "text"), "placed")
-    scratch.drop("cut")
-    return placed
+    at = F.col("base") + F.col("till") - F.col("size") - len(MAGIC)
+    placed = cut.withColumn("till", till).join(small(bases), ["file", "split"]).withColumn("at", at).where("at >= 0")
+    return placed.select("file", "split", "nth", "at", (F.col("at") + F.col("whole")).alias("next"))
 
 
 def true_offsets(candidates: DataFrame, scratch: Scratch) -> DataFrame:
@@ -109,26 +117,26 @@ def true_offsets(candidates: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def chain(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """file, at, text of every true record of the archives below path, put together from its pieces."""
-    placed = pieces(spark, path, scratch)
-    head = F.split("text", END, 2)
-    length = F.regexp_extract(F.concat(F.lit("\r\n"), head[0], F.lit("\r\n")), r"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", 1)
-    sound = F.col("text").rlike(r"^\d\r\n") & (F.size(head) == 2) & (length != "")
-    successor = F.col("at") + len(MAGIC) + F.octet_length(head[0]) + len(END) + F.expr("try_cast(n as bigint)") + len(END)
-    found = true_offsets(placed.where(sound).withColumn("n", length).select("file", "at", successor.alias("next")), scratch)
-    marked = placed.select("file", "split", "at").join(found.withColumn("reached", F.lit(True)), ["file", "at"], "left")
-    if not marked.where("reached is null").limit(1).count():
-        return placed.select("file", "at", "text")
+    """file, at, text of every true record of the archives below path, put together from its pieces.
+
+    Only offsets are shuffled and kept; the texts are read a second time for the records that hold.
+    """
+    placed = scratch.keep(candidates(spark, path), "placed")
+    found = true_offsets(placed.where("next is not null").select("file", "at", "next"), scratch)
+    marked = placed.select("file", "split", "nth", "at").join(found.withColumn("reached", F.lit(True)), ["file", "at"], "left")
     # other pieces belong to the last record before them, in their split or in an earlier one
     last = F.max(F.when(F.col("reached"), F.col("at")))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     carried = marked.groupBy("file", "split").agg(last.alias("last")).select("file", "split", F.max("last").over(earlier).alias("carried"))
     mine = last.over(Window.partitionBy("file", "split").orderBy("at"))
-    owned = marked.withColumn("mine", mine).join(small(carried), ["file", "split"]).select("file", "at", F.coalesce("mine", "carried").alias("owner")).where("owner is not null")
+    owned = marked.withColumn("mine", mine).join(small(carried), ["file", "split"]).select("file", "split", "nth", "at", F.coalesce("mine", "carried").alias("owner")).where("owner is not null")
     owned = scratch.keep(owned, "owned")
-    torn = owned.where("at <> owner").select("file", "owner").distinct()
-    whole = placed.join(owned.where("at = owner").join(torn, ["file", "owner"], "left_anti").select("file", "at"), ["file", "at"], "left_semi").select("file", "at", "text")
-    parts = placed.join(owned.join(torn, ["file", "owner"], "left_semi"), ["file", "at"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    torn = scratch.keep(owned.where("at <> owner").select("file", "owner").distinct(), "torn")
+    key = ["file", "split", "nth"]
+    whole = pieces(spark, path).join(small(owned.where("at = owner").join(torn, ["file", "owner"], "left_anti").drop("owner")), key).select("file", "at", "text")
+    if not torn.limit(1).count():
+        return whole
+    parts = pieces(spark, path).join(small(owned.join(torn, ["file", "owner"], "left_semi")), key).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
     return whole.unionByName(parts.select("file", F.col("owner").alias("at"), F.array_join("parts.text", MAGIC).alias("text")))
 
 
