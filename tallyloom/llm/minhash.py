@@ -144,10 +144,17 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
 
     stars = live.select(F.explode(F.array_distinct(F.col("rarest.centre"))).alias("a"), F.col("rep").alias("b")).where("a <> b")
     tried = scratch.keep(stars, "tried0")
-    seen = scratch.keep(compared(_agreeing(tried, reps, percent, coordinates, matches), documents, shingle), "seen0")
+    # a document's home is the centre, of those it met, that most documents met; a document that met none is its own
+    met = tried.groupBy("a").agg(F.count("*").alias("met"))
+    chosen = scratch.keep(tried.join(met, "a").groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b"), "chosen")
+    for k in (1, 2):  # its home's home rather, as that met more: what is near one centre then has one home
+        chosen = scratch.keep(chosen.join(chosen.select(F.col("b").alias("a"), F.col("a").alias("up")), "a", "left").select(F.coalesce("up", "a").alias("a"), "b"), f"chosen{k}")
+    first = scratch.keep(_agreeing(tried, reps, percent, coordinates, matches).unionByName(chosen).distinct(), "first")
+    seen = scratch.keep(compared(first, documents, shingle), "seen0")
     links = seen.where(_alike(percent)).select("a", "b")
-    # a document's home is the least centre that it was compared with, or itself, and held what they share
-    home = seen.select(F.explode(F.array(F.struct(F.col("b").alias("rep"), F.col("a").alias("home"), F.col("common").alias("held")), F.struct(F.col("a").alias("rep"), F.col("a").alias("home"), F.col("na").alias("held")))).alias("x")).groupBy("x.rep").agg(F.min(F.struct("x.home", "x.held")).alias("h")).select("rep", "h.home", "h.held")
+    home = seen.join(chosen, ["a", "b"]).select(F.col("b").alias("rep"), F.col("a").alias("home"), F.col("common").alias("held"))
+    alone = live.join(chosen.select(F.col("b").alias("rep")), "rep", "left_anti").select("rep", F.col("rep").alias("home"), F.col("size").alias("held"))
+    home = home.unionByName(alone)
     lists = scratch.keep(live.join(home, "rep", "left").select("rep", "size", "shared", "home", "held", F.posexplode("rarest.key").alias("at", "key")), "lists0")
     for step in range(1, STARS + 2):
         # a document's least partner so far, and that one's: documents of one label are in one component
