@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +273,17 @@ def test_chains_equal_brute_force():
         assert abs(got - best) < 1e-9
 
 
+def hashes(words):
+    return passages.Words(pa.array([" ".join(words)]), passages.SPACED).hashes
+
+
+def test_chain_below_identity_is_cut():
+    p, q = prose(60, 910).split(), prose(60, 911).split()
+    x, y = p + prose(100, 912).split() + q, p + prose(100, 913).split() + q
+    got = passages.align([(0, 0, 60), (160, 160, 60)], hashes(x), hashes(y), 80)
+    assert sorted((g[0] // 50, g[1] // 50) for g in got) == [(0, 1), (3, 4)] and all(g[4] >= 60 for g in got)
+
+
 def test_store(spark, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/s", target=40_000, smallest=2_000)
     d = documents(spark, [prose(150, i) for i in range(120)]).repartition(6)
