@@ -284,6 +284,16 @@ def test_chain_below_identity_is_cut():
     assert sorted((g[0] // 50, g[1] // 50) for g in got) == [(0, 1), (3, 4)] and all(g[4] >= 60 for g in got)
 
 
+def test_passages_with_short_agreeing_stretches(spark):
+    texts = []
+    for i in range(30):  # every 12th word differs, so 11 words in a row agree at most
+        p = prose(72, 2000 + i).split()
+        q = [f"new{k}" if k % 12 == 11 else w for k, w in enumerate(p)]
+        texts += [" ".join([prose(30, 3000 + i), *p, prose(20, 4000 + i)]), " ".join([prose(20, 5000 + i), *q, prose(30, 6000 + i)])]
+    got = {x.doc_id: x for x in passages.repeated_passages(documents(spark, texts)).collect()}
+    assert set(got) == set(range(1, 60, 2)) and all(got[i].other_id == i - 1 for i in got)
+
+
 def test_store(spark, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/s", target=40_000, smallest=2_000)
     d = documents(spark, [prose(150, i) for i in range(120)]).repartition(6)
