@@ -294,6 +294,45 @@ def test_passages_with_short_agreeing_stretches(spark):
     assert set(got) == set(range(1, 60, 2)) and all(got[i].other_id == i - 1 for i in got)
 
 
+def test_ends_beyond_edits():
+    p = prose(60, 914).split()
+    q = [w if i not in (10, 49) else "new" for i, w in enumerate(p)]
+    (got,) = passages.align([(30, 20, 30)], hashes(prose(15, 915).split() + p + prose(40, 916).split()), hashes(prose(5, 917).split() + q + prose(9, 918).split()), 80)
+    assert got == (15, 75, 5, 65, 58)
+    q = p[:5] + ["new"] + p[5:13] + p[15:50] + ["new", "more"] + p[50:]  # one more, two less, two more
+    (got,) = passages.align([(20, 19, 25)], hashes(p), hashes(q), 80)
+    assert got == (0, 60, 0, 61, 58)
+
+
+def edited(p, rate, x):
+    out = []
+    for w in p:
+        out += [w] if x.random() >= rate else x.choice([[], ["new"], [w, "new"]])
+    return out
+
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for u in a:
+        before = 0
+        for j, v in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if u == v else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0.05, 1.0), (0.1, 0.97), (0.15, 0.9)])
+def test_recall_against_brute_force(spark, rate, least):
+    x, texts, want = random.Random(5), [], set()
+    for i in range(80):
+        p = prose(60, 7000 + i).split()
+        q = edited(p, rate, x)
+        if 100 * common(p, q) >= 80 * max(len(p), len(q)) and len(q) >= 50:
+            want.add(2 * i + 1)
+        texts += [" ".join([prose(40, 7100 + i), *p, prose(40, 7200 + i)]), " ".join([prose(30, 7300 + i), *q, prose(50, 7400 + i)])]
+    got = {x.doc_id for x in passages.repeated_passages(documents(spark, texts)).collect()}
+    assert len(want) > 50 and len(want & got) >= least * len(want)
+
+
 def test_store(spark, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/s", target=40_000, smallest=2_000)
     d = documents(spark, [prose(150, i) for i in range(120)]).repartition(6)
