@@ -333,6 +333,18 @@ def test_recall_against_brute_force(spark, rate, least):
     assert len(want) > 50 and len(want & got) >= least * len(want)
 
 
+def test_large_gaps_are_aligned():
+    p, q = prose(400, 920).split(), prose(400, 921).split()
+    mid = prose(250, 922).split()
+    changed = [w if i % 40 < 30 else "new" for i, w in enumerate(mid)]  # too many in a row for an extension
+    (got,) = passages.align([(0, 0, 400), (650, 650, 400)], hashes(p + mid + q), hashes(p + changed + q), 80)
+    assert got[:4] == (0, 1050, 0, 1050) and got[4] == 1050 - changed.count("new")
+    x = random.Random(12)
+    for _ in range(100):
+        a, b = ([x.randint(0, 6) for _ in range(x.randint(0, 40))] for _ in "ab")
+        assert passages._common(a, b) == common(a, b)
+
+
 def test_store(spark, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/s", target=40_000, smallest=2_000)
     d = documents(spark, [prose(150, i) for i in range(120)]).repartition(6)
