@@ -64,6 +64,27 @@ def test_near_duplicates(spark):
     assert (row.component_id, row.kept) == (None, True)
 
 
+def test_near_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    x, texts = random.Random(21), []
+    for i in range(40):  # one to five of 120 words differ: similarities about the threshold
+        p = prose(120, 8000 + i).split()
+        at = x.sample(range(8, 112, 9), 1 + i % 5)
+        texts += [" ".join(p), " ".join("new" if k in at else w for k, w in enumerate(p))]
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+    between = 0
+    for j in range(len(texts)):
+        for i in range(j):
+            a, b = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            between += 80 * b <= 100 * a < 85 * b
+            if 100 * a >= 80 * b:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if z == high else z for z in parent]
+    got = corpus_pipeline._near(spark, documents(spark, texts), "")
+    assert between and {z.doc_id for z in got.collect()} == {i for i, z in enumerate(parent) if i == z}
+
+
 def test_lines(spark, same):
     def sets(t):
         return [frozenset(re.findall(r"[^\x20\x09-\x0D]+", x.lower())) for x in t.split("\n")] if t is not None else []
