@@ -9,13 +9,18 @@ bits each, differ in no more bits than the sets may in words; candidates are
 verified on the full sets. A line is removed if its set equals that of an earlier line or is as
 similar as asked to one, "earlier" by doc_id and then line number.
 
+A line goes for one earlier match, so not all of its matches are looked for. Before the join, lines that share two
+neighbouring words of their prefixes are compared with the earliest line that has these two; a line that this
+removes asks no more in the join, though others may still match it. Of n lines made from one template, nearly all
+are compared with the first alone, so pairs grow with the lines and not with their square.
+
 Rarity is the count of a word's bucket of ``BUCKETS``: it orders, so that a shared bucket costs time and
 no match. Prefixes are joined on 32-bit hashes and verified on 64-bit ones. Only DataFrame functions are used. Equal
 sets are one class before the join, so groups of copies of a line cost a row for each.
 
 Results for odd input: null texts have no line and stay null; lines without a word are never
-removed; a null doc_id sorts first. Rows that repeat a doc_id count as one document, line by line, so lines
-of the same number in both are not later than each other, and what is removed of one is of the other.
+removed; a null doc_id sorts first, together with -2**63. Rows that repeat a doc_id count as one document, line by line, so lines
+of the same number in both are not later than each other, and what is removed of one is of the other. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,26 +30,32 @@ from pyspark.sql import functions as F
 
 from ._util import Scratch, small
 
-PERCENT, BUCKETS = 80, 1 << 17
-SPACE = "[ \\t-\\r]+"
+PERCENT, BUCKETS = 80, 1 << 20
+#: Stands for a null doc_id.
+LOWEST = -(1 << 63)
+LINES = 1 << 31
+KEY, PLACE = ["id", "id2", "size"], ["doc", "line_no"]
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    """doc, line_no and line, in lower case and with spaces only."""
+    low = F.lower(F.col("text").cast("string"))
+    low = F.when(low.rlike("[\\t\\x0b-\\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.posexplode(F.split(low, "\n")).alias("line_no", "line"))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, size (distinct words), id and id2 (of the set), hashes (of the words, ascending); no lines without a word."""
-    words = F.array_remove(F.split(F.lower("line"), SPACE), "")
-    sets = lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))).alias("hashes")).where(F.size("hashes") > 0)
-    return sets.select("doc_id", "line_no", F.size("hashes").alias("size"), F.xxhash64("hashes").alias("id"), F.xxhash64(F.lit(1), "hashes").alias("id2"), "hashes")
+    """doc, line_no, size (distinct words), id and id2 (of the set), hashes (of the words, ascending); no lines without a word."""
+    hashed = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
+    sets = lines.select(*PLACE, F.sort_array(F.array_remove(hashed, F.xxhash64(F.lit("")))).alias("hashes")).where(F.size("hashes") > 0)
+    return sets.select(*PLACE, F.size("hashes").alias("size"), F.xxhash64("hashes").alias("id"), F.xxhash64(F.lit(1), "hashes").alias("id2"), "hashes")
 
 
 def _levels(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row: a level of frequency, 0 to 127, in the upper half of a number for every bucket of words."""
-    counts = lines.select(F.explode("words").alias("word")).groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    """One row: a level of frequency, 0 to 127, for every bucket of words."""
+    counts = lines.select(F.explode("words").alias("word")).groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
-    level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("long"), 32).alias("level")
+    level = F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("tinyint").alias("level")
     one = every.join(counts, "bucket", "left").select("bucket", level).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("x"))
     return scratch.keep(one.select(F.col("x.level").alias("levels")), "levels")
 
@@ -53,44 +64,95 @@ def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
+def _classes(lines: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
+    """A row for each set: its first place, n (lines that have it), parity, and prefix (probing; null if nothing else can be similar)."""
+    n = F.col("size")
+    probe = n - _ceil(n * percent, 100) + 1
+    # the smallest sets that can have a similar, unequal one: n of n + 1
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
+    ranked = F.sort_array(F.expr(f"transform(words, w -> shiftleft(cast(get(levels, w & {BUCKETS - 1}) as bigint), 33) + w)"))
+    prefix = F.when(n >= least, F.transform(F.slice(ranked, F.lit(1), probe), lambda t: F.hash(t))).alias("prefix")
+    parity = F.when(n >= least, F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, w))")).alias("parity")
+    # places as one number: what is added up in a hash table has a fixed width
+    place = ((F.col("doc").cast("decimal(20,0)") - F.lit(LOWEST).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
+    rows = lines.select("*", levels.scalar().alias("levels")).select(*KEY, prefix, parity, place.alias("place"))
+    sets = rows.groupBy(*KEY, "prefix", "parity").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    line_no = F.col("place") % F.lit(LINES).cast("decimal(10,0)")
+    doc = ((F.col("place") - line_no) / F.lit(LINES).cast("decimal(10,0)")).cast("decimal(20,0)") + F.lit(LOWEST).cast("decimal(20,0)")
+    return sets.select(doc.cast("long").alias("doc"), line_no.cast("int").alias("line_no"), *KEY, "n", "parity", "prefix")
+
+
+def _fits(percent: int) -> str:
+    """Sizes a.size and b.size, and parities: words in one set only turn a bit of the parities each, so the sets differ by as many at least as bits do."""
+    need = f"floor(({percent} * (a_size + b_size) + {99 + percent}) / {100 + percent})"
+    return f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and bit_count(a_parity ^ b_parity) <= a_size + b_size - 2 * {need}"
+
+
+def _similar(pairs: DataFrame, documents: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Of pairs of places (a earlier than b), the b's that have a similar a: (doc, line_no). Sets are made anew from the lines' texts."""
+    pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
+    places = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{k}_doc").alias("doc"), F.col(f"{k}_line_no").alias("line_no")) for k in "ab"))).alias("x")).select("x.*").distinct()
+    sets = scratch.keep(_hashed(_lines(documents).join(small(places), PLACE, "left_semi")).select(*PLACE, "hashes"), f"{name}-sets")
+    for k in "ab":
+        pairs = pairs.join(sets.toDF(f"{k}_doc", f"{k}_line_no", f"{k}_hashes"), [f"{k}_doc", f"{k}_line_no"])
+    pairs = pairs.withColumn("both", F.size(F.array_intersect("a_hashes", "b_hashes"))).where(f"100 * both >= {percent} * (size(a_hashes) + size(b_hashes) - both)")
+    out = scratch.keep(pairs.select(F.col("b_doc").alias("doc"), F.col("b_line_no").alias("line_no")).distinct(), name)
+    scratch.drop(f"{name}-pairs", f"{name}-sets")
+    return out
+
+
+def _starred(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each class and the earliest one that has the same two neighbouring words at the start, the middle or the end of its prefix."""
+    m = F.size("prefix")
+    ends = F.array_distinct(F.array(F.lit(0), F.floor((m - 2) / 2).cast("int"), m - 2))
+    keys = F.transform(F.filter(ends, lambda i: i >= 0), lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
+    posts = classes.where("prefix is not null").select(*PLACE, "size", "parity", F.explode(F.when(m < 2, F.array(F.xxhash64(F.get("prefix", F.lit(0))))).otherwise(keys)).alias("key"))
+    # the earliest doc of a key, then its earliest line: two numbers, so that a hash table holds them
+    centres = posts.groupBy("key").agg(F.min("doc").alias("a_doc"), F.max("doc").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n", "last")
+    near = posts.join(small(centres), "key").groupBy("key", "a_doc").agg(F.min(F.when(F.col("doc") == F.col("a_doc"), F.col("line_no"))).alias("a_line_no"))
+    met = posts.join(small(near), "key").where("doc > a_doc or line_no > a_line_no").select("a_doc", "a_line_no", F.col("doc").alias("b_doc"), F.col("line_no").alias("b_line_no"), F.col("size").alias("b_size"), F.col("parity").alias("b_parity")).distinct()
+    a = classes.where("prefix is not null").select(F.col("doc").alias("a_doc"), F.col("line_no").alias("a_line_no"), F.col("size").alias("a_size"), F.col("parity").alias("a_parity"))
+    return met.join(a, ["a_doc", "a_line_no"]).where(_fits(percent)).select("a_doc", "a_line_no", "b_doc", "b_line_no")
+
+
+def _joined(classes: DataFrame, resolved: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a earlier than b) for the classes that are not resolved, by their prefixes."""
+    n = F.col("size")
+    index = n - _ceil(n * (2 * percent), 100 + percent) + 1
+    asks = F.col("resolved").isNull()
+    rows = classes.where("prefix is not null").join(small(resolved.withColumn("resolved", F.lit(True))), PLACE, "left")
+    # a size below 0 marks a class that asks no more
+    posts = rows.select(*PLACE, F.when(asks, n).otherwise(-n).alias("size"), "parity", index.alias("index"), F.posexplode("prefix").alias("at", "token"))
+    # one exchange for both sides: the filter, which is size > 0, must not be moved below it, as it then would not be the same
+    posts = posts.select(*PLACE, "size", "parity", (F.col("at") < F.col("index")).alias("indexed"), "at", "token").repartition("token")
+    b = posts.where("size > rand() - 1").select("token", *(F.col(c).alias(f"b_{c}") for c in (*PLACE, "size", "parity", "indexed", "at")))
+    a = posts.select("token", *(F.col(c).alias(f"a_{c}") for c in (*PLACE, "parity", "indexed", "at", "size")))
+    both = b.join(a.withColumn("a_size", F.abs("a_size")), "token")
+    need = f"floor(({percent} * (a_size + b_size) + {99 + percent}) / {100 + percent})"
+    prefixes = "if(a_size < b_size, a_indexed, if(a_size > b_size, b_indexed, a_indexed and b_indexed))"
+    both = both.where(f"(a_doc < b_doc or (a_doc = b_doc and a_line_no < b_line_no)) and {prefixes} and {_fits(percent)} and least(a_size - a_at, b_size - b_at) >= {need}")
+    return both.select("a_doc", "a_line_no", "b_doc", "b_line_no")
+
+
 def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier one makes superfluous."""
     scratch = Scratch(documents.sparkSession, "lines")
-    key, n = ["id", "id2", "size"], F.col("size")
-    short = F.transform("hashes", lambda h: F.shiftrightunsigned(h, 32)).alias("words")
-    lines = scratch.keep(_hashed(_lines(documents)).select("doc_id", "line_no", *key, short), "lines")
-    classes = scratch.keep(lines.groupBy(*key).agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "classes")
-
-    # s - ceil(percent s / 100) + 1 words of a line may meet a shorter or equal one, s - ceil(2 percent s / (100 + percent)) + 1 a longer one
-    probe, index = n - _ceil(n * percent, 100) + 1, n - _ceil(n * (2 * percent), 100 + percent) + 1
-    ranked = F.sort_array(F.expr(f"transform(words, w -> get(levels, cast(w & {BUCKETS - 1} as int)) | w)"))
-    parity = F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, cast(shiftright(w, 26) as int)))")
-    # the smallest sets that can have a similar, unequal one: n of n + 1
-    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    rows = lines.where(n >= least).select("*", _levels(lines, scratch).scalar().alias("levels"))
-    rows = rows.select("doc_id", "line_no", *key, index.alias("index"), parity.alias("parity"), F.transform(F.slice(ranked, F.lit(1), probe), lambda t: F.hash(t)).alias("prefix"))
-    rows = rows.join(classes, key).where("doc_id <=> first.doc_id and line_no = first.line_no")
-    rows = scratch.keep(rows.select("id", "size", "index", "parity", "prefix"), "rows").select("id", "size", "index", "parity", F.posexplode("prefix").alias("at", "token"))
-    x = rows.where("at < index").select("token", F.col("id").alias("ix"), F.col("size").alias("sx"), F.col("at").alias("px"), F.col("parity").alias("bx"))
-    y = rows.select("token", F.col("id").alias("iy"), F.col("size").alias("sy"), F.col("at").alias("py"), F.col("parity").alias("by"))
-    need = "floor(({p} * (sx + sy) + {q} - 1) / {q})".format(p=percent, q=100 + percent)
-    # words in one set only turn a bit of the parities each: the sets differ by as many at least as bits do
-    both = x.join(y, "token").where(f"(sx < sy or (sx = sy and ix < iy)) and 100 * sx >= {percent} * sy and least(sx - px, sy - py) >= {need} and bit_count(bx ^ by) <= sx + sy - 2 * {need}")
-    pairs = scratch.keep(both.select("ix", "iy").distinct(), "pairs")
-
-    ids = pairs.select(F.explode(F.array("ix", "iy")).alias("id")).distinct()
-    wanted = scratch.keep(classes.join(small(ids), "id", "left_semi").select(*key, "first.doc_id", "first.line_no"), "wanted")
-    at = wanted.select("doc_id", "line_no").distinct()
-    found = _hashed(_lines(documents).join(small(at), ["doc_id", "line_no"], "left_semi"))
-    sets = scratch.keep(wanted.join(found.select(*key, "hashes"), key).dropDuplicates(["id", "id2"]), "sets")
-    a, b = (sets.select(F.col("id").alias(f"i{k}"), F.col("id2").alias(f"j{k}"), F.col("size").alias(f"s{k}"), F.struct(F.col("doc_id").isNotNull(), "doc_id", "line_no").alias(f"w{k}"), F.col("hashes").alias(f"t{k}")) for k in "xy")
-    close = pairs.join(a, "ix").join(b, "iy").withColumn("o", F.size(F.array_intersect("tx", "ty"))).where(f"100 * o >= {percent} * (sx + sy - o)")
-    later = close.select(F.when(F.col("wx") < F.col("wy"), F.struct(F.col("iy").alias("id"), F.col("jy").alias("id2"), F.col("sy").alias("size"))).otherwise(F.struct(F.col("ix").alias("id"), F.col("jx").alias("id2"), F.col("sx").alias("size"))).alias("k"))
-    gone = scratch.keep(later.select("k.*").distinct(), "gone")
-
-    verdict = classes.join(gone.withColumn("gone", F.lit(True)), key, "left").select(*key, "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    out = lines.select(*key, "doc_id", "line_no").join(verdict, key).where("gone or not (doc_id <=> first.doc_id and line_no = first.line_no)")
-    return scratch.keep(out.select("doc_id", "line_no").distinct(), "removed")
+    words = F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("words")
+    full = scratch.keep(_hashed(_lines(documents)).select(*PLACE, *KEY, words), "full")
+    classes = scratch.keep(_classes(full, _levels(full, scratch), percent), "classes")
+    lines = scratch.keep(full.select(*PLACE, *KEY), "lines")
+    scratch.drop("full", "levels")
+
+    first = _similar(_starred(classes, percent), documents, percent, scratch, "starred")
+    second = _similar(_joined(classes, first, percent), documents, percent, scratch, "joined")
+    gone = first.unionByName(second).distinct().withColumn("gone", F.lit(True))
+    # classes of several lines, and those that go; a place that several rows share goes in all of them
+    marked = classes.select(*PLACE, *KEY, "n").join(small(gone), PLACE, "left").where("n > 1 or gone")
+    marked = scratch.keep(marked.select(*KEY, F.col("doc").alias("first_doc"), F.col("line_no").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone")), "marked")
+    out = lines.join(small(marked), KEY).where("gone or not (doc = first_doc and line_no = first_line)")
+    out = scratch.keep(out.select(F.when(F.col("doc") != LOWEST, F.col("doc")).alias("doc_id"), "line_no").distinct(), "removed")
+    scratch.drop("classes", "lines", "starred", "joined", "marked")
+    return out
 
 
 def deduplicate(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
