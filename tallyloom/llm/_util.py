@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
-            root = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"  # tests: one machine
             spark.sparkContext.setCheckpointDir(root)
         self.spark, self.at = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -40,6 +43,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps, which it keeps until the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -4,15 +4,15 @@ A line is the set of its lower-cased words. Its words are ordered by rarity in t
 first; two lines with a Jaccard similarity of ``percent`` / 100 must share a word among the first
 few of both (the longer line's probing prefix and the shorter line's indexing prefix). Lines are
 joined on these words. A pair stays a candidate if the sizes allow the similarity (length filter)
-and if the words after the shared one are enough for it (positional filter) and the sets' parities, 64
+and if the words after the shared one are enough for it (positional filter) and the sets' parities, 128
 bits each, differ in no more bits than the sets may in words; candidates are
 verified on the full sets. A line is removed if its set equals that of an earlier line or is as
 similar as asked to one, "earlier" by doc_id and then line number.
 
 A line goes for one earlier match, so not all of its matches are looked for. Before the join, lines that share two
-neighbouring words of their prefixes are compared with the earliest line that has these two; a line that this
+neighbouring words of their prefixes are compared with a few of the earliest lines that have these two; a line that this
 removes asks no more in the join, though others may still match it. Of n lines made from one template, nearly all
-are compared with the first alone, so pairs grow with the lines and not with their square.
+are compared with these alone, so pairs grow with the lines and not with their square.
 
 Rarity is the count of a word's bucket of ``BUCKETS``: it orders, so that a shared bucket costs time and
 no match. Prefixes are joined on 32-bit hashes and verified on 64-bit ones. Only DataFrame functions are used. Equal
@@ -30,24 +30,25 @@ from pyspark.sql import functions as F
 
 from ._util import Scratch, small
 
-PERCENT, BUCKETS = 80, 1 << 20
+PERCENT, BUCKETS, SPREAD = 80, 1 << 20, 8
 #: Stands for a null doc_id.
 LOWEST = -(1 << 63)
 LINES = 1 << 31
-KEY, PLACE = ["id", "id2", "size"], ["doc", "line_no"]
+KEY, PLACE, PARITY = ["id", "id2", "size"], ["doc", "line_no"], ["low", "high"]
 
 
 def _lines(documents: DataFrame) -> DataFrame:
     """doc, line_no and line, in lower case and with spaces only."""
-    low = F.lower(F.col("text").cast("string"))
-    low = F.when(low.rlike("[\\t\\x0b-\\r]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.posexplode(F.split(low, "\n")).alias("line_no", "line"))
+    low = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.lower(F.col("text").cast("string")).alias("low"))
+    spaced = F.when(F.col("low").rlike("[\\t\\x0b-\\r]"), F.translate("low", "\t\x0b\x0c\r", "    ")).otherwise(F.col("low"))
+    return low.select("doc", F.posexplode(F.split(spaced, "\n")).alias("line_no", "line"))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """doc, line_no, size (distinct words), id and id2 (of the set), hashes (of the words, ascending); no lines without a word."""
     hashed = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
-    sets = lines.select(*PLACE, F.sort_array(F.array_remove(hashed, F.xxhash64(F.lit("")))).alias("hashes")).where(F.size("hashes") > 0)
+    # a filter on the hashes would compute them twice
+    sets = lines.where(F.trim("line") != "").select(*PLACE, F.sort_array(F.array_remove(hashed, F.xxhash64(F.lit("")))).alias("hashes"))
     return sets.select(*PLACE, F.size("hashes").alias("size"), F.xxhash64("hashes").alias("id"), F.xxhash64(F.lit(1), "hashes").alias("id2"), "hashes")
 
 
@@ -64,28 +65,37 @@ def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
+def _place(column: str, prefix: str = "") -> list[Column]:
+    """doc and line_no of a place."""
+    line_no = F.col(column) % F.lit(LINES).cast("decimal(10,0)")
+    doc = ((F.col(column) - line_no) / F.lit(LINES).cast("decimal(10,0)")).cast("decimal(20,0)") + F.lit(LOWEST).cast("decimal(20,0)")
+    return [doc.cast("long").alias(f"{prefix}doc"), line_no.cast("int").alias(f"{prefix}line_no")]
+
+
 def _classes(lines: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
-    """A row for each set: its first place, n (lines that have it), parity, and prefix (probing; null if nothing else can be similar)."""
+    """A row for each set: its first place, n (lines that have it), parity (low, high), and prefix (probing; null if nothing else can be similar)."""
     n = F.col("size")
     probe = n - _ceil(n * percent, 100) + 1
     # the smallest sets that can have a similar, unequal one: n of n + 1
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    ranked = F.sort_array(F.expr(f"transform(words, w -> shiftleft(cast(get(levels, w & {BUCKETS - 1}) as bigint), 33) + w)"))
-    prefix = F.when(n >= least, F.transform(F.slice(ranked, F.lit(1), probe), lambda t: F.hash(t))).alias("prefix")
-    parity = F.when(n >= least, F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, w))")).alias("parity")
+    # level of frequency in the upper bits, then the word's hash; words of the same number are as good as one word that occurs twice
+    ranked = F.sort_array(F.expr(f"transform(words, w -> shiftleft(cast(get(levels, w & {BUCKETS - 1}) as int), 24) | shiftrightunsigned(w, 8))"))
+    prefix = F.when(n >= least, F.slice(ranked, F.lit(1), probe)).alias("prefix")
+    # a bit for each of 128 parts of the words, the negative ones in the first half
+    bits = "aggregate(words, 0L, (x, w) -> if(w < 0, {}, {}))"
+    flip = "x ^ shiftleft(1L, w)"
+    parity = [F.when(n >= least, F.expr(bits.format(*at))).alias(c) for c, at in zip(PARITY, ((flip, "x"), ("x", flip)), strict=True)]
     # places as one number: what is added up in a hash table has a fixed width
     place = ((F.col("doc").cast("decimal(20,0)") - F.lit(LOWEST).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
-    rows = lines.select("*", levels.scalar().alias("levels")).select(*KEY, prefix, parity, place.alias("place"))
-    sets = rows.groupBy(*KEY, "prefix", "parity").agg(F.min("place").alias("place"), F.count("*").alias("n"))
-    line_no = F.col("place") % F.lit(LINES).cast("decimal(10,0)")
-    doc = ((F.col("place") - line_no) / F.lit(LINES).cast("decimal(10,0)")).cast("decimal(20,0)") + F.lit(LOWEST).cast("decimal(20,0)")
-    return sets.select(doc.cast("long").alias("doc"), line_no.cast("int").alias("line_no"), *KEY, "n", "parity", "prefix")
+    rows = lines.select("*", levels.scalar().alias("levels")).select(*KEY, prefix, *parity, place.alias("place"))
+    sets = rows.groupBy(*KEY, "prefix", *PARITY).agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    return sets.select("place", *_place("place"), *KEY, "n", *PARITY, "prefix")
 
 
 def _fits(percent: int) -> str:
     """Sizes a.size and b.size, and parities: words in one set only turn a bit of the parities each, so the sets differ by as many at least as bits do."""
     need = f"floor(({percent} * (a_size + b_size) + {99 + percent}) / {100 + percent})"
-    return f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and bit_count(a_parity ^ b_parity) <= a_size + b_size - 2 * {need}"
+    return f"bit_count(a_low ^ b_low) + bit_count(a_high ^ b_high) <= a_size + b_size - 2 * {need} and 100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)"
 
 
 def _similar(pairs: DataFrame, documents: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -101,18 +111,22 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int, scratch: Scra
     return out
 
 
-def _starred(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each class and the earliest one that has the same two neighbouring words at the start, the middle or the end of its prefix."""
+def _starred(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of each class and up to ``SPREAD`` earlier ones that have the same two neighbouring words at the start, the middle or the end of its prefix.
+
+    These are the earliest of each hash class of places, so a class has more than one chance to meet a similar one.
+    """
     m = F.size("prefix")
     ends = F.array_distinct(F.array(F.lit(0), F.floor((m - 2) / 2).cast("int"), m - 2))
     keys = F.transform(F.filter(ends, lambda i: i >= 0), lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
-    posts = classes.where("prefix is not null").select(*PLACE, "size", "parity", F.explode(F.when(m < 2, F.array(F.xxhash64(F.get("prefix", F.lit(0))))).otherwise(keys)).alias("key"))
-    # the earliest doc of a key, then its earliest line: two numbers, so that a hash table holds them
-    centres = posts.groupBy("key").agg(F.min("doc").alias("a_doc"), F.max("doc").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n", "last")
-    near = posts.join(small(centres), "key").groupBy("key", "a_doc").agg(F.min(F.when(F.col("doc") == F.col("a_doc"), F.col("line_no"))).alias("a_line_no"))
-    met = posts.join(small(near), "key").where("doc > a_doc or line_no > a_line_no").select("a_doc", "a_line_no", F.col("doc").alias("b_doc"), F.col("line_no").alias("b_line_no"), F.col("size").alias("b_size"), F.col("parity").alias("b_parity")).distinct()
-    a = classes.where("prefix is not null").select(F.col("doc").alias("a_doc"), F.col("line_no").alias("a_line_no"), F.col("size").alias("a_size"), F.col("parity").alias("a_parity"))
-    return met.join(a, ["a_doc", "a_line_no"]).where(_fits(percent)).select("a_doc", "a_line_no", "b_doc", "b_line_no")
+    posts = classes.where("prefix is not null").select("place", "size", *PARITY, F.explode(F.when(m < 2, F.array(F.xxhash64(F.get("prefix", F.lit(0))))).otherwise(keys)).alias("key"))
+    many = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = scratch.keep(posts.join(small(many), "key"), "shared")
+    of = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("place", "size", *PARITY)]
+    centres = shared.groupBy("key", F.pmod(F.xxhash64("place"), F.lit(SPREAD)).alias("part")).agg(F.min("place").alias("a_place"))
+    met = shared.select("key", *of("b")).join(centres.select("key", "a_place"), "key").where("a_place < b_place").drop("key").distinct()
+    met = met.join(shared.select(*of("a")).distinct(), "a_place").where(_fits(percent))
+    return met.select(*_place("a_place", "a_"), *_place("b_place", "b_"))
 
 
 def _joined(classes: DataFrame, resolved: DataFrame, percent: int) -> DataFrame:
@@ -122,15 +136,16 @@ def _joined(classes: DataFrame, resolved: DataFrame, percent: int) -> DataFrame:
     asks = F.col("resolved").isNull()
     rows = classes.where("prefix is not null").join(small(resolved.withColumn("resolved", F.lit(True))), PLACE, "left")
     # a size below 0 marks a class that asks no more
-    posts = rows.select(*PLACE, F.when(asks, n).otherwise(-n).alias("size"), "parity", index.alias("index"), F.posexplode("prefix").alias("at", "token"))
+    posts = rows.select(*PLACE, F.when(asks, n).otherwise(-n).alias("size"), *PARITY, index.alias("index"), F.posexplode("prefix").alias("pos", "token"))
     # one exchange for both sides: the filter, which is size > 0, must not be moved below it, as it then would not be the same
-    posts = posts.select(*PLACE, "size", "parity", (F.col("at") < F.col("index")).alias("indexed"), "at", "token").repartition("token")
-    b = posts.where("size > rand() - 1").select("token", *(F.col(c).alias(f"b_{c}") for c in (*PLACE, "size", "parity", "indexed", "at")))
-    a = posts.select("token", *(F.col(c).alias(f"a_{c}") for c in (*PLACE, "parity", "indexed", "at", "size")))
+    # at: the position, twice, and 1 more if it is in the indexing prefix
+    posts = posts.select(*PLACE, "size", *PARITY, (2 * F.col("pos") + (F.col("pos") < F.col("index")).cast("int")).alias("at"), "token").repartition("token")
+    b = posts.where("size > rand() - 1").select("token", *(F.col(c).alias(f"b_{c}") for c in (*PLACE, "size", *PARITY, "at")))
+    a = posts.select("token", *(F.col(c).alias(f"a_{c}") for c in (*PLACE, *PARITY, "at", "size")))
     both = b.join(a.withColumn("a_size", F.abs("a_size")), "token")
     need = f"floor(({percent} * (a_size + b_size) + {99 + percent}) / {100 + percent})"
-    prefixes = "if(a_size < b_size, a_indexed, if(a_size > b_size, b_indexed, a_indexed and b_indexed))"
-    both = both.where(f"(a_doc < b_doc or (a_doc = b_doc and a_line_no < b_line_no)) and {prefixes} and {_fits(percent)} and least(a_size - a_at, b_size - b_at) >= {need}")
+    prefixes = "(if(a_size < b_size, a_at, if(a_size > b_size, b_at, a_at & b_at)) & 1) = 1"
+    both = both.where(f"(a_doc < b_doc or (a_doc = b_doc and a_line_no < b_line_no)) and {_fits(percent)} and {prefixes} and least(a_size - shiftright(a_at, 1), b_size - shiftright(b_at, 1)) >= {need}")
     return both.select("a_doc", "a_line_no", "b_doc", "b_line_no")
 
 
@@ -142,9 +157,13 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = scratch.keep(_classes(full, _levels(full, scratch), percent), "classes")
     lines = scratch.keep(full.select(*PLACE, *KEY), "lines")
     scratch.drop("full", "levels")
+    scratch.release()
 
-    first = _similar(_starred(classes, percent), documents, percent, scratch, "starred")
+    first = _similar(_starred(classes, percent, scratch), documents, percent, scratch, "starred")
+    scratch.drop("shared")
+    scratch.release()
     second = _similar(_joined(classes, first, percent), documents, percent, scratch, "joined")
+    scratch.release()
     gone = first.unionByName(second).distinct().withColumn("gone", F.lit(True))
     # classes of several lines, and those that go; a place that several rows share goes in all of them
     marked = classes.select(*PLACE, *KEY, "n").join(small(gone), PLACE, "left").where("n > 1 or gone")
