@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._util import Scratch, small
 
-PERCENT, BUCKETS, SPREAD = 80, 1 << 20, 8
+PERCENT, BUCKETS, SPREAD = 80, 1 << 17, 24
 #: Stands for a null doc_id.
 LOWEST = -(1 << 63)
 LINES = 1 << 31

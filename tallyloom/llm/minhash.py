@@ -11,10 +11,10 @@ in 100,000. Candidates are found by
   lists of its rarest ones, all but ``matches - 1``: two documents with so many in common share one
   of these;
 * stars: in a list each document is paired with the list's least document, not with all. Lists
-  whose documents are then in one component need no more pairs. In the others all pairs across
-  components are compared (after a further star with another centre while these would be many), but for pairs of
-  one centre that can't be similar enough by what each shares with it, unless they share a shingle
-  beside it: these are joined on such shingles instead, so a group of near copies that are far from each other costs no pair for each two.
+  whose documents are then in one component need no more pairs. In the others pairs across
+  components are compared, but for pairs of
+  one home (a document near many, see ``_homes``) that can't be similar enough by what each shares with it, unless they share shingles
+  beside it: these are joined on the rarest of such shingles instead, so a group of near copies that are far from each other costs no pair for each two.
 
 Every candidate is confirmed on the two full sets. Equal sets are one class from the start, so
 that groups of exact copies cost a row for each copy.
@@ -37,8 +37,8 @@ from ._util import Scratch, bounded_batches, components, slices, small
 from ._words import SPACED, Words, mix, sets
 
 SHINGLE, PERCENT, COORDINATES, MATCHES = 5, 85, 128, 90
-#: While pairs across components would be more than so many for each document in the lists, another star comes first.
-PAIRS_EACH, STARS = 8, 1
+#: Rounds in which documents move to another home.
+HOMES = 3
 
 SIGNATURES = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bytes binary"
 
@@ -126,6 +126,42 @@ def gains(members: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
     return both.select("home", "rep", "ta", "tb").mapInArrow(run, "home long, value long, rep long").distinct()
 
 
+def _homes(live: DataFrame, tried: DataFrame, scratch: Scratch, rounds: int = HOMES) -> DataFrame:
+    """(a, b): each document b that has one, with its home a, a document that many like it have.
+
+    At first that is the centre, of those it met, that most documents met. Then all documents of a home move to the home of
+    most documents among those that share a list with any of theirs; so what is near one text mostly has one home.
+    """
+    met = tried.groupBy("a").agg(F.count("*").alias("met"))
+    chosen = tried.join(met, "a").groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("home")).select(F.col("b").alias("rep"), "home")
+    homes = scratch.keep(live.select("rep").join(chosen, "rep", "left").select("rep", F.coalesce("home", "rep").alias("home")), "homes0")
+    keys = scratch.keep(live.select("rep", F.explode("rarest.key").alias("key")), "keys")
+    for k in range(1, rounds + 1):
+        sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
+        listed = keys.join(homes, "rep").select("key", "home").distinct().join(sizes, "home")
+        top = listed.groupBy("key").agg(F.max(F.struct("n", (-F.col("home")).alias("low"))).alias("top"))
+        up = listed.join(top, "key").groupBy("home").agg((-F.max("top")["low"]).alias("up"))
+        homes = scratch.keep(homes.join(up, "home").select("rep", F.col("up").alias("home")), f"homes{k}")
+    return homes.where("home <> rep").select(F.col("home").alias("a"), F.col("rep").alias("b"))
+
+
+def _sharing(g: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one home, of other labels, that may share as many gained shingles as they lack for the similarity.
+
+    With ``held`` shingles of its home, a document of ``size`` needs some more in common with another, at least those up to
+    the overlap that the similarity asks of its size; so only its rarest gained shingles, all but one less than these, are joined.
+    """
+    lists = g.groupBy("home", "value").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("home", "value", "n")
+    mine = g.join(lists, ["home", "value"]).groupBy("home", "rep", "label", "size", "held").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("all"))
+    many = lambda over, under: F.size("all") - F.greatest(F.lit(0), F.ceil(F.col("size") * over / under).cast("int") - F.col("held").cast("int") - 1)
+    # the smaller document needs more of itself in common than the larger one
+    posts = mine.select("home", "rep", "label", "size", many(2 * percent, 100 + percent).alias("index"), F.slice("all.value", F.lit(1), F.greatest(F.lit(0), many(percent, 100))).alias("values"))
+    posts = posts.select("home", "rep", "label", "size", "index", F.posexplode("values").alias("at", "value"))
+    x, y = (posts.select("home", "value", *(F.col(c).alias(f"{k}_{c}") for c in ("rep", "label", "size", "index", "at"))) for k in "xy")
+    fits = f"(x_size < y_size or x_size = y_size and x_rep < y_rep) and x_label <> y_label and x_at < x_index and 100 * x_size >= {percent} * y_size"
+    return x.join(y, ["home", "value"]).where(fits).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept (doc_id = component_id)."""
     scratch = Scratch(documents.sparkSession, "near")
@@ -143,53 +179,37 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     live = scratch.keep(live.select("rep", "size", F.size("all").alias("shared"), rarest.alias("rarest")), "live")
 
     stars = live.select(F.explode(F.array_distinct(F.col("rarest.centre"))).alias("a"), F.col("rep").alias("b")).where("a <> b")
-    tried = scratch.keep(stars, "tried0")
-    # a document's home is the centre, of those it met, that most documents met; a document that met none is its own
-    met = tried.groupBy("a").agg(F.count("*").alias("met"))
-    chosen = scratch.keep(tried.join(met, "a").groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b"), "chosen")
-    for k in (1, 2):  # its home's home rather, as that met more: what is near one centre then has one home
-        chosen = scratch.keep(chosen.join(chosen.select(F.col("b").alias("a"), F.col("a").alias("up")), "a", "left").select(F.coalesce("up", "a").alias("a"), "b"), f"chosen{k}")
+    tried = scratch.keep(stars, "tried")
+    chosen = _homes(live, tried, scratch)
     first = scratch.keep(_agreeing(tried, reps, percent, coordinates, matches).unionByName(chosen).distinct(), "first")
-    seen = scratch.keep(compared(first, documents, shingle), "seen0")
+    seen = scratch.keep(compared(first, documents, shingle), "seen")
     links = seen.where(_alike(percent)).select("a", "b")
     home = seen.join(chosen, ["a", "b"]).select(F.col("b").alias("rep"), F.col("a").alias("home"), F.col("common").alias("held"))
     alone = live.join(chosen.select(F.col("b").alias("rep")), "rep", "left_anti").select("rep", F.col("rep").alias("home"), F.col("size").alias("held"))
     home = home.unionByName(alone)
-    lists = scratch.keep(live.join(home, "rep", "left").select("rep", "size", "shared", "home", "held", F.posexplode("rarest.key").alias("at", "key")), "lists0")
-    for step in range(1, STARS + 2):
-        # a document's least partner so far, and that one's: documents of one label are in one component
-        near = links.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x")).groupBy("x.v").agg(F.min("x.u").alias("u")).select("v", F.least("v", "u").alias("u"))
-        labels = scratch.keep(near.join(near.toDF("u", "w"), "u", "left").select(F.col("v").alias("rep"), F.coalesce("w", "u").alias("label")), f"labels{step}")
-        posted = lists.drop("label").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = posted.groupBy("key", "label").agg(F.count("*").alias("m"), F.min_by("rep", F.xxhash64("rep", F.lit(step))).alias("one")).groupBy("key")
-        mixed = mixed.agg(F.count("*").alias("labels"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("within"), F.min_by("one", F.xxhash64("one", F.lit(step))).alias("centre")).where("labels > 1")
-        mixed = scratch.keep(mixed, f"mixed{step}")
-        across, docs = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.sum("n")).first()
-        if not across:
-            break
-        lists = scratch.keep(posted.join(mixed.select("key", "centre"), "key").select("rep", "size", "shared", "home", "held", "at", "key", "label", "centre"), f"lists{step}")
-        last = step > STARS or across <= PAIRS_EACH * docs
-        x, y = (lists.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("rep", "size", "shared", "home", "held", "at", "label"))) for k in "xy")
-        y = y if last else y.join(mixed.select("key", F.col("centre").alias("y_rep")), ["key", "y_rep"], "left_semi")
-        fits = F.expr(f"x_label <> y_label and 100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size) and least(x_shared - x_at, y_shared - y_at) >= {matches}")
-        # two documents of one home that share no shingle beside it share no more than either does with it
-        most = "least(x_held, y_held)"
-        hopeless = F.coalesce(F.expr(f"x_home = y_home and 100 * {most} < {percent} * (x_size + y_size - {most})"), F.lit(False))
-        pairs = x.join(y, "key").where(fits & ((F.expr("x_rep < y_rep") & ~hopeless) if last else F.lit(True))).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"))
-        if last:  # those that do share one are found by it
-            g = gains(lists.where("home <> rep").select("home", "rep").distinct(), documents, shingle).join(lists.select("rep", "label").distinct(), "rep")
-            g = scratch.keep(g, "gains")
-            more = g.groupBy("home", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("home", "value")
-            g = g.join(more, ["home", "value"])
-            u, v = (g.select("home", "value", F.col("rep").alias(k), F.col("label").alias(f"l{k}")) for k in "ab")
-            pairs = pairs.unionByName(u.join(v, ["home", "value"]).where("a < b and la <> lb").select("a", "b"))
-        fresh = scratch.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), f"fresh{step}")
-        more = scratch.keep(compared(_agreeing(fresh, reps, percent, coordinates, matches), documents, shingle).where(_alike(percent)).select("a", "b"), f"links{step}")
-        lists = lists.drop("centre")
-        tried, links = tried.unionByName(fresh), links.unionByName(more)
-        if last:
-            break
+    lists = scratch.keep(live.join(home, "rep", "left").select("rep", "size", "shared", "home", "held", F.posexplode("rarest.key").alias("at", "key")), "lists")
+    # a document's least partner so far, and that one's: documents of one label are in one component
+    ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x")
+    near = links.select(ends).groupBy("x.v").agg(F.min("x.u").alias("u")).select("v", F.least("v", "u").alias("u"))
+    labels = scratch.keep(near.join(near.toDF("u", "w"), "u", "left").select(F.col("v").alias("rep"), F.coalesce("w", "u").alias("label")), "labels")
+    posted = lists.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = posted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    lists = scratch.keep(posted.join(mixed, "key"), "mixed")
+    scratch.drop("lists")
+    x, y = (lists.select("key", *(F.col(c).alias(f"{k}_{c}") for c in ("rep", "size", "shared", "home", "held", "at", "label"))) for k in "xy")
+    fits = f"x_rep < y_rep and x_label <> y_label and 100 * least(x_size, y_size) >= {percent} * greatest(x_size, y_size) and least(x_shared - x_at, y_shared - y_at) >= {matches}"
+    # two documents of one home that share no shingle beside it share no more than either does with it
+    most = "least(x_held, y_held)"
+    hopeless = F.coalesce(F.expr(f"x_home = y_home and 100 * {most} < {percent} * (x_size + y_size - {most})"), F.lit(False))
+    pairs = x.join(y, "key").where(F.expr(fits) & ~hopeless).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    # those that do share one are found by it
+    facts = lists.select("rep", "label", "size", "held").distinct()
+    g = scratch.keep(gains(lists.where("home <> rep").select("home", "rep").distinct(), documents, shingle).join(facts, "rep"), "gains")
+    fresh = pairs.unionByName(_sharing(g, percent)).distinct().join(tried, ["a", "b"], "left_anti")
+    fresh = scratch.keep(_agreeing(fresh, reps, percent, coordinates, matches), "fresh")
+    links = links.unionByName(scratch.keep(compared(fresh, documents, shingle).where(_alike(percent)).select("a", "b"), "links"))
     labels = components(links, scratch, "end")
+    scratch.drop("live", "tried", "keys", *(f"homes{k}" for k in range(HOMES + 1)), "first", "labels", "mixed", "gains", "fresh", "seen", "links")
     joined = reps.join(labels, reps.rep == labels.node, "left").select(*key, F.coalesce("label", "rep").alias("component"))
     out = sigs.select("doc_id", *key).join(joined, key, "left")
     label = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
