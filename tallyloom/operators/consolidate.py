@@ -78,61 +78,106 @@ def _is_ratio() -> Column:
     return F.lower(F.concat_ws(" ", "table_type", "original_metric")).rlike(dims.RATIO_SOURCE)
 
 
-def _scale_pair(values: Column) -> Column:
-    """Two absolute values that differ by a thousand, a million or a billion, within 5 %."""
-    v = F.array_distinct(F.filter(F.transform(values, lambda x: F.abs(x)), lambda x: x > 0))
-    return F.exists(v, lambda a: F.exists(v, lambda b: F.exists(F.array(F.lit(1e3), F.lit(1e6), F.lit(1e9)), lambda s: F.abs(b / a - s) / s <= 0.05)))
-
-
-def selections(df: DataFrame) -> DataFrame:
-    """Every candidate with its group's facts, whether it is the base winner, and the best of each selector."""
-    group = Window.partitionBy(*KEY)
-    t = _type()
-    sheet, income = t.isin("balance_sheet", "statement_of_financial_position"), t.isin("income_statement", "statement_of_profit_or_loss")
-    label = F.lower("original_metric")
-    c = candidates(df).withColumn("rn", F.row_number().over(group.orderBy(*_order()))).withColumn("ratio", _is_ratio())
-    c = c.withColumn("n", F.count("*").over(group)).withColumn("any_ratio", F.max("ratio").over(group))
-    row = Window.partitionBy(*KEY, "page_number", "table_type", compact(F.col("original_metric")), F.abs("value"))
-    c = c.withColumn("paired", F.max(F.col("value") < 0).over(row))
-    same = Window.partitionBy(*KEY, "exact", "value_text")
-    c = c.withColumn("exact", (source_class() == "primary_statement") & (compact(F.col("original_metric")) == "cashandbankbalances"))
-    c = c.withColumn("agreed", F.col("exact") & (F.count("*").over(same) >= 2))
-    c = c.withColumn("scaled", _scale_pair(F.collect_set(F.when(F.col("metric") == "revenue", F.col("value"))).over(group)))
+def _scaled(a: Column, b: Column) -> Column:
+    """B is a thousand, a million or a billion times a, within 5 %."""
+    return F.exists(F.array(F.lit(1e3), F.lit(1e6), F.lit(1e9)), lambda s: F.abs(b / a - s) / s <= 0.05)
+
+
+def scale_disagreements(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """J15 for each group: whether two absolute values differ by a scale.
+
+    Each distinct value asks for the least one from 0.95 times its thousandfold, millionfold and billionfold on; in a sorted window of a
+    stretch of values, not by pairs. A stretch is half a unit of logarithm wide, so that an asked range lies in two at most.
+    """
+    amount = F.abs(F.col("value").cast("double"))
+    values = df.select(*keys, amount.alias("a")).where("a > 0").distinct()
+    stretch = lambda x: F.floor(F.log(x) * 2)
+    low, high = F.col("a") * F.col("scale") * (0.95 - 1e-12), F.col("a") * F.col("scale") * (1.05 + 1e-12)
+    asked = values.select(*keys, "a", F.explode(F.array(F.lit(1e3), F.lit(1e6), F.lit(1e9))).alias("scale")).select(*keys, "a", low.alias("at"), F.explode(F.array_distinct(F.array(stretch(low), stretch(high)))).alias("part"))
+    both = asked.withColumn("b", F.lit(None).cast("double")).unionByName(values.select(*keys, F.lit(None).cast("double").alias("a"), F.col("a").alias("at"), stretch(F.col("a")).alias("part"), F.col("a").alias("b")))
+    # from the largest down: what has been seen last is the least value from here on
+    later = Window.partitionBy(*keys, "part").orderBy(F.desc("at"), F.col("b").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("next", F.min("b").over(later)).where("a is not null and next is not null")
+    found = met.groupBy(*keys).agg(F.max(_scaled(F.col("a"), F.col("next"))).alias("found"))
+    every = df.select(*keys).distinct()
+    return every.join(found, keys, "left").select(*keys, F.coalesce("found", F.lit(False)).alias("disagrees"))
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    """Candidates with what selectors and gates ask of a row."""
+    t, label = _type(), F.lower("original_metric")
+    c = candidates(df).withColumn("ratio", _is_ratio()).withColumn("compact", compact(F.col("original_metric")))
+    c = c.withColumn("sheet", t.isin("balance_sheet", "statement_of_financial_position")).withColumn("income", t.isin("income_statement", "statement_of_profit_or_loss"))
+    return c.withColumn("named", F.col("sheet") & label.contains("shareholders") & label.contains("equity"))
+
+
+def candidate_groups(df: DataFrame) -> DataFrame:
+    """A1: the candidates of each metric and year, and their distinct values."""
+    return df.groupBy(*KEY).agg(F.count("*").cast("int").alias("candidate_count"), F.count_distinct("value").cast("int").alias("distinct_values"))
+
+
+def _tied(c: DataFrame, won: DataFrame, name: str) -> DataFrame:
+    """Whether rows as good as the winner, of its report, say something else."""
+    of = ["source_report_year", *QUALITY]
+    same = c.join(won.select(*KEY, *(F.col(x).alias(f"won_{x}") for x in of)), KEY).where(" and ".join(f"{x} = won_{x}" for x in of))
+    return same.groupBy(*KEY).agg((F.count_distinct("value_text") > 1).alias(name))
+
+
+def ties(df: DataFrame) -> DataFrame:
+    """W2 for each metric and year."""
+    return _tied(candidates(df), best_value(df), "tie")
+
+
+def _selected(df: DataFrame) -> DataFrame:
+    """The best candidate of the selector that applies to a metric, if any has what it asks."""
+    c, label = _facts(df), F.lower("original_metric")
+    keep = [*KEY, "source_report_year", "page_number", "table_type", "original_metric", "requires_review", "value", "value_text", "input_key", *QUALITY]
+    row = [*KEY, "page_number", "table_type", "compact", "amount"]
+    debt = c.where("metric = 'current_portion_long_term_debt'").withColumn("amount", F.abs("value"))
+    debt = debt.where("value > 0 and sheet").join(debt.where("value < 0").select(*row).distinct(), row, "left_semi")
+    equity = c.where("metric = 'equity'")
+    equity = equity.where("sheet and not ratio").join(equity.where("ratio").select(*KEY).distinct(), KEY, "left_semi")
+    eps = c.where("metric = 'earnings_per_share' and income").where(label.contains("earnings per share") & (label.contains("basic") | label.contains("diluted")) & ~cut_short(F.col("original_metric")))
+    cash = c.where("metric = 'cash_and_bank_balances' and compact = 'cashandbankbalances'").where(source_class() == "primary_statement")
+    cash = cash.join(cash.groupBy(*KEY, "value_text").agg(F.count("*").alias("n")).where("n > 1").drop("n"), [*KEY, "value_text"], "left_semi")
+    revenue = c.where("metric = 'revenue'")
+    scaled = scale_disagreements(revenue).where("disagrees").select(*KEY)
+    revenue = revenue.where("income").where(F.col("original_metric").rlike(r"(?i)\b(?:turnover|net revenue|revenue)\b")).join(scaled, KEY, "left_semi")
+    # a metric has one selector
     selectors = {
-        "auto_positive_balance_sheet_liability": (F.col("metric") == "current_portion_long_term_debt") & (F.col("value") > 0) & sheet & F.col("paired"),
-        "auto_equity_balance_over_ratio_metric": (F.col("metric") == "equity") & F.col("any_ratio") & sheet & ~F.col("ratio"),
-        "auto_statement_eps_over_summary_or_note": (F.col("metric") == "earnings_per_share") & income & label.contains("earnings per share") & (label.contains("basic") | label.contains("diluted")) & ~cut_short(F.col("original_metric")),
-        "auto_cash_bank_primary_statement_consensus": (F.col("metric") == "cash_and_bank_balances") & F.col("agreed"),
-        "auto_revenue_full_statement_scale_reconciliation": (F.col("metric") == "revenue") & F.col("scaled") & income & F.col("original_metric").rlike(r"(?i)\b(?:turnover|net revenue|revenue)\b"),
+        "auto_positive_balance_sheet_liability": debt,
+        "auto_equity_balance_over_ratio_metric": equity,
+        "auto_statement_eps_over_summary_or_note": eps,
+        "auto_cash_bank_primary_statement_consensus": cash,
+        "auto_revenue_full_statement_scale_reconciliation": revenue,
     }
-    # a metric has one selector, so the first that applies is the only one
-    c = c.withColumn("selector", F.coalesce(*[F.when(v, k) for k, v in selectors.items()]))
-    pref = F.when(F.col("metric") != "cash_and_bank_balances", 0).when(t == "balance_sheet", 2).when(t == "cash_flow_statement", 1).otherwise(0)
+    every = None
+    for name, rows in selectors.items():
+        rows = rows.select(*keep, F.lit(name).alias("auto"))
+        every = rows if every is None else every.unionByName(rows)
+    pref = F.when(F.col("metric") != "cash_and_bank_balances", 0).when(_type() == "balance_sheet", 2).when(_type() == "cash_flow_statement", 1).otherwise(0)
     size = F.when(F.col("metric") == "revenue", F.abs("value")).otherwise(0)
-    picked = Window.partitionBy(*KEY, F.col("selector").isNotNull()).orderBy(F.desc(size), F.desc(pref), *map(F.desc, QUALITY), F.desc(F.when(F.col("metric") == "revenue", F.col("page_number")).otherwise(F.col("source_report_year"))), F.desc("page_number"), F.asc("input_key"))
-    c = c.withColumn("picked", F.when(F.col("selector").isNotNull(), F.row_number().over(picked)))
-    # Rows as good as the winner, of its report, that say something else
-    won = F.max(F.when(F.col("rn") == 1, F.struct("source_report_year", *QUALITY))).over(group)
-    c = c.withColumn("top", F.struct("source_report_year", *QUALITY) == won)
-    c = c.withColumn("tie", F.size(F.collect_set(F.when(F.col("top"), F.col("value_text"))).over(group)) > 1)
-    named = F.max(sheet & label.contains("shareholders") & label.contains("equity")).over(group)
-    audited = ((F.col("metric") == "equity") & (F.col("value_year") <= 2023) & F.col("any_ratio") & named) | ((F.col("metric") == "revenue") & F.col("value_year").isin(2021, 2022))
-    return c.withColumn("gate", (F.col("n") > 1) & (F.col("tie") | audited))
+    latest = F.when(F.col("metric") == "revenue", F.col("page_number")).otherwise(F.col("source_report_year"))
+    w = Window.partitionBy(*KEY).orderBy(F.desc(size), F.desc(pref), *map(F.desc, QUALITY), F.desc(latest), F.desc("page_number"), F.asc("input_key"))
+    return every.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def final_groups(df: DataFrame) -> DataFrame:
-    """A row for each metric and year: the choice, why, and what it beat."""
-    group = Window.partitionBy(*KEY)
-    c = selections(df)
-    auto = F.max(F.when(F.col("gate") & (F.col("picked") == 1), F.col("selector"))).over(group)
-    c = c.withColumn("auto", auto).withColumn("chosen", F.when(F.col("auto").isNotNull(), F.coalesce(F.col("picked") == 1, F.lit(False))).otherwise(F.col("rn") == 1))
-    # the gate is looked at again from the choice: only then does the selector's reason stand
-    won = F.max(F.when(F.col("chosen"), F.struct("source_report_year", *QUALITY))).over(group)
-    tied = F.size(F.collect_set(F.when(F.struct("source_report_year", *QUALITY) == won, F.col("value_text"))).over(group)) > 1
-    c = c.withColumn("tied", tied).withColumn("stands", F.col("auto").isNotNull() & (F.col("tied") | (F.col("gate") & ~F.col("tie"))))
-    pick = lambda x: F.max(F.when(F.col("chosen"), F.col(x)))
+    """A row for each metric and year: the choice, why, and what it beat.
+
+    Groups are added up, and the winners joined to them; no window holds a group.
+    """
+    c = _facts(df)
+    facts = c.groupBy(*KEY).agg(F.count("*").cast("int").alias("candidate_count"), F.count_distinct("value_text").cast("int").alias("distinct_values"), F.max("ratio").alias("any_ratio"), F.max("named").alias("named"), *[F.min(x).alias(f"min_{x}") for x in [*QUALITY, "source_report_year"]], F.max("source_report_year").alias("max_source_report_year"), F.sum(F.col("requires_review").cast("int")).alias("reviews"))
+    base = best_value(df)
+    audited = ((F.col("metric") == "equity") & (F.col("value_year") <= 2023) & F.col("any_ratio") & F.col("named")) | ((F.col("metric") == "revenue") & F.col("value_year").isin(2021, 2022))
+    gated = facts.join(_tied(c, base, "tie"), KEY).withColumn("gate", (F.col("candidate_count") > 1) & (F.col("tie") | audited))
     names = ["value", "source_report_year", "page_number", "table_type", "original_metric", "requires_review", *QUALITY]
-    g = c.groupBy(*KEY).agg(F.count("*").cast("int").alias("candidate_count"), F.count_distinct("value_text").cast("int").alias("distinct_values"), *[pick(x).alias(x) for x in names], *[F.min(x).alias(f"min_{x}") for x in [*QUALITY, "source_report_year"]], F.max("source_report_year").alias("max_source_report_year"), F.max("auto").alias("auto"), F.max("stands").alias("stands"), F.max("tied").alias("tied"), F.sum(F.col("requires_review").cast("int")).alias("reviews"))
+    auto = _selected(df).join(gated.where("gate").select(*KEY), KEY, "left_semi")
+    chosen = auto.select(*KEY, "auto", *names).unionByName(base.join(auto.select(*KEY), KEY, "left_anti").select(*KEY, F.lit(None).cast("string").alias("auto"), *names))
+    # the gate is looked at again from the choice: only then does the selector's reason stand
+    g = gated.join(chosen, KEY).join(_tied(c, chosen, "tied"), KEY)
+    g = g.withColumn("stands", F.col("auto").isNotNull() & (F.col("tied") | (F.col("gate") & ~F.col("tie"))))
     conflict = F.col("distinct_values") > 1
     g = g.withColumn("unresolved", conflict & F.col("tied") & ~F.col("stands"))
     reasons = {"confidence": "higher_normalization_confidence", "cleanliness": "cleaner_reconstructed_label", "context": "more_complete_source_context", "priority": "preferred_financial_statement_source", "source_report_year": "latest_source_report_year"}
@@ -168,11 +213,6 @@ def sign_pairs(df: DataFrame) -> DataFrame:
     return g.where("n_pos > 0 and n_neg > 0")
 
 
-def scale_disagreements(df: DataFrame) -> DataFrame:
-    """J15 for each metric and year."""
-    return df.groupBy(*KEY).agg(F.collect_set(F.abs("value")).alias("v")).select(*KEY, _scale_pair(F.col("v")).alias("disagrees"))
-
-
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """The best value when another report's candidates arrive: the old winners compete with them."""
     return best_value(old.select(*new.columns).unionByName(new)).select(*new.columns)

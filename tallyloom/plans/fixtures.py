@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Candidates for consolidation. input_key orders rows as they came.
@@ -20,6 +22,14 @@ SELECT CASE p.p_type WHEN 'MEDIUM' THEN 'revenue' WHEN 'STANDARD' THEN 'equity'
          lpad(CAST(l.l_suppkey AS VARCHAR(20)), 12, '0'), '-', lpad(CAST(CAST(round(l.l_extendedprice) AS BIGINT) AS VARCHAR(20)), 12, '0')) AS input_key
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey"""
 
+#: Candidates with the labels that selectors look for, in coarse values, so that copies, opposite signs and scales meet.
+NAMED_VALUES = """
+SELECT metric, value_year, source_report_year, page_number, table_type,
+  CASE page_number % 9 WHEN 0 THEN 'Earnings per share - basic' WHEN 1 THEN 'Cash and bank balances' WHEN 2 THEN 'Net revenue' WHEN 3 THEN 'Shareholders equity'
+    WHEN 4 THEN 'Pro fit a nd loss' WHEN 5 THEN 'EPS' WHEN 6 THEN 'Provision for (tax' ELSE original_metric END AS original_metric,
+  confidence, requires_review, CAST((value - value % 2000) * (CASE page_number % 7 WHEN 0 THEN 1000 ELSE 1 END) AS BIGINT) AS value, input_key
+FROM fx_metric_values"""
+
 #: Table grids, a row for each cell: a header of years, labels, note references and amounts.
 CELLS = """
 SELECT DISTINCT page_number, 0 AS table_index, row_index, 0 AS col_index, label AS cell FROM fx_rows
@@ -64,23 +74,30 @@ SELECT CAST(l.l_suppkey AS INT) AS entity_id, CAST(year(l.l_shipdate) AS INT) AS
   CAST(SUM(CASE WHEN l.l_returnflag = 'R' THEN 0 ELSE CAST(round(l.l_extendedprice) AS BIGINT) END) + MAX(CASE WHEN l.l_suppkey % 3 = 0 THEN 1000 ELSE 0 END) AS BIGINT) AS total_equity
 FROM lineitem l GROUP BY 1, 2"""
 
-VIEWS = {"fx_metric_values": METRIC_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
-TABLES = {"fx_metric_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
+VIEWS = {"fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
+TABLES = {"fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fixtures made from another one.
+BASES = {"fx_cells": "fx_rows", "fx_named_values": "fx_metric_values"}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for t in TABLES[name]:
-        table(spark, sf_dir, t).createOrReplaceTempView(t)
-    if name == "fx_cells":
-        fixture(spark, sf_dir, "fx_rows").createOrReplaceTempView("fx_rows")
-    return spark.sql(VIEWS[name])
+    """The tables are arguments of the SQL, so that no view of the caller is replaced."""
+    frames = {t: table(spark, sf_dir, t) for t in TABLES[name]}
+    sql = VIEWS[name]
+    if name in BASES:
+        frames = {BASES[name]: fixture(spark, sf_dir, BASES[name])}
+    for t in frames:
+        sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **frames)
 
 
 def with_fixture(name: str, rest: str) -> str:
     """SQL that begins with the fixtures' definitions; rest is a query, or further definitions and a query."""
-    names = ["fx_rows", "fx_cells"] if name == "fx_cells" else [name]
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + rest
+    names = [BASES[name], name] if name in BASES else [name]
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in names) + rest
