@@ -5,7 +5,7 @@ response, the others are revisits that refer to it. Each task writes one archive
 writer, so archives can go to any file system, and a lost task is simply run again.
 
 Reading. An archive is cut at every "WARC/1." with Spark's text reader, in splits, so archives of any size
-are read in parallel. A piece is a candidate record: its header gives the length of its block and
+are read in parallel; the pieces are kept, as a second reading may be split otherwise. A piece is a candidate record: its header gives the length of its block and
 so its successor's offset. Payloads may hold the same characters, so not every candidate is a record. Records are what the
 chain of successors reaches from the file's start; it is followed by pointer jumping: in each round every
 reached offset also reaches its pointer's target, then all pointers double their reach, so a file of n
@@ -71,25 +71,27 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, split, nth (ascending in a split), text: what stands behind each "WARC/1.", up to the next, in all archives below path.
+    """file, split, nth (ascending in a split), size, whole (bytes of the record that begins here, if it does) and text: what
+    stands behind each "WARC/1.", up to the next, in all archives below path.
 
-    The same files are cut into the same splits each time, so nth names the same piece in every reading.
+    Another reading may cut the files into other splits, so nth holds for this one only: keep the table, don't compute it again.
     """
     read = spark.read.option("lineSep", MAGIC).option("pathGlobFilter", "*.txt").text(path)
+    head = F.split("text", END, 2)
+    length = F.regexp_extract(F.concat(F.lit("\r\n"), head[0], F.lit("\r\n")), r"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", 1)
+    sound = F.col("text").rlike(r"^\d\r\n") & (F.size(head) == 2) & (length != "")
+    whole = len(MAGIC) + F.octet_length(head[0]) + len(END) + length.try_cast("long") + len(END)
     meta = [F.col(f"_metadata.{a}").alias(b) for a, b in (("file_path", "file"), ("file_block_start", "split"))]
-    return read.select(*meta, F.monotonically_increasing_id().alias("nth"), F.col("value").alias("text"))
+    rows = read.select(*meta, F.monotonically_increasing_id().alias("nth"), F.col("value").alias("text"))
+    return rows.select("file", "split", "nth", (F.octet_length("text").cast("long") + len(MAGIC)).alias("size"), F.when(sound, whole).alias("whole"), "text")
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """file, split, nth, at (offset), next (the successor's offset; null if the piece is no sound record head).
+def candidates(cut: DataFrame) -> DataFrame:
+    """file, split, nth, at (offset), next (the successor's offset; null if the piece is no sound record head) of pieces.
 
     Offsets are sums of lengths: of the pieces before it in its split, and of the splits before that.
     """
-    head = F.split("text", END, 2)
-    length = F.regexp_extract(F.concat(F.lit("\r\n"), head[0], F.lit("\r\n")), r"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", 1)
-    sound = F.col("text").rlike(r"^\d\r\n") & (F.size(head) == 2) & (length != "")
-    whole = len(MAGIC) + F.octet_length(head[0]) + len(END) + length.try_cast("long") + len(END)
-    cut = pieces(spark, path).select("file", "split", "nth", (F.octet_length("text").cast("long") + len(MAGIC)).alias("size"), F.when(sound, whole).alias("whole"))
+    cut = cut.select("file", "split", "nth", "size", "whole")
     till = F.sum("size").over(Window.partitionBy("file", "split").orderBy("nth"))
     totals = cut.groupBy("file", "split").agg(F.sum("size").alias("total"))
     bases = totals.select("file", "split", (F.sum("total").over(Window.partitionBy("file").orderBy("split")) - F.col("total")).alias("base"))
@@ -117,11 +119,12 @@ def true_offsets(candidates: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def chain(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """file, at, text of every true record of the archives below path, put together from its pieces.
+    """file and text of every true record of the archives below path, put together from its pieces.
 
-    Only offsets are shuffled and kept; the texts are read a second time for the records that hold.
+    The archives are read once. Their pieces are kept; offsets alone are shuffled, and so are the texts of records of several pieces.
     """
-    placed = scratch.keep(candidates(spark, path), "placed")
+    cut = scratch.keep(pieces(spark, path), "pieces", compression="zstd")
+    placed = scratch.keep(candidates(cut), "placed")
     found = true_offsets(placed.where("next is not null").select("file", "at", "next"), scratch)
     marked = placed.select("file", "split", "nth", "at").join(found.withColumn("reached", F.lit(True)), ["file", "at"], "left")
     # other pieces belong to the last record before them, in their split or in an earlier one
@@ -129,15 +132,16 @@ def chain(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     carried = marked.groupBy("file", "split").agg(last.alias("last")).select("file", "split", F.max("last").over(earlier).alias("carried"))
     mine = last.over(Window.partitionBy("file", "split").orderBy("at"))
-    owned = marked.withColumn("mine", mine).join(small(carried), ["file", "split"]).select("file", "split", "nth", "at", F.coalesce("mine", "carried").alias("owner")).where("owner is not null")
+    owned = marked.withColumn("mine", mine).join(small(carried), ["file", "split"]).select("file", "nth", "at", F.coalesce("mine", "carried").alias("owner"))
     owned = scratch.keep(owned, "owned")
+    # most pieces are a record each: only the others are looked up
     torn = scratch.keep(owned.where("at <> owner").select("file", "owner").distinct(), "torn")
-    key = ["file", "split", "nth"]
-    whole = pieces(spark, path).join(small(owned.where("at = owner").join(torn, ["file", "owner"], "left_anti").drop("owner")), key).select("file", "at", "text")
-    if not torn.limit(1).count():
-        return whole
-    parts = pieces(spark, path).join(small(owned.join(torn, ["file", "owner"], "left_semi")), key).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
-    return whole.unionByName(parts.select("file", F.col("owner").alias("at"), F.array_join("parts.text", MAGIC).alias("text")))
+    parts = scratch.keep(owned.join(small(torn), ["file", "owner"], "left_semi").select("nth", "owner", "at"), "parts")
+    strange = parts.select("nth").unionByName(owned.where("owner is null").select("nth"))
+    # what stands before a file's first magic is in no record
+    whole = cut.join(small(strange.unionByName(cut.join(placed, "nth", "left_anti").select("nth"))), "nth", "left_anti").select("file", "text")
+    joined = cut.join(small(parts), "nth").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return whole.unionByName(joined.select("file", F.array_join("parts.text", MAGIC).alias("text")))
 
 
 def parse(found: DataFrame) -> DataFrame:

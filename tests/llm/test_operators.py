@@ -6,6 +6,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, decontaminate, htmltext, language, linededup, minhash, passages, quality, sharding, warc
@@ -241,6 +242,29 @@ def test_warc(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_other_splits(spark):
+    """A result that is computed after the splits have changed has every page."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").repartition(2)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "4")
+        found = warc.round_trip(pages)
+        for n in ("6", "13"):
+            spark.conf.set("spark.sql.files.minPartitionNum", n)
+            assert found.count() == pages.count()
+            assert found.select("page_id").distinct().count() == pages.count()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_warc_odd_ids(spark):
+    rows = [(None, "u", "a", "x"), (7, None, "a", "x"), (7, "u", "b", "x"), (7, "u", "a", "y"), (None, "u", "c", "x"), (None, "u", "c", "x")]
+    got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, payload string")).select("page_id", "record_type", "refers_to").collect()), key=str)
+    assert [x for x in got if x[0] == 7] == [(7, "response", None)] * 3
+    assert len(got) == 6
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
