@@ -6,7 +6,7 @@ a space at either end); if the model knows some of them, their mean log frequenc
 else the next shorter length is tried. A text's score in a language is the sum over its words.
 
 The model is fitted on at most about ``rows`` labelled texts of each language, taken by a hash of
-doc_id; of each language it keeps the ``vocabulary`` most frequent words. doc_id, lang and source
+doc_id, so its size is bounded by the number of languages; no word or language of these is left out. doc_id, lang and source
 are no inputs of a prediction.
 
 Results for odd input: null and letter-less texts are ``und`` with score 0; with nothing to learn
@@ -18,20 +18,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, bounded_batches, slices
+from ._util import Scratch, bounded_batches, slices, small
 
-ROWS, VOCABULARY, LONGEST, LANGUAGES = 20_000, 30_000, 5, 1_000
+ROWS, LONGEST = 2_000, 5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
-#: Words kept with their score by a worker; then it starts anew.
-CACHE = 200_000
+#: Scores (one for each word and language) kept by a worker; then it starts anew.
+CACHE = 1_600_000
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -41,43 +41,58 @@ def held_out() -> F.Column:
 
 
 class Model:
-    def __init__(self, counts: dict[str, list[tuple[str, int]]]):
-        """counts: of each language, words and how often they occur."""
-        self.languages = sorted(counts)
-        tables: list[list[Counter]] = [[Counter() for _ in self.languages] for _ in range(LONGEST + 1)]
-        for k, lang in enumerate(self.languages):
-            for word, count in counts[lang]:
-                tables[0][k][word] += count
-                padded = f" {word} "
-                for size in range(1, LONGEST + 1):
-                    for i in range(len(padded) - size + 1):
-                        tables[size][k][padded[i : i + size]] += count
+    """Log frequencies of words and of n-grams of each size, sparse: of each, the languages that have it."""
+
+    def __init__(self, counts: Iterable[tuple[str, str, int]]):
+        """counts: language, word and how often it occurs."""
+        counts = list(counts)
+        self.languages = sorted({k for k, _, _ in counts})
+        nth = {k: i for i, k in enumerate(self.languages)}
+        tables: list[dict[tuple[str, int], int]] = [{} for _ in range(LONGEST + 1)]
+        for lang, word, count in counts:
+            k, padded = nth[lang], f" {word} "
+            tables[0][word, k] = tables[0].get((word, k), 0) + count
+            for size in range(1, LONGEST + 1):
+                t = tables[size]
+                for i in range(len(padded) - size + 1):
+                    t[padded[i : i + size], k] = t.get((padded[i : i + size], k), 0) + count
         self.tables = [self._logs(t) for t in tables]
         self.cache: dict[str, np.ndarray] = {}
-
-    @staticmethod
-    def _logs(table: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
-        """Row of each word, and the rows: a log frequency for each language."""
-        at = {w: i for i, w in enumerate(dict.fromkeys(w for c in table for w in c))}
-        m = np.full((len(at), len(table)), 0.5)
-        for k, c in enumerate(table):
-            m[[at[w] for w in c], k] += list(c.values())
-        return at, np.log(m) - np.log(m.sum(axis=0))
+        self.most = CACHE // max(1, len(self.languages))
+
+    def _logs(self, table: dict[tuple[str, int], int]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of each word; where each row's entries begin; their languages and what they add; what a language has for any word.
+
+        A count of c is c + 1/2 of the language's total, so a word that a language has not adds nothing to the latter.
+        """
+        at = {w: i for i, w in enumerate(dict.fromkeys(w for w, _ in table))}
+        rows = np.fromiter((at[w] for w, _ in table), np.int64, len(table))
+        langs = np.fromiter((k for _, k in table), np.int32, len(table))
+        n = np.fromiter(table.values(), float, len(table))
+        order = np.argsort(rows, kind="stable")
+        total = np.bincount(langs, n, len(self.languages)) + 0.5 * len(at)
+        return at, np.searchsorted(rows[order], np.arange(len(at) + 1)), langs[order], np.log1p(2 * n[order]), np.log(0.5) - np.log(np.maximum(total, 0.5))
+
+    def _row(self, size: int, i: int) -> np.ndarray:
+        _, first, langs, more, base = self.tables[size]
+        out, a, b = base.copy(), first[i], first[i + 1]
+        out[langs[a:b]] += more[a:b]
+        return out
 
     def word(self, word: str) -> np.ndarray:
-        at, logs = self.tables[0]
-        if (i := at.get(word)) is not None:
-            return logs[i]
         if (score := self.cache.get(word)) is not None:
             return score
-        padded, score = f" {word} ", np.zeros(len(self.languages))
-        for size in range(LONGEST, 0, -1):
-            at, logs = self.tables[size]
-            found = [i for k in range(len(padded) - size + 1) if (i := at.get(padded[k : k + size])) is not None]
-            if found and (size > 1 or len(found) > 2):  # of single characters, the two spaces say nothing
-                score = logs[found].mean(axis=0)
-                break
-        if len(self.cache) >= CACHE:
+        if (i := self.tables[0][0].get(word)) is not None:
+            score = self._row(0, i)
+        else:
+            padded, score = f" {word} ", np.zeros(len(self.languages))
+            for size in range(LONGEST, 0, -1):
+                at = self.tables[size][0]
+                found = [i for k in range(len(padded) - size + 1) if (i := at.get(padded[k : k + size])) is not None]
+                if found and (size > 1 or len(found) > 2):  # of single characters, the two spaces say nothing
+                    score = np.mean([self._row(size, i) for i in found], axis=0)
+                    break
+        if len(self.cache) >= self.most:
             self.cache.clear()
         self.cache[word] = score
         return score
@@ -91,19 +106,26 @@ class Model:
         return self.languages[best], float(1 / np.exp(np.maximum(score - score[best], -700.0)).sum())
 
 
-def fit(documents: DataFrame, rows: int = ROWS, vocabulary: int = VOCABULARY) -> Model:
-    labelled = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return Model({})
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(rows / n)) for k, n in sizes.items()], F.lit(0.0))
-    sample = labelled.where((F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / (1 << 30)) < share)
-    words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        found: dict[str, Counter] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+        rows = [(k, w, n) for k, c in found.items() for w, n in c.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+
+def fit(documents: DataFrame, rows: int = ROWS) -> Model:
+    """Learns from at most about ``rows`` texts of each language: all their words, and all languages."""
+    bounded_batches(documents.sparkSession)
     scratch = Scratch(documents.sparkSession, "language")
-    counts = scratch.keep(words.groupBy("lang", "word").count().where("count > 1"), "counts")
-    top = {k: [(r["word"], r["count"]) for r in counts.where(F.col("lang") == k).orderBy(F.desc("count"), "word").limit(vocabulary).select("word", "count").collect()] for k in sizes}
+    labelled = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null").where(~held_out())
+    shares = labelled.groupBy("lang").agg((F.lit(rows) / F.count("*")).alias("share"))
+    sample = labelled.join(small(shares), "lang").where((F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / (1 << 30)) < F.col("share"))
+    counts = sample.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    table = scratch.keep(counts, "counts").toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     scratch.drop("counts")
-    return Model({k: v for k, v in top.items() if v})
+    return Model(zip(*(table.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True))
 
 
 def _shared(documents: DataFrame, model: Model):
@@ -123,8 +145,8 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
-def identify(documents: DataFrame, rows: int = ROWS, vocabulary: int = VOCABULARY) -> DataFrame:
-    return predict(documents, fit(documents, rows, vocabulary))
+def identify(documents: DataFrame, rows: int = ROWS) -> DataFrame:
+    return predict(documents, fit(documents, rows))
 
 
 def recognised(documents: DataFrame, least: float = 0.5) -> DataFrame:

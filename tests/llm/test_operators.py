@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -222,6 +223,28 @@ def test_outliers(spark):
     assert np.mean([got[i].kept for i in range(300)]) > 0.97
 
 
+def test_template_lines(spark):
+    """Lines that differ in a word are compared with a few, not with each other; only the first stays."""
+    for n in (100, 300):
+        df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(20)) + f" x{i}") for i in range(n)], "doc_id long, text string")
+        assert linededup.removed_lines(df).count() == n - 1
+        scratch = Scratch(spark, "template")
+        words = F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("words")
+        full = linededup._hashed(linededup._lines(df)).select(*linededup.PLACE, *linededup.KEY, words)
+        classes = scratch.keep(linededup._classes(full, linededup._levels(full, scratch), 80), "classes")
+        assert linededup._starred(classes, 80, scratch).count() <= linededup.SPREAD * n
+
+
+def test_language_of_one_sentence(spark):
+    """No language or word is left out, however rare."""
+    said = {"en": "the cat sat on the mat", "fr": "les enfants jouent dans la rue", "de": "wir gehen morgen nach Hause", "fi": "minulla on kaksi koiraa"}
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, text, lang) for i, (lang, text) in zip(ids, said.items(), strict=False)] + [(ids[9], "the dog ran", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in language.identify(df).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
 def test_warc(spark):
     magic = "xWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\nzz"
     html = ["a", "b", "a", None, "", magic, "WARC/1.", "é" * 500, "\r\n\r\n", magic, "WARC/1.1\r\n\r\n"]
