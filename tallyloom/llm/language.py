@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from ._util import Scratch, bounded_batches, slices, small
 
-ROWS, LONGEST = 2_000, 5
+ROWS, LONGEST = 1_000, 5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Scores (one for each word and language) kept by a worker; then it starts anew.
-CACHE = 1_600_000
+CACHE = 400_000
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
