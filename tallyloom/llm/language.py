@@ -31,7 +31,9 @@ ROWS, LONGEST = 1_000, 5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Scores (one for each word and language) kept by a worker; then it starts anew.
-CACHE = 400_000
+CACHE = 600_000
+#: Tables of so many scores or fewer are held as a matrix; results are the same.
+WHOLE = 4_000_000
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -59,6 +61,7 @@ class Model:
         self.tables = [self._logs(t) for t in tables]
         self.cache: dict[str, np.ndarray] = {}
         self.most = CACHE // max(1, len(self.languages))
+        self.whole: list[np.ndarray | None] | None = None
 
     def _logs(self, table: dict[tuple[str, int], int]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row of each word; where each row's entries begin; their languages and what they add; what a language has for any word.
@@ -73,25 +76,39 @@ class Model:
         total = np.bincount(langs, n, len(self.languages)) + 0.5 * len(at)
         return at, np.searchsorted(rows[order], np.arange(len(at) + 1)), langs[order], np.log1p(2 * n[order]), np.log(0.5) - np.log(np.maximum(total, 0.5))
 
-    def _row(self, size: int, i: int) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}, "whole": None}
+
+    def _spread(self, size: int) -> np.ndarray | None:
+        """A table's rows for all languages, if they are few numbers."""
+        at, first, langs, more, base = self.tables[size]
+        if len(at) * len(base) > WHOLE:
+            return None
+        out = np.tile(base, (len(at), 1))
+        out[np.repeat(np.arange(len(at)), np.diff(first)), langs] += more
+        return out
+
+    def _rows(self, size: int, found: list[int]) -> np.ndarray:
+        if (whole := self.whole[size]) is not None:
+            return whole[found]
         _, first, langs, more, base = self.tables[size]
-        out, a, b = base.copy(), first[i], first[i + 1]
-        out[langs[a:b]] += more[a:b]
+        out = np.tile(base, (len(found), 1))
+        for k, i in enumerate(found):
+            out[k, langs[first[i] : first[i + 1]]] += more[first[i] : first[i + 1]]
         return out
 
     def word(self, word: str) -> np.ndarray:
+        if (i := self.tables[0][0].get(word)) is not None:
+            return self.whole[0][i] if self.whole[0] is not None else self._rows(0, [i])[0]
         if (score := self.cache.get(word)) is not None:
             return score
-        if (i := self.tables[0][0].get(word)) is not None:
-            score = self._row(0, i)
-        else:
-            padded, score = f" {word} ", np.zeros(len(self.languages))
-            for size in range(LONGEST, 0, -1):
-                at = self.tables[size][0]
-                found = [i for k in range(len(padded) - size + 1) if (i := at.get(padded[k : k + size])) is not None]
-                if found and (size > 1 or len(found) > 2):  # of single characters, the two spaces say nothing
-                    score = np.mean([self._row(size, i) for i in found], axis=0)
-                    break
+        padded, score = f" {word} ", np.zeros(len(self.languages))
+        for size in range(LONGEST, 0, -1):
+            at = self.tables[size][0]
+            found = [i for k in range(len(padded) - size + 1) if (i := at.get(padded[k : k + size])) is not None]
+            if found and (size > 1 or len(found) > 2):  # of single characters, the two spaces say nothing
+                score = self._rows(size, found).mean(axis=0)
+                break
         if len(self.cache) >= self.most:
             self.cache.clear()
         self.cache[word] = score
@@ -101,6 +118,8 @@ class Model:
         counts = Counter(WORD.findall(text.lower())) if text else None
         if not counts or not self.languages or not any(any(map(str.isalpha, w)) for w in counts):
             return UNKNOWN, 0.0
+        if self.whole is None:
+            self.whole = [self._spread(size) for size in range(LONGEST + 1)]
         score = np.array(list(counts.values()), float) @ np.array([self.word(w) for w in counts])
         best = int(score.argmax())
         return self.languages[best], float(1 / np.exp(np.maximum(score - score[best], -700.0)).sum())
