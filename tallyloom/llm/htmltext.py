@@ -11,8 +11,8 @@ the text of the main element is the elements on that path and below that reach i
 element everything is kept but what is no text of the article).
 
 What no density can tell is told by name: scripts, styles, forms, menus, headers, footers, asides
-and elements whose class or id names an advert, a notice, comments, a menu or a sidebar have no text.
-Such an element keeps its tags, so a page of nothing else has an empty text.
+and elements of which a whole class or id name tells of an advert, a notice, comments, a menu or a sidebar have no text,
+unless an article is in them. A header in an article is a part of it.
 
 Results for odd input: a null html gives an empty text, as does a page without a body's text; broken
 mark-up is read as browsers do in simple cases (tags that never close, ends that close nothing, references without
@@ -21,9 +21,11 @@ a semicolon). Repeated rows are each returned.
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,41 +57,65 @@ CLOSES = {
 }
 #: These end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|newsletter|subscribe|comments?|replies|disqus|respond|menu|nav\w*|breadcrumbs?|sidebar|side|related|share|social|footer|header|masthead|widget|pagination|pager|login|signup)(?:$|[^a-z])")
+#: Words of class and id names that tell what is no part of the article, and words that may stand beside them in one name.
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices popup newsletter "
+    "subscribe subscription comment comments replies disqus respond menu nav navbar navigation breadcrumb breadcrumbs sidebar related share sharing social footer header "
+    "masthead widget widgets pagination pager login signup skip".split()
+)
+BESIDE = frozenset("area bar block bottom box button buttons container content form global group holder icons inner item items left link links list main outer page post posts primary right secondary section site slot sticky stories text to top unit wrap wrapper".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 ARTICLE = frozenset("article main".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|[^>])*+)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-SPACES = re.compile(r"[ \t\n\r\f\v]+")
+SPACES = re.compile(r"\s+")
+
+
+@functools.lru_cache(10_000)
+def _noise(name: str) -> bool:
+    """Whether a whole class or id name tells of noise: all its words do, or stand beside one that does."""
+    words = [x.lower() for x in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", name) if x]
+    return any(x in NOISE for x in words) and all(x in NOISE or x in BESIDE or x.isdigit() for x in words)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "chars", "links", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.parts, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False):
+        self.tag, self.parent, self.parts, self.dropped, self.named = tag, parent, [], dropped or named, named
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body") or not attributes:
+def _named(tag: str, attributes: str) -> bool:
+    if tag in ("html", "body", "main") or not attributes:
         return False
-    return any(NAMED.search(next(x for x in m.groups()[1:] if x is not None).lower()) for m in ATTRIBUTE.finditer(attributes) if any(m.groups()[1:]))
+    for name, *values in ATTRIBUTE.findall(attributes):
+        value = next(filter(None, values), "")
+        if value.strip().lower() in ROLES if name.lower() == "role" else any(map(_noise, value.split())):
+            return True
+    return False
 
 
 def parse(page: str) -> Node:
     """The page's tree; parts of a node are texts and nodes in order."""
     root = at = Node("#root", None)
-    open_p = 0
+    is_open: Counter = Counter()
     end, n = 0, len(page)
 
     def text(raw: str) -> None:
         if raw:
             at.parts.append(_html.unescape(raw) if "&" in raw else raw)
 
+    def close(node: Node) -> Node:
+        """Closes all open elements down to this one; each is closed once, so ends that close nothing cost nothing."""
+        inner = at
+        while inner is not node.parent:
+            is_open[inner.tag] -= 1
+            inner = inner.parent
+        return inner
+
     while end < n:
         m = TOKEN.search(page, end)
         if m is None:
@@ -104,31 +130,42 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if is_open[tag]:
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = close(node)
             continue
         if tag in ENDS_P or tag in CLOSES:
             closed, stop = CLOSES.get(tag, (("p",), ("article", "body", "button", "div", "main", "object", "section", "table", "td", "th", "li")))
-            node = at
-            while node is not root and node.tag not in stop:
-                if node.tag in closed:
-                    at = node.parent
-                    break
-                node = node.parent
-        node = Node(tag, at, _unwanted(tag, m[3]))
+            if any(is_open[x] for x in closed):
+                node = at
+                while node is not root and node.tag not in stop:
+                    if node.tag in closed:
+                        at = close(node)
+                        break
+                    node = node.parent
+        named = _named(tag, m[3])
+        # the heading of an article may stand in its header
+        node = Node(tag, at, tag in DROPPED and not (tag == "header" and (is_open["article"] or is_open["main"])), named)
+        if tag in ARTICLE and not named:
+            # what holds an article is no notice, whatever its name
+            outer = at
+            while outer is not None:
+                if outer.named:
+                    outer.named, outer.dropped = False, outer.tag in DROPPED
+                outer = outer.parent
         at.parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}\\s*>", re.IGNORECASE).search(page, end)
-            stop = close.start() if close else n
-            node.parts.append(page[end:stop])
-            end = close.end() if close else n
+            close_at = re.compile(f"</{tag}\\s*>", re.IGNORECASE).search(page, end)
+            stop_at = close_at.start() if close_at else n
+            node.parts.append(page[end:stop_at])
+            end = close_at.end() if close_at else n
             continue
         at = node
+        is_open[tag] += 1
     return root
 
 
@@ -142,8 +179,18 @@ def _post_order(root: Node) -> list[Node]:
     return out[::-1]
 
 
-def measure(root: Node) -> Node | None:
-    """Computes every node's density and sum; returns the body."""
+def measure(root: Node, names: bool = True) -> Node | None:
+    """Computes every node's density and sum; returns the body. Without names, elements that only a name dropped come back."""
+    if not names:
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if node.named and node.parent is not None and any(isinstance(x, Node) and x.tag in ("p", "div", "section") for x in node.parts):
+                node.named, node.dropped = False, node.tag in DROPPED
+            stack.extend(x for x in node.parts if isinstance(x, Node))
+        for node in _post_order(root):
+            node.chars = node.links = node.tags = node.link_tags = 0
+            node.density = node.total = 0.0
     nodes = _post_order(root)
     for node in nodes:
         if node.dropped:
@@ -181,7 +228,7 @@ def _blocks(node: Node) -> str:
                 out.append(" ")
                 stack.append(" ")
             stack.extend(reversed(x.parts))
-    return SPACES.sub(" ", "".join(out).replace("\xa0", " ")).strip(" ")
+    return SPACES.sub(" ", "".join(out)).strip(" ")
 
 
 def main_text(page: str | None) -> str:
@@ -190,6 +237,9 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     body = measure(root)
     nodes = [x for x in _post_order(body) if not x.dropped and x.chars]
+    if not nodes:  # all of the text is in elements with such names: then they are the page's wrappers
+        body = measure(root, names=False)
+        nodes = [x for x in _post_order(body) if not x.dropped and x.chars]
     if not nodes:
         return ""
     best = max(nodes, key=lambda x: (x.total, x.chars))

@@ -288,11 +288,25 @@ def test_warc_odd_ids(spark):
     assert len(got) == 6
 
 
+def test_html_unmatched_ends_are_linear():
+    import time
+
+    began = time.process_time()
+    htmltext.main_text("<b>" * 20_000 + "<p>text</p>" + "</i>" * 20_000)
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
         (None, ""),
         ("", ""),
+        *((f"<body><nav><a href=x>x</a></nav>{a}<p>One paragraph has some words in it.</p><p>Another has more of them.</p>{b}</body>", "One paragraph has some words in it. Another has more of them.") for a, b in (
+            ('<div class="content no-sidebar">', "</div>"), ('<article class="post has-comments">', "</article>"), ('<div id=page class="site footer-dark"><div>', "</div></div>"),
+            ('<main class="side-by-side">', "</main>"), ('<div class="page header"><article>', '</article></div><div class="site-footer"><p>All rights</p></div>'),
+            ('<div class="cookie-notice">We use cookies.</div><article>', '</article><section class="comments"><article class="comment"><p>I like it very much indeed.</p></article></section>'))),
+        ("<article><header><h1>The head</h1></header><p class='share-price'>A price<p>of <a href=it's>this</a> and <a title=\"foo>that</a></article>", "The head A price of this and that"),
+        ("<article><p>a\u3000\u2003b&nbsp;c</p></article>", "a b c"),
         ("<html><body><nav><a href=a>Home</a></nav></body></html>", ""),
         ("<html><head><title>t</title></head><body><nav>menu</nav><article><h1>Head</h1><p>One &amp; two<br>three  \n four.</p><script>x('</p>')</script></article><footer>f</footer></body></html>", "Head One & two three four."),
         ("<body><div class='menu'><a href=x>a</a></div><div class=content><p>Many words stand here, one after the other, in a row.<p>And in a second paragraph &lt;too&gt; there are some.</div><div class=\"comments\"><p>I liked it</p></div></body>", "Many words stand here, one after the other, in a row. And in a second paragraph <too> there are some."),
