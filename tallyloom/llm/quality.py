@@ -2,9 +2,9 @@
 
 The method's verdict is by minimum-covariance-determinant estimates. A text's statistics are
 transformed to a vector (``FEATURES``); for each language and source, the location and covariance of the most
-concentrated ``SHARE`` of the vectors are found by concentration steps: start from the coordinates'
-medians and absolute deviations, then again and again keep the vectors of the least Mahalanobis
-distance and estimate anew. A text is rejected if its distance from the last estimate, scaled so that
+concentrated ``SHARE`` of the vectors are found by concentration steps: from two starts, the coordinates'
+medians with absolute deviations and the means with covariances, again and again keep the vectors of the least Mahalanobis
+distance and estimate anew, until no determinant changes (each step lowers it or leaves it). The start that ends at the least determinant holds. A text is rejected if its distance from the last estimate, scaled so that
 the median distance is that of normal vectors, is above ``CUTOFF``, the chi-square quantile.
 
 The estimates are sums, so a group of any size costs a row for each task; the distances' quantiles are read
@@ -26,7 +26,7 @@ from ._util import Scratch, small
 
 SPACE, SPACES = "[ \\t-\\r]+", " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-SHARE, STEPS, LEAST, FLOOR = 0.75, 3, 50, 0.01
+SHARE, STEPS, LEAST, FLOOR = 0.75, 12, 50, 0.01
 #: Quantiles of chi-square with as many degrees of freedom as there are features: of 1 - 1.5e-7, and of one half.
 CUTOFF, MEDIAN = 37.33, 3.357
 #: Distances are counted in steps of this ratio.
@@ -112,12 +112,59 @@ def _with(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return rows.join(small(estimates), "grp", "left")
 
 
+def _cut(rows: DataFrame, by: list[str], step: Column, share: float) -> DataFrame:
+    """by and step: the least step of a histogram of fixed resolution up to which the share of rows lies."""
+    steps = rows.select(*by, step.alias("step")).groupBy(*by, "step").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by)
+    cum = steps.withColumn("cum", F.sum("n").over(w.orderBy("step"))).withColumn("all", F.sum("n").over(w))
+    return cum.where(F.col("cum") >= F.lit(share) * F.col("all")).groupBy(*by).agg(F.min("step").alias("step"))
+
+
 def _quantile(rows: DataFrame, share: float) -> DataFrame:
     """grp, limit: the upper end of the histogram's step that the share's quantile of d2 is in."""
-    steps = rows.select("grp", F.ceil(F.log(F.greatest("d2", F.lit(1e-6))) / F.log(F.lit(RATIO))).alias("step")).groupBy("grp", "step").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("grp")
-    cum = steps.withColumn("cum", F.sum("n").over(by.orderBy("step"))).withColumn("all", F.sum("n").over(by))
-    return cum.where(F.col("cum") >= F.lit(share) * F.col("all")).groupBy("grp").agg(F.pow(F.lit(RATIO), F.min("step")).alias("limit"))
+    step = F.ceil(F.log(F.greatest("d2", F.lit(1e-6))) / F.log(F.lit(RATIO)))
+    return _cut(rows, ["grp"], step, share).select("grp", F.pow(F.lit(RATIO), F.col("step")).alias("limit"))
+
+
+def _medians(rows: DataFrame, prefix: str) -> DataFrame:
+    """grp and the median of each of the features, to 1 / 256."""
+    long = rows.select("grp", F.posexplode(F.array(*FEATURES)).alias("nth", "f"))
+    cut = _cut(long, ["grp", "nth"], F.round(F.col("f") * 256), 0.5)
+    return cut.groupBy("grp").agg(*[F.max(F.when(F.col("nth") == i, F.col("step") / 256)).alias(f"{prefix}{i}") for i in range(len(FEATURES))])
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """grp, start and e: medians with absolute deviations (0), and means with covariances (1)."""
+    n = range(len(FEATURES))
+    middle = _medians(vectors, "m")
+    spread = _medians(_with(vectors, middle).select("grp", *[F.abs(F.col(f) - F.col(f"m{i}")).alias(f) for i, f in enumerate(FEATURES)]), "a")
+    cov = [(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR if i == j else F.lit(0.0)).alias(f"s{i}{j}") for j in n for i in range(j + 1)]
+    robust = _factored(middle.join(spread, "grp").select("grp", *[f"m{i}" for i in n], *cov))
+    plain = _factored(vectors.groupBy("grp").agg(*_estimate()))
+    return robust.withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1)))
+
+
+def _concentrated(vectors: DataFrame, scratch: Scratch) -> DataFrame:
+    """grp and e of the start whose concentration steps end at the least determinant.
+
+    Steps go on until no determinant changes, as each lowers it or leaves it; ``STEPS`` bounds them.
+    """
+    key = F.concat_ws(":", F.col("start").cast("string"), "grp")
+    est = scratch.keep(_starts(vectors).select(key.alias("grp"), "e", F.lit(None).cast("double").alias("det")), "e0")
+    both = vectors.withColumn("grp", F.explode(F.array(F.concat(F.lit("0:"), "grp"), F.concat(F.lit("1:"), "grp"))))
+    for step in range(1, STEPS + 1):
+        near = _with(both, est.drop("det")).withColumn("d2", _distance())
+        kept = near.join(small(scratch.keep(_quantile(near, SHARE), f"limit{step}")), "grp").where("d2 <= limit")
+        new = _factored(kept.groupBy("grp").agg(*_estimate()))
+        det = sum((F.log(F.col(f"e.l{i}{i}")) for i in range(1, len(FEATURES))), F.log(F.col("e.l00")))
+        old = est
+        est = scratch.keep(new.withColumn("det", F.round(2 * det, 6)), f"e{step}")
+        moved = est.join(old.select("grp", F.col("det").alias("before")), "grp").where("before is null or before <> det").limit(1).count()
+        scratch.drop(f"limit{step}", f"e{step - 1}")
+        if not moved:
+            break
+    best = est.select(F.substring_index("grp", ":", 1).cast("int").alias("start"), F.expr("substring(grp, instr(grp, ':') + 1)").alias("grp"), "e", "det")
+    return best.groupBy("grp").agg(F.min_by("e", F.struct("det", "start")).alias("e"))
 
 
 def verdicts(documents: DataFrame) -> DataFrame:
@@ -133,15 +180,7 @@ def verdicts(documents: DataFrame) -> DataFrame:
         return F.to_json(x, {"ignoreNullFields": "false"})
 
     vectors = good.select(*FEATURES, F.explode(F.array(keyed(lang), keyed(both))).alias("grp"))
-    start = vectors.groupBy("grp").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    spread = _with(vectors, start).groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, f in enumerate(FEATURES)])
-    cov = [(F.pow(1.4826 * F.col(f"a{i}"), 2) + FLOOR if i == j else F.lit(0.0)).alias(f"s{i}{j}") for j in range(len(FEATURES)) for i in range(j + 1)]
-    est = scratch.keep(_factored(start.join(spread, "grp").select("grp", *[f"m{i}" for i in range(len(FEATURES))], *cov)), "e0")
-    for step in range(1, STEPS + 1):
-        near = _with(vectors, est).withColumn("d2", _distance())
-        limits = scratch.keep(_quantile(near, SHARE), f"limit{step}")
-        kept = near.join(small(limits), "grp").where("d2 <= limit")
-        est = scratch.keep(_factored(kept.groupBy("grp").agg(*_estimate())), f"e{step}")
+    est = scratch.keep(_concentrated(vectors, scratch), "best")
     near = _with(vectors, est).withColumn("d2", _distance())
     sizes = vectors.groupBy("grp").agg(F.count("*").alias("n"))
     final = scratch.keep(est.join(_quantile(near, 0.5).withColumnRenamed("limit", "median"), "grp").join(sizes, "grp").where(F.col("n") >= LEAST).drop("n"), "final")

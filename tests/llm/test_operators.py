@@ -223,6 +223,58 @@ def test_outliers(spark):
     assert np.mean([got[i].kept for i in range(300)]) > 0.97
 
 
+def test_quality_verdicts_by_numpy(spark):
+    """Estimates by concentration steps in numpy, from the same starts, give the same verdicts."""
+    import numpy as np
+
+    got = [x.asDict() for x in quality.verdicts(spark.read.parquet(f"{DATA}/documents.parquet")).collect()]
+    n = np.array([max(1, x["n_words"]) for x in got], float)
+    chars = np.array([max(1, x["word_chars"]) for x in got], float)
+    f = np.column_stack([np.log(n), 4 * np.log(chars / n), np.sqrt([x["n_symbols"] for x in got] / chars), np.sqrt([x["n_repeat_words"] for x in got] / n)])
+    good = np.array([not x["base_failed"] for x in got])
+
+    def quantile(d2, share):
+        steps = np.sort(np.ceil(np.log(np.maximum(d2, 1e-6)) / np.log(quality.RATIO)))
+        return quality.RATIO ** steps[int(np.ceil(share * len(steps) - 1e-9)) - 1]
+
+    def middle(v):
+        v = np.sort(np.round(v * 256), axis=0) / 256
+        return v[int(np.ceil(0.5 * len(v) - 1e-9)) - 1]
+
+    def distance(v, m, s):
+        return np.einsum("ij,ij->i", (v - m) @ np.linalg.inv(s), v - m)
+
+    def estimate(v):
+        return v.mean(axis=0), np.cov(v.T, bias=True) + quality.FLOOR * np.eye(4)
+
+    def fitted(v):
+        m = middle(v)
+        ends = []
+        for m, s in ((m, np.diag((1.4826 * middle(abs(v - m))) ** 2 + quality.FLOOR)), estimate(v)):
+            for _ in range(quality.STEPS):
+                d2 = distance(v, m, s)
+                m, s = estimate(v[d2 <= quantile(d2, quality.SHARE)])
+            ends.append((np.linalg.slogdet(s)[1], m, s))
+        return min(ends, key=lambda x: round(x[0], 6))[1:]
+
+    models = {}
+    for key in {(x["lang"], s) for x in got for s in (x["source"], "*")}:
+        v = f[[g and x["lang"] == key[0] and key[1] in (x["source"], "*") for g, x in zip(good, got, strict=True)]]
+        if len(v) >= quality.LEAST:
+            m, s = fitted(v)
+            models[key] = m, s, quantile(distance(v, m, s), 0.5)
+    apart = 0
+    for x, v, g in zip(got, f, good, strict=True):
+        model = models.get((x["lang"], x["source"])) or models.get((x["lang"], "*"))
+        d2 = distance(v[None], *model[:2])[0] * min(1, quality.MEDIAN / model[2]) if model else 0.0
+        if g and model:
+            assert abs(x["distance"] - d2) <= 0.05 * max(1, d2)
+        if abs(d2 - quality.CUTOFF) > 1:
+            assert x["kept"] == (bool(g) and d2 <= quality.CUTOFF)
+            apart += 1
+    assert apart > 0.9 * len(got)
+
+
 def test_template_lines(spark):
     """Lines that differ in a word are compared with a few, not with each other; only the first stays."""
     for n in (100, 300):
