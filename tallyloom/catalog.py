@@ -166,7 +166,9 @@ def _(s, d):
     return grid.note_columns(fixture(s, d, "fx_cells"))
 
 
-_QUALITY = ", q AS (SELECT page_number, table_index, CAST(count(*) FILTER (cell <> '') AS INT) AS filled, CAST(count(*) FILTER (NOT regexp_matches(cell, '[A-Za-z]') AND cell <> '-' AND NOT regexp_matches(cell, '^(19|20)[0-9]{2}$')) AS INT) AS numbers, CAST(count(*) FILTER (regexp_matches(cell, '[A-Za-z]')) AS INT) AS texts, CAST(count(*) FILTER (regexp_matches(cell, '^(19|20)[0-9]{2}$')) AS INT) AS year_cells FROM fx_cells GROUP BY 1, 2), r AS (SELECT *, CAST(least(100, numbers * 4 + texts * 2 + year_cells * 10) AS INT) AS score, numbers > 0 AND texts = 0 AS numeric_only FROM q)"
+_QUALITY = _HEAD + f""", v AS (SELECT c.page_number, c.table_index, CAST(count(*) AS INT) AS n_values FROM fx_cells c JOIN head h USING (page_number, table_index, col_index) WHERE c.row_index > 0 AND {_AMOUNT.replace('cell', 'c.cell')} IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT c.page_number, c.table_index, CAST(count(*) FILTER (row_index = 0 AND regexp_matches(cell, '^(19|20)[0-9]{{2}}$')) AS INT) AS n_years, CAST(count(*) FILTER (col_index = 0) AS INT) AS n_labels, coalesce(any_value(n_values), 0) AS n_values FROM fx_cells c LEFT JOIN v USING (page_number, table_index) GROUP BY 1, 2),
+r AS (SELECT *, false AS numeric_only, round(greatest(0.0, least(100.0, 20.0 + least(25.0, CAST(12.5 * n_years AS DOUBLE)) + least(25.0, 2.0 * n_labels) + least(30.0, 2.0 * n_values)))::DOUBLE, 2) AS score FROM q)"""
 
 
 @_query("a3_table_quality", with_fixture("fx_cells", _QUALITY + " SELECT * FROM r"))
@@ -174,11 +176,17 @@ def _(s, d):
     return grid.quality(fixture(s, d, "fx_cells"))
 
 
-@_query("o1_suspicious_top20", with_fixture("fx_cells", _QUALITY + " SELECT * FROM r ORDER BY score, page_number, table_index LIMIT 20"))
+@_query("o1_suspicious_top20", with_fixture("fx_cells", _QUALITY + " SELECT page_number, table_index, score, CASE WHEN n_values = 0 THEN 'no_metric_values' ELSE '' END AS reasons, round(least(100.0, 100 - score + CASE WHEN n_values = 0 THEN 15 ELSE 0 END), 2) AS suspicion FROM r ORDER BY suspicion DESC, page_number, table_index LIMIT 20"))
 def _(s, d):
     return grid.suspicious(fixture(s, d, "fx_cells"))
 
 
+@_query("p6_numeric_only", with_fixture("fx_cells", " SELECT page_number, table_index, page_number % 3 = 0 AS numeric_only FROM fx_cells GROUP BY 1, 2"))
+def _(s, d):
+    # tables of every third page without labels and notes
+    return grid.quality(fixture(s, d, "fx_cells").where("page_number % 3 > 0 or col_index > 1")).select("page_number", "table_index", "numeric_only")
+
+
 @_query("n6_split_negatives", with_fixture("fx_cells", ", x AS (SELECT page_number, row_index, 2 * col_index + k AS col_index, CASE WHEN k = 1 THEN replace(replace(cell, '(', ''), ')', '') WHEN starts_with(cell, '(') THEN '(' ELSE '' END AS cell, cell AS was FROM fx_cells, range(2) t(k)) SELECT page_number, 0 AS table_index, row_index, CAST(col_index AS INT) AS col_index, CASE WHEN was LIKE '(%' AND cell <> '(' THEN was WHEN regexp_matches(cell, '^[0-9]') AND trim(lag(cell, 1) OVER w) = '(' THEN '(' || cell || ')' ELSE cell END AS cell FROM x WINDOW w AS (PARTITION BY page_number, row_index ORDER BY col_index)"))
 def _(s, d):
     c = fixture(s, d, "fx_cells").select("page_number", "table_index", "row_index", "col_index", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "cell")
@@ -420,9 +428,22 @@ def _(s, d):
 
 # narrative and insights
 
-@_query("p10_page_type", None)
+_SAID = "CASE " + " ".join(f"WHEN regexp_matches(heading, '{'|'.join(ph)}') THEN ['{k}', '{c}']" for k, c, ph in dims.PAGE_TYPES) + f" WHEN regexp_matches(heading, '{'|'.join(dims.NARRATIVE_HEADINGS)}') AND nd >= 0.35 THEN ['narrative', '0.8'] WHEN td >= 0.55 AND nd < 0.45 THEN ['table_heavy', '0.8'] WHEN nd >= 0.55 AND td < 0.45 THEN ['narrative', '0.65'] ELSE ['unknown', '0.35'] END"
+
+
+@_query(
+    "p10_page_type",
+    with_fixture(
+        "fx_pages",
+        ", x AS (SELECT *, list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda l: length(trim(l)) > 0) AS ls FROM fx_pages), y AS (SELECT report_id, page_number, "
+        + _NORM.format(x="substr(text, 1, 1200)")
+        + " AS heading, "
+        + f"CASE WHEN len(ls) = 0 THEN 0.0 ELSE round(len(list_filter(ls, lambda l: 4 * length(regexp_replace({_SHOWN}, '[^0-9]', '', 'g')) >= length({_SHOWN}) OR regexp_matches(l, '\\b(?:19|20)[0-9]{{2}}\\b') OR len(regexp_split_to_array(trim(l), ' {{2,}}')) >= 3)) / len(ls), 6) END AS td, "
+        + f"CASE WHEN len(ls) = 0 THEN 0.0 ELSE round(len(list_filter(ls, lambda l: len(regexp_split_to_array(trim(l), ' +')) >= 6 AND 100 * length(regexp_replace({_SHOWN}, '[^A-Za-z]', '', 'g')) >= 55 * length({_SHOWN}))) / len(ls), 6) END AS nd FROM x), z AS (SELECT *, {_SAID} AS t FROM y) SELECT report_id, page_number, CASE WHEN heading = '' THEN 'unknown' ELSE t[1] END AS page_type, CASE WHEN heading = '' THEN 0.0 ELSE CAST(t[2] AS DOUBLE) END AS confidence FROM z",
+    ),
+)
 def _(s, d):
-    return fixture(s, d, "fx_pages").select("report_id", "page_number", narrative.page_type(F.col("text")).alias("page_type"))
+    return fixture(s, d, "fx_pages").select("report_id", "page_number", narrative.page_type(F.col("text")).alias("t")).select("report_id", "page_number", "t.*")
 
 
 @_query("p13_ignored_keywords", with_fixture("fx_pages", f" SELECT report_id, page_number, array_to_string(list_filter({_in(dims.IGNORED)}, lambda k: contains(lower(substr(text, 1, 900)), k)), '|') AS hits FROM fx_pages"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import is_year, parse_amount, table_scale, years
 from ..functions.text import normalize_text, strip
+from ..plans import dims
 
 TABLE = ["page_number", "table_index"]
 
@@ -61,21 +62,25 @@ def unpivot(cells: DataFrame) -> DataFrame:
 
 
 def quality(cells: DataFrame) -> DataFrame:
-    """A3: counts and a score of each table."""
-    number = parse_amount(F.col("cell")).isNotNull() & ~is_year(F.col("cell"))
-    g = cells.groupBy(*TABLE).agg(
-        F.count_if(F.col("cell") != "").cast("int").alias("filled"),
-        F.count_if(number).cast("int").alias("numbers"),
-        F.count_if(F.col("cell").rlike("[A-Za-z]")).cast("int").alias("texts"),
-        F.count_if(is_year(F.col("cell"))).cast("int").alias("year_cells"),
-    )
-    score = F.least(F.lit(100), F.col("numbers") * 4 + F.col("texts") * 2 + F.col("year_cells") * 10)
-    return g.withColumn("score", score.cast("int")).withColumn("numeric_only", (F.col("numbers") > 0) & (F.col("texts") == 0))
+    """Year columns, labels, values and a score of each table; a table with numbers and no label is numeric only."""
+    counts = [(year_columns(cells), "n_years"), (labels(cells), "n_labels"), (unpivot(cells), "n_values")]
+    number = parse_amount(F.col("cell")).isNotNull()
+    g = cells.groupBy(*TABLE).agg(F.count_if(number).alias("numbers"))
+    for rows, name in counts:
+        g = g.join(rows.groupBy(*TABLE).agg(F.count("*").cast("int").alias(name)), TABLE, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    g = g.withColumn("numeric_only", (F.col("n_labels") == 0) & (F.col("numbers") > 0)).drop("numbers")
+    parts = [F.when(F.col("numeric_only"), 10.0).otherwise(20.0), F.least(F.lit(25.0), 12.5 * F.col("n_years")), F.least(F.lit(25.0), 2.0 * F.col("n_labels")), F.least(F.lit(30.0), 2.0 * F.col("n_values"))]
+    score = sum(parts[1:], parts[0]) - F.when(F.col("numeric_only"), 10.0).otherwise(0.0)
+    return g.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2))
 
 
 def suspicious(cells: DataFrame, top: int = 20) -> DataFrame:
-    """O1: the tables with the fewest signs of structure."""
-    return quality(cells).orderBy(F.asc("score"), *TABLE).limit(top)
+    """O1: the tables that most ask for a look: a low score, and years, labels or values that are missing."""
+    found = {"missing_years": F.col("n_years") == 0, "missing_labels": F.col("n_labels") == 0, "numeric_only_table": F.col("numeric_only"), "no_metric_values": F.col("n_values") == 0}
+    more = sum(F.when(test, dims.SUSPICIONS[name]).otherwise(0) for name, test in found.items())
+    reasons = F.array_join(F.array_compact(F.array(*[F.when(test, name) for name, test in found.items()])), ",")
+    suspicion = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.col("score") + more)), 2)
+    return quality(cells).select(*TABLE, "score", reasons.alias("reasons"), suspicion.alias("suspicion")).orderBy(F.desc("suspicion"), *TABLE).limit(top)
 
 
 def split_negatives(cells: DataFrame) -> DataFrame:

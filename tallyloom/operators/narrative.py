@@ -10,11 +10,13 @@ from ..plans import dims
 
 
 def page_type(text: Column) -> Column:
-    """P10: the first that applies."""
-    t = normalize_text(F.substr(text, F.lit(1), F.lit(1200)))
-    phrases = {"proxy": "proxy form", "auditor": "independent auditor", "notes": "notes to the financial statements", "shareholder": "pattern of shareholding", "governance": "corporate governance", "statement": "statement of financial position"}
-    named = [F.when(t.contains(v), k) for k, v in phrases.items()]
-    return F.coalesce(*named, F.when((table_density(text) >= 0.5) & (narrative_density(text) < 0.3), "table"), F.when(narrative_density(text) > 0, "narrative"), F.lit("other"))
+    """P10: page_type and confidence: what the heading says first, then how much of the page is prose or table."""
+    heading, prose, table = normalize_text(F.substr(text, F.lit(1), F.lit(1200))), narrative_density(text), table_density(text)
+    said = lambda phrases: heading.rlike("|".join(phrases))
+    ladder = [(said(phrases), kind, sure) for kind, sure, phrases in dims.PAGE_TYPES]
+    ladder += [(said(dims.NARRATIVE_HEADINGS) & (prose >= 0.35), "narrative", 0.8), ((table >= 0.55) & (prose < 0.45), "table_heavy", 0.8), ((prose >= 0.55) & (table < 0.45), "narrative", 0.65)]
+    found = F.coalesce(*[F.when(test, F.struct(F.lit(kind).alias("page_type"), F.lit(sure).alias("confidence"))) for test, kind, sure in ladder], F.struct(F.lit("unknown").alias("page_type"), F.lit(0.35).alias("confidence")))
+    return F.when(F.coalesce(normalize_text(text), F.lit("")) == "", F.struct(F.lit("unknown").alias("page_type"), F.lit(0.0).alias("confidence"))).otherwise(found)
 
 
 def continued(pages: DataFrame, budget: int = 3, sure: float = 0.85) -> DataFrame:
