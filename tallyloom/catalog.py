@@ -141,6 +141,53 @@ def _(s, d):
     return fixture(s, d, "fx_metric_values").select("input_key", F.when(F.col("confidence") >= 0.8, F.col("metric")).alias("normalized"), (F.col("confidence") < 0.8).alias("review"))
 
 
+_LABELS = ["Curren t  a ssets , net", "Non-c urrent expens es ( note )", "Earnings per shar e", "Finance   cost", "gai n on  subscript ion ;", "Gross margin", "Number of employees", "Curren cy days sales"]
+_LABEL = "CASE insight_id % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LABELS)) + " ELSE takeaway END"
+
+
+def _labelled(s, d):
+    return fixture(s, d, "fx_insights").select("insight_id", F.expr(_LABEL).alias("label"), "area")
+
+
+def _chain(x: str) -> str:
+    out = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    for split, whole in dims.SPLIT_WORDS:
+        out = f"regexp_replace({out}, '{split}', '{whole}', 'g')"
+    return f"trim(regexp_replace(regexp_replace({out}, '\\s+([,;:)])', '\\1', 'g'), '\\(\\s+', '(', 'g'))"
+
+
+@_query("t6_label_normalization", with_fixture("fx_insights", f" SELECT insight_id, {_chain(_LABEL)} AS label FROM fx_insights"))
+def _(s, d):
+    return _labelled(s, d).select("insight_id", text.normalize_label(F.col("label")).alias("label"))
+
+
+@_query("n4_effective_scale", with_fixture("fx_insights", f", l AS (SELECT insight_id, {_chain('(' + _LABEL + ') || chr(32) || area')} AS x FROM fx_insights), n AS (SELECT insight_id, {_NORM.format(x='x')} AS t FROM l) SELECT insight_id, regexp_matches(t, '{dims.SCALE_EXEMPT}') OR regexp_matches(replace(t, ' ', ''), '{'|'.join(dims.SCALE_EXEMPT_COMPACT)}') AS exempt, CAST(CASE WHEN regexp_matches(t, '{dims.SCALE_EXEMPT}') OR regexp_matches(replace(t, ' ', ''), '{'|'.join(dims.SCALE_EXEMPT_COMPACT)}') THEN 1 ELSE 1000 END AS BIGINT) AS multiplier FROM n"))
+def _(s, d):
+    return _labelled(s, d).select("insight_id", numbers.scale_exempt(F.col("label"), F.col("area")).alias("exempt"), numbers.effective_scale(F.col("label"), F.col("area"), F.lit(1000)).alias("multiplier"))
+
+
+_ODD_CELL = "CASE (page_number + row_index + col_index) % 7 WHEN 0 THEN 'AA+' WHEN 1 THEN 'note 4.1' WHEN 2 THEN ' 12.3.1 ' WHEN 3 THEN 'pacra' ELSE cell END"
+
+
+@_query("p5_no_value_cells", with_fixture("fx_cells", f", x AS (SELECT page_number, row_index, col_index, trim({_ODD_CELL}) AS c FROM fx_cells) SELECT page_number, row_index, col_index, c = '' OR regexp_matches(c, '^(?:19|20)[0-9]{{2}}$') OR regexp_matches(c, '{dims.NOTE_CELL}') OR regexp_matches(c, '{dims.RATING_CELL}') AS no_value FROM x"))
+def _(s, d):
+    return fixture(s, d, "fx_cells").select("page_number", "row_index", "col_index", text.no_value_cell(F.expr(_ODD_CELL)).alias("no_value"))
+
+
+_CANDIDATES = ["income", "Cash-flow statement (group)", "disclosure notes"]
+_KEYS = [k.lower().replace("-", " ").replace("(", "").replace(")", "").replace(" ", "_") for k in _CANDIDATES]
+
+
+@_query("p7_table_type_matches", with_fixture("fx_metric_values", " SELECT DISTINCT table_type, " + " OR ".join(f"contains(table_type, '{k}') OR contains('{k}', table_type)" for k in _KEYS) + " AS matches FROM fx_metric_values"))
+def _(s, d):
+    return fixture(s, d, "fx_metric_values").select("table_type", text.type_matches(F.col("table_type"), _CANDIDATES).alias("matches")).distinct()
+
+
+@_query("a7_attribute_counts", with_fixture("fx_insights", " SELECT source_section, count(*) AS n FROM fx_insights GROUP BY 1 ORDER BY 1"))
+def _(s, d):
+    return fixture(s, d, "fx_insights").groupBy("source_section").agg(F.count("*").alias("n")).orderBy("source_section")
+
+
 # grids
 
 _HEAD = ", head AS (SELECT page_number, table_index, col_index, CAST(cell AS INT) AS value_year FROM fx_cells WHERE row_index = 0 AND regexp_matches(cell, '^(19|20)[0-9]{2}$'))"

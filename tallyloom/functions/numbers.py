@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_text, strip
+from ..plans import dims
+from .text import normalize_label, normalize_text, strip
 
 #: Words that may stand beside an amount.
 CURRENCY = r"(?i)\b(rs|pkr|usd|eur|gbp|rupees|rupee|amounts?|in)\b\.?"
@@ -64,3 +65,15 @@ def is_year(x: Column) -> Column:
 def amounts_match(expected: Column, actual: Column, absolute: float = 0.5, relative: float = 0.0001) -> Column:
     """N11."""
     return F.abs(expected - actual) <= F.greatest(F.lit(absolute), F.abs(expected) * relative)
+
+
+def scale_exempt(label: Column, cell: Column) -> Column:
+    """P20: amounts per share, shares of a hundred, ratios and counts take no scale from their table."""
+    said = normalize_text(normalize_label(F.concat_ws(" ", label, cell)))
+    # percent signs are no part of the normalized text
+    return said.rlike(dims.SCALE_EXEMPT) | F.replace(said, F.lit(" "), F.lit("")).rlike("|".join(dims.SCALE_EXEMPT_COMPACT))
+
+
+def effective_scale(label: Column, cell: Column, table_multiplier: Column) -> Column:
+    """The table's multiplier, or 1 if the metric is exempt."""
+    return F.when((table_multiplier > 1) & scale_exempt(label, cell), F.lit(1).cast("long")).otherwise(table_multiplier.cast("long"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans import dims
+
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
@@ -111,3 +113,25 @@ def sheet_base(x: Column, most: int = 31) -> Column:
     short = F.substr(clean, F.lit(1), F.lit(most + 1))
     words = F.trim(F.regexp_replace(short, r" [^ ]*$", ""))
     return F.when(F.length(clean) <= most, clean).when((words != "") & (F.length(words) <= most), words).otherwise(F.trim(F.substr(clean, F.lit(1), F.lit(most))))
+
+
+def normalize_label(x: Column) -> Column:
+    """White space, words that cells split, and the spaces beside punctuation."""
+    out = F.trim(F.regexp_replace(x, r"\s+", " "))
+    for split, whole in dims.SPLIT_WORDS:
+        out = F.regexp_replace(out, split, whole)
+    out = F.regexp_replace(out, r"\s+([,;:)])", "$1")
+    return F.trim(F.regexp_replace(out, r"\(\s+", "("))
+
+
+def type_matches(table_type: Column, candidates: Sequence[str]) -> Column:
+    """The snake keys are equal, or one has the other in it."""
+    key = snake_key(table_type)
+    tests = [key.contains(snake_key(F.lit(c))) | F.contains(snake_key(F.lit(c)), key) for c in candidates]
+    return F.coalesce(*[F.when(t, True) for t in tests], F.lit(False))
+
+
+def no_value_cell(cell: Column) -> Column:
+    """P5: cells that an alignment of values leaves out: blank, a year, a note's number, a rating."""
+    x = strip(F.coalesce(cell, F.lit("")))
+    return (x == "") | x.rlike(r"^(?:19|20)[0-9]{2}$") | x.rlike(dims.NOTE_CELL) | x.rlike(dims.RATING_CELL)
