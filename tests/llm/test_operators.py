@@ -275,6 +275,47 @@ def test_quality_verdicts_by_numpy(spark):
     assert apart > 0.9 * len(got)
 
 
+def test_near_duplicates_of_a_cluster(spark):
+    """Copies of a few texts that are near each other or just not, against all pairs."""
+    rnd = random.Random(5)
+    rows = []
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(150)]
+        for _ in range(60):
+            mine = [w if rnd.random() > rnd.choice([0.01, 0.02, 0.04]) else f"x{rnd.randrange(6)}" for w in words]
+            rows.append((len(rows), " ".join(mine)))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingles = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(shingles[a] & shingles[b])
+            if 100 * n >= 85 * (len(shingles[a]) + len(shingles[b]) - n):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert [got[i] for i in range(len(rows))] == label
+    assert len(set(label)) > 10
+
+
+def test_passages_odd_and_recall(spark):
+    rnd = random.Random(9)
+    new = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, planted = [], {}
+    for k in range(40):
+        passage = new(60)
+        edited = [w if rnd.random() > 0.1 else new(1)[0] for w in passage]
+        rows += [(2 * k, " ".join(new(50) + passage + new(50)), None), (2 * k + 1, " ".join(new(30) + edited + new(70)), None)]
+        planted[2 * k + 1] = 2 * k
+    shared = new(80)
+    # one id with two texts, a text that repeats itself, nulls
+    rows += [(200, " ".join(shared), "a"), (200, " ".join(new(10) + shared[:70]), "b"), (201, " ".join(shared + new(5)), "c"), (202, "la " * 500, "d"), (203, "la " * 30 + " ".join(new(60)), "e"), (None, " ".join(shared), "f"), (204, None, "g"), (205, "", "h")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, doc string")).collect()
+    found = {(x.doc_id, x.other_id) for x in got}
+    assert sum((a, b) in found for a, b in planted.items()) >= 0.9 * len(planted)
+    assert (201, 200) in found
+    assert not {a for a, _ in found} & {202, 203, 204, 205} - {203}
+
+
 def test_template_lines(spark):
     """Lines that differ in a word are compared with a few, not with each other; only the first stays."""
     for n in (100, 300):
