@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +69,16 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(16 << 20))
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, forget: Callable[[], None]) -> None:
+    """In a Python worker, which later stages use again: what other operators remember there is forgotten."""
+    for other in [x for x in _remembered if x != owner]:
+        _remembered.pop(other)()
+    _remembered[owner] = forget
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the column's texts have at most so many bytes, one text at least."""
     import numpy as np

@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import bounded_batches, slices
+from ._util import bounded_batches, claim, slices
 
 #: Pieces kept with their ids by a worker, in two halves of so many, and pairs of tokens.
-CACHE = 150_000
+CACHE = 300_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -213,6 +213,10 @@ class Encoder:
         self._plain = re.compile(plain) if "\\p" not in plain else None
         self._split = regex.compile(self.pattern)
 
+    def forget(self) -> None:
+        self._split = self._known = None
+        self.vocabulary.known.clear()
+
     def pieces(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
         if self._split is None:
             self._ready()
@@ -232,6 +236,7 @@ def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sha = held.value, hashlib.sha256
+        claim("bpe", encoder.forget)
         for batch in slices(batches, "text"):
             n, said, back = [], [], []
             for text in batch.column(1).to_pylist():

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, bounded_batches, slices, small
+from ._util import Scratch, bounded_batches, claim, slices, small
 
 ROWS, LONGEST = 1_000, 5
 UNKNOWN = "und"
@@ -79,6 +79,9 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}, "whole": None}
 
+    def forget(self) -> None:
+        self.cache, self.whole = {}, None
+
     def _spread(self, size: int) -> np.ndarray | None:
         """A table's rows for all languages, if they are few numbers."""
         at, first, langs, more, base = self.tables[size]
@@ -126,6 +129,7 @@ class Model:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("words", lambda: None)
     for batch in slices(batches, "text"):
         found: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -156,6 +160,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     held = _shared(documents, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language", held.value.forget)
         for batch in slices(batches, "text"):
             said = [held.value.predict(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -173,6 +178,7 @@ def recognised(documents: DataFrame, least: float = 0.5) -> DataFrame:
     held, at = _shared(documents, fit(documents)), documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language", held.value.forget)
         for batch in slices(batches, "text"):
             said = [held.value.predict(x) for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([k != UNKNOWN and score >= least for k, score in said], pa.bool_()))
