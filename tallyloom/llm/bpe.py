@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._util import bounded_batches, claim, slices
 
 #: Pieces kept with their ids by a worker, in two halves of so many, and pairs of tokens.
-CACHE = 300_000
+CACHE = 250_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

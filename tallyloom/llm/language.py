@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from ._util import Scratch, bounded_batches, claim, slices, small
 
-ROWS, LONGEST = 1_000, 5
+ROWS, LONGEST = 500, 5
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 #: Scores (one for each word and language) kept by a worker; then it starts anew.
-CACHE = 600_000
+CACHE = 200_000
 #: Tables of so many scores or fewer are held as a matrix; results are the same.
 WHOLE = 4_000_000
 
@@ -164,6 +164,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches, "text"):
             said = [held.value.predict(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        held.value.forget()
 
     bounded_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
@@ -182,6 +183,7 @@ def recognised(documents: DataFrame, least: float = 0.5) -> DataFrame:
         for batch in slices(batches, "text"):
             said = [held.value.predict(x) for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([k != UNKNOWN and score >= least for k, score in said], pa.bool_()))
+        held.value.forget()
 
     bounded_batches(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)
