@@ -17,7 +17,7 @@ def test_same_rows_as_sql(spark, same, name):
 def test_whole_table(spark, name):
     df = queries.queries()[name](spark, DATA)
     table = "pages" if name == "op4_html" else "documents"
-    if name != "op7_passages":
+    if name not in ("op7_passages", "op13_whitening"):
         assert df.count() == spark.read.parquet(f"{DATA}/{table}.parquet").count()
 
 
