@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_extract  # noqa: F401  (registers its queries)
+
 from .functions import numbers, text
-from .operators import consolidate, grid, labels, matching, narrative, validate, workbook
+from .operators import consolidate, extract, grid, labels, matching, narrative, validate, workbook
 from .plans import dims
 from .plans.fixtures import fixture, table, with_fixture
-
-Query = Callable[[SparkSession, str], DataFrame]
-_found: dict[str, tuple[Query, str | None]] = {}
-
-
-def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _found[name] = (f, sql)
-        return f
-
-    return add
-
+from .registered import Query, found
+from .registered import query as _query
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _found.items()}
+    return {k: f for k, (f, _) in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _found.items() if s}
+    return {k: s for k, (_, s) in found.items() if s}
 
 
 # text and numbers
@@ -205,7 +194,7 @@ def _(s, d):
 
 @_query("p3_unpivot_facts", with_fixture("fx_cells", _HEAD + f" SELECT c.page_number, c.table_index, c.row_index, l.cell AS metric, h.value_year, {_AMOUNT.replace('cell', 'c.cell')} AS value FROM fx_cells c JOIN head h USING (page_number, table_index, col_index) JOIN fx_cells l ON l.page_number = c.page_number AND l.table_index = c.table_index AND l.row_index = c.row_index AND l.col_index = 0 WHERE c.row_index > 0 AND {_AMOUNT.replace('cell', 'c.cell')} IS NOT NULL"))
 def _(s, d):
-    return grid.unpivot(fixture(s, d, "fx_cells"))
+    return extract.facts(extract.chain(fixture(s, d, "fx_cells"))).select("page_number", "table_index", "row_index", "metric", "value_year", "value")
 
 
 @_query("n10_note_columns", with_fixture("fx_cells", " SELECT DISTINCT page_number, table_index, 1 AS col_index FROM fx_cells"))
@@ -220,7 +209,7 @@ r AS (SELECT *, false AS numeric_only, round(greatest(0.0, least(100.0, 20.0 + l
 
 @_query("a3_table_quality", with_fixture("fx_cells", _QUALITY + " SELECT * FROM r"))
 def _(s, d):
-    return grid.quality(fixture(s, d, "fx_cells"))
+    return extract.quality(extract.chain(fixture(s, d, "fx_cells"))).drop("table_type", "sufficient")
 
 
 @_query("o1_suspicious_top20", with_fixture("fx_cells", _QUALITY + " SELECT page_number, table_index, score, CASE WHEN n_values = 0 THEN 'no_metric_values' ELSE '' END AS reasons, round(least(100.0, 100 - score + CASE WHEN n_values = 0 THEN 15 ELSE 0 END), 2) AS suspicion FROM r ORDER BY suspicion DESC, page_number, table_index LIMIT 20"))
@@ -231,7 +220,7 @@ def _(s, d):
 @_query("p6_numeric_only", with_fixture("fx_cells", " SELECT page_number, table_index, page_number % 3 = 0 AS numeric_only FROM fx_cells GROUP BY 1, 2"))
 def _(s, d):
     # tables of every third page without labels and notes
-    return grid.quality(fixture(s, d, "fx_cells").where("page_number % 3 > 0 or col_index > 1")).select("page_number", "table_index", "numeric_only")
+    return extract.quality(extract.chain(fixture(s, d, "fx_cells").where("page_number % 3 > 0 or col_index > 1"))).select("page_number", "table_index", "numeric_only")
 
 
 @_query("n6_split_negatives", with_fixture("fx_cells", ", x AS (SELECT page_number, row_index, 2 * col_index + k AS col_index, CASE WHEN k = 1 THEN replace(replace(cell, '(', ''), ')', '') WHEN starts_with(cell, '(') THEN '(' ELSE '' END AS cell, cell AS was FROM fx_cells, range(2) t(k)) SELECT page_number, 0 AS table_index, row_index, CAST(col_index AS INT) AS col_index, CASE WHEN was LIKE '(%' AND cell <> '(' THEN was WHEN regexp_matches(cell, '^[0-9]') AND trim(lag(cell, 1) OVER w) = '(' THEN '(' || cell || ')' ELSE cell END AS cell FROM x WINDOW w AS (PARTITION BY page_number, row_index ORDER BY col_index)"))

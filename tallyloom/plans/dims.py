@@ -61,3 +61,38 @@ NOTE_CELL, RATING_CELL = r"(?i)^(?:[0-9]+(?:\.[0-9]+)+|note\s*[0-9]+(?:\.[0-9]+)
 #: P20: what in a label or cell keeps the table's scale from a value.
 SCALE_EXEMPT = r"%|\b(?:percent(?:age)?|margin|rate|yield|eps|earnings?\s+per\s+share|per\s+share|ratio|times|days|coverage|head\s*count|number\s+of|persons?|employees?|workers?|staff|ordinary\s+shares?|weighted\s+average\s+shares?|shares?\s+outstanding|plant availability|capacity utilization)\b"
 SCALE_EXEMPT_COMPACT = ["earningspershare", "earningpershare", "basicanddilutedearningspershare", "cashdividendpershare", "dividendpershare", "bookvaluepershare", "netassetspershare", "pershare"]
+
+# Words that cells split. L2 joins two tokens that make one of these ...
+SPLIT_KNOWN = ["addition", "administrative", "advance", "advances", "amenities", "assets", "balances", "bank", "before", "billion", "capital", "cash", "charges", "company", "comprehensive", "cost", "current", "deferred", "deposits", "distribution", "employees", "equipment", "equity", "expenses", "finance", "financial", "gain", "habib", "income", "intangible", "investments", "liabilities", "loans", "loss", "managerial", "noncurrent", "note", "obligations", "of", "operating", "ordinary", "other", "payables", "persons", "prepayments", "profit", "receivables", "remuneration", "reserve", "reserves", "salaries", "share", "subscription", "taxation", "term", "to"]
+# ... L3 also one of these; of words of three letters only "and" and "per".
+SPLIT_LATER = ["activities", "after", "analysis", "and", "average", "benefit", "coverage", "decrease", "employed", "employee", "earnings", "equivalent", "equivalents", "expenditures", "flow", "generated", "increase", "investment", "june", "operation", "operations", "outflow", "particulars", "per", "plant", "position", "property", "ratio", "ratios", "revaluation", "sale", "sales", "times", "valuation", "value", "year"]
+SPLIT_NEVER = ["A", "AA", "AAA", "A1", "A1+", "PACRA", "VIS", "JCR"]
+# Fixed values, P4: rows that are no metrics.
+NOTE_REFERENCE = r"(?i)^(?:note\s*)?[0-9]+(?:\.[0-9]+)*$"
+CONTINUED = r"(?i)\b(?:continued|brought forward|carried forward|same as above|balance b/f|balance c/f|b/f|c/f)\b"
+UNIT_NAMED = r"(?i)\b(?:pkr|rs|usd|eur|gbp|rupees?|ruppees|amounts?|thousands?|millions?|mn|billions?|bn)\b|(?:^|[^0-9])[`'’‘]?0{2,3}s?\b|\bin\s+[`'’‘]?0{1,3}"
+UNIT_BEGINS = r"(?i)^(?:\(|(?:pkr|rs\.?|rupees?|ruppees|amounts?)\b)"
+DISCLOSED = r"(?i)\b(?:managerial remuneration|number of persons|ordinary shares|share counts?|employee counts?|employees?|persons?|shares?)\b"
+SUBTOTALS = r"(?i)\b(?:total|subtotal|sub total|net assets|net liabilities|closing balance|opening balance|balance as at|balance at|carrying amount|written down value)\b"
+UNIT_WORDS = ["pkr", "rs", "usd", "gbp", "eur", "rupees", "rupee", "ruppees", "amount", "amounts", "thousand", "thousands", "million", "millions", "mn", "billion", "billions", "bn"]
+UNIT_FILLERS = ["in", "of", "and", "the", "as", "at"]
+# Fixed values, P8, P9, W4: tables whose labels depend on notes, and what such labels and their headers say.
+STATEMENT_TYPES = ["balance_sheet", "cash_flow_statement", "comprehensive_income_statement", "income_statement", "profit_and_loss", "statement_of_cash_flows", "statement_of_changes_in_equity", "statement_of_comprehensive_income", "statement_of_financial_position", "statement_of_profit_or_loss"]
+NOTE_TYPE_HINTS = ["aging", "borrowings", "capital_work", "cash_and_bank", "contingent", "credit_quality", "debt", "deferred", "deposits", "disclosure", "expense", "expenses", "fair_value", "financial_assets", "financial_instruments", "fixed_assets", "intangible", "inventory", "lease", "liabilities", "loan", "movement", "mutual_fund", "note", "notes", "payables", "prepayments", "provision", "receivables", "related_party", "remuneration", "schedule", "short_term", "stock", "tax", "taxation"]
+NOTE_HEADERS = r"\b(?:breakup|claims?|classification|comprises?|details?|during the year|following|in respect of|movement|schedule|set out)\b"
+DEPENDENT = [
+    ("total_label", r"^(?:total|subtotal|sub total)$"),
+    ("generic_note_label", r"^(?:others?|current|non ?current|less than .+|more than .+|neither past due nor impaired)$"),
+    ("movement_label", r"^(?:opening balance|closing balance|additions?|disposals?|transfers?|adjustments?|charge for the year|for the year|written off|balance at .+|balance as at .+)$"),
+    ("short_disclosure_label", r"^(?:number of persons|number of employees|number of shares|less than pkr .+ each|less than rs .+ each)$"),
+]
+STANDALONE = ["bank balances", "cash and bank balances", "cash and cash equivalents", "property plant and equipment"]
+NEEDS_CONTEXT = r"\b(?:accrued|deposits?|gain|levy|loss|other|prepayments?|receivables?|tax|taxation)\b"
+LONE_CONTEXTS = ["taxation", "borrowings"]
+# Fixed values, W5: units, sections and headers of tables, and labels that need one.
+HEADER_UNITS = r"(?i)\b(?:pkr|rs\.?|usd|rupees?|mn|million|times|percent|mt|each)\b|%"
+HEADER_SECTIONS = r"\b(?:assets?|capital|cash flows?|current liabilities|financial ratios|key ratios|liabilities|non ?financial ratios|ratio|share capital|turnover)\b"
+HEADER_NAMES = r"\b(?:company|corporation|holdings?|industries|limited|ltd|power|resources|associates?|subsidiar(?:y|ies)|quoted|unquoted)\b"
+HEADER_DEPENDENT = r"(?i)^(?:current portion\b.*|investment at cost$|ordinary shares?.*each$|.*\btimes$|.*\bpercent$|.*%.*|.*\brupees?$|.*\bmn$|.*\bmt$)"
+HEADER_CUT = r"(?i)(?:\([^)]*$|\b(?:i\s+nc|th\s+e|bas|provi|accumula|unalloca|rema)$|[0-9]+\s*$)"
+UNIT_GROUPS = [["percent", "%"], ["rupees", "rupee", "pkr", "rs"], ["times"], ["million", "mn"], ["thousand", "000"], ["each"], ["mt"]]

@@ -44,6 +44,27 @@ SELECT *, CAST(dense_rank() OVER (PARTITION BY page_number ORDER BY label) AS IN
     CAST(SUM(CAST(round(l.l_extendedprice) AS BIGINT) * (CASE WHEN l.l_returnflag = 'R' THEN -2 ELSE 1 END)) AS BIGINT) AS v
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE year(l.l_shipdate) BETWEEN 1996 AND 1998 GROUP BY 1, 2, 3) f"""
 
+#: Rows of report tables, of 16 kinds: moved, merged and split values, split labels, rows of notes, headers and what depends on them.
+LINES = """
+SELECT page_number, row_index, CASE WHEN page_number % 2 = 0 THEN 'income_statement' ELSE 'notes_schedule' END AS table_type, CAST((page_number + row_index) % 16 AS INT) AS kind,
+  label, CAST(3000 + abs(coalesce(MAX(CASE WHEN y = 1998 THEN v END), 0)) AS BIGINT) AS a, CAST(3000 + abs(coalesce(MAX(CASE WHEN y = 1997 THEN v END), 0)) AS BIGINT) AS b,
+  CAST(3000 + abs(coalesce(MAX(CASE WHEN y = 1996 THEN v END), 0)) AS BIGINT) AS c
+FROM fx_rows GROUP BY page_number, row_index, label"""
+
+GRID = """
+SELECT page_number, 0 AS table_index, row_index, col_index, table_type, CASE col_index
+    WHEN 0 THEN CASE kind WHEN 0 THEN 'Others' WHEN 1 THEN concat(label, ' trade income') WHEN 2 THEN 'Sales of goods' WHEN 3 THEN 'Selling costs' WHEN 4 THEN 'Finance cost' WHEN 5 THEN 'Trade' WHEN 6 THEN 'Operating ex penses'
+      WHEN 7 THEN 'Cost of sa les' WHEN 8 THEN CASE page_number % 5 WHEN 0 THEN 'Notes' WHEN 1 THEN '-do-' WHEN 2 THEN 'Note 4.1' WHEN 3 THEN 'Brought forward' ELSE 'Amounts in Rs' END WHEN 9 THEN 'Movement of borrowings'
+      WHEN 10 THEN 'Opening balance' WHEN 11 THEN 'Earnings per shar e' WHEN 12 THEN 'Net margin (' WHEN 13 THEN 'Current liabilities' WHEN 14 THEN 'Current portion of loans' ELSE 'Profit on sale of fixed plant' END
+    WHEN 1 THEN CASE kind WHEN 3 THEN concat(CAST(a AS VARCHAR(30)), ' ', CAST(b AS VARCHAR(30)), ' ', CAST(c AS VARCHAR(30))) WHEN 4 THEN '(' WHEN 5 THEN 'receiva bles' WHEN 6 THEN '%' WHEN 9 THEN '' WHEN 12 THEN '%)' WHEN 13 THEN '' ELSE '4.1' END
+    WHEN 2 THEN CASE kind WHEN 2 THEN '' WHEN 3 THEN '' WHEN 4 THEN concat(CAST(a AS VARCHAR(30)), ')') WHEN 9 THEN '' WHEN 13 THEN '' WHEN 15 THEN concat(CAST(a AS VARCHAR(30)), ' million') ELSE CAST(a AS VARCHAR(30)) END
+    WHEN 3 THEN CASE kind WHEN 2 THEN CAST(a AS VARCHAR(30)) WHEN 3 THEN '' WHEN 9 THEN '' WHEN 13 THEN '' ELSE CAST(b AS VARCHAR(30)) END
+    WHEN 4 THEN CASE kind WHEN 2 THEN CAST(b AS VARCHAR(30)) WHEN 3 THEN '' WHEN 9 THEN '' WHEN 13 THEN '' ELSE concat('(', CAST(c AS VARCHAR(30)), ')') END
+    ELSE CASE kind WHEN 2 THEN concat('(', CAST(c AS VARCHAR(30)), ')') ELSE '' END END AS cell
+FROM fx_lines, (SELECT 0 AS col_index UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k
+UNION ALL SELECT page_number, 0, 0, col_index, table_type, CASE col_index WHEN 0 THEN CASE WHEN page_number % 3 = 0 THEN 'Rupees in thousand' ELSE 'Particulars' END WHEN 1 THEN 'Note' ELSE CAST(2000 - col_index AS VARCHAR(9)) END
+FROM (SELECT DISTINCT page_number, table_type FROM fx_lines) p, (SELECT 0 AS col_index UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k"""
+
 #: Narrative pages with headings.
 PAGES = """
 SELECT CAST((d.doc_id - d.doc_id % 50) / 50 AS BIGINT) AS report_id, CAST(1 + d.doc_id % 50 AS INT) AS page_number,
@@ -74,8 +95,8 @@ SELECT CAST(l.l_suppkey AS INT) AS entity_id, CAST(year(l.l_shipdate) AS INT) AS
   CAST(SUM(CASE WHEN l.l_returnflag = 'R' THEN 0 ELSE CAST(round(l.l_extendedprice) AS BIGINT) END) + MAX(CASE WHEN l.l_suppkey % 3 = 0 THEN 1000 ELSE 0 END) AS BIGINT) AS total_equity
 FROM lineitem l GROUP BY 1, 2"""
 
-VIEWS = {"fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
-TABLES = {"fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
+VIEWS = {"fx_lines": LINES, "fx_grid": GRID, "fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
+TABLES = {"fx_lines": ("lineitem", "part"), "fx_grid": ("lineitem", "part"), "fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +104,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Fixtures made from another one.
-BASES = {"fx_cells": "fx_rows", "fx_named_values": "fx_metric_values"}
+BASES = {"fx_lines": "fx_rows", "fx_grid": "fx_lines", "fx_cells": "fx_rows", "fx_named_values": "fx_metric_values"}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,5 +120,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_fixture(name: str, rest: str) -> str:
     """SQL that begins with the fixtures' definitions; rest is a query, or further definitions and a query."""
-    names = [BASES[name], name] if name in BASES else [name]
+    names = [name]
+    while names[0] in BASES:
+        names.insert(0, BASES[names[0]])
     return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in names) + rest
