@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog_extract  # noqa: F401  (registers its queries)
+from . import catalog_extract, catalog_pages  # noqa: F401  (register their queries)
 
 from .functions import numbers, text
 from .operators import consolidate, extract, grid, labels, matching, narrative, validate, workbook
@@ -371,14 +371,6 @@ def _(s, d):
     return matching.overlaps(b.where("side = 'detected'"), b.where("side = 'classified'"))
 
 
-@_query("j7_greedy_match")
-def _(s, d):
-    b = fixture(s, d, "fx_boxes")
-    left, right = b.where("side = 'detected'"), b.where("side = 'classified'")
-    pairs = matching.overlaps(left, right, 0.3).withColumn("precedence", F.lit(2)).unionByName(matching.positional(left, right).withColumn("score", F.lit(0.0)).withColumn("precedence", F.lit(3)))
-    return matching.assign(pairs)
-
-
 @_query("j13_unmatched", with_fixture("fx_boxes", _OVER + " SELECT page_number, box_index AS raw FROM fx_boxes x WHERE side = 'detected' AND NOT EXISTS (SELECT 1 FROM o WHERE o.page_number = x.page_number AND o.raw = x.box_index AND round(greatest(i / (a + b - i), i / least(a, b)), 6) >= 0.8)"))
 def _(s, d):
     b = fixture(s, d, "fx_boxes")

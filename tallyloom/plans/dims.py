@@ -96,3 +96,21 @@ HEADER_NAMES = r"\b(?:company|corporation|holdings?|industries|limited|ltd|power
 HEADER_DEPENDENT = r"(?i)^(?:current portion\b.*|investment at cost$|ordinary shares?.*each$|.*\btimes$|.*\bpercent$|.*%.*|.*\brupees?$|.*\bmn$|.*\bmt$)"
 HEADER_CUT = r"(?i)(?:\([^)]*$|\b(?:i\s+nc|th\s+e|bas|provi|accumula|unalloca|rema)$|[0-9]+\s*$)"
 UNIT_GROUPS = [["percent", "%"], ["rupees", "rupee", "pkr", "rs"], ["times"], ["million", "mn"], ["thousand", "000"], ["each"], ["mt"]]
+
+# Fixed values, D11: words that say nothing of a table's type; and, of a vocabulary that is a parameter, the entries of the main types.
+TYPE_STOPS = ["and", "financial", "note", "notes", "of", "schedule", "statement", "table"]
+PRIMARY_PROFILES = ["balance_sheet", "cash_flow_statement", "income_statement", "statement_of_changes_in_equity"]
+TYPE_PROFILES = {"statement_of_financial_position": "balance_sheet", "statement_of_profit_or_loss": "income_statement", "profit_and_loss": "income_statement", "cash_flow": "cash_flow_statement", "statement_of_cash_flows": "cash_flow_statement", "borrowings_note": "debt_schedule", "loans_and_borrowings": "debt_schedule"}
+TYPE_KEYWORDS = {
+    "balance_sheet": ["statement of financial position", "total assets", "non current assets", "current assets", "total liabilities", "share capital", "reserves", "equity", "trade receivables", "trade payables", "cash and bank"],
+    "income_statement": ["statement of profit or loss", "revenue", "sales", "cost of sales", "gross profit", "operating profit", "finance cost", "profit before tax", "profit after tax", "earnings per share"],
+    "cash_flow_statement": ["statement of cash flows", "cash flows", "operating activities", "investing activities", "financing activities", "net cash", "cash and cash equivalents"],
+    "debt_schedule": ["debt schedule", "borrowings", "long term debt", "long term financing", "short term borrowings", "lease liabilities", "debt"],
+    "notes": ["notes to the financial statements", "for the year ended", "pkr in"],
+}
+TYPE_SIGNALS = {
+    "balance_sheet": ["financial position", "assets employed", "current assets", "non current assets", "current liabilities", "equity and liabilities", "capital and reserves", "share capital", "net assets", "total equity"],
+    "income_statement": ["distribution cost", "administrative expenses", "other income", "finance charges", "profit for the year", "gross profit", "operating profit"],
+    "cash_flow_statement": ["cash generated from operations", "working capital changes", "operating activities", "investing activities", "financing activities", "cash and cash equivalents"],
+    "debt_schedule": ["long term financing", "current portion of long term", "short term borrowings", "lease liabilities", "markup accrued", "repayable"],
+}

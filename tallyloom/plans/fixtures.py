@@ -88,6 +88,23 @@ SELECT CAST(p_partkey % 100 AS INT) AS page_number, CAST((p_partkey - p_partkey
   CAST((p_partkey % 13) * 9 + 40 AS DOUBLE) AS y1, CASE WHEN p_partkey % 200 < 100 THEN 'detected' ELSE 'classified' END AS side
 FROM part"""
 
+#: Pages with grids and classified types whose ids, boxes, indexes and texts agree on some pages and differ on others.
+RAW_TABLES = """
+SELECT page_number, raw, CASE WHEN (page_number + raw) % 5 = 0 THEN concat(CAST(page_number AS VARCHAR(20)), ':', CAST(raw AS VARCHAR(9))) END AS detected_id,
+  CASE (page_number * 5 + raw) % 9 WHEN 0 THEN 'Total assets, share capital & current liabilities' WHEN 1 THEN 'Revenue; cost of sales; Gross profit' WHEN 2 THEN 'Operating activities investing activities financing activities cash generated from operations'
+    WHEN 3 THEN 'Borrowings and lease liabilities, long term financing: markup accrued repayable' WHEN 4 THEN 'Widget count by summary' WHEN 5 THEN '' WHEN 6 THEN 'Netassets totalequity financialposition' WHEN 7 THEN 'Distribution cost Other income Finance charges Profit for the year' ELSE 'Nothing here' END AS text,
+  CAST((page_number + raw) % 3 AS INT) AS n_years, CAST((page_number + 2 * raw) % 5 AS INT) AS n_labels, CAST(raw * 3 + page_number % 4 AS INT) AS n_values,
+  CAST(100 * raw AS DOUBLE) AS x0, CAST(0 AS DOUBLE) AS y0, CAST(100 * raw + 80 + page_number % 9 AS DOUBLE) AS x1, CAST(50 AS DOUBLE) AS y1
+FROM (SELECT CAST((p_partkey - p_partkey % 8) / 8 AS INT) AS page_number, CAST(p_partkey % 8 AS INT) AS raw FROM part) p WHERE raw < 4 AND NOT (page_number % 7 = 0 AND raw > 0) AND page_number % 11 <> 0"""
+
+PAGE_TYPES = """
+SELECT page_number, cls, CASE (page_number * 3 + cls) % 6 WHEN 0 THEN 'Balance sheet' WHEN 1 THEN 'income_statement' WHEN 2 THEN 'statement_of_cash_flows' WHEN 3 THEN 'debt_schedule' WHEN 4 THEN 'notes' ELSE 'widget_summary_table' END AS table_type,
+  CASE WHEN (page_number + cls) % 4 = 0 THEN concat(CAST(page_number AS VARCHAR(20)), ':', CAST((cls + page_number % 2) % 4 AS VARCHAR(9))) END AS detected_id,
+  CASE WHEN (page_number + cls) % 4 = 1 THEN CAST((cls + page_number) % 5 AS INT) END AS page_table_index,
+  CASE WHEN (page_number + cls) % 3 > 0 THEN CAST(100 * ((cls + page_number) % 4) + page_number % 20 AS DOUBLE) END AS x0, CAST(0 AS DOUBLE) AS y0,
+  CASE WHEN (page_number + cls) % 3 > 0 THEN CAST(100 * ((cls + page_number) % 4) + 80 + page_number % 20 AS DOUBLE) END AS x1, CAST(50 AS DOUBLE) AS y1
+FROM (SELECT CAST((p_partkey - p_partkey % 8) / 8 AS INT) AS page_number, CAST(p_partkey % 8 - 4 AS INT) AS cls FROM part) p WHERE cls >= 0 AND NOT (page_number % 7 < 2 AND cls > 0) AND page_number % 13 <> 0"""
+
 STATEMENTS = """
 SELECT CAST(l.l_suppkey AS INT) AS entity_id, CAST(year(l.l_shipdate) AS INT) AS value_year,
   CAST(SUM(CAST(round(l.l_extendedprice) AS BIGINT)) AS BIGINT) AS total_assets,
@@ -95,8 +112,8 @@ SELECT CAST(l.l_suppkey AS INT) AS entity_id, CAST(year(l.l_shipdate) AS INT) AS
   CAST(SUM(CASE WHEN l.l_returnflag = 'R' THEN 0 ELSE CAST(round(l.l_extendedprice) AS BIGINT) END) + MAX(CASE WHEN l.l_suppkey % 3 = 0 THEN 1000 ELSE 0 END) AS BIGINT) AS total_equity
 FROM lineitem l GROUP BY 1, 2"""
 
-VIEWS = {"fx_lines": LINES, "fx_grid": GRID, "fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
-TABLES = {"fx_lines": ("lineitem", "part"), "fx_grid": ("lineitem", "part"), "fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
+VIEWS = {"fx_raw": RAW_TABLES, "fx_types": PAGE_TYPES, "fx_lines": LINES, "fx_grid": GRID, "fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
+TABLES = {"fx_raw": ("part",), "fx_types": ("part",), "fx_lines": ("lineitem", "part"), "fx_grid": ("lineitem", "part"), "fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,9 +135,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **frames)
 
 
-def with_fixture(name: str, rest: str) -> str:
+def with_fixture(name: str, rest: str, *more: str) -> str:
     """SQL that begins with the fixtures' definitions; rest is a query, or further definitions and a query."""
-    names = [name]
+    names = [name, *more]
     while names[0] in BASES:
         names.insert(0, BASES[names[0]])
-    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in names) + rest
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in names) + rest
