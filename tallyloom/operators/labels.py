@@ -114,9 +114,19 @@ def strip_parent(label: Column) -> Column:
 
 
 def canonical(labels: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The longest alias (metric, alias, ordinal) that is the label, or of several words and a phrase of it."""
-    a = aliases.select("metric", normalize_text(F.col("alias")).alias("alias"), "ordinal")
+    """The longest alias (metric, alias, ordinal) that is the label, or of several words and a phrase of it.
+
+    Distinct labels and their phrases meet the aliases by equality; no pair of a label and an alias is tried in vain.
+    """
+    a = aliases.select("metric", normalize_text(F.col("alias")).alias("phrase"), "ordinal")
+    words = F.split(F.col("norm"), " ")
+    n = F.size(words)
+
+    def phrases(size: int) -> Column:
+        return F.when(n > size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    longest = a.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     once = labels.select("label").distinct().withColumn("norm", normalize_text(F.col("label")))
-    hit = (F.col("norm") == F.col("alias")) | (F.col("alias").contains(" ") & has_phrase(F.col("norm"), F.col("alias")))
-    best = once.join(F.broadcast(a), hit).groupBy("label").agg(F.max_by("metric", F.struct(F.length("alias"), -F.col("ordinal"))).alias("metric"))
+    said = F.array_distinct(F.concat(F.array("norm"), *[phrases(k) for k in range(2, longest + 1)]))
+    best = once.select("label", F.explode(said).alias("phrase")).where("phrase <> ''").join(a, "phrase").groupBy("label").agg(F.max_by("metric", F.struct(F.length("phrase"), -F.col("ordinal"))).alias("metric"))
     return labels.join(best, "label", "left")

@@ -114,3 +114,58 @@ TYPE_SIGNALS = {
     "cash_flow_statement": ["cash generated from operations", "working capital changes", "operating activities", "investing activities", "financing activities", "cash and cash equivalents"],
     "debt_schedule": ["long term financing", "current portion of long term", "short term borrowings", "lease liabilities", "markup accrued", "repayable"],
 }
+
+# Fixed values, N12: types by statement, and the rules as (name, severity, metric and statement that should equal, signed terms).
+SCOPES = {
+    "balance": ["balance_sheet", "statement_of_financial_position", "financial_position"],
+    "income": ["income_statement", "profit_and_loss", "statement_of_profit_or_loss", "statement_of_comprehensive_income"],
+    "cash": ["cash_flow", "cash_flow_statement", "statement_of_cash_flows"],
+    "equity": ["statement_of_changes_in_equity", "equity", "retained_earnings"],
+    "ppe": ["property_plant_equipment_note", "ppe_note", "fixed_assets_note", "property_plant_and_equipment"],
+    "debt": ["debt_schedule", "borrowings_note", "loan_note", "financing_note"],
+}
+SUM_RULES = [
+    ("accounting_equation", "critical", "balance:total_assets", "+balance:total_liabilities +balance:total_equity"),
+    ("total_assets_breakdown", "major", "balance:total_assets", "+balance:current_assets +balance:non_current_assets"),
+    ("current_assets_breakdown", "major", "balance:current_assets", "+balance:cash +balance:inventory +balance:trade_receivables +balance:other_current_assets"),
+    ("current_liabilities_breakdown", "major", "balance:current_liabilities", "+balance:trade_payables +balance:short_term_borrowings +balance:current_portion_of_debt +balance:other_current_liabilities"),
+    ("total_liabilities_breakdown", "major", "balance:total_liabilities", "+balance:current_liabilities +balance:non_current_liabilities"),
+    ("total_equity_breakdown", "major", "balance:total_equity", "+balance:share_capital +balance:reserves +balance:retained_earnings"),
+    ("gross_profit_formula", "major", "income:gross_profit", "+income:revenue -income:cost_of_sales"),
+    ("operating_profit_formula", "major", "income:operating_profit", "+income:gross_profit -income:operating_expenses"),
+    ("ebit_formula", "major", "income:ebit", "+income:operating_profit +income:other_income"),
+    ("profit_before_tax_formula", "major", "income:profit_before_tax", "+income:ebit -income:finance_cost"),
+    ("profit_after_tax_formula", "major", "income:profit_after_tax", "+income:profit_before_tax -income:tax_expense"),
+    ("net_change_in_cash_formula", "major", "cash:net_change_in_cash", "+cash:operating_cash_flow +cash:investing_cash_flow +cash:financing_cash_flow"),
+    ("closing_cash_formula", "major", "cash:closing_cash", "+cash:opening_cash +cash:net_change_in_cash"),
+    ("cash_consistency", "critical", "balance:cash", "+cash:closing_cash"),
+    ("retained_earnings_roll_forward", "major", "equity:ending_retained_earnings", "+equity:beginning_retained_earnings +income:profit_after_tax -equity:dividends"),
+    ("ppe_roll_forward", "major", "balance,ppe:ending_ppe", "+balance,ppe:beginning_ppe +ppe:capex -ppe:depreciation"),
+    ("debt_roll_forward", "major", "balance,debt:ending_debt", "+balance,debt:beginning_debt +debt:new_borrowings -debt:repayments"),
+]
+#: A ratio, what it is of, and what by; an empty statement is any.
+RATIO_RULES = [("eps_formula", "major", ":eps", "income:profit_after_tax", ":weighted_average_shares"), ("roe_formula", "major", ":roe", "income:profit_after_tax", ":average_equity"), ("current_ratio_formula", "major", ":current_ratio", "balance:current_assets", "balance:current_liabilities")]
+CRITICAL_METRICS = ["income:revenue", "income:profit_after_tax", "balance:total_assets", "balance:total_liabilities", "balance:total_equity"]
+NOT_NEGATIVE = ["income:revenue", "balance:total_assets", "balance:current_assets", "balance:non_current_assets", "balance:inventory"]
+#: Parts that statements must have: a metric, or a label with one of the phrases.
+PARTS = [
+    ("balance_sheet_assets_section", "balance", ["total_assets", "current_assets", "non_current_assets", "cash"], ["assets", "current assets", "non current assets"]),
+    ("balance_sheet_liabilities_section", "balance", ["total_liabilities", "current_liabilities", "non_current_liabilities"], ["liabilities", "current liabilities", "non current liabilities"]),
+    ("balance_sheet_equity_section", "balance", ["total_equity", "share_capital", "reserves", "retained_earnings"], ["equity", "share capital", "reserves", "retained earnings"]),
+    ("income_statement_revenue_section", "income", ["revenue"], ["revenue", "sales", "turnover"]),
+    ("income_statement_expenses_section", "income", ["cost_of_sales", "operating_expenses", "finance_cost", "tax_expense"], ["expense", "expenses", "cost of sales", "finance cost", "tax"]),
+    ("income_statement_profit_section", "income", ["gross_profit", "operating_profit", "profit_after_tax"], ["profit", "income", "earnings"]),
+    ("cash_flow_operating_section", "cash", ["operating_cash_flow"], ["operating activities", "operating cash flow"]),
+    ("cash_flow_investing_section", "cash", ["investing_cash_flow"], ["investing activities", "investing cash flow"]),
+    ("cash_flow_financing_section", "cash", ["financing_cash_flow"], ["financing activities", "financing cash flow"]),
+]
+# Of the labels of metrics, which are a parameter, the first ones of each.
+METRIC_LABELS = {
+    "total_assets": ["total assets", "assets"], "current_assets": ["current assets", "total current assets"], "non_current_assets": ["non current assets"], "cash": ["cash and bank balances", "cash"], "inventory": ["stock in trade", "inventory"],
+    "trade_receivables": ["trade debts", "trade receivables"], "other_current_assets": ["other current assets"], "total_liabilities": ["total liabilities"], "current_liabilities": ["current liabilities"], "non_current_liabilities": ["non current liabilities"],
+    "total_equity": ["total equity", "shareholders equity"], "share_capital": ["share capital"], "reserves": ["capital reserves", "reserves"], "retained_earnings": ["retained earnings", "unappropriated profit"], "revenue": ["net sales", "turnover", "revenue"],
+    "cost_of_sales": ["cost of sales", "cost of goods sold"], "gross_profit": ["gross profit"], "operating_expenses": ["operating expenses", "administrative expenses"], "operating_profit": ["operating profit", "profit from operations"], "other_income": ["other income"],
+    "finance_cost": ["finance cost", "finance costs"], "profit_before_tax": ["profit before taxation", "profit before tax"], "tax_expense": ["taxation", "tax expense"], "profit_after_tax": ["profit after taxation", "profit for the year"],
+    "closing_cash": ["cash and cash equivalents at end of year", "closing cash"], "opening_cash": ["cash and cash equivalents at beginning of year", "opening cash"], "ending_retained_earnings": ["unappropriated profit at end of year"], "beginning_retained_earnings": ["unappropriated profit at beginning of year"],
+    "other_current_liabilities": ["other current liabilities"], "eps": ["earnings per share", "eps"], "roe": ["return on equity", "roe"], "current_ratio": ["current ratio"],
+}
