@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog_extract, catalog_pages, catalog_rules  # noqa: F401  (register their queries)
+from . import catalog_extract, catalog_pages, catalog_rules, catalog_sections  # noqa: F401  (register their queries)
 
 from .functions import numbers, text
 from .operators import consolidate, extract, grid, labels, matching, narrative, validate, workbook
@@ -479,13 +479,6 @@ def _(s, d):
     return fixture(s, d, "fx_pages").select("report_id", "page_number", F.array_join(text.found_in(F.lower(F.substr("text", F.lit(1), F.lit(900))), dims.IGNORED), "|").alias("hits"))
 
 
-@_query("w6_section_continuation")
-def _(s, d):
-    p = fixture(s, d, "fx_pages")
-    direct = F.when(F.col("page_number") % 10 == 1, "Chairman Review").when(F.col("page_number") % 10 == 7, "Risks").when(F.col("page_number") % 10 == 9, "Outlook")
-    return narrative.continued(p.select("report_id", "page_number", direct.alias("direct"), (F.col("page_number") % 3 != 0).alias("accepted"), (F.col("page_number") % 11 / 10).alias("confidence"), (F.col("page_number") % 13 == 0).alias("terminal"), (F.col("page_number") % 4 != 0).alias("fits")))
-
-
 @_query("w7_chunk_rank_round_robin", with_fixture("fx_insights", f", r AS (SELECT *, row_number() OVER (PARTITION BY page_number, source_section ORDER BY confidence DESC, insight_id) AS turn, coalesce(list_position({_in(dims.SECTIONS)}, source_section), 13) AS sr FROM fx_insights) SELECT insight_id, CAST(row_number() OVER (PARTITION BY page_number ORDER BY turn, sr, source_section, insight_id) AS INT) AS position FROM r"))
 def _(s, d):
     return narrative.round_robin(fixture(s, d, "fx_insights").withColumn("score", F.col("confidence")), ["page_number"], ["insight_id"]).select("insight_id", "position")

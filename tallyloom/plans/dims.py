@@ -169,3 +169,19 @@ METRIC_LABELS = {
     "closing_cash": ["cash and cash equivalents at end of year", "closing cash"], "opening_cash": ["cash and cash equivalents at beginning of year", "opening cash"], "ending_retained_earnings": ["unappropriated profit at end of year"], "beginning_retained_earnings": ["unappropriated profit at beginning of year"],
     "other_current_liabilities": ["other current liabilities"], "eps": ["earnings per share", "eps"], "roe": ["return on equity", "roe"], "current_ratio": ["current ratio"],
 }
+
+# Fixed values, P11: how headings name the sections.
+SECTION_ALIASES = {
+    "Chairman Review": ["chairman review", "chairman's review", "chairman statement", "chairman's statement"],
+    "CEO Review": ["ceo review", "chief executive review", "chief executive officer review", "ceo message"],
+    "Directors Report": ["directors report", "directors' report", "report of the directors"],
+    "Management Discussion & Analysis": ["management discussion and analysis", "management discussion & analysis", "md&a", "management review"],
+    "Business Review": ["business review", "operating review", "performance review", "business operations", "company overview", "key performance indicators", "segmental review of business performance"],
+    "Risks": ["risks and opportunities", "operational risks", "risk factors", "principal risks", "risk management"],
+    "Opportunities": ["opportunities", "future opportunities", "growth opportunities"],
+    "Outlook": ["outlook", "future outlook", "future prospects", "market outlook"],
+    "Strategy": ["strategy", "pestle analysis", "swot analysis", "strategic objectives", "strategy and resource allocation"],
+    "Financial Review": ["financial review", "financial performance", "financial results", "financial overview", "key figures", "financial highlights", "dupont analysis"],
+    "Sustainability": ["sustainability", "sustainability review", "corporate social responsibility", "csr"],
+    "ESG": ["esg", "environmental social and governance", "environment social governance"],
+}

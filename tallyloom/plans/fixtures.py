@@ -74,6 +74,13 @@ SELECT CAST((d.doc_id - d.doc_id % 50) / 50 AS BIGINT) AS report_id, CAST(1 + d.
       WHEN 1 THEN concat(chr(10), 'Exports grew 12% and margin improved on lower energy cost this period.') ELSE '' END) AS text
 FROM documents d"""
 
+#: Reports of 20 pages: sections that open, go on and end, headings with slips, scans without text, pages of other kinds.
+REPORT_PAGES = """
+SELECT report_id, page_number, CASE WHEN page_number = 14 THEN NULL ELSE concat(CASE page_number WHEN 1 THEN 'Chairman''s Review' WHEN 7 THEN 'Directros Report' WHEN 9 THEN 'Independent Auditor''s Report' WHEN 11 THEN 'Mana gement discu ssion and analysis' WHEN 12 THEN 'Pattern of Shareholding'
+    WHEN 13 THEN 'Future Outlook' WHEN 15 THEN 'Risk Management' WHEN 16 THEN 'Corporate information' WHEN 18 THEN 'Strategic objctives' WHEN 19 THEN 'Stratgc objctvs' ELSE '' END, chr(10),
+  CASE WHEN page_number BETWEEN 2 AND 6 AND report_id % 3 <> 1 THEN concat('Plant visit', chr(10), 'New line', chr(10), 'Good year') WHEN page_number = 17 AND report_id % 2 = 0 THEN concat('2024  10  20', chr(10), '2023  11  22', chr(10), 'Sum  21  42') ELSE text END) END AS text
+FROM (SELECT CAST((doc_id - doc_id % 20) / 20 AS BIGINT) AS report_id, CAST(1 + doc_id % 20 AS INT) AS page_number, text FROM documents) d"""
+
 INSIGHTS = """
 SELECT d.doc_id AS insight_id, 2024 AS value_year, 2024 AS source_report_year, concat('Area ', d.source) AS area,
   concat(substr(d.text, 1, 40), CASE d.doc_id % 5 WHEN 0 THEN ' Revenue rose 12%.' WHEN 1 THEN ' Code of conduct was followed.'
@@ -144,8 +151,8 @@ def _books() -> str:
     return f"SELECT e AS entity_id, y AS value_year, {seen} FROM ({out}) q"
 
 
-VIEWS = {"fx_books": _books(), "fx_raw": RAW_TABLES, "fx_types": PAGE_TYPES, "fx_lines": LINES, "fx_grid": GRID, "fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
-TABLES = {"fx_books": ("lineitem",), "fx_raw": ("part",), "fx_types": ("part",), "fx_lines": ("lineitem", "part"), "fx_grid": ("lineitem", "part"), "fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
+VIEWS = {"fx_report": REPORT_PAGES, "fx_books": _books(), "fx_raw": RAW_TABLES, "fx_types": PAGE_TYPES, "fx_lines": LINES, "fx_grid": GRID, "fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
+TABLES = {"fx_report": ("documents",), "fx_books": ("lineitem",), "fx_raw": ("part",), "fx_types": ("part",), "fx_lines": ("lineitem", "part"), "fx_grid": ("lineitem", "part"), "fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
