@@ -81,18 +81,50 @@ def _is_near(alias: str, text: str) -> bool:
     return False
 
 
+class _Bounds:
+    """Of the aliases that may be near something: their pieces, how many a window needs, and how long it may be."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, list[int]] = {}
+        self.need: dict[int, tuple[int, int]] = {}
+        for k, (_, alias) in enumerate(ALIASES):
+            if _may_be_near(alias):
+                self.need[k] = max(1, pieces_needed(alias)), int(len(alias) * (2 - NEAR) / NEAR) + 1
+                for p in {alias[i : i + 3] for i in range(len(alias) - 2)}:
+                    self.of.setdefault(p, []).append(k)
+
+    def spans(self, text: str) -> dict[int, list[str]]:
+        """For each alias the stretches of the text that hold as many of its pieces, close enough to each other, as a near window does."""
+        at: dict[int, list[int]] = {}
+        for i in range(len(text) - 2):
+            for k in self.of.get(text[i : i + 3], ()):
+                at.setdefault(k, []).append(i)
+        out: dict[int, list[str]] = {}
+        for k, hits in at.items():
+            need, longest = self.need[k]
+            ends: list[list[int]] = []
+            for i in range(len(hits) - need + 1):
+                if hits[i + need - 1] + 3 - hits[i] <= longest:
+                    start, end = max(0, hits[i + need - 1] + 3 - longest), hits[i] + longest
+                    if ends and start <= ends[-1][1]:
+                        ends[-1][1] = end
+                    else:
+                        ends.append([start, end])
+            if ends:  # whole words, and what a window may begin or end with
+                out[k] = [text[text.rfind(" ", 0, s) + 1 : (e if (e := text.find(" ", t)) >= 0 else len(text))] for s, t in ends]
+        return out
+
+
 def _near(blocks: Column, tops: Column) -> Column:
-    """The numbers of the aliases that are near a window of the heading or the top of a page, of those that the bound leaves."""
-    bounds = [(k, a, [a[i : i + 3] for i in range(len(a) - 2)], pieces_needed(a)) for k, (_, a) in enumerate(ALIASES) if _may_be_near(a)]
+    """The numbers of the aliases that are near a window of the heading or the top of a page."""
 
     @F.pandas_udf("array<int>")
     def run(blocks: pd.Series, tops: pd.Series) -> pd.Series:
-        out = []
+        bounds, out = _Bounds(), []
         for texts in zip(blocks, tops):
-            found = set()
+            found: set[int] = set()
             for text in texts:
-                pieces = {text[i : i + 3] for i in range(len(text) - 2)}
-                found |= {k for k, alias, own, need in bounds if k not in found and sum(p in pieces for p in own) >= need and _is_near(alias, text)}
+                found |= {k for k, parts in bounds.spans(text).items() if k not in found and any(_is_near(ALIASES[k][1], part) for part in parts)}
             out.append(sorted(found))
         return pd.Series(out)
 
