@@ -523,10 +523,12 @@ def _(s, d):
 
 # workbook
 
-@_query("a9_metric_pivot", with_fixture("fx_metric_values", " SELECT metric, table_type, " + ", ".join(f"arg_max(value, input_key || CAST(value AS VARCHAR)) FILTER (value_year = {y}) AS y{y}" for y in range(1995, 1999)) + " FROM fx_metric_values GROUP BY 1, 2"))
+_YEARS = ", ".join(f"arg_max(value, k) FILTER (value_year = {y}) AS y{y}" for y in range(1995, 2002))
+
+
+@_query("a9_metric_pivot", with_fixture("fx_metric_values", f", m AS (SELECT *, input_key || CAST(value AS VARCHAR) AS k FROM fx_metric_values), p AS (SELECT metric, table_type, {_YEARS}, min(k) AS first FROM m GROUP BY 1, 2) SELECT * EXCLUDE (first), CAST(row_number() OVER (PARTITION BY table_type ORDER BY first) AS INT) AS row_order FROM p"))
 def _(s, d):
-    m = fixture(s, d, "fx_metric_values").withColumn("input_key", F.concat("input_key", F.col("value").cast("string")))
-    return workbook.pivot(m, list(range(1995, 1999)))
+    return workbook.pivot(fixture(s, d, "fx_metric_values").withColumn("input_key", F.concat("input_key", F.col("value").cast("string"))))
 
 
 @_query("a10_label_suffix", with_fixture("fx_metric_values", ", n AS (SELECT metric, count(DISTINCT table_type) AS k FROM fx_metric_values GROUP BY 1) SELECT DISTINCT f.metric, table_type, CASE WHEN k > 1 THEN f.metric || ' (' || table_type || ')' ELSE f.metric END AS label FROM fx_metric_values f JOIN n ON n.metric = f.metric"))
@@ -602,12 +604,20 @@ def _(s, d):
     return labels.note_context(rows).select("page_number", "table_index", "row_index", F.col("inherited").alias("label"))
 
 
-@_query("s12_html_tables", "SELECT page_id, 0 AS table_index, CAST(i AS INT) AS row_index, CAST(j AS INT) AS col_index, CASE WHEN i = 0 THEN 'A' ELSE CAST(page_id AS VARCHAR) END AS cell FROM pages, range(2) a(i), range(2) b(j)")
+@_query(
+    "s12_html_tables",
+    """WITH p AS (SELECT page_id, coalesce(trim(regexp_replace(url, '\\s+', ' ', 'g')), '') AS u, length(html) AS n FROM pages WHERE html IS NOT NULL)
+SELECT page_id, 0 AS table_index, CAST(i AS INT) AS row_index, CAST(j AS INT) AS col_index, CASE WHEN i = 0 THEN CASE WHEN j = 2 THEN 'x & y' ELSE CAST(page_id AS VARCHAR) END WHEN i = 1 THEN CASE j WHEN 0 THEN u WHEN 1 THEN CAST(n AS VARCHAR) ELSE 'x & y' END ELSE CASE WHEN j <= page_id % 3 THEN 'last' ELSE '' END END AS cell FROM p, range(3) a(i), range(3) b(j)
+UNION ALL SELECT page_id, 1, 0, 0, 'second' FROM p WHERE page_id % 2 = 0""",
+)
 def _(s, d):
+    # the whole pages, none of which has a table, with tables after them: spans, an empty row, open cells, a second table on some pages
     from .sources.readers import html_cells
 
-    page = F.concat(F.lit("<table><tr><th colspan=2>A</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("<td>"), F.col("page_id").cast("string"), F.lit("</table>"))
-    return html_cells(table(s, d, "pages").select("page_id", page.alias("html")))
+    num = F.col("page_id").cast("string")
+    first = F.concat(F.lit("<table><tr><th colspan=2>"), num, F.lit("</th><th rowspan=2>x &amp; y</th></tr><tr><td>"), F.coalesce("url", F.lit("")), F.lit("<td>"), F.length("html").cast("string"), F.lit("</td></tr><tr></tr><tr><td colspan="), (F.col("page_id") % 3 + 1).cast("string"), F.lit("> last </td></tr></table>"))
+    page = F.concat("html", first, F.when(F.col("page_id") % 2 == 0, "<table><tr><td><b>second</b></td></tr></table>").otherwise(""))
+    return html_cells(table(s, d, "pages").where("html is not null").select("page_id", page.alias("html")))
 
 
 @_query("s7_page_text", with_fixture("fx_pages", " SELECT report_id, page_number, CASE WHEN page_number % 2 = 0 THEN 'native' ELSE 'ocr' END AS text_source, length(CASE WHEN page_number % 2 = 0 THEN text ELSE 'scan ' || text END) AS n FROM fx_pages"))

@@ -9,10 +9,15 @@ from ..functions.text import normalize_text, sheet_base, title_case
 from ..plans import dims
 
 
-def pivot(values: DataFrame, years: list[int]) -> DataFrame:
-    """Metric by year; a cell is its last write. The years are given, so no extra pass looks for them."""
-    p = values.groupBy("metric", "table_type").pivot("value_year", years).agg(F.max_by("value", "input_key"))
-    return p.select("metric", "table_type", *[F.col(str(y)).alias(f"y{y}") for y in years])
+def pivot(values: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """Metric by year; a cell is its last write, rows of a sheet are numbered as they were first seen. Without ``years`` all of the values' years, which one pass looks for."""
+    if years is None:
+        years = sorted(r.value_year for r in values.select("value_year").where("value_year is not null").distinct().collect())
+    g = values.groupBy("metric", "table_type", "value_year").agg(F.max_by("value", "input_key").alias("value"), F.min("input_key").alias("first"))
+    cell = lambda y: F.max(F.when(F.col("value_year") == y, F.col("value"))).alias(f"y{y}")
+    p = g.groupBy("metric", "table_type").agg(*map(cell, years), F.min("first").alias("first"))
+    order = F.row_number().over(Window.partitionBy("table_type").orderBy("first")).alias("row_order")
+    return p.select("metric", "table_type", *[f"y{y}" for y in years], order)
 
 
 def suffixed(values: DataFrame) -> DataFrame:
@@ -57,12 +62,22 @@ def lookup(labels: DataFrame, terms: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, registry: DataFrame, most: int = 5000) -> DataFrame:
     """The registry vector of greatest cosine for each query, ties by the least id.
 
-    The registry is a bounded dimension: it becomes one array that every query scans, so no rows of
-    pairs are made. Larger ones are to be cut into blocks of ``most`` and the blocks' bests compared.
+    The registry becomes arrays that every query scans, of about ``most`` vectors each, so no rows of pairs are made; the bests of several
+    blocks are compared in the end.
     """
+    blocks = max(1, -(-registry.count() // most))
+    if blocks == 1:
+        return _nearest_block(queries, registry).select("vec_id", "best", "score")
+    dealt = [registry.where(F.pmod(F.hash("vec_id"), F.lit(blocks)) == k) for k in range(blocks)]
+    bests = _nearest_block(queries, dealt[0])
+    for block in dealt[1:]:
+        bests = bests.unionByName(_nearest_block(queries, block))
+    top = F.max(F.when(F.col("best").isNotNull(), F.struct("score", (-F.col("best")).alias("neg"))))
+    return bests.groupBy("vec_id").agg(top.alias("b")).select("vec_id", (-F.col("b.neg")).alias("best"), "b.score")
+
+
+def _nearest_block(queries: DataFrame, registry: DataFrame) -> DataFrame:
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
-    if registry.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} vectors: compare in blocks")
     r = registry.agg(F.collect_list(F.struct("vec_id", unit(F.col("embedding")).alias("v"))).alias("r"))
     q = queries.select("vec_id", unit(F.col("embedding")).alias("q")).withColumn("r", r.scalar())
     dot = "aggregate(zip_with({a}, {b}, (u, w) -> u * w), 0D, (s, z) -> s + z)"

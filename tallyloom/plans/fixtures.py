@@ -83,7 +83,7 @@ FROM (SELECT CAST((doc_id - doc_id % 20) / 20 AS BIGINT) AS report_id, CAST(1 +
 
 INSIGHTS = """
 SELECT d.doc_id AS insight_id, 2024 AS value_year, 2024 AS source_report_year, concat('Area ', d.source) AS area,
-  concat(substr(d.text, 1, 40), CASE d.doc_id % 5 WHEN 0 THEN ' Revenue rose 12%.' WHEN 1 THEN ' Code of conduct was followed.'
+  concat(d.text, CASE d.doc_id % 5 WHEN 0 THEN ' Revenue rose 12%.' WHEN 1 THEN ' Code of conduct was followed.'
     WHEN 2 THEN ' Rs 450 million debt was repaid.' WHEN 3 THEN ' Going concern is not in doubt.' ELSE '' END) AS takeaway,
   CASE d.doc_id % 3 WHEN 0 THEN 'Business Review' WHEN 1 THEN 'Outlook' ELSE 'Risks' END AS source_section,
   CAST(1 + d.doc_id % 50 AS INT) AS page_number, CAST(d.doc_id % 101 AS DOUBLE) / 100 AS confidence
