@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from ..plans import dims
 
 
+#: All that Unicode counts as white space.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACE))
 
 
 def normalize_text(x: Column, keep: str = "") -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compact, strip
 from ..plans import dims
+from ..plans.scratch import kept
 
 KEY = ["metric", "value_year"]
 QUALITY = ["confidence", "cleanliness", "context", "priority"]
@@ -70,8 +71,12 @@ def _order() -> list[Column]:
 
 def best_value(df: DataFrame) -> DataFrame:
     """The best candidate of each metric and year. The window keeps one row per task before the shuffle."""
+    return _best(candidates(df))
+
+
+def _best(c: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY).orderBy(*_order())
-    return candidates(df).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return c.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def _is_ratio() -> Column:
@@ -128,9 +133,9 @@ def ties(df: DataFrame) -> DataFrame:
     return _tied(candidates(df), best_value(df), "tie")
 
 
-def _selected(df: DataFrame) -> DataFrame:
+def _selected(c: DataFrame) -> DataFrame:
     """The best candidate of the selector that applies to a metric, if any has what it asks."""
-    c, label = _facts(df), F.lower("original_metric")
+    label = F.lower("original_metric")
     keep = [*KEY, "source_report_year", "page_number", "table_type", "original_metric", "requires_review", "value", "value_text", "input_key", *QUALITY]
     row = [*KEY, "page_number", "table_type", "compact", "amount"]
     debt = c.where("metric = 'current_portion_long_term_debt'").withColumn("amount", F.abs("value"))
@@ -165,15 +170,16 @@ def _selected(df: DataFrame) -> DataFrame:
 def final_groups(df: DataFrame) -> DataFrame:
     """A row for each metric and year: the choice, why, and what it beat.
 
-    Groups are added up, and the winners joined to them; no window holds a group.
+    Groups are added up, and the winners joined to them; no window holds a group. The candidates are scored once and written, as
+    the groups, the ties and the selectors each read them.
     """
-    c = _facts(df)
+    c = kept(_facts(df), "candidates")
     facts = c.groupBy(*KEY).agg(F.count("*").cast("int").alias("candidate_count"), F.count_distinct("value_text").cast("int").alias("distinct_values"), F.max("ratio").alias("any_ratio"), F.max("named").alias("named"), *[F.min(x).alias(f"min_{x}") for x in [*QUALITY, "source_report_year"]], F.max("source_report_year").alias("max_source_report_year"), F.sum(F.col("requires_review").cast("int")).alias("reviews"))
-    base = best_value(df)
+    base = _best(c)
     audited = ((F.col("metric") == "equity") & (F.col("value_year") <= 2023) & F.col("any_ratio") & F.col("named")) | ((F.col("metric") == "revenue") & F.col("value_year").isin(2021, 2022))
     gated = facts.join(_tied(c, base, "tie"), KEY).withColumn("gate", (F.col("candidate_count") > 1) & (F.col("tie") | audited))
     names = ["value", "source_report_year", "page_number", "table_type", "original_metric", "requires_review", *QUALITY]
-    auto = _selected(df).join(gated.where("gate").select(*KEY), KEY, "left_semi")
+    auto = _selected(c).join(gated.where("gate").select(*KEY), KEY, "left_semi")
     chosen = auto.select(*KEY, "auto", *names).unionByName(base.join(auto.select(*KEY), KEY, "left_anti").select(*KEY, F.lit(None).cast("string").alias("auto"), *names))
     # the gate is looked at again from the choice: only then does the selector's reason stand
     g = gated.join(chosen, KEY).join(_tied(c, chosen, "tied"), KEY)
