@@ -71,3 +71,23 @@ _TABLES = ", q AS (SELECT page_number, any_value(table_type) AS table_type, CAST
 @query("d9_extraction_quality", with_fixture("fx_lines", CHAIN + _TABLES + " SELECT page_number, 0 AS table_index, table_type, 3 AS n_years, n_labels, n_values, false AS numeric_only, round(CAST(20 + 25 + least(25, 2.0 * n_labels) + least(30, 2.0 * n_values) AS DOUBLE), 2) AS score, n_values > 0 AS sufficient FROM q"))
 def _(s, d):
     return extract.quality(_chain(s, d))
+
+
+_HAS = "EXISTS (SELECT 1 FROM fx_rows x WHERE x.page_number = r.page_number AND x.row_index = {0})"
+
+
+@query(
+    "w8_analysis_split",
+    with_fixture("fx_rows", f""", r AS (SELECT DISTINCT page_number, row_index FROM fx_rows UNION SELECT DISTINCT page_number, 0 FROM fx_rows)
+SELECT page_number, 0 AS table_index, CAST(row_index AS INT) AS row_index, CASE WHEN row_index < 2 THEN 0 WHEN row_index < 4 THEN 1 ELSE 2 END AS split, CASE WHEN row_index < 2 THEN 'Income Statement' WHEN (row_index < 4) = (page_number % 2 = 0) THEN 'vertical_analysis' ELSE 'horizontal_analysis' END AS logical_type
+FROM r WHERE {_HAS.format(2)} AND {_HAS.format(4)} AND page_number % 5 > 0 AND page_number % 3 > 0 AND page_number % 7 > 0"""),
+)
+def _(s, d):
+    # pages by number: one without horizontal analysis among its types, one whose second mark has no years, one without subtotals; the analyses change places
+    cells = fixture(s, d, "fx_cells")
+    p, i = F.col("page_number"), F.col("row_index")
+    marks = F.when(p % 2 == 0, F.when(i == 2, "Vertical Ana lysis").when(i == 4, "Horizontal analysis")).otherwise(F.when(i == 2, "Horizontal an alysis").when(i == 4, "VERTICAL ANALYSIS"))
+    label = F.when((i == 1) & (p % 7 > 0), "Gross profit").when(i.isin(2, 4), F.concat(marks, F.when((p % 3 == 0) & (i == 4), "").otherwise(" 2025 and 2024"))).otherwise(F.col("cell"))
+    cells = cells.withColumn("cell", F.when(F.col("col_index") == 0, label).when((i == 4) & (p % 3 == 0), "").otherwise(F.col("cell")))
+    types = cells.select("page_number").distinct().select("page_number", F.posexplode(F.array(F.lit("notes"), F.lit("Income Statement"), F.lit("Vertical analysis"), F.when(p % 5 > 0, "horizontal-analysis").otherwise("ratios"))).alias("cls", "table_type"))
+    return extract.analysis_split(cells, types)

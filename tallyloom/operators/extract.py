@@ -357,3 +357,37 @@ def numeric_diagnostics(chained: DataFrame) -> DataFrame:
         F.count_if(repaired_row).alias("shifted_rows_repaired"),
         n(lambda v: v["source"].isin("shifted_row_repair", "merged_numeric_cell_split")).alias("values_recovered"),
     )
+
+
+def analysis_pages(types: DataFrame) -> DataFrame:
+    """Pages that have a primary statement with its vertical and horizontal analysis, and the statement's type.
+
+    types: page_number, cls (order), table_type.
+    """
+    key = snake_key(F.col("table_type"))
+    primary = F.when(key.isin(dims.ANALYSIS_PRIMARY), F.struct("cls", "table_type"))
+    g = types.groupBy("page_number").agg(F.min(primary)["table_type"].alias("primary"), F.max(key == "vertical_analysis").alias("v"), F.max(key == "horizontal_analysis").alias("h"))
+    return g.where("primary is not null and v and h").select("page_number", "primary")
+
+
+def analysis_split(cells: DataFrame, types: DataFrame) -> DataFrame:
+    """(page_number, table_index, row_index, split, logical_type) of the rows of tables that hold a statement and both of its analyses.
+
+    The analyses begin at the first rows that name them beside two years or more, the spaces in their names not counting. A table is
+    split only if it has a subtotal, both analyses begin at rows of their own below the first, and each of the three parts says something.
+    """
+    c = cells.join(analysis_pages(types), "page_number").withColumn("t", strip(F.coalesce("cell", F.lit(""))))
+    r = c.groupBy(*ROW, "primary").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_index", "t"))), lambda x: x["t"]), " ").alias("text"))
+    said = normalize_text(F.col("text"))
+    small, dated = F.replace(said, F.lit(" "), F.lit("")), F.size(years(F.col("text"))) >= 2
+    total = F.lit(False)
+    for phrase in dims.ANALYSIS_SUBTOTALS:
+        total = total | has_phrase(said, F.lit(phrase))
+    w = Window.partitionBy(*TABLE)
+    begin = lambda name: F.min(F.when(dated & small.contains(name), F.col("row_index"))).over(w)
+    r = r.withColumn("v", begin("verticalanalysis")).withColumn("h", begin("horizontalanalysis")).withColumn("first", F.min("row_index").over(w)).withColumn("total", F.max(total).over(w))
+    part = F.when(F.col("row_index") < F.least("v", "h"), 0).when(F.col("row_index") < F.greatest("v", "h"), 1).otherwise(2)
+    r = r.where("total and v > first and h > first and v <> h").withColumn("split", part)
+    r = r.withColumn("parts", F.size(F.collect_set(F.when(said != "", F.col("split"))).over(w)))
+    kind = F.when(F.col("split") == 0, F.col("primary")).when((F.col("split") == 1) == (F.col("v") < F.col("h")), "vertical_analysis").otherwise("horizontal_analysis")
+    return r.where("parts = 3").select(*ROW, "split", kind.alias("logical_type"))

@@ -185,3 +185,7 @@ SECTION_ALIASES = {
     "Sustainability": ["sustainability", "sustainability review", "corporate social responsibility", "csr"],
     "ESG": ["esg", "environmental social and governance", "environment social governance"],
 }
+
+# Fixed values, P19: rows and types by which an analysis table is known.
+ANALYSIS_PRIMARY = ["balance_sheet", "statement_of_financial_position", "income_statement", "profit_and_loss", "statement_of_profit_or_loss"]
+ANALYSIS_SUBTOTALS = ["total assets", "total equity", "total equity and liabilities", "total funds invested", "gross profit", "operating profit", "profit before taxation", "profit after taxation", "total comprehensive income"]
