@@ -73,6 +73,35 @@ def _(s, d):
     return extract.quality(_chain(s, d))
 
 
+@query("a5_score_buckets", with_fixture("fx_lines", CHAIN + _TABLES + ", s AS (SELECT least(4, CAST(floor((45 + least(25, 2.0 * n_labels) + least(30, 2.0 * n_values)) / 20) AS INT)) AS k FROM q) SELECT ['0-20', '20-40', '40-60', '60-80', '80-100'][b + 1] AS bucket, (SELECT count(*) FROM s WHERE k = b) AS n FROM range(5) r(b)"))
+def _(s, d):
+    return extract.score_buckets(extract.quality(_chain(s, d)))
+
+
+@query(
+    "o1_suspicious_metrics",
+    with_fixture("fx_metric_values", """, u AS (SELECT metric, value_year, source_report_year, kind AS table_type, count(*) AS n, count(DISTINCT value) AS n_values FROM (SELECT *, CASE WHEN page_number % 5 = 0 THEN 'unclassified' ELSE table_type END AS kind FROM fx_metric_values) f GROUP BY 1, 2, 3, 4)
+SELECT *, array_to_string(list_filter([CASE WHEN n > 1 THEN 'duplicate_metric_values' END, CASE WHEN n_values > 1 THEN 'conflicting_values' END, CASE WHEN table_type = 'unclassified' THEN 'unclassified_table_metric' END], lambda x: x IS NOT NULL), ',') AS reasons,
+  CAST(least(100, CASE WHEN n_values > 1 THEN 65 ELSE 0 END + CASE WHEN n > 1 THEN least(25, 5 * (n - 1)) ELSE 0 END + CASE WHEN table_type = 'unclassified' THEN 20 ELSE 0 END + CASE WHEN n_values > 2 THEN least(10, 2 * n_values) ELSE 0 END) AS DOUBLE) AS score FROM u WHERE n > 1 OR table_type = 'unclassified' ORDER BY score DESC, metric, value_year, table_type, source_report_year LIMIT 20"""),
+)
+def _(s, d):
+    f = fixture(s, d, "fx_metric_values").withColumn("table_type", F.when(F.col("page_number") % 5 == 0, "unclassified").otherwise(F.col("table_type")))
+    return extract.suspicious_metrics(f)
+
+
+_REPAIRED = "count(*) FILTER (valued AND kind IN (2, 3))"
+_COUNTS = {"label_reconstruction": "kind IN (5, 11)", "label_degluing": "kind = 6", "fragmentation_cleanup": "kind IN (7, 12)", "note_row_filtering": "kind = 8", "note_context_inheritance": "above IS NOT NULL", "header_inheritance": "valued AND metric <> noted"}
+
+
+@query(
+    "d8_quality_report",
+    with_fixture("fx_lines", CHAIN + " SELECT count(DISTINCT page_number) AS tables, CAST(0 AS BIGINT) AS missing_years, CAST(0 AS BIGINT) AS missing_labels, CAST(0 AS BIGINT) AS numeric_only, CAST(0 AS BIGINT) AS unclassified, 3 * count(*) FILTER (valued) AS metric_values, " + ", ".join(f"count(*) FILTER ({w}) AS {n}_rows, 3 * count(*) FILTER ({w}) AS {n}_values" for n, w in _COUNTS.items())
+    + f", 3 * count(*) FILTER (scale > 1 AND kind IN (11, 12)) AS scale_exempt_values, 3 * count(*) FILTER (scale > 1 AND kind IN (11, 12)) AS scale_corrections_applied, count(*) FILTER (kind = 4) AS negative_values_recovered, {_REPAIRED} AS shifted_rows_repaired, 3 * {_REPAIRED} AS values_recovered FROM l8"),
+)
+def _(s, d):
+    return extract.quality_report(_chain(s, d))
+
+
 _HAS = "EXISTS (SELECT 1 FROM fx_rows x WHERE x.page_number = r.page_number AND x.row_index = {0})"
 
 

@@ -391,3 +391,29 @@ def analysis_split(cells: DataFrame, types: DataFrame) -> DataFrame:
     r = r.withColumn("parts", F.size(F.collect_set(F.when(said != "", F.col("split"))).over(w)))
     kind = F.when(F.col("split") == 0, F.col("primary")).when((F.col("split") == 1) == (F.col("v") < F.col("h")), "vertical_analysis").otherwise("horizontal_analysis")
     return r.where("parts = 3").select(*ROW, "split", kind.alias("logical_type"))
+
+
+def score_buckets(tables: DataFrame) -> DataFrame:
+    """A5: how many tables have a score in each fifth, empty fifths too."""
+    names = ["0-20", "20-40", "40-60", "60-80", "80-100"]
+    at = F.least(F.lit(4), F.floor(F.col("score") / 20).cast("int"))
+    return tables.agg(*[F.count_if(at == k).alias(n) for k, n in enumerate(names)]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("bucket"), F.col(n).alias("n")) for n in names])).alias("x")).select("x.*")
+
+
+def suspicious_metrics(facts: DataFrame, top: int = 20) -> DataFrame:
+    """O1: groups of a metric, year, report and table type that repeat, contradict themselves or have no type, the most suspicious first."""
+    g = facts.groupBy("metric", "value_year", "source_report_year", "table_type").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+    found = {"duplicate_metric_values": F.col("n") > 1, "conflicting_values": F.col("n_values") > 1, "unclassified_table_metric": snake_key(F.col("table_type")) == "unclassified"}
+    points = F.when(F.col("n_values") > 1, 65).otherwise(0) + F.when(F.col("n") > 1, F.least(F.lit(25), 5 * (F.col("n") - 1))).otherwise(0) + F.when(found["unclassified_table_metric"], 20).otherwise(0) + F.when(F.col("n_values") > 2, F.least(F.lit(10), 2 * F.col("n_values"))).otherwise(0)
+    reasons = F.array_join(F.array_compact(F.array(*[F.when(test, name) for name, test in found.items()])), ",")
+    g = g.withColumn("reasons", reasons).where("reasons <> ''").withColumn("score", F.least(F.lit(100), points).cast("double"))
+    return g.orderBy(F.desc("score"), "metric", "value_year", "table_type", "source_report_year").limit(top)
+
+
+def quality_report(chained: DataFrame) -> DataFrame:
+    """One row of counts over all tables, their steps and their repairs."""
+    t, steps, numbers = quality(chained), diagnostics(chained), numeric_diagnostics(chained)
+    tables = t.agg(F.count("*").alias("tables"), F.count_if(F.col("n_years") == 0).alias("missing_years"), F.count_if(F.col("n_labels") == 0).alias("missing_labels"), F.count_if("numeric_only").alias("numeric_only"), F.count_if(F.coalesce(F.col("table_type"), F.lit("unclassified")) == "unclassified").alias("unclassified"), F.coalesce(F.sum("n_values"), F.lit(0)).alias("metric_values"))
+    changed = steps.agg(*[F.count_if(F.col("step") == s).alias(f"{s}_rows") for s in _STEPS], *[F.coalesce(F.sum(F.when(F.col("step") == s, F.col("n_values"))), F.lit(0)).alias(f"{s}_values") for s in _STEPS])
+    repairs = numbers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers.columns if c not in TABLE])
+    return tables.crossJoin(changed).crossJoin(repairs)  # three single rows
