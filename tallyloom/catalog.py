@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog_extract, catalog_pages, catalog_registry, catalog_rules, catalog_sections  # noqa: F401  (register their queries)
+from . import catalog_extract, catalog_pages, catalog_registry, catalog_rules, catalog_sections, catalog_template  # noqa: F401  (register their queries)
 
 from .functions import numbers, text
 from .operators import consolidate, extract, grid, labels, matching, narrative, validate, workbook

@@ -189,3 +189,7 @@ SECTION_ALIASES = {
 # Fixed values, P19: rows and types by which an analysis table is known.
 ANALYSIS_PRIMARY = ["balance_sheet", "statement_of_financial_position", "income_statement", "profit_and_loss", "statement_of_profit_or_loss"]
 ANALYSIS_SUBTOTALS = ["total assets", "total equity", "total equity and liabilities", "total funds invested", "gross profit", "operating profit", "profit before taxation", "profit after taxation", "total comprehensive income"]
+
+# Fixed values, X1, A12: labels of templates that are no metrics, and metrics that a template must have.
+TEMPLATE_WORDS = ["account", "amount", "description", "line_item", "metric", "metrics", "note", "notes", "particular", "particulars", "pkr", "pkrs", "rs", "rupees", "year", "years"]
+CRITICAL_TEMPLATE = ["revenue", "gross_profit", "ebitda", "profit_after_tax", "pat", "total_assets", "total_liabilities", "total_equity"]

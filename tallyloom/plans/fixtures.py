@@ -22,6 +22,14 @@ SELECT CASE p.p_type WHEN 'MEDIUM' THEN 'revenue' WHEN 'STANDARD' THEN 'equity'
          lpad(CAST(l.l_suppkey AS VARCHAR(20)), 12, '0'), '-', lpad(CAST(CAST(round(l.l_extendedprice) AS BIGINT) AS VARCHAR(20)), 12, '0')) AS input_key
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey"""
 
+#: A template of the values' sheets: one sheet is missing, others lack metrics or a year, have more, or have a metric far to the right.
+TEMPLATE = """
+SELECT upper(replace(table_type, '_', ' ')) AS sheet, CAST(1 + r AS INT) AS row, CAST(CASE WHEN table_type = 'cash_flow_statement' AND r = 2 THEN 5 ELSE 1 END AS INT) AS col, replace(metric, '_', ' ') AS value
+FROM (SELECT table_type, metric, dense_rank() OVER (PARTITION BY table_type ORDER BY metric) AS r FROM (SELECT DISTINCT table_type, metric FROM fx_metric_values) m) x WHERE table_type <> 'notes' AND NOT (table_type = 'ratio_analysis' AND r % 2 = 0) AND NOT (table_type = 'debt_schedule' AND r = 1)
+UNION ALL SELECT upper(replace(table_type, '_', ' ')), 1, 1, 'Particulars' FROM (SELECT DISTINCT table_type FROM fx_metric_values) t WHERE table_type <> 'notes'
+UNION ALL SELECT 'INCOME STATEMENT', 40, 1, 'Widget count' FROM (SELECT DISTINCT table_type FROM fx_metric_values) t WHERE table_type = 'income_statement'
+UNION ALL SELECT upper(replace(table_type, '_', ' ')), CAST(CASE WHEN table_type = 'ratio_analysis' THEN 30 ELSE 1 END AS INT), CAST(value_year - 1990 AS INT), CAST(value_year AS VARCHAR(9)) FROM (SELECT DISTINCT table_type, value_year FROM fx_metric_values) y WHERE table_type <> 'notes' AND NOT (table_type = 'balance_sheet' AND value_year = 1999)"""
+
 #: Candidates with the labels that selectors look for, in coarse values, so that copies, opposite signs and scales meet.
 NAMED_VALUES = """
 SELECT metric, value_year, source_report_year, page_number, table_type,
@@ -151,8 +159,8 @@ def _books() -> str:
     return f"SELECT e AS entity_id, y AS value_year, {seen} FROM ({out}) q"
 
 
-VIEWS = {"fx_report": REPORT_PAGES, "fx_books": _books(), "fx_raw": RAW_TABLES, "fx_types": PAGE_TYPES, "fx_lines": LINES, "fx_grid": GRID, "fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
-TABLES = {"fx_report": ("documents",), "fx_books": ("lineitem",), "fx_raw": ("part",), "fx_types": ("part",), "fx_lines": ("lineitem", "part"), "fx_grid": ("lineitem", "part"), "fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
+VIEWS = {"fx_template": TEMPLATE, "fx_report": REPORT_PAGES, "fx_books": _books(), "fx_raw": RAW_TABLES, "fx_types": PAGE_TYPES, "fx_lines": LINES, "fx_grid": GRID, "fx_metric_values": METRIC_VALUES, "fx_named_values": NAMED_VALUES, "fx_rows": ROWS, "fx_cells": CELLS, "fx_pages": PAGES, "fx_insights": INSIGHTS, "fx_boxes": BOXES, "fx_statements": STATEMENTS}
+TABLES = {"fx_template": ("lineitem", "orders", "part"), "fx_report": ("documents",), "fx_books": ("lineitem",), "fx_raw": ("part",), "fx_types": ("part",), "fx_lines": ("lineitem", "part"), "fx_grid": ("lineitem", "part"), "fx_metric_values": ("lineitem", "orders", "part"), "fx_named_values": ("lineitem", "orders", "part"), "fx_rows": ("lineitem", "part"), "fx_cells": ("lineitem", "part"), "fx_pages": ("documents",), "fx_insights": ("documents",), "fx_boxes": ("part",), "fx_statements": ("lineitem",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,7 +168,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Fixtures made from another one.
-BASES = {"fx_lines": "fx_rows", "fx_grid": "fx_lines", "fx_cells": "fx_rows", "fx_named_values": "fx_metric_values"}
+BASES = {"fx_template": "fx_metric_values", "fx_lines": "fx_rows", "fx_grid": "fx_lines", "fx_cells": "fx_rows", "fx_named_values": "fx_metric_values"}
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
