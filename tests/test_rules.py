@@ -7,7 +7,7 @@ from tallyloom.operators import consolidate, grid, narrative
 
 
 def test_table_quality(spark):
-    rows = [["Metric", "2025", "2024"], ["Revenue", "100", "80"], ["Debt", "45", "50"]]
+    rows = [["Item", "2031", "2030"], ["Fees", "71", "64"], ["Loans", "9", "12"]]
     cells = [(1, 0, i, j, c) for i, r in enumerate(rows) for j, c in enumerate(r)] + [(2, 0, i, j, str(10 * i + j)) for i in range(2) for j in range(2)] + [(3, 0, 0, 0, "")]
     got = {x.page_number: x for x in grid.quality(spark.createDataFrame(cells, "page_number int, table_index int, row_index int, col_index int, cell string")).collect()}
     # 10 + 10, two years, three labels, four values
