@@ -12,7 +12,8 @@ similar as asked to one, "earlier" by doc_id and then line number.
 A line goes for one earlier match, so not all of its matches are looked for. Before the join, lines that share two
 neighbouring words of their prefixes are compared with a few of the earliest lines that have these two; a line that this
 removes asks no more in the join, though others may still match it. Of n lines made from one template, nearly all
-are compared with these alone, so pairs grow with the lines and not with their square.
+are compared with these alone. Lines of a small vocabulary that are not similar still meet in the lists of its words: their join rows
+grow with the square of the lines before the parities drop them.
 
 Rarity is the count of a word's bucket of ``BUCKETS``: it orders, so that a shared bucket costs time and
 no match. Prefixes are joined on 32-bit hashes and verified on 64-bit ones. Only DataFrame functions are used. Equal

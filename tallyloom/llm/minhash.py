@@ -14,7 +14,9 @@ in 100,000. Candidates are found by
   whose documents are then in one component need no more pairs. In the others pairs across
   components are compared, but for pairs of
   one home (a document near many, see ``_homes``) that can't be similar enough by what each shares with it, unless they share shingles
-  beside it: these are joined on the rarest of such shingles instead, so a group of near copies that are far from each other costs no pair for each two.
+  beside it: these are joined on the rarest of such shingles instead. That spares most pairs of near copies that are far from each
+  other, but not all: of documents that change the same places of one text to a few variants each, the pairs that share such a change
+  still grow with the square of the home.
 
 Every candidate is confirmed on the two full sets. Equal sets are one class from the start, so
 that groups of exact copies cost a row for each copy.

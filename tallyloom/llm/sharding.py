@@ -6,9 +6,10 @@ its shards are merged in bins of up to ``TARGET`` bytes. A bin is one task that
 writes one file, so nothing is shuffled; bins go in waves of ``WAVE``. Shards near the target size are left alone.
 
 A version is a manifest file that lists the shards. It is written under a temporary name and renamed
-to its number; a rename to a number that exists fails, so of two writers one wins and the other begins anew
-from the winner's version. Readers see whole versions only. Files that no kept version lists are removed by ``vacuum``. A job
-that dies midway leaves files that no manifest lists.
+to its number; a rename to a number that exists fails, so of two writers one wins and the other commits what it has written on top of
+the winner's version: an arrival always, a merge if the shards that it replaces are still listed, else it is planned anew. Readers see
+whole versions only. Files that no kept version lists are removed by ``vacuum``, which is told how long a writer may take before it
+commits. A job that dies midway leaves files that no manifest lists.
 
 Results for odd input: any columns and types that Parquet has are kept, nulls and repeated rows too; an empty
 arrival makes a version without new shards, an empty store is read as no rows.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,8 @@ from ._util import Scratch, small
 
 FANOUT, SMALLEST, TARGET, WAVE = 4, 1 << 20, 32 << 20, 32
 ARRIVALS = 4
+#: Times that a writer tries to commit on top of others.
+ATTEMPTS = 50
 
 
 class Conflict(RuntimeError):
@@ -80,9 +84,20 @@ class Store:
         return [{"path": f"{folder}/{r['name']}", "bytes": r["bytes"], "rows": r["rows"]} for r in files]
 
     def append(self, arrival: DataFrame) -> dict:
-        base = self.manifest()
         shards = [x | {"merges": 0} for x in self._written(arrival, f"shards/{uuid.uuid4().hex}")]
-        return self.commit(base, base["shards"] + shards, base["schema"] or arrival.schema.json())
+        return self._committed(set(), shards, arrival.schema.json())
+
+    def _committed(self, gone: set[str], new: list[dict], schema: str | None = None) -> dict | None:
+        """Commits new shards in place of some, on top of whatever version is the latest; None if one of these has been replaced meanwhile."""
+        for attempt in range(ATTEMPTS):
+            base = self.manifest()
+            if not gone <= {x["path"] for x in base["shards"]}:
+                return None
+            try:
+                return self.commit(base, [x for x in base["shards"] if x["path"] not in gone] + new, base["schema"] or schema)
+            except Conflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.smallest, self.fanout)) + 1)
@@ -119,11 +134,12 @@ class Store:
             new = [x | {"merges": most} for x in self._written(merged, f"shards/{uuid.uuid4().hex}")]
             if sum(x["rows"] for x in new) != sum(y["rows"] for x in wave for y in x):
                 raise RuntimeError("a merge has not as many rows as its shards")
-            self.commit(base, [x for x in base["shards"] if x["path"] not in gone] + new, base["schema"])
+            self._committed(gone, new)
         return base
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Removes manifests but the last ones, and files that these don't list."""
+    def vacuum(self, keep: int = 1, seconds: float = 0) -> None:
+        """Removes manifests but the last ones, and files that these don't list and that are older than a writer may take to commit them."""
+        before = (time.time() - seconds) * 1000
         versions = self.versions()
         kept = {x["path"] for v in versions[-keep:] for x in self.manifest(v)["shards"]}
         for v in versions[:-keep]:
@@ -131,7 +147,7 @@ class Store:
         for folder in self._fs.listStatus(self._path("shards")) if self._fs.exists(self._path("shards")) else []:
             name = folder.getPath().getName()
             for f in self._fs.listStatus(folder.getPath()):
-                if f"shards/{name}/{f.getPath().getName()}" not in kept:
+                if f"shards/{name}/{f.getPath().getName()}" not in kept and f.getModificationTime() <= before:
                     self._fs.delete(f.getPath(), False)
 
     def _schema(self, manifest: dict):

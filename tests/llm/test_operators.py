@@ -537,3 +537,32 @@ def test_store(spark, tmp_path):
     assert store.versions() == [m["version"]] and store.read().count() == d.count()
     assert sharding.compacted(d.limit(0)).count() == 0
     assert sharding.compacted(documents(spark)).count() == len(TEXTS) + 1
+
+
+def test_store_two_writers(spark, tmp_path):
+    """Both arrivals stay, whoever commits first; a merge whose shards another has replaced is planned anew."""
+    root = f"file://{tmp_path}/store"
+    a, b = (sharding.Store(spark, root, target=1 << 20, fanout=4, smallest=1 << 12) for _ in range(2))
+    a.append(spark.range(0, 10).coalesce(1))
+    stale = b.manifest()
+    a.append(spark.range(10, 20).coalesce(1))
+    real, seen = b.manifest, []
+
+    def late(version=None):
+        seen.append(1)
+        return stale if len(seen) == 1 else real(version)
+
+    b.manifest = late
+    b.append(spark.range(20, 30).coalesce(1))
+    b.manifest = real
+    assert sorted(r.id for r in b.read().collect()) == list(range(30)) and b.manifest()["version"] == 3
+    assert b._committed({"shards/none"}, []) is None
+    for k in range(3, 6):
+        a.append(spark.range(10 * k, 10 * k + 10).coalesce(1))
+    a.compact()
+    b.vacuum(seconds=3600)
+    assert sorted(r.id for r in a.read().collect()) == list(range(60))
+    left = len(list((tmp_path / "store" / "shards").glob("*/part-*.parquet")))
+    b.vacuum()
+    assert len(list((tmp_path / "store" / "shards").glob("*/part-*.parquet"))) < left
+    assert sorted(r.id for r in b.read().collect()) == list(range(60))
