@@ -230,7 +230,7 @@ def _(s, d):
     return grid.split_negatives(c.select("page_number", "table_index", "row_index", (2 * F.col("col_index") + F.col("k")).alias("col_index"), split.alias("cell")))
 
 
-@_query("n7_shifted_rows")
+@_query("n7_shifted_rows", with_fixture("fx_cells", """, h AS (SELECT page_number, count(*) AS n FROM fx_cells WHERE row_index = 0 AND col_index >= 2 GROUP BY 1), v AS (SELECT page_number, row_index, count(*) AS n FROM fx_cells WHERE row_index > 0 AND col_index >= 2 AND cell <> '-' GROUP BY 1, 2) SELECT page_number, 0 AS table_index, row_index, 1 AS "offset" FROM v JOIN h USING (page_number, n) WHERE row_index % 2 = 0"""))
 def _(s, d):
     c = fixture(s, d, "fx_cells")
     move = (F.col("row_index") > 0) & (F.col("col_index") >= 2) & (F.col("row_index") % 2 == 0)
@@ -301,6 +301,27 @@ def _(s, d):
     return consolidate.best_value(fixture(s, d, "fx_metric_values")).select("metric", "value_year", "value", "source_report_year", "page_number", "table_type")
 
 
+@_query("r7_candidate_payload", with_fixture("fx_named_values", _RANKED_NAMED + " SELECT metric, value_year, value, source_report_year, page_number, table_type, original_metric, requires_review, confidence, CAST(cleanliness AS INT) AS cleanliness, CAST(context AS INT) AS context, CAST(priority AS INT) AS priority, input_key, CASE table_type WHEN 'ratio_analysis' THEN 'analysis_or_ratio' WHEN 'debt_schedule' THEN 'supporting_schedule' WHEN 'notes' THEN 'note_disclosure' ELSE 'primary_statement' END AS source_class, CAST(rn AS INT) AS rank FROM w WHERE rn <= 10"))
+def _(s, d):
+    return consolidate.payload(fixture(s, d, "fx_named_values"))
+
+
+_PLAIN = "(SELECT * REPLACE (CAST(0 AS DOUBLE) AS confidence, metric AS original_metric, false AS requires_review) FROM fx_metric_values) p"
+
+
+@_query("r9_plain_values", with_fixture("fx_metric_values", _SCORED.replace("{0}", _PLAIN) + " SELECT metric, value_year, value, source_report_year, page_number, table_type, confidence FROM w WHERE rn = 1"))
+def _(s, d):
+    return consolidate.best_value(consolidate.from_values(fixture(s, d, "fx_metric_values"))).select("metric", "value_year", "value", "source_report_year", "page_number", "table_type", "confidence")
+
+
+@_query("r9_report_context", with_fixture("fx_metric_values", ", r AS (SELECT CAST(o_orderkey AS BIGINT) AS report_id, CAST(1994 + o_orderkey % 12 AS INT) AS year FROM orders), k AS (SELECT m.* FROM fx_metric_values m WHERE source_report_year IN (SELECT year FROM r)) SELECT 'values' AS kind, source_report_year AS year, count(*) AS n FROM k GROUP BY 2 UNION ALL SELECT 'no values for report year ' || year, year, count(*) FROM r WHERE year NOT IN (SELECT source_report_year FROM fx_metric_values) GROUP BY year"))
+def _(s, d):
+    reports = table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("report_id"), (1994 + F.col("o_orderkey") % 12).cast("int").alias("year"))
+    values, failed = consolidate.from_reports(reports, fixture(s, d, "fx_metric_values"))
+    got = values.groupBy(F.lit("values").alias("kind"), F.col("source_report_year").alias("year")).agg(F.count("*").alias("n"))
+    return got.unionByName(failed.groupBy(F.col("error").alias("kind"), "year").agg(F.count("*").alias("n")))
+
+
 @_query("p16_source_class", with_fixture("fx_metric_values", " SELECT DISTINCT table_type, CASE table_type WHEN 'ratio_analysis' THEN 75 WHEN 'debt_schedule' THEN 65 WHEN 'notes' THEN 35 ELSE 100 END AS priority, CASE table_type WHEN 'ratio_analysis' THEN 'analysis_or_ratio' WHEN 'debt_schedule' THEN 'supporting_schedule' WHEN 'notes' THEN 'note_disclosure' ELSE 'primary_statement' END AS source_class FROM fx_metric_values"))
 def _(s, d):
     return fixture(s, d, "fx_metric_values").select("table_type", consolidate.table_priority().alias("priority"), consolidate.source_class().alias("source_class")).distinct()

@@ -79,6 +79,29 @@ def _best(c: DataFrame) -> DataFrame:
     return c.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
+def payload(df: DataFrame, most: int = 10) -> DataFrame:
+    """The best candidates of each metric and year, ranked, the winner first: a report of the top ``most``, which the window keeps per task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(*_order()))
+    keep = [*KEY, "value", "source_report_year", "page_number", "table_type", "original_metric", "requires_review", *QUALITY, "input_key"]
+    return candidates(df).withColumn("rank", rank).where(F.col("rank") <= most).select(*keep, source_class().alias("source_class"), "rank")
+
+
+def from_values(values: DataFrame) -> DataFrame:
+    """Plain values as candidates: nobody has mapped them, so their confidence is 0 and their label is the metric."""
+    return values.withColumn("confidence", F.lit(0.0)).withColumn("original_metric", F.col("metric")).withColumn("requires_review", F.lit(False))
+
+
+def from_reports(reports: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates of a whole context, and (report_id, year, error) of reports that have no values for their year.
+
+    reports: report_id, year. values: source_report_year and a candidate's other columns. A report without values is an error row; the others count.
+    """
+    years = values.select(F.col("source_report_year").alias("year")).distinct()
+    failed = reports.join(years, "year", "left_anti").select("report_id", "year", F.concat(F.lit("no values for report year "), F.col("year").cast("string")).alias("error"))
+    known = reports.select(F.col("year").alias("source_report_year")).distinct()
+    return values.join(known, "source_report_year", "left_semi"), failed
+
+
 def _is_ratio() -> Column:
     return F.lower(F.concat_ws(" ", "table_type", "original_metric")).rlike(dims.RATIO_SOURCE)
 

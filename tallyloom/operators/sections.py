@@ -39,8 +39,11 @@ def heading_lines(text: Column) -> Column:
 
 def heading(text: Column) -> Column:
     """The first lines, and again with runs of short lines joined; as both are joined in the end, the block is the lines twice."""
-    once = normalize_text(F.array_join(heading_lines(text), " "))
-    return F.trim(F.concat_ws(" ", once, once))
+    return F.trim(F.concat_ws(" ", _first_lines(text), _first_lines(text)))
+
+
+def _first_lines(text: Column) -> Column:
+    return normalize_text(F.array_join(heading_lines(text), " "))
 
 
 def pieces_needed(alias: str, near: float = NEAR) -> int:
@@ -115,36 +118,37 @@ class _Bounds:
         return out
 
 
-def _near(blocks: Column, tops: Column) -> Column:
-    """The numbers of the aliases that are near a window of the heading or the top of a page."""
+def _near(firsts: Column, tops: Column) -> Column:
+    """The numbers of the aliases that are near a window of the first lines, of where their repetition joins them, or of the top of a page."""
+    joint = max(len(a.split()) for _, a in ALIASES) + 2
 
     @F.pandas_udf("array<int>")
-    def run(blocks: pd.Series, tops: pd.Series) -> pd.Series:
+    def run(firsts: pd.Series, tops: pd.Series) -> pd.Series:
         bounds, out = _Bounds(), []
-        for texts in zip(blocks, tops):
+        for first, top in zip(firsts, tops):
             found: set[int] = set()
-            for text in texts:
+            for text in (f"{first} {' '.join(first.split(' ', joint)[:joint])}", top):
                 found |= {k for k, parts in bounds.spans(text).items() if k not in found and any(_is_near(ALIASES[k][1], part) for part in parts)}
             out.append(sorted(found))
         return pd.Series(out)
 
-    return run(blocks, tops)
+    return run(firsts, tops)
 
 
 def matched(pages: DataFrame) -> DataFrame:
     """``direct`` (the section whose alias comes first of those found), ``alias``, ``in_heading`` and ``aliases`` (how many there are)."""
     text = F.coalesce("text", F.lit(""))
     # one row each: a Generate keeps the optimizer from copying these texts' expressions into the lambdas that use them
-    tops = F.struct(normalize_text(F.substr(text, F.lit(1), F.lit(AREA))).alias("area"), normalize_text(F.substr(text, F.lit(1), F.lit(TOP))).alias("top"), heading(text).alias("block"))
-    p = pages.select("*", F.inline(F.array(tops)))
+    tops = F.struct(normalize_text(F.substr(text, F.lit(1), F.lit(AREA))).alias("area"), normalize_text(F.substr(text, F.lit(1), F.lit(TOP))).alias("top"), _first_lines(text).alias("once"))
+    p = pages.select("*", F.inline(F.array(tops))).withColumn("block", F.trim(F.concat_ws(" ", "once", "once")))
     each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("alias")) for k, (_, a) in enumerate(ALIASES)])
     said = lambda *where: F.transform(F.filter(each, lambda a: F.exists(F.array(*where), lambda t: has_phrase(t, a["alias"]))), lambda a: a["k"])
-    p = p.withColumn("near", _near(F.col("block"), F.col("top")))
+    p = p.withColumn("near", _near(F.col("once"), F.col("top")))
     p = p.withColumn("headed", F.array_union(said(F.col("block"), F.col("top")), "near")).withColumn("hits", F.sort_array(F.array_union("headed", said(F.col("area")))))
     first = F.get("hits", F.lit(0))
     of = lambda xs, k: F.get(F.array(*map(F.lit, xs)), k)
     names = F.array_distinct(F.transform("hits", lambda k: of([a for _, a in ALIASES], k)))
-    return p.select("*", of([s for s, _ in ALIASES], first).alias("direct"), of([a for _, a in ALIASES], first).alias("alias"), F.coalesce(F.array_contains("headed", first), F.lit(False)).alias("in_heading"), F.size(names).alias("aliases")).drop("area", "top", "block", "near", "headed", "hits")
+    return p.select("*", of([s for s, _ in ALIASES], first).alias("direct"), of([a for _, a in ALIASES], first).alias("alias"), F.coalesce(F.array_contains("headed", first), F.lit(False)).alias("in_heading"), F.size(names).alias("aliases")).drop("area", "top", "once", "block", "near", "headed", "hits")
 
 
 def confidence(kind: Column, prose: Column, table: Column, ignored: Column, base: Column) -> Column:
