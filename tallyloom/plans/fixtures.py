@@ -84,7 +84,7 @@ FROM documents d"""
 
 #: Reports of 20 pages: sections that open, go on and end, headings with slips, scans without text, pages of other kinds.
 REPORT_PAGES = """
-SELECT report_id, page_number, CASE WHEN page_number = 14 THEN NULL ELSE concat(CASE page_number WHEN 1 THEN 'Chairman''s Review' WHEN 7 THEN 'Directros Report' WHEN 9 THEN 'Independent Auditor''s Report' WHEN 11 THEN 'Mana gement discu ssion and analysis' WHEN 12 THEN 'Pattern of Shareholding'
+SELECT report_id, page_number, CASE WHEN page_number = 14 THEN NULL ELSE concat('Annual accounts', chr(10), CASE page_number WHEN 1 THEN 'Chairman''s Review' WHEN 7 THEN 'Directros Report' WHEN 9 THEN 'Independent Auditor''s Report' WHEN 11 THEN 'Mana gement discu ssion and analysis' WHEN 12 THEN 'Pattern of Shareholding'
     WHEN 13 THEN 'Future Outlook' WHEN 15 THEN 'Risk Management' WHEN 16 THEN 'Corporate information' WHEN 18 THEN 'Strategic objctives' WHEN 19 THEN 'Stratgc objctvs' ELSE '' END, chr(10), 'Page text begins below', chr(10),
   CASE WHEN page_number BETWEEN 2 AND 6 AND report_id % 3 <> 1 THEN concat('Plant visit', chr(10), 'New line', chr(10), 'Good year') WHEN page_number = 17 AND report_id % 2 = 0 THEN concat('2024  10  20', chr(10), '2023  11  22', chr(10), 'Sum  21  42') ELSE text END) END AS text
 FROM (SELECT CAST((doc_id - doc_id % 20) / 20 AS BIGINT) AS report_id, CAST(1 + doc_id % 20 AS INT) AS page_number, text FROM documents) d"""
