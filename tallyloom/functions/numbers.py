@@ -34,11 +34,12 @@ def _token(x: Column) -> Column:
 
 
 def parse_amount(x: Column, table: Column | int = 1, percent_divides: bool = False, repair: bool = True) -> Column:
-    """N1 (extractor: reads bars as spaces and drops a letter that stands for one before a negative number, a % changes nothing) and N2 (validator: a % divides by 100)."""
+    """N1 (extractor: drops bars inside parentheses, else reads them as spaces, and drops a letter that stands for one before a negative number; a % changes nothing) and N2 (validator: a % divides by 100)."""
     t = strip(x)
     clean = _token(t)
     if repair:
-        clean = F.regexp_replace(F.replace(clean, F.lit("|"), F.lit(" ")), r"\(\s*[Il]\s*(?=[+-]?[0-9])", "(")
+        bars = F.when(clean.rlike(r"^\s*\(.*\)\s*$"), "").otherwise(" ")
+        clean = F.regexp_replace(F.replace(clean, F.lit("|"), bars), r"\(\s*[Il]\s*(?=[+-]?[0-9])", "(")
         odd = F.contains(clean, F.lit(")")) & ~F.contains(clean, F.lit("("))
     else:
         odd = F.lit(False)
