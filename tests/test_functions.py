@@ -128,3 +128,12 @@ def test_liability_pair(spark):
     rows = [("current_portion_long_term_debt", 2024, 2024, 3, "balance_sheet", "Current portion", 1.0, False, v) for v in (-9, 9)]
     (g,) = groups(spark, rows)
     assert (g.value, g.resolution_reason) == (9, "auto_positive_balance_sheet_liability")
+
+
+def test_texts_are_normalized_once(spark):
+    """A filter's lambda that holds the text's expression computes it again for each phrase."""
+    rows = spark.createDataFrame([(1, "Going   CONCERN & code of\tconduct", "a", 0.4), (2, "sold finance-cost 7", "a", 0.6), (3, "7 % of it", "a", 0.1), (4, None, "a", 0.1), (5, "$ 5", "a", 0.1)], "k int, takeaway string, area string, confidence double")
+    g = narrative.governed(rows).select("k", "quantified", "patterns", "route")
+    assert [tuple(r) for r in g.orderBy("k").collect()] == [(1, False, "going concern|code of conduct", "reject"), (2, True, "", "review"), (3, True, "", "review"), (4, False, "", "reject"), (5, True, "", "review")]
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(Contains(lambda" in plan and "lambdafunction(Contains(trim" not in plan and "lambdafunction(Contains(lower" not in plan
