@@ -21,6 +21,12 @@ def explode_rows(tables: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "row"], F.posexplode("row").alias("col_index", "cell")).withColumn("cell", F.coalesce(strip(F.col("cell")), F.lit("")))
 
 
+def decimals(cells: DataFrame) -> DataFrame:
+    """Amounts below a header in row 0 and right of columns 0 and 1, written with a decimal, as an amount of 1961 would else be read as a year."""
+    amount = (F.col("row_index") > 0) & (F.col("col_index") > 1)
+    return cells.withColumn("cell", F.when(amount, F.regexp_replace("cell", r"^(\(?-?[0-9]+)(\)?)$", "$1.0$2")).otherwise(F.col("cell")))
+
+
 def year_columns(cells: DataFrame) -> DataFrame:
     """The row with the most year cells, the first of such; a cell of several years spreads them over the columns
     from its own on, if its row has no year cell."""
