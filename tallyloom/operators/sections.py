@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_phrase, lines, normalize_text, strip
+from ..functions.text import found_in, lines, normalize_text, once, strip
 from ..plans import dims
 from .narrative import page_type as classify
 
@@ -141,8 +141,9 @@ def matched(pages: DataFrame) -> DataFrame:
     # one row each: a Generate keeps the optimizer from copying these texts' expressions into the lambdas that use them
     tops = F.struct(normalize_text(F.substr(text, F.lit(1), F.lit(AREA))).alias("area"), normalize_text(F.substr(text, F.lit(1), F.lit(TOP))).alias("top"), _first_lines(text).alias("once"))
     p = pages.select("*", F.inline(F.array(tops))).withColumn("block", F.trim(F.concat_ws(" ", "once", "once")))
-    each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("alias")) for k, (_, a) in enumerate(ALIASES)])
-    said = lambda *where: F.transform(F.filter(each, lambda a: F.exists(F.array(*where), lambda t: has_phrase(t, a["alias"]))), lambda a: a["k"])
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f" {a} ").alias("alias")) for k, (_, a) in enumerate(ALIASES)])
+    framed = lambda *where: F.array(*[F.concat(F.lit(" "), t, F.lit(" ")) for t in where])
+    said = lambda *where: once(framed(*where), lambda ts: F.transform(F.filter(each, lambda a: F.exists(ts, lambda t: F.contains(t, a["alias"]))), lambda a: a["k"]))
     p = p.withColumn("near", _near(F.col("once"), F.col("top")))
     p = p.withColumn("headed", F.array_union(said(F.col("block"), F.col("top")), "near")).withColumn("hits", F.sort_array(F.array_union("headed", said(F.col("area")))))
     first = F.get("hits", F.lit(0))
@@ -167,9 +168,9 @@ def identify(pages: DataFrame, budget: int = BUDGET, sure: float = SURE, accepte
     from ..functions.text import narrative_density, table_density
 
     text = F.coalesce("text", F.lit(""))
-    p = matched(pages).withColumn("t", classify(text)).withColumn("prose", narrative_density(text)).withColumn("tabular", table_density(text))
+    p = matched(pages).withColumn("prose", narrative_density(text)).withColumn("tabular", table_density(text)).withColumn("t", classify(text, F.col("prose"), F.col("tabular")))
     head = normalize_text(F.substr(text, F.lit(1), F.lit(IGNORED_AREA)))
-    p = p.withColumn("ignored", F.filter(F.array(*map(F.lit, dims.IGNORED)), lambda k: F.contains(head, k))).withColumn("page_type", F.col("t.page_type"))
+    p = p.withColumn("ignored", found_in(head, dims.IGNORED)).withColumn("page_type", F.col("t.page_type"))
     score = lambda base: confidence(F.col("page_type"), F.col("prose"), F.col("tabular"), F.size("ignored"), base)
     p = p.withColumn("own", score(F.when(F.col("in_heading"), 0.78).when(F.col("direct").isNotNull(), 0.45).otherwise(0.0))).withColumn("going", score(F.lit(0.62)))
     blank, terminal = strip(text) == "", F.col("page_type").isin(TERMINAL)

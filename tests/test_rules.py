@@ -70,3 +70,12 @@ def test_amounts_like_years(spark, tmp_path, name):
     result = con.execute(entry.oracle_sql()[name])
     columns = [x[0] for x in result.description]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(result.fetchall())
+
+
+def test_pages_are_read_once(spark):
+    """The heading and the densities of a page are one expression each, however many types and densities ask for them."""
+    rows = spark.createDataFrame([(1, "Outlook\nThe company looks forward to a good year"), (2, "1 2 3\n4 5 6"), (3, None), (4, "--")], "k int, text string")
+    t = rows.select("k", narrative.page_type(F.col("text")).alias("t")).select("k", "t.page_type", "t.confidence")
+    assert [tuple(r) for r in t.orderBy("k").collect()] == [(1, "narrative", 0.8), (2, "table_heavy", 0.8), (3, "unknown", 0.0), (4, "unknown", 0.0)]
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("1200") <= 2  # once for each field that is taken of the result
