@@ -109,6 +109,4 @@ _OVERLAP = "greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0,
 )
 def _(s, d):
     b = fixture(s, d, "fx_boxes")
-    left, right = b.where("side = 'detected'"), b.where("side = 'classified'")
-    found = matching.overlaps(left, right, 0.3).withColumn("precedence", F.lit(2)).unionByName(matching.positional(left, right).withColumn("score", F.lit(0.0)).withColumn("precedence", F.lit(3)))
-    return matching.assign(found)
+    return matching.greedy_boxes(b.where("side = 'detected'"), b.where("side = 'classified'"), 0.3)

@@ -73,7 +73,7 @@ def candidates(raw: DataFrame, classified: DataFrame, pairs: DataFrame) -> DataF
     placed = classified.select("page_number", "cls", F.col("page_table_index").alias("raw")).join(raw.select("page_number", "raw"), ["page_number", "raw"])
     one = lambda d, k: d.groupBy("page_number").agg(F.count("*").alias("n"), F.max(k).alias(k)).where("n = 1").drop("n")
     alone = one(raw, "raw").join(one(classified, "cls"), "page_number")
-    stages = [stage(same, 0, none), stage(overlaps(*boxes), 1, F.col("score")), stage(placed, 2, none), stage(alone, 3, none), stage(pairs.where("said > 0"), 4, F.col("said")), stage(pairs.where("built >= 3"), 5, F.col("built"))]
+    stages = [stage(same, 0, none), stage(overlaps(*boxes, crowded=False), 1, F.col("score")), stage(placed, 2, none), stage(alone, 3, none), stage(pairs.where("said > 0"), 4, F.col("said")), stage(pairs.where("built >= 3"), 5, F.col("built"))]
     out = stages[0]
     for s in stages[1:]:
         out = out.unionByName(s)
