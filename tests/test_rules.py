@@ -79,3 +79,19 @@ def test_pages_are_read_once(spark):
     assert [tuple(r) for r in t.orderBy("k").collect()] == [(1, "narrative", 0.8), (2, "table_heavy", 0.8), (3, "unknown", 0.0), (4, "unknown", 0.0)]
     plan = t._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("1200") <= 2  # once for each field that is taken of the result
+
+
+def test_label_scores_on_odd_labels(spark):
+    import re
+
+    from tallyloom.plans import dims
+
+    labels = ["", "a", "a1b2c3", "a1b2c3d", "Cost of", "proof", "Cost of sales and", "Sand", "x from\r\n", "Gross (net", "Gross (net) of (", "Pro fit fro m", "Cash\tat bank", "Land", "and", "To", "(", "1 2", "é and", "a nd ra tio WITH", "cash \u00a0 bank"]
+    got = {x.l: x for x in spark.createDataFrame([(x,) for x in labels], "l string").select("l", consolidate.cleanliness(F.col("l")).alias("c"), consolidate.cut_short(F.col("l")).alias("cut")).collect()}
+    for x in labels:
+        cut = bool(re.search(dims.CUT_SHORT, x) or re.search(dims.CUT_WORD.replace("$", r"(?:\r\n)?$"), x))
+        assert got[x].cut == cut, x
+        t = x.strip()
+        cut = bool(re.search(dims.CUT_SHORT, t) or re.search(dims.CUT_WORD, t))
+        score = 100 - 35 * bool(re.search(dims.FRAGMENTS, t.lower())) - 25 * cut - 15 * (len(re.sub("[^A-Za-z]", "", t)) < 4)
+        assert got[x].c == (0 if t == "" else max(0, score + min(10, len(re.findall("[A-Za-z]+", t))))), x
