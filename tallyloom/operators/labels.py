@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import is_year, parse_amount
 from ..functions.text import has_phrase, normalize_text, strip
+from ..plans.scratch import kept_small
 
 #: Words that scans tend to split; a parameter of the functions below.
 WORDS = ("and", "ratio", "ratios", "operations", "expenditures", "activity", "activities", "value", "revaluation", "invested", "particulars", "june", "employee", "profit", "charges", "sales", "revenue", "operating", "assets", "liabilities", "equity", "depreciation", "financial", "property", "equipment")
@@ -116,7 +117,8 @@ def strip_parent(label: Column) -> Column:
 def canonical(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     """The longest alias (metric, alias, ordinal) that is the label, or of several words and a phrase of it.
 
-    Distinct labels and their phrases meet the aliases by equality; no pair of a label and an alias is tried in vain.
+    Distinct labels and their phrases meet the aliases by equality; no pair of a label and an alias is tried in vain. What is found is
+    kept and counted, so that few labels of many rows are broadcast: a shuffle by label would deal all rows to a few tasks.
     """
     a = aliases.select("metric", normalize_text(F.col("alias")).alias("phrase"), "ordinal")
     words = F.split(F.col("norm"), " ")
@@ -128,5 +130,5 @@ def canonical(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     longest = a.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     once = labels.select("label").distinct().withColumn("norm", normalize_text(F.col("label")))
     said = F.array_distinct(F.concat(F.array("norm"), *[phrases(k) for k in range(2, longest + 1)]))
-    best = once.select("label", F.explode(said).alias("phrase")).where("phrase <> ''").join(a, "phrase").groupBy("label").agg(F.max_by("metric", F.struct(F.length("phrase"), -F.col("ordinal"))).alias("metric"))
-    return labels.join(best, "label", "left")
+    best = once.select("label", F.explode(said).alias("phrase")).where("phrase <> ''").join(F.broadcast(a), "phrase").groupBy("label").agg(F.max_by("metric", F.struct(F.length("phrase"), -F.col("ordinal"))).alias("metric"))
+    return labels.join(kept_small(best, "canonical"), "label", "left")

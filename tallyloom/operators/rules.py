@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import amounts_match, parse_amount, table_scale, years
 from ..functions.text import normalize_text, snake_key, strip
 from ..plans import dims
+from ..plans.scratch import dealt, kept
 from . import grid
 from .labels import canonical
 
@@ -28,20 +29,22 @@ def _types(scopes: str) -> list[str]:
     return [t for s in scopes.split(",") if s for t in dims.SCOPES[s]]
 
 
-def _matches(table_type: Column, types: Column) -> Column:
-    """P7 against a column of types; no types are all."""
-    key = snake_key(table_type)
+def _matches(key: Column, types: Column) -> Column:
+    """P7 of a table type's key against a column of types; no types are all."""
     return (F.size(types) == 0) | F.coalesce(F.exists(types, lambda t: key.contains(t) | F.contains(t, key)), F.lit(False))
 
 
-def named(facts: DataFrame, aliases: Mapping[str, Sequence[str]] = dims.METRIC_LABELS) -> DataFrame:
-    """V1, fact mode: the metric that a fact's label names (L9), else its snake key."""
-    spark = facts.sparkSession
+def _known(facts: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
     rows = [(m, a, k) for k, (m, a) in enumerate((m, a) for m, xs in aliases.items() for a in xs)]
-    known = canonical(facts.where("value is not null"), spark.createDataFrame(rows, "metric string, alias string, ordinal int"))
+    known = canonical(facts, facts.sparkSession.createDataFrame(rows, "metric string, alias string, ordinal int"))
     return known.withColumn("metric", F.coalesce("metric", snake_key(F.col("label")))).withColumn("value", F.col("value").cast("double"))
 
 
+def named(facts: DataFrame, aliases: Mapping[str, Sequence[str]] = dims.METRIC_LABELS) -> DataFrame:
+    """V1, fact mode: the metric that a fact's label names (L9), else its snake key."""
+    return _known(facts.where("value is not null"), aliases)
+
+
 def read_grids(cells: DataFrame, aliases: Mapping[str, Sequence[str]] = dims.METRIC_LABELS) -> DataFrame:
     """V1, grid mode: the first number of each row whose label names a metric; columns of note references and years don't count, the table's scale does.
 
@@ -86,16 +89,22 @@ def _issue(name: Column, severity: Column, expected: Column | None = None, actua
 
 def compared(observations: DataFrame, rules: DataFrame) -> DataFrame:
     """Sums and ratios. Each value that a rule needs is the first observation of its metric in the rule's statements."""
-    size = rules.groupBy("rule_name").agg(F.count("*").alias("needs"))
-    met = observations.join(rules.join(size, "rule_name"), "metric").where(_matches(F.col("table_type"), F.col("types")))
-    first = met.groupBy(*KEY, "rule_name", "severity", "kind", "needs", "role", "sign").agg(F.min_by("value", "ordinal").alias("value"))
-    g = first.groupBy(*KEY, "rule_name", "severity", "kind", "needs").agg(
+    # rules and what they need go by numbers through the groupings; their names join what is found. They are dealt before they are
+    # grouped: a task that made them from wide rows would hold a group for each
+    rank = lambda *names: F.dense_rank().over(Window.orderBy(*names))
+    size = Window.partitionBy("rule_name")
+    rules = rules.withColumn("needs", F.count("*").over(size).cast("int")).withColumn("rule", rank("rule_name", "severity", "kind")).withColumn("need", rank("rule_name", "severity", "kind", "role", "sign"))
+    keyed = observations.select(*KEY, "metric", "ordinal", "value", snake_key(F.col("table_type")).alias("key"))
+    met = keyed.join(F.broadcast(rules.select("metric", "types", "rule", "need")), "metric").where(_matches(F.col("key"), F.col("types")))
+    first = dealt(met.select(*KEY, "rule", "need", "ordinal", "value"), "needs", *KEY, "rule").groupBy(*KEY, "rule", "need").agg(F.min_by("value", "ordinal").alias("value"))
+    g = first.join(F.broadcast(rules.select("need", "role", "sign").distinct()), "need").groupBy(*KEY, "rule").agg(
         F.count("*").alias("have"),
         F.max(F.when(F.col("role") == "actual", F.col("value"))).alias("actual"),
         F.sum(F.col("sign") * F.col("value")).alias("total"),
         F.max(F.when(F.col("role") == "over", F.col("value"))).alias("over"),
         F.max(F.when(F.col("role") == "under", F.col("value"))).alias("under"),
     )
+    g = g.join(F.broadcast(rules.select("rule", "rule_name", "severity", "kind", "needs").distinct()), "rule")
     ratio, zero = F.col("kind") == "ratio", F.col("under") == 0
     expected = F.when(ratio, F.col("over") / F.nullif(F.col("under"), F.lit(0.0))).otherwise(F.col("total"))
     g = g.where("have = needs").withColumn("expected", expected)
@@ -112,36 +121,39 @@ def _refs(spark: SparkSession, refs: Sequence[str]) -> DataFrame:
 
 def missing_metrics(observations: DataFrame) -> DataFrame:
     """Critical metrics that an entity's year has not."""
-    need = _refs(observations.sparkSession, dims.CRITICAL_METRICS)
-    have = observations.join(need.withColumnRenamed("metric", "needed"), F.col("metric") == F.col("needed"), "left")
-    g = have.groupBy(*KEY).agg(F.collect_set(F.when(_matches(F.col("table_type"), F.col("types")), F.col("needed"))).alias("have"))
-    every = F.array(*[F.lit(x.split(":")[1]) for x in dims.CRITICAL_METRICS])
-    return g.select(*KEY, F.explode(F.array_except(every, "have")).alias("m")).select(*_issue(F.lit("missing_critical_metric"), F.lit("critical"), expected_text=F.col("m")))
+    need = {x.split(":")[1]: _types(x.split(":")[0]) for x in dims.CRITICAL_METRICS}
+    o = observations.select(*KEY, "metric", snake_key(F.col("table_type")).alias("key"))
+    g = o.groupBy(*KEY).agg(*[F.max(F.coalesce((F.col("metric") == m) & _matches(F.col("key"), F.array(*map(F.lit, types))), F.lit(False))).alias(m) for m, types in need.items()])
+    lost = F.array_compact(F.array(*[F.when(~F.col(m), m) for m in need]))
+    return g.select(*KEY, F.explode(lost).alias("m")).select(*_issue(F.lit("missing_critical_metric"), F.lit("critical"), expected_text=F.col("m")))
 
 
 def negatives(observations: DataFrame) -> DataFrame:
     """Values below zero of metrics that can't be; an issue for each observation."""
-    met = observations.where("value < 0").join(_refs(observations.sparkSession, dims.NOT_NEGATIVE), "metric").where(_matches(F.col("table_type"), F.col("types")))
+    met = observations.where("value < 0").join(F.broadcast(_refs(observations.sparkSession, dims.NOT_NEGATIVE)), "metric").where(_matches(snake_key(F.col("table_type")), F.col("types")))
     return met.select(*_issue(F.lit("invalid_negative_value"), F.lit("major"), actual=F.col("value"), expected_text=F.concat("metric", F.lit(" >= 0"))))
 
 
 def missing_parts(observations: DataFrame) -> DataFrame:
     """V2: parts of statements that no metric and no label speaks of."""
-    said, found = normalize_text(F.col("label")), []
+    # a row's label and type are normalized once, whatever the number of parts
+    o = observations.select(*KEY, "metric", normalize_text(F.col("label")).alias("said"), snake_key(F.col("table_type")).alias("key"))
+    found = []
     for name, scope, metrics, phrases in dims.PARTS:
-        typed = _matches(F.col("table_type"), F.array(*map(F.lit, _types(scope))))
+        typed = _matches(F.col("key"), F.array(*map(F.lit, _types(scope))))
         labelled = F.lit(False)
         for p in phrases:
-            labelled = labelled | said.contains(p)
+            labelled = labelled | F.col("said").contains(p)
         found.append(F.max(F.coalesce(typed & (F.col("metric").isin(metrics) | labelled), F.lit(False))).alias(name))
-    g = observations.groupBy(*KEY).agg(*found)
+    g = o.groupBy(*KEY).agg(*found)
     lost = F.array_compact(F.array(*[F.when(~F.col(x[0]), x[0]) for x in dims.PARTS]))
     return g.select(*KEY, F.explode(lost).alias("name")).select(*_issue(F.col("name"), F.lit("major"), expected_text=F.lit("section present"), actual_text=F.lit("section missing")))
 
 
 def duplicate_rows(labels: DataFrame) -> DataFrame:
     """Labels that a table has more than once (entity_id, value_year, page_number, table_index, label), sorted and joined."""
-    n = labels.withColumn("label", normalize_text(F.col("label"))).where("label <> ''").groupBy(*KEY, *grid.TABLE, "label").count().where("count > 1")
+    rows = labels.select(*KEY, *grid.TABLE, normalize_text(F.col("label")).alias("label")).where("label <> ''")
+    n = dealt(rows, "labels", *KEY, *grid.TABLE).groupBy(*KEY, *grid.TABLE, "label").count().where("count > 1")
     g = n.groupBy(*KEY, *grid.TABLE).agg(F.array_join(F.sort_array(F.collect_list("label")), ", ").alias("labels"))
     return g.select(*_issue(F.lit("duplicate_rows"), F.lit("minor"), expected_text=F.lit("unique row labels"), actual_text=F.col("labels")))
 
@@ -170,7 +182,8 @@ def isolated(entities: DataFrame, groups: Mapping[str, Callable[[], DataFrame]])
 
 def validate(facts: DataFrame, aliases: Mapping[str, Sequence[str]] = dims.METRIC_LABELS) -> DataFrame:
     """V1, V3: all issues of facts (entity_id, value_year, page_number, table_index, label, value, table_type, ordinal)."""
-    o = named(facts, aliases)
+    facts = kept(_known(facts, aliases), "facts")  # each group of rules reads them
+    o = facts.where("value is not null")
     return isolated(
         facts,
         {

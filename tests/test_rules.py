@@ -95,3 +95,20 @@ def test_label_scores_on_odd_labels(spark):
         cut = bool(re.search(dims.CUT_SHORT, t) or re.search(dims.CUT_WORD, t))
         score = 100 - 35 * bool(re.search(dims.FRAGMENTS, t.lower())) - 25 * cut - 15 * (len(re.sub("[^A-Za-z]", "", t)) < 4)
         assert got[x].c == (0 if t == "" else max(0, score + min(10, len(re.findall("[A-Za-z]+", t))))), x
+
+
+def test_few_labels_of_many_rows_are_not_dealt_by_label(spark, monkeypatch):
+    from tallyloom.operators import rules
+    from tallyloom.plans import scratch
+
+    rows = [(e, 2020, 1, 0, x, float(v), "statement_of_financial_position", k) for e in range(40) for k, (x, v) in enumerate([("Total assets", 9), ("Total liabilities", 4), ("Total equity", 5 + e % 2), ("Total assets", 7)])]
+    facts = spark.createDataFrame(rows, "entity_id int, value_year int, page_number int, table_index int, label string, value double, table_type string, ordinal int")
+    named = rules.named(facts)
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(scratch, "TASK_ROWS", 10)
+    found = rules.compared(named, rules.catalogue(spark))
+    assert sorted((x.entity_id, x.rule_name, x.expected, x.actual) for x in found.collect()) == [(e, "accounting_equation", 10.0, 9.0) for e in range(1, 40, 2)]
+    assert scratch.dealt(facts, "facts", "entity_id").rdd.getNumPartitions() == 16
+    lost = rules.missing_metrics(named.where("entity_id = 3")).collect()
+    assert sorted(x.expected_text for x in lost) == ["profit_after_tax", "revenue"]
