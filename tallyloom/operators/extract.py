@@ -52,8 +52,11 @@ def _cells(cells: DataFrame) -> DataFrame:
     c = c.withColumn("amount", parse_amount(F.col("t")))
     t, none = F.col("t"), F.col("amount").isNull()
     closed = parse_amount(F.concat(F.lit("("), t))
-    tokens = F.regexp_extract_all("t", F.lit(r"\(?\s*[+-]?[0-9][0-9,]*(?:\.[0-9]+)?\s*\)?%?"), F.lit(0))
-    merged = F.transform(tokens, lambda x: parse_amount(x))
+    found = F.regexp_extract_all("t", F.lit(r"\(?\s*[+-]?[0-9][0-9,]*(?:\.[0-9]+)?\s*\)?%?"), F.lit(0))
+    # several numbers in a cell: read once, and only where there are several
+    c = c.withColumn("tokens", F.when((t != "") & ~t.rlike("[A-Za-z]"), found))
+    c = c.withColumn("merged", F.when(F.size("tokens") > 1, F.transform("tokens", lambda x: parse_amount(x))))
+    c = c.withColumn("closed", F.when(none, closed))
     return c.select(
         *ROW,
         "table_type",
@@ -63,7 +66,7 @@ def _cells(cells: DataFrame) -> DataFrame:
         "amount",
         scale(t).isNotNull().alias("own"),
         # A number that only closes a parenthesis, and what may open one in the two cells before
-        F.when(none & (closed < 0), closed).alias("closed"),
+        F.when(F.col("closed") < 0, F.col("closed")).alias("closed"),
         (t.contains("(") & ~t.contains(")") & ~t.rlike("[0-9]")).alias("opens"),
         (t.startswith("(") & t.contains(")") & F.replace(t, F.lit(","), F.lit("")).rlike(r"\(\s*[|Il]\s*[+-]?[0-9]")).alias("noise"),
         no_value_cell(t).alias("aside"),
@@ -71,7 +74,7 @@ def _cells(cells: DataFrame) -> DataFrame:
         t.rlike("[A-Za-z]").alias("letters"),
         years(t).alias("years"),
         table_scale(t).alias("scale"),
-        F.when((t != "") & ~t.rlike("[A-Za-z]") & (F.size(tokens) > 1) & F.forall(merged, lambda v: v.isNotNull()), merged).alias("parts"),
+        F.when(F.forall("merged", lambda v: v.isNotNull()), F.col("merged")).alias("parts"),
     )
 
 
@@ -146,36 +149,32 @@ def _words(plain: Column) -> Column:
     return F.filter(F.split(plain, " "), lambda x: x != "")
 
 
-def usable_context(label: Column) -> Column:
-    """Whether a label may be put before the labels below it."""
-    plain = normalize_text(label)
+def usable_context(label: Column, plain: Column, reason: Column) -> Column:
+    """Whether a label may be put before the labels below it. ``plain`` is its normal form, ``reason`` its ``note_row_reason``."""
     n, short = F.size(_words(plain)), F.size(F.filter(_words(plain), lambda x: F.length(x) <= 2))
     bad = plain.startswith("for the year ended") | plain.startswith("particulars ") | plain.startswith("represent ") | plain.contains(" has been") | plain.contains("if any")
     bad = bad | (10 * short > 4 * n) | ((n > 8) & ~plain.rlike(dims.NOTE_HEADERS)) | (n > 14) | ((n == 1) & ~plain.isin(dims.LONE_CONTEXTS))
-    return F.coalesce((label != "") & note_row_reason(label).isNull() & ~bad, F.lit(False))
+    return F.coalesce((label != "") & reason.isNull() & ~bad, F.lit(False))
 
 
-def usable_header(label: Column) -> Column:
+def usable_header(label: Column, plain: Column) -> Column:
     """P9 for headers of columns and sections."""
-    plain = normalize_text(label)
     n, short = F.size(_words(plain)), F.size(F.filter(_words(plain), lambda x: F.length(x) <= 2))
     bad = plain.startswith("metric ") | plain.startswith("except ") | plain.startswith("excluding ") | plain.startswith("for the year ended") | plain.rlike(r"^(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*$")
     bad = bad | (n == 0) | (n > 12) | ((n > 2) & (2 * short > n))
     return F.coalesce((label != "") & note_row_reason(label).isNull() & ~bad, F.lit(False))
 
 
-def dependence(label: Column) -> Column:
-    """Why a label says little without what stands above it; null if it stands alone."""
-    plain = normalize_text(label)
+def dependence(plain: Column) -> Column:
+    """Why a label in normal form says little without what stands above it; null if it stands alone."""
     out = None
     for reason, pattern in dims.DEPENDENT:
         out = F.when(plain.rlike(pattern), reason) if out is None else out.when(plain.rlike(pattern), reason)
     return out
 
 
-def _said(label: Column, context: Column) -> Column:
-    """Whether a context would only repeat the label, or the other way round."""
-    a, b = normalize_text(label), normalize_text(context)
+def _said(a: Column, b: Column) -> Column:
+    """Whether a context would only repeat the label, or the other way round; both in normal form."""
     return (a == "") | (b == "") | has_phrase(b, a) | has_phrase(a, b)
 
 
@@ -218,19 +217,23 @@ def inherited(r: DataFrame) -> DataFrame:
     label, head = F.col("completed"), F.col("row_index") == F.col("header_row")
     alive = F.col("original").isNotNull() & F.col("dropped").isNull() & ~F.coalesce(head, F.lit(False))
     empty, full = alive & (F.col("n_values") == 0), alive & (F.col("n_values") > 0)
-    plain, kind = normalize_text(label), snake_key(F.coalesce("table_type", F.lit("")))
+    # what a label is in normal form is asked some fifty times: it is a column, as are the other texts that are compared
+    r = r.withColumn("plain", normalize_text(label)).withColumn("plain_size", F.size(_words(F.col("plain")))).withColumn("type_key", snake_key(F.coalesce("table_type", F.lit(""))))
+    plain, kind = F.col("plain"), F.col("type_key")
     before = F.coalesce(F.col("row_index") < F.col("header_row"), F.lit(False))
-    r = r.withColumn("why", dependence(label)).withColumn("usable", usable_context(label))
+    r = r.withColumn("why", dependence(plain)).withColumn("usable", usable_context(label, plain, F.col("dropped")))
     event = empty & F.col("notes") & F.col("usable") & F.col("why").isNull()
-    begins = before | plain.rlike(dims.NOTE_HEADERS) | (kind.contains("note") & (F.size(_words(plain)) >= 7))
+    begins = before | plain.rlike(dims.NOTE_HEADERS) | (kind.contains("note") & (F.col("plain_size") >= 7))
     at = F.struct("row_index", label.alias("label"))
     # headers of columns and sections; the row of years is one as a whole
-    named = F.when(head, F.col("row_text")).when(empty, label)
-    said, ok = normalize_text(named), usable_header(named)
+    r = r.withColumn("named", F.when(head, F.col("row_text")).when(empty, label))
+    r = r.withColumn("said", normalize_text(F.col("named")))
+    r = r.withColumn("said_size", F.size(_words(F.col("said")))).withColumn("ok", usable_header(F.col("named"), F.col("said")))
+    named, said, ok = F.col("named"), F.col("said"), F.col("ok")
     section = ok & (said.rlike(dims.HEADER_SECTIONS) | (kind.contains("ratio") & said.contains("ratio")))
     filled = F.size(F.filter("cells", lambda c: c["t"] != ""))
-    header = ok & (before | said.rlike(dims.HEADER_NAMES) | section | ((filled <= 3) & F.size(_words(said)).between(2, 8)))
-    unit = F.when(F.size(_words(said)) <= 6, F.when(named.rlike(dims.HEADER_UNITS), named)).otherwise(F.nullif(F.regexp_extract(named, dims.HEADER_UNITS, 0), F.lit("")))
+    header = ok & (before | said.rlike(dims.HEADER_NAMES) | section | ((filled <= 3) & F.col("said_size").between(2, 8)))
+    unit = F.when(F.col("said_size") <= 6, F.when(named.rlike(dims.HEADER_UNITS), named)).otherwise(F.nullif(F.regexp_extract(named, dims.HEADER_UNITS, 0), F.lit("")))
     last = lambda x: F.last(x, ignorenulls=True).over(w)
     r = r.select(
         "*",
@@ -244,11 +247,12 @@ def inherited(r: DataFrame) -> DataFrame:
     )
     part = F.when(F.col("note").isNull() | (F.col("part.row_index") > F.col("note.row_index")), F.col("part.label"))
     r = r.withColumn("part", part).withColumn("note", F.col("note.label"))
-    small = F.size(_words(plain))
+    small = F.col("plain_size")
     sensitive = (small > 0) & ~plain.isin(dims.STANDALONE) & ((small <= 4) | ((small <= 7) & plain.rlike(dims.NEEDS_CONTEXT)))
-    near = F.coalesce("part", "note")
+    r = r.withColumn("near_plain", normalize_text(F.coalesce("part", "note"))).withColumn("sensitive", sensitive)
+    near, sensitive = F.col("near_plain"), F.col("sensitive")
     # a row whose label stands alone is a parent, unless it has itself been put below a section or note
-    lone = F.col("full") & F.col("notes") & F.col("usable") & F.col("why").isNull() & ~F.coalesce(sensitive & near.isNotNull() & ~_said(label, near), F.lit(False))
+    lone = F.col("full") & F.col("notes") & F.col("usable") & F.col("why").isNull() & ~F.coalesce(sensitive & near.isNotNull() & ~_said(plain, near), F.lit(False))
     r = r.withColumn("parent_at", last(F.when(lone, at)))
     parent = F.when(F.col("turn").isNull() | (F.col("parent_at.row_index") > F.col("turn")), F.col("parent_at.label"))
     r = r.withColumn("parent", parent)
@@ -265,7 +269,7 @@ def inherited(r: DataFrame) -> DataFrame:
     for name, order in orders.items():
         chosen = chosen.when(F.col("note_reason") == name, pick(order))
     r = r.withColumn("note_from", chosen.otherwise(pick(rest)))
-    r = r.withColumn("note_from", F.when(~_said(label, F.col("note_from.label")), F.col("note_from")))
+    r = r.withColumn("from_plain", normalize_text(F.col("note_from.label"))).withColumn("note_from", F.when(~_said(plain, F.col("from_plain")), F.col("note_from")))
     r = r.withColumn("noted", F.when(F.col("note_from").isNotNull(), normalize_label(F.concat_ws(" - ", "note_from.label", label))).otherwise(label))
     # L6
     free = F.col("full") & (F.col("noted") == label)
@@ -279,7 +283,8 @@ def inherited(r: DataFrame) -> DataFrame:
         .when(label.rlike(dims.HEADER_DEPENDENT), "unit_context_inheritance")
     )
     r = r.withColumn("head_reason", F.when(free & (F.col("with_unit") != label), "unit_fragment_completion").when(free, why))
-    places = {"table_section_context": F.col("head_section"), "table_header_context": F.col("head_name"), "unit_context": F.when(usable_header(F.col("head_unit")), F.col("head_unit"))}
+    r = r.withColumn("unit_plain", normalize_text(F.col("head_unit")))
+    places = {"table_section_context": F.col("head_section"), "table_header_context": F.col("head_name"), "unit_context": F.when(usable_header(F.col("head_unit"), F.col("unit_plain")), F.col("head_unit"))}
 
     def place(order: list[str]) -> Column:
         return F.coalesce(*[F.when(places[s].isNotNull(), F.struct(F.lit(s).alias("source"), places[s].alias("label"))) for s in order])
@@ -293,15 +298,16 @@ def inherited(r: DataFrame) -> DataFrame:
         .when(F.col("head_reason") == "security_header_inheritance", place(["table_header_context", "table_section_context", "unit_context"]))
         .otherwise(place(["table_section_context", "table_header_context", "unit_context"])),
     )
+    r = r.withColumn("above_plain", normalize_text(F.col("head_from.label")))
     above = F.col("head_from.label")
     metric = (
         F.when(F.col("head_from").isNull(), F.col("noted"))
         .when(F.col("head_reason") == "unit_fragment_completion", F.col("with_unit"))
-        .when(cash, F.when(has_phrase(normalize_text(above), F.lit("current assets excluding cash")), "Current assets excluding cash and cash equivalents").otherwise(label))
-        .when(_said(label, above), label)
+        .when(cash, F.when(has_phrase(F.col("above_plain"), F.lit("current assets excluding cash")), "Current assets excluding cash and cash equivalents").otherwise(label))
+        .when(_said(plain, F.col("above_plain")), label)
         .otherwise(normalize_label(F.concat_ws(" - ", above, label)))
     )
-    return r.withColumn("metric", metric)
+    return r.withColumn("metric", metric).drop("plain", "plain_size", "type_key", "named", "said", "said_size", "ok", "near_plain", "sensitive", "from_plain", "unit_plain", "above_plain")
 
 
 def chain(cells: DataFrame) -> DataFrame:

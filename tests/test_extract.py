@@ -197,3 +197,13 @@ def test_template_without_sheets(spark):
     got = template.verdicts(values, none).collect()
     assert [(r.score, r.action, r.missing_metrics) for r in got] == [(0.0, "create", "revenue")]
     assert template.overall(template.verdicts(values.limit(0), none)).first().mode == "dynamic"
+
+
+def test_a_label_is_normalized_once(spark):
+    """What stands above a label is found with one normal form of it, however many rules ask."""
+    rows = [(1, 0, i, j, x, "notes_schedule") for i, r in enumerate([["Particulars", "2024", "2023"], ["Movement of borrowings", "", ""], ["Opening balance", "10", "20"], ["Others", "1", "2"]]) for j, x in enumerate(r)]
+    chained = extract.chain(spark.createDataFrame(rows, "page_number int, table_index int, row_index int, col_index int, cell string, table_type string"))
+    got = {x.row_index: x.metric for x in chained.where("full").collect()}
+    assert got == {2: "Movement of borrowings - Opening balance", 3: "Movement of borrowings - Others"}
+    plan = chained._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("lower(completed") for line in plan.split("\n")) <= 2
