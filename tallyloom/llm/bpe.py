@@ -53,6 +53,12 @@ class Vocabulary:
             elif (two := self._two(token, rank)) is not None:
                 self.parts[rank], self.merged[two], self.usable[token] = two, rank, rank
         self.longest = max(map(len, self.usable), default=0)
+        sizes: dict[bytes, set[int]] = {}
+        for token in self.usable:
+            if len(token) > 3:
+                sizes.setdefault(token[-4:], set()).add(len(token))
+        #: By their last four bytes, the sizes that tokens may have, the longest first.
+        self.sizes = {end: (*sorted(x, reverse=True), 3, 2, 1) for end, x in sizes.items()}
         self.known: dict[int, bool] = {}  # pairs that encode() has met
 
     def _two(self, token: bytes, rank: int) -> tuple[int, int] | None:
@@ -68,10 +74,14 @@ class Vocabulary:
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """The same recurrence as in Prefixes, for a piece that is not kept."""
-        usable, stay, known, longest, n = self.usable.get, self.stay, self.known, self.longest, len(data)
+        usable, stay, known, sizes, n = self.usable.get, self.stay, self.known, self.sizes.get, len(data)
+        short = (3, 2, 1)
         last, before = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for k in range(i - longest if i > longest else 0, i):
+            for size in sizes(data[i - 4 : i], short) if i > 3 else short:
+                k = i - size
+                if k < 0:
+                    continue
                 token = usable(data[k:i])
                 if token is None:
                     continue

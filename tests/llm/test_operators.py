@@ -566,3 +566,23 @@ def test_store_two_writers(spark, tmp_path):
     b.vacuum()
     assert len(list((tmp_path / "store" / "shards").glob("*/part-*.parquet"))) < left
     assert sorted(r.id for r in b.read().collect()) == list(range(60))
+
+
+def test_bpe_looks_up_only_sizes_that_tokens_have():
+    from tallyloom.llm import bpe
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257, b"abababab": 258, b"ab" * 8: 259, b"ab" * 16: 260}
+    v = bpe.Vocabulary(ranks)
+    v.usable = Counted(v.usable)
+    data = b"xyz" * 100 + b"ab" * 21 + b"q"
+    ids = v.encode(data)
+    assert b"".join(v.bytes[i] for i in ids) == data
+    assert list(ids) == bpe.Prefixes(bpe.Vocabulary(ranks), data).ids()
+    assert Counted.asked < 5 * len(data)
