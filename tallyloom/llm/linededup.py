@@ -5,7 +5,7 @@ first; two lines with a Jaccard similarity of ``percent`` / 100 must share a wor
 few of both (the longer line's probing prefix and the shorter line's indexing prefix). Lines are
 joined on these words. A pair stays a candidate if the sizes allow the similarity (length filter)
 and if the words after the shared one are enough for it (positional filter) and the sets' parities, 128
-bits each, differ in no more bits than the sets may in words; candidates are
+bits each (64 of small sets), differ in no more bits than the sets may in words; candidates are
 verified on the full sets. A line is removed if its set equals that of an earlier line or is as
 similar as asked to one, "earlier" by doc_id and then line number.
 
@@ -26,23 +26,39 @@ of the same number in both are not later than each other, and what is removed of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch, small
+from ._util import BROADCAST_ROWS, Scratch, small
 
 PERCENT, BUCKETS, SPREAD = 80, 1 << 17, 24
 #: Stands for a null doc_id.
 LOWEST = -(1 << 63)
 LINES = 1 << 31
+#: White space but the space and the line feed.
+SPACES = "\t\x0b\x0c\r"
+#: Sets of at least so many words have 128 bits of parity, smaller ones have them folded into 64: all in the second half.
+LONG = 64
 KEY, PLACE, PARITY = ["id", "id2", "size"], ["doc", "line_no"], ["low", "high"]
 
 
+def _spaced(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with a text in lower case, with spaces for other white space than line feeds."""
+    low = rows.withColumn(column, F.lower(column))
+    # each looks for one byte, which is cheaper than a pattern
+    odd = reduce(Column.__or__, (F.contains(F.col(column), F.lit(c)) for c in SPACES))
+    return low.withColumn(column, F.when(odd, F.translate(column, SPACES, " " * len(SPACES))).otherwise(F.col(column)))
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.col("text").cast("string").alias("text"))
+
+
 def _lines(documents: DataFrame) -> DataFrame:
     """doc, line_no and line, in lower case and with spaces only."""
-    low = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("doc"), F.lower(F.col("text").cast("string")).alias("low"))
-    spaced = F.when(F.col("low").rlike("[\\t\\x0b-\\r]"), F.translate("low", "\t\x0b\x0c\r", "    ")).otherwise(F.col("low"))
-    return low.select("doc", F.posexplode(F.split(spaced, "\n")).alias("line_no", "line"))
+    return _spaced(_texts(documents), "text").select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -54,10 +70,10 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 
 def _levels(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row: a level of frequency, 0 to 127, for every bucket of words."""
+    """One row: for every bucket of words a level of frequency, 0 to 127, in the upper byte of a number."""
     counts = lines.select(F.explode("words").alias("word")).groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
-    level = F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("tinyint").alias("level")
+    level = F.shiftleft(F.least(F.lit(127), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int"), 24).alias("level")
     one = every.join(counts, "bucket", "left").select("bucket", level).agg(F.sort_array(F.collect_list(F.struct("bucket", "level"))).alias("x"))
     return scratch.keep(one.select(F.col("x.level").alias("levels")), "levels")
 
@@ -79,36 +95,50 @@ def _classes(lines: DataFrame, levels: DataFrame, percent: int) -> DataFrame:
     probe = n - _ceil(n * percent, 100) + 1
     # the smallest sets that can have a similar, unequal one: n of n + 1
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 30
-    # level of frequency in the upper bits, then the word's hash; words of the same number are as good as one word that occurs twice
-    ranked = F.sort_array(F.expr(f"transform(words, w -> shiftleft(cast(get(levels, w & {BUCKETS - 1}) as int), 24) | shiftrightunsigned(w, 8))"))
-    prefix = F.when(n >= least, F.slice(ranked, F.lit(1), probe)).alias("prefix")
-    # a bit for each of 128 parts of the words, the negative ones in the first half
-    bits = "aggregate(words, 0L, (x, w) -> if(w < 0, {}, {}))"
-    flip = "x ^ shiftleft(1L, w)"
-    parity = [F.when(n >= least, F.expr(bits.format(*at))).alias(c) for c, at in zip(PARITY, ((flip, "x"), ("x", flip)), strict=True)]
+    # level of frequency in the upper byte, then the word's hash; words of the same number are as good as one word that occurs twice. Words and
+    # levels are used here only, so that Spark puts both steps into one: as a column of a step of its own, the levels would be copied for every line
+    ranked = F.expr(f"transform(words, w -> get(levels, w & {BUCKETS - 1}) | shiftrightunsigned(w, 8))")
+    rows = lines.select(*PLACE, *KEY, "words", levels.scalar().alias("levels")).select(*PLACE, *KEY, F.sort_array(ranked).alias("ranked"))
+    prefix = F.when(n >= least, F.slice("ranked", F.lit(1), probe)).alias("prefix")
+    # a bit for each of 128 parts of the words: of all of them folded into 64, and of one half of them for large sets
+    fold = F.expr("aggregate(ranked, 0L, (x, w) -> x ^ shiftleft(1L, w))")
+    half = F.when(n >= LONG, F.expr("aggregate(ranked, 0L, (x, w) -> if(w & 64 = 0, x ^ shiftleft(1L, w), x))")).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("*", F.when(n >= least, fold).alias("fold"), F.when(n >= least, half).alias("low"))
+    parity = [F.col("low"), F.col("fold").bitwiseXOR(F.col("low")).alias("high")]
     # places as one number: what is added up in a hash table has a fixed width
     place = ((F.col("doc").cast("decimal(20,0)") - F.lit(LOWEST).cast("decimal(20,0)")) * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
-    rows = lines.select("*", levels.scalar().alias("levels")).select(*KEY, prefix, *parity, place.alias("place"))
-    sets = rows.groupBy(*KEY, "prefix", *PARITY).agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    sets = rows.select(*KEY, prefix, *parity, place.alias("place")).groupBy(*KEY, "prefix", *PARITY).agg(F.min("place").alias("place"), F.count("*").alias("n"))
     return sets.select("place", *_place("place"), *KEY, "n", *PARITY, "prefix")
 
 
+def _need(percent: int) -> str:
+    """Words that a and b must have in common."""
+    return f"floor(({percent} * (a_size + b_size) + {99 + percent}) / {100 + percent})"
+
+
 def _fits(percent: int) -> str:
     """Sizes a.size and b.size, and parities: words in one set only turn a bit of the parities each, so the sets differ by as many at least as bits do."""
-    need = f"floor(({percent} * (a_size + b_size) + {99 + percent}) / {100 + percent})"
-    return f"bit_count(a_low ^ b_low) + bit_count(a_high ^ b_high) <= a_size + b_size - 2 * {need} and 100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size)"
+    bits = f"if(least(a_size, b_size) >= {LONG}, bit_count(a_low ^ b_low) + bit_count(a_high ^ b_high), bit_count(a_low ^ a_high ^ b_low ^ b_high))"
+    return f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and {bits} <= a_size + b_size - 2 * {_need(percent)}"
 
 
 def _similar(pairs: DataFrame, documents: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of pairs of places (a earlier than b), the b's that have a similar a: (doc, line_no). Sets are made anew from the lines' texts."""
     pairs = scratch.keep(pairs.distinct(), f"{name}-pairs")
     places = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{k}_doc").alias("doc"), F.col(f"{k}_line_no").alias("line_no")) for k in "ab"))).alias("x")).select("x.*").distinct()
-    sets = scratch.keep(_hashed(_lines(documents).join(small(places), PLACE, "left_semi")).select(*PLACE, "hashes"), f"{name}-sets")
+    places = scratch.keep(places, f"{name}-places")
+    docs = places.select("doc").distinct()
+    texts = _texts(documents)
+    if docs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(docs), "doc", "left_semi")
+    # the lines are chosen before anything else is done to them
+    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(small(places), PLACE, "left_semi")
+    sets = scratch.keep(_hashed(_spaced(lines, "line")).select(*PLACE, "hashes"), f"{name}-sets")
     for k in "ab":
         pairs = pairs.join(sets.toDF(f"{k}_doc", f"{k}_line_no", f"{k}_hashes"), [f"{k}_doc", f"{k}_line_no"])
     pairs = pairs.withColumn("both", F.size(F.array_intersect("a_hashes", "b_hashes"))).where(f"100 * both >= {percent} * (size(a_hashes) + size(b_hashes) - both)")
     out = scratch.keep(pairs.select(F.col("b_doc").alias("doc"), F.col("b_line_no").alias("line_no")).distinct(), name)
-    scratch.drop(f"{name}-pairs", f"{name}-sets")
+    scratch.drop(f"{name}-pairs", f"{name}-places", f"{name}-sets")
     return out
 
 
@@ -121,7 +151,7 @@ def _starred(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     ends = F.array_distinct(F.array(F.lit(0), F.floor((m - 2) / 2).cast("int"), m - 2))
     keys = F.transform(F.filter(ends, lambda i: i >= 0), lambda i: F.xxhash64(F.get("prefix", i), F.get("prefix", i + 1)))
     posts = classes.where("prefix is not null").select("place", "size", *PARITY, F.explode(F.when(m < 2, F.array(F.xxhash64(F.get("prefix", F.lit(0))))).otherwise(keys)).alias("key"))
-    many = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    many = scratch.keep(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "many")
     shared = scratch.keep(posts.join(small(many), "key"), "shared")
     of = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("place", "size", *PARITY)]
     centres = shared.groupBy("key", F.pmod(F.xxhash64("place"), F.lit(SPREAD)).alias("part")).agg(F.min("place").alias("a_place"))
@@ -134,20 +164,21 @@ def _joined(classes: DataFrame, resolved: DataFrame, percent: int) -> DataFrame:
     """Candidates (a earlier than b) for the classes that are not resolved, by their prefixes."""
     n = F.col("size")
     index = n - _ceil(n * (2 * percent), 100 + percent) + 1
-    asks = F.col("resolved").isNull()
     rows = classes.where("prefix is not null").join(small(resolved.withColumn("resolved", F.lit(True))), PLACE, "left")
-    # a size below 0 marks a class that asks no more
-    posts = rows.select(*PLACE, F.when(asks, n).otherwise(-n).alias("size"), *PARITY, index.alias("index"), F.posexplode("prefix").alias("pos", "token"))
-    # one exchange for both sides: the filter, which is size > 0, must not be moved below it, as it then would not be the same
-    # at: the position, twice, and 1 more if it is in the indexing prefix
-    posts = posts.select(*PLACE, "size", *PARITY, (2 * F.col("pos") + (F.col("pos") < F.col("index")).cast("int")).alias("at"), "token").repartition("token")
-    b = posts.where("size > rand() - 1").select("token", *(F.col(c).alias(f"b_{c}") for c in (*PLACE, "size", *PARITY, "at")))
-    a = posts.select("token", *(F.col(c).alias(f"a_{c}") for c in (*PLACE, *PARITY, "at", "size")))
-    both = b.join(a.withColumn("a_size", F.abs("a_size")), "token")
-    need = f"floor(({percent} * (a_size + b_size) + {99 + percent}) / {100 + percent})"
-    prefixes = "(if(a_size < b_size, a_at, if(a_size > b_size, b_at, a_at & b_at)) & 1) = 1"
-    both = both.where(f"(a_doc < b_doc or (a_doc = b_doc and a_line_no < b_line_no)) and {_fits(percent)} and {prefixes} and least(a_size - shiftright(a_at, 1), b_size - shiftright(b_at, 1)) >= {need}")
-    return both.select("a_doc", "a_line_no", "b_doc", "b_line_no")
+    posts = rows.select(*PLACE, "size", *PARITY, F.col("resolved").isNull().cast("int").alias("asks"), index.alias("index"), F.posexplode("prefix").alias("pos", "token"))
+    # at: the position, four times, 2 more if the class asks and 1 more if the word is in the indexing prefix
+    at = (4 * F.col("pos") + 2 * F.col("asks") + (F.col("pos") < F.col("index")).cast("int"))
+    # one exchange for both sides: what can't be null has no filter that is put below the exchange on one side only, nor has what compares with rand()
+    columns = [*PLACE, "size", *PARITY, "at"]
+    posts = posts.withColumn("at", at).select(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("token", *columns))).repartition("token")
+    # the smaller set of a pair, or the earlier of equal sizes, has the word in its indexing prefix
+    a = posts.where("(at & 1) > rand()").select("token", *(F.col(c).alias(f"a_{c}") for c in columns))
+    both = posts.select("token", *(F.col(c).alias(f"b_{c}") for c in columns)).join(a, "token")
+    earlier = "(a_doc < b_doc or (a_doc = b_doc and a_line_no < b_line_no))"
+    both = both.where(f"(a_size < b_size or (a_size = b_size and (b_at & 1) = 1 and {earlier})) and {_fits(percent)}")
+    both = both.where(f"(if({earlier}, b_at, a_at) & 2) = 2 and least(a_size - shiftright(a_at, 2), b_size - shiftright(b_at, 2)) >= {_need(percent)}")
+    swap = lambda x, y: [F.when(F.expr(earlier), F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for c in PLACE]
+    return both.select(*swap("a", "b"), *swap("b", "a"))
 
 
 def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -161,7 +192,7 @@ def removed_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch.release()
 
     first = _similar(_starred(classes, percent, scratch), documents, percent, scratch, "starred")
-    scratch.drop("shared")
+    scratch.drop("shared", "many")
     scratch.release()
     second = _similar(_joined(classes, first, percent), documents, percent, scratch, "joined")
     scratch.release()

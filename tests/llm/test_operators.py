@@ -328,6 +328,36 @@ def test_template_lines(spark):
         assert linededup._starred(classes, 80, scratch).count() <= linededup.SPREAD * n
 
 
+def test_line_plans(spark):
+    """Posts are shuffled once for both sides of the join."""
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(20)) + f" x{i}") for i in range(200)], "doc_id long, text string")
+    scratch = Scratch(spark, "plans")
+    words = F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("words")
+    full = scratch.keep(linededup._hashed(linededup._lines(df)).select(*linededup.PLACE, *linededup.KEY, words), "full")
+    classes = scratch.keep(linededup._classes(full, linededup._levels(full, scratch), 80), "classes")
+    joined = linededup._joined(classes, classes.select(*linededup.PLACE).limit(20), 80)
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    shuffles = [y for y in plan.splitlines() if "REPARTITION_BY_COL" in y]
+    assert len(shuffles) == 2 and sum("ReusedExchange" in y for y in shuffles) == 1
+
+
+def test_long_and_short_lines(spark):
+    """Sets on both sides of the size from which parities have 128 bits, with as many other words as are allowed and one more."""
+    x = random.Random(31)
+    texts = []
+    for n in (4, 5, 9, 57, 60, 63, 64, 65, 72, 150):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for k in range(n // 3 + 1):
+            line = base[: n - k] + [f"o{n}y{k}z{i}" for i in range(x.choice([0, k]))]
+            texts.append(" ".join(x.sample(line, len(line))))
+    x.shuffle(texts)
+    sets = [frozenset(y.split()) for y in texts]
+    want = {(i, 0) for i, s in enumerate(sets) if any(len(s & z) * 100 >= 80 * len(s | z) for z in sets[:i])}
+    got = linededup.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {tuple(y) for y in got.collect()} == want and want
+
+
 def test_language_of_one_sentence(spark):
     """No language or word is left out, however rare."""
     said = {"en": "the cat sat on the mat", "fr": "les enfants jouent dans la rue", "de": "wir gehen morgen nach Hause", "fi": "minulla on kaksi koiraa"}
