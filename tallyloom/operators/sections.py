@@ -2,21 +2,26 @@
 
 Pages are rows of their own until the last step, which needs the pages of a report in order; nothing else is shuffled.
 
-The near match (Ratcliff/Obershelp ratio of 0.86 or more with a window of the heading) is bounded before it is computed: matching
-blocks of that much text hold a known number of the alias's three-letter pieces, so an alias of which the heading has fewer is out.
+What a page's beginning says and its lines' kinds are found in two Arrow UDFs, a block of pages at a time. The near match
+(Ratcliff/Obershelp ratio of 0.86 or more with a window of the heading) is bounded before it is computed: matching blocks of that much
+text hold a known number of the alias's three-letter pieces, hardly shifted against each other, and only such stretches are compared.
 
 Results for odd input: null texts are blank and have no section; a page without a report is a report's of its own kind (null).
 """
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import found_in, lines, normalize_text, once, strip
+from ..functions.text import SPACE, blocks, densities, lines, normalize_text, once, strip
 from ..plans import dims
-from .narrative import page_type as classify
+from .narrative import by_density
 
 #: Characters that make the top of a page, and lines of its heading.
 AREA, TOP, IGNORED_AREA, LINES = 1200, 500, 900, 12
@@ -46,18 +51,19 @@ def _first_lines(text: Column) -> Column:
     return normalize_text(F.array_join(heading_lines(text), " "))
 
 
-def pieces_needed(alias: str, near: float = NEAR) -> int:
-    """Three-letter pieces of an alias that a window of ratio ``near`` has at least: of M matching characters in u + 1 blocks, u being
-    the characters without a match, M - 2 (u + 1)."""
-    n, need = len(alias), len(alias)
-    for total in range(n + 1, 2 * n * 3):
-        for u in range(total % 2, total, 2):
-            m = (total - u) // 2
-            if 2 * m < near * total:
-                break
-            if m <= min(n, total - n):
-                need = min(need, m - 2 * (u + 1))
-    return max(0, need)
+def matches_needed(n: int) -> list[tuple[int, int]]:
+    """(u, m): a window that is near an alias of n characters leaves, for one of these, u characters of both without a match and matches m
+    of the alias's or more: n - u, and as many as the ratio asks for. A pair that another one implies is left out.
+
+    They match in u + 1 blocks at most, which are shifted against each other by u places at most. So m - (u + 1) pairs and m - 2 (u + 1)
+    triples of neighbours match too, all of them on u + 1 neighbouring diagonals."""
+    near, out = round(100 * NEAR), []
+    for u in range(2 * n):
+        m = max(-(-near * u // (200 - 2 * near)), n - u)
+        if m > n:
+            break
+        out = [(v, k) for v, k in out if k < m] + [(u, m)]
+    return out
 
 
 def _may_be_near(alias: str) -> bool:
@@ -85,71 +91,157 @@ def _is_near(alias: str, text: str) -> bool:
 
 
 class _Bounds:
-    """Of the aliases that may be near something: their pieces, how many a window needs, and how long it may be."""
+    """Of the aliases that may be near something: their three-letter pieces, and how much of them a near window has on almost one diagonal."""
+
+    GAP = 64
 
     def __init__(self) -> None:
-        self.of: dict[str, list[int]] = {}
-        self.need: dict[int, tuple[int, int]] = {}
-        for k, (_, alias) in enumerate(ALIASES):
-            if _may_be_near(alias):
-                self.need[k] = max(1, pieces_needed(alias)), int(len(alias) * (2 - NEAR) / NEAR) + 1
-                for p in {alias[i : i + 3] for i in range(len(alias) - 2)}:
-                    self.of.setdefault(p, []).append(k)
+        names = sorted({a for _, a in ALIASES if _may_be_near(a)})
+        self.aliases = [(a, [k for k, (_, x) in enumerate(ALIASES) if x == a], matches_needed(len(a))) for a in names]
+        assert all(len(a) + needs[-1][0] < self.GAP for a, _, needs in self.aliases)
+        self.code = np.full(256, 37, dtype=np.uint8)
+        self.code[np.frombuffer(b" abcdefghijklmnopqrstuvwxyz0123456789", dtype=np.uint8)] = np.arange(37)
+        pieces = sorted((int(self._pieces(self._coded(a))[i]), n << 48 | i) for n, a in enumerate(names) for i in range(len(a) - 2))
+        self.of = np.array([x for _, x in pieces], dtype=np.int64)
+        self.start = np.searchsorted([c for c, _ in pieces], np.arange(38**3 + 1))
+
+    def _coded(self, text: str) -> np.ndarray:
+        return self.code[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)]
+
+    @staticmethod
+    def _pieces(c: np.ndarray) -> np.ndarray:
+        return (c[:-2].astype(np.int64) * 38 + c[1:-1]) * 38 + c[2:]
+
+    @staticmethod
+    def _match(c: np.ndarray, alias: np.ndarray, d: np.ndarray, u: int, m: int) -> np.ndarray:
+        """Of diagonals d, the lowest ones with a piece, whether enough of the alias matches on u + 1 diagonals with d among them."""
+        n = len(alias)
+        around = np.lib.stride_tricks.sliding_window_view(c, n + 2 * u)[d - u]
+        two = [around[:, x : x + n] == alias for x in range(2 * u + 1)]
+        two = [x[:, 1:] & x[:, :-1] for x in two]
+        ok = np.logical_or.reduce(two).sum(1) >= m - (u + 1)  # most fail here
+        left = np.flatnonzero(ok)
+        one = [around[left, x : x + n] == alias for x in range(2 * u + 1)]
+        two = [x[:, 1:] & x[:, :-1] for x in one]
+        three = [x[:, 2:] & y[:, :-1] for x, y in zip(one, two)]
+        fits = np.zeros(len(left), dtype=bool)
+        for k in range(u + 1):
+            fits |= np.logical_and.reduce([np.logical_or.reduce(xs[k : k + u + 1]).sum(1) >= m - less * (u + 1) for less, xs in enumerate((one, two, three))])
+        ok[left] = fits
+        return ok
 
     def spans(self, text: str) -> dict[int, list[str]]:
-        """For each alias the stretches of the text that hold as many of its pieces, close enough to each other, as a near window does."""
-        at: dict[int, list[int]] = {}
-        for i in range(len(text) - 2):
-            for k in self.of.get(text[i : i + 3], ()):
-                at.setdefault(k, []).append(i)
-        out: dict[int, list[str]] = {}
-        for k, hits in at.items():
-            need, longest = self.need[k]
+        """For each alias the stretches of the text that hold as many of its pieces, in about its order, as a near window does."""
+        return self.all_spans([text])[0]
+
+    def all_spans(self, texts: list[str]) -> list[dict[int, list[str]]]:
+        out: list[dict[int, list[str]]] = [{} for _ in texts]
+        gap = "_" * self.GAP
+        first = np.cumsum([self.GAP] + [len(t) + self.GAP for t in texts])
+        coded = self._coded(gap + gap.join(texts) + gap)
+        pieces = self._pieces(coded)
+        lo, n = self.start[pieces], self.start[pieces + 1] - self.start[pieces]
+        at = np.flatnonzero(n)
+        lo, n = lo[at], n[at]
+        entry = self.of[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        place = entry & 0xFF  # a diagonal is where the alias would begin; it sorts before the place in the alias
+        hits = np.sort((entry - place) | (np.repeat(at, n) - place) << 8 | place)
+        bounds = np.searchsorted(hits, np.arange(len(self.aliases) + 1) << 48)
+        for (alias, ks, needs), i, j in zip(self.aliases, bounds[:-1], bounds[1:]):
+            if j - i < max(1, min(m - 2 * (u + 1) for u, m in needs)):
+                continue
+            line = (hits[i:j] >> 8) & 0xFFFFFFFFFF
+            most, found = needs[-1][0], set()
+            for u, m in needs:
+                need = max(1, m - 2 * (u + 1))
+                if need <= len(line):
+                    h = np.flatnonzero(line[need - 1 :] - line[: len(line) - need + 1] <= u)
+                    h = h[np.diff(line[h], prepend=-1) > 0]
+                    for k in range(0, len(h), 4096):
+                        part = h[k : k + 4096]
+                        found |= set(part[self._match(coded, self._coded(alias), line[part], u, m)].tolist())
             ends: list[list[int]] = []
-            for i in range(len(hits) - need + 1):
-                if hits[i + need - 1] + 3 - hits[i] <= longest:
-                    start, end = max(0, hits[i + need - 1] + 3 - longest), hits[i] + longest
-                    if ends and start <= ends[-1][1]:
-                        ends[-1][1] = end
-                    else:
-                        ends.append([start, end])
-            if ends:  # whole words, and what a window may begin or end with
-                out[k] = [text[text.rfind(" ", 0, s) + 1 : (e if (e := text.find(" ", t)) >= 0 else len(text))] for s, t in ends]
+            for h in sorted(found):
+                d = int(line[h])
+                r = int(np.searchsorted(first, d + int(hits[i + h] & 0xFF), "right")) - 1
+                a, z = max(0, d - int(first[r]) - most), d - int(first[r]) + len(alias) + 2 * most
+                if ends and ends[-1][0] == r and a <= ends[-1][2]:
+                    ends[-1][2] = z
+                else:
+                    ends.append([r, a, z])
+            for r, a, z in ends:  # whole words, and what a window may begin or end with
+                t = texts[r]
+                part = t[t.rfind(" ", 0, a) + 1 : (e if (e := t.find(" ", min(z, len(t)))) >= 0 else len(t))]
+                for k in ks:
+                    out[r].setdefault(k, []).append(part)
         return out
 
 
-def _near(firsts: Column, tops: Column) -> Column:
-    """The numbers of the aliases that are near a window of the first lines, of where their repetition joins them, or of the top of a page."""
-    joint = max(len(a.split()) for _, a in ALIASES) + 2
+#: Aliases by their first word; how many words more than a near window's go into what is searched again.
+_STARTS: dict[str, list[tuple[int, str]]] = {}
+for _k, (_, _a) in enumerate(ALIASES):
+    _STARTS.setdefault(_a.split()[0], []).append((_k, f" {_a} "))
+_JOINT = max(len(a.split()) for _, a in ALIASES) + 2
+_LINE, _RUN, _FILLED = re.compile("[^\n\x0b\x0c\r\x85\u2028\u2029]+"), re.compile("[a-z0-9]+"), re.compile("[A-Za-z0-9&\u0130\u212a]")
+
+
+def _normalize(x: str) -> str:
+    """normalize_text."""
+    return " ".join(_RUN.findall(x.lower().replace("&", " and ")))
+
+
+def _tops(text: str) -> tuple[str, str, str]:
+    """The first lines as one text, the top of the page, and its longer top."""
+    firsts = islice((x for m in _LINE.finditer(text) if (x := m.group().strip(SPACE))), LINES)
+    return _normalize(" ".join(firsts)), _normalize(text[:TOP]), _normalize(text[:AREA])
+
+
+def _searched(first: str, top: str) -> list[str]:
+    """Where near windows are looked for: the first lines and where their repetition joins them; of the top only windows that these don't have."""
+    cut = top.rfind(" ") + 1
+    if not f"{first} ".startswith(top[:cut]):
+        rest = top
+    else:
+        rest = "" if f"{first} ".startswith(f"{top} ") else " ".join(top.split()[-_JOINT:])
+    return [f"{first} {' '.join(first.split(' ', _JOINT)[:_JOINT])}", rest]
+
+
+def _read(text: Column) -> Column:
+    """What the beginning of a page says: ``headed`` and ``hits``, the numbers of the aliases in its heading, exact or near, and of all;
+    ``kind``, the type that the heading names, and ``narrative``, whether it is one of prose; ``ignored`` phrases; ``filled`` and ``blank``."""
+
+    @F.pandas_udf("struct<headed array<int>, hits array<int>, kind string, narrative boolean, ignored array<string>, filled boolean, blank boolean>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        bounds, ts, out = _Bounds(), texts.tolist(), []
+        for i, j in blocks(ts):
+            tops = [_tops(t) for t in ts[i:j]]
+            spans = bounds.all_spans([x for first, top, _ in tops for x in _searched(first, top)])
+            for t, (first, top, area), *parts in zip(ts[i:j], tops, spans[::2], spans[1::2]):
+                words = {*first.split(), *top.split(), *area.split()}
+                asked = [a for w in _STARTS.keys() & words for a in _STARTS[w]]
+                block, heading, around = f" {first} {first} ", f" {top} ", f" {area} "
+                headed = {k for k, a in asked if a in block or a in heading}
+                for found in parts:
+                    headed |= {k for k, xs in found.items() if k not in headed and any(_is_near(ALIASES[k][1], x) for x in xs)}
+                hits = headed | {k for k, a in asked if a in around}
+                kind = next((kind for kind, _, phrases in dims.PAGE_TYPES if any(p in area for p in phrases)), None)
+                before = _normalize(t[:IGNORED_AREA])
+                out.append((sorted(headed), sorted(hits), kind, any(p in area for p in dims.NARRATIVE_HEADINGS), [p for p in dims.IGNORED if p in before], _FILLED.search(t) is not None, not t.strip(SPACE)))
+        return pd.DataFrame(out, columns=["headed", "hits", "kind", "narrative", "ignored", "filled", "blank"])
+
+    return run(text)
 
-    @F.pandas_udf("array<int>")
-    def run(firsts: pd.Series, tops: pd.Series) -> pd.Series:
-        bounds, out = _Bounds(), []
-        for first, top in zip(firsts, tops):
-            found: set[int] = set()
-            for text in (f"{first} {' '.join(first.split(' ', joint)[:joint])}", top):
-                found |= {k for k, parts in bounds.spans(text).items() if k not in found and any(_is_near(ALIASES[k][1], part) for part in parts)}
-            out.append(sorted(found))
-        return pd.Series(out)
 
-    return run(firsts, tops)
+def _found(r: Column) -> list[Column]:
+    first = F.get(r["hits"], F.lit(0))
+    of = lambda xs, k: F.get(F.array(*map(F.lit, xs)), k)
+    names = F.array_distinct(F.transform(r["hits"], lambda k: of([a for _, a in ALIASES], k)))
+    return [of([s for s, _ in ALIASES], first).alias("direct"), of([a for _, a in ALIASES], first).alias("alias"), F.coalesce(F.array_contains(r["headed"], first), F.lit(False)).alias("in_heading"), F.size(names).alias("aliases")]
 
 
 def matched(pages: DataFrame) -> DataFrame:
     """``direct`` (the section whose alias comes first of those found), ``alias``, ``in_heading`` and ``aliases`` (how many there are)."""
-    text = F.coalesce("text", F.lit(""))
-    # one row each: a Generate keeps the optimizer from copying these texts' expressions into the lambdas that use them
-    tops = F.struct(normalize_text(F.substr(text, F.lit(1), F.lit(AREA))).alias("area"), normalize_text(F.substr(text, F.lit(1), F.lit(TOP))).alias("top"), _first_lines(text).alias("once"))
-    p = pages.select("*", F.inline(F.array(tops))).withColumn("block", F.trim(F.concat_ws(" ", "once", "once")))
-    each = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f" {a} ").alias("alias")) for k, (_, a) in enumerate(ALIASES)])
-    framed = lambda *where: F.array(*[F.concat(F.lit(" "), t, F.lit(" ")) for t in where])
-    said = lambda *where: once(framed(*where), lambda ts: F.transform(F.filter(each, lambda a: F.exists(ts, lambda t: F.contains(t, a["alias"]))), lambda a: a["k"]))
-    p = p.withColumn("near", _near(F.col("once"), F.col("top")))
-    p = p.withColumn("headed", F.array_union(said(F.col("block"), F.col("top")), "near")).withColumn("hits", F.sort_array(F.array_union("headed", said(F.col("area")))))
-    first = F.get("hits", F.lit(0))
-    of = lambda xs, k: F.get(F.array(*map(F.lit, xs)), k)
-    names = F.array_distinct(F.transform("hits", lambda k: of([a for _, a in ALIASES], k)))
-    return p.select("*", of([s for s, _ in ALIASES], first).alias("direct"), of([a for _, a in ALIASES], first).alias("alias"), F.coalesce(F.array_contains("headed", first), F.lit(False)).alias("in_heading"), F.size(names).alias("aliases")).drop("area", "top", "once", "block", "near", "headed", "hits")
+    return pages.withColumn("read", _read(F.coalesce("text", F.lit("")))).select(*pages.columns, *_found(F.col("read")))
 
 
 def confidence(kind: Column, prose: Column, table: Column, ignored: Column, base: Column) -> Column:
@@ -159,23 +251,39 @@ def confidence(kind: Column, prose: Column, table: Column, ignored: Column, base
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
 
 
+def _judged(pages: DataFrame, accepted: float) -> DataFrame:
+    """What a page's own text says: its section, type and densities, its confidence if it opens a section (``own``) and if it goes on with one."""
+    text = F.coalesce("text", F.lit(""))
+    prose, tabular = densities(text)
+    p = pages.select("*", _read(text).alias("read"), prose.alias("prose"), tabular.alias("tabular"))
+    p = p.select(*pages.columns, "prose", "tabular", *_found(F.col("read")), "read.kind", "read.narrative", "read.ignored", "read.filled", "read.blank")
+    by_text = F.coalesce(F.col("kind"), *[F.when(test, kind) for test, kind, _ in by_density(F.col("narrative"), F.col("prose"), F.col("tabular"))], F.lit("unknown"))
+    p = p.withColumn("page_type", F.when(F.col("filled"), by_text).otherwise("unknown")).withColumn("terminal", F.col("page_type").isin(TERMINAL))
+    score = lambda base: confidence(F.col("page_type"), F.col("prose"), F.col("tabular"), F.size("ignored"), base)
+    p = p.withColumn("own", score(F.when(F.col("in_heading"), 0.78).when(F.col("direct").isNotNull(), 0.45).otherwise(0.0))).withColumn("going", score(F.lit(0.62)))
+    return p.withColumn("opens", ~F.col("blank") & ~F.col("terminal") & F.col("direct").isNotNull() & (F.col("own") >= accepted))
+
+
+def _reason(candidate: Column, sure_of: Column, accepted: float, *more: Column) -> Column:
+    """Why a page has no section, or null."""
+    return F.coalesce(
+        F.when(F.col("blank"), "no_text"),
+        F.when(F.col("terminal"), F.concat(F.lit("page_type_"), "page_type")),
+        F.when(candidate.isNull() & (F.size("ignored") > 0), F.concat(F.lit("ignored_keywords:"), F.array_join("ignored", ","))),
+        F.when(candidate.isNull(), "no_section_candidate"),
+        F.when(sure_of < accepted, "low_confidence"),
+        *more,
+    )
+
+
 def identify(pages: DataFrame, budget: int = BUDGET, sure: float = SURE, accepted: float = ACCEPTED) -> DataFrame:
     """The section of each page (report_id, page_number, text), or why it has none.
 
     A page with an alias opens a section; pages without one go on with the section of the page before while they are sure enough, more so
     beyond ``budget`` of them. Only the order within a report is needed: islands that open where a page is accepted and end where one is not.
     """
-    from ..functions.text import narrative_density, table_density
-
-    text = F.coalesce("text", F.lit(""))
-    p = matched(pages).withColumn("prose", narrative_density(text)).withColumn("tabular", table_density(text)).withColumn("t", classify(text, F.col("prose"), F.col("tabular")))
-    head = normalize_text(F.substr(text, F.lit(1), F.lit(IGNORED_AREA)))
-    p = p.withColumn("ignored", found_in(head, dims.IGNORED)).withColumn("page_type", F.col("t.page_type"))
-    score = lambda base: confidence(F.col("page_type"), F.col("prose"), F.col("tabular"), F.size("ignored"), base)
-    p = p.withColumn("own", score(F.when(F.col("in_heading"), 0.78).when(F.col("direct").isNotNull(), 0.45).otherwise(0.0))).withColumn("going", score(F.lit(0.62)))
-    blank, terminal = strip(text) == "", F.col("page_type").isin(TERMINAL)
-    fits = ~blank & ~terminal
-    p = p.withColumn("blank", blank).withColumn("terminal", terminal).withColumn("opens", fits & F.col("direct").isNotNull() & (F.col("own") >= accepted))
+    fits = ~F.col("blank") & ~F.col("terminal")
+    p = _judged(pages, accepted)
     w = Window.partitionBy("report_id").orderBy("page_number")
     p = p.withColumn("island", F.sum(F.col("opens").cast("int")).over(w))
     i = Window.partitionBy("report_id", "island").orderBy("page_number")
@@ -188,14 +296,7 @@ def identify(pages: DataFrame, budget: int = BUDGET, sure: float = SURE, accepte
     candidate = F.coalesce("direct", F.when(F.col("on"), F.col("current")))
     sure_of = F.when(F.col("on"), F.col("going")).otherwise(F.col("own"))
     beyond = F.col("on") & (F.col("idx") > budget)
-    reason = (
-        F.when(F.col("blank"), "no_text")
-        .when(F.col("terminal"), F.concat(F.lit("page_type_"), "page_type"))
-        .when(candidate.isNull() & (F.size("ignored") > 0), F.concat(F.lit("ignored_keywords:"), F.array_join("ignored", ",")))
-        .when(candidate.isNull(), "no_section_candidate")
-        .when(sure_of < accepted, "low_confidence")
-        .when(beyond & (sure_of < sure), "continuation_budget_exceeded")
-    )
+    reason = _reason(candidate, sure_of, accepted, F.when(beyond & (sure_of < sure), "continuation_budget_exceeded"))
     p = p.withColumn("rejection_reason", reason)
     return p.select(
         *pages.columns, "page_type", F.when(F.col("rejection_reason").isNull(), candidate).alias("section"), sure_of.alias("confidence"), "rejection_reason", F.col("in_heading").alias("heading_match"),
@@ -215,17 +316,16 @@ def report(found: DataFrame) -> DataFrame:
 
 def fragmentation(text: Column) -> Column:
     """(ratio, singles): the share of heading lines that look like fragments, and how many have a single character."""
-    all_lines = heading_lines(text)
-    letters = lambda l: F.length(F.regexp_replace(l, "[^A-Za-z0-9]", ""))
-    broken = lambda l: (letters(l) > 0) & ((letters(l) <= 3) | ((F.size(F.regexp_extract_all(l, F.lit("[A-Za-z0-9]+"), F.lit(0))) <= 2) & (F.length(l) <= 10)))
-    ratio = F.when(F.size(all_lines) == 0, 0.0).otherwise(F.round(F.size(F.filter(all_lines, broken)) / F.size(all_lines), 3))
-    return F.struct(ratio.alias("ratio"), F.size(F.filter(all_lines, lambda l: letters(l) == 1)).alias("singles"))
+    # most lines have more letters than matter, which shows at their beginning
+    letters = lambda l: F.when(F.regexp_like(l, F.lit("^(?:[^A-Za-z0-9]*[A-Za-z0-9]){4}")), 4).otherwise(F.length(F.regexp_replace(l, "[^A-Za-z0-9]+", "")))
+    each = F.transform(heading_lines(text), lambda l: F.struct(l.alias("line"), letters(l).alias("letters")))
+    short = lambda l: (F.length(l) <= 10) & (F.size(F.regexp_extract_all(l, F.lit("[A-Za-z0-9]+"), F.lit(0))) <= 2)
+    broken = lambda x: (x["letters"] > 0) & ((x["letters"] <= 3) | short(x["line"]))
+    ratio = lambda xs: F.when(F.size(xs) == 0, 0.0).otherwise(F.round(F.size(F.filter(xs, broken)) / F.size(xs), 3))
+    return once(each, lambda xs: F.struct(ratio(xs).alias("ratio"), F.size(F.filter(xs, lambda x: x["letters"] == 1)).alias("singles")))
 
 
 def diagnose(scans: DataFrame, *key: str) -> DataFrame:
-    """Each scanned text judged as a page by itself: confidence, whether it is accepted, aliases, fragments."""
-    alone = scans.withColumn("report_id", F.struct(*key)).withColumn("page_number", F.lit(1))
-    f = fragmentation(F.coalesce("text", F.lit("")))
-    d = identify(alone).withColumn("f", f)
-    blank = strip(F.coalesce("text", F.lit(""))) == ""
-    return d.select(*key, F.when(blank, 0.0).otherwise(F.col("confidence")).alias("confidence"), F.col("section").isNotNull().alias("accepted"), F.when(~blank, F.col("rejection_reason")).alias("rejection_reason"), F.when(blank, 0).otherwise(F.col("alias_count")).alias("alias_matches"), F.col("f.ratio").alias("fragmentation"), F.col("f.singles").alias("single_characters"))
+    """Each scanned text judged as a page by itself, so nothing is shuffled: confidence, whether it is accepted, aliases, fragments."""
+    d = _judged(scans, ACCEPTED).withColumn("reason", _reason(F.col("direct"), F.col("own"), ACCEPTED)).withColumn("f", fragmentation(F.coalesce("text", F.lit(""))))
+    return d.select(*key, F.when(F.col("blank"), 0.0).otherwise(F.col("own")).alias("confidence"), (F.col("direct").isNotNull() & F.col("reason").isNull()).alias("accepted"), F.when(~F.col("blank"), F.col("reason")).alias("rejection_reason"), F.when(F.col("blank"), 0).otherwise(F.col("aliases")).alias("alias_matches"), F.col("f.ratio").alias("fragmentation"), F.col("f.singles").alias("single_characters"))

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import repair
+from tallyloom.functions.text import found_in, normalize_text, strip
 from tallyloom.operators import assembly, extract, registry, rules, sections, template, workbook
+from tallyloom.operators.narrative import page_type
 from tallyloom.plans import dims
 
 CELLS = "page_number int, table_index int, row_index int, col_index int, cell string, table_type string"
@@ -117,6 +119,55 @@ def test_near_aliases_lose_nothing_to_the_bound():
     assert near > 500
 
 
+def test_near_aliases_are_compared_only_where_they_may_be():
+    bounds = sections._Bounds()
+    names = sorted({a for _, a in sections.ALIASES if sections._may_be_near(a)})
+    k = {a: i for i, (_, a) in reversed(list(enumerate(sections.ALIASES)))}
+    mixed = " ".join(" ".join(reversed(a.split())) + " and of its own report on the risk" for a in names)
+    for a in names:  # the pieces of an alias in another order are no reason to compare it, a slip is
+        turned = " ".join(a[i : i + 4] for i in range(0, len(a), 4)[::-1])
+        assert k[a] not in bounds.spans(f"the {turned} of it")
+        slip = a[: len(a) // 2] + a[len(a) // 2 + 1 :]
+        assert [sections._is_near(a, x) for x in bounds.all_spans(["", mixed, f"x {slip} y"])[2][k[a]]] == [True]
+    assert sum(map(len, bounds.spans(mixed).values())) < 60
+
+
+ODD = ["", " ", "\t\n \x0b\u3000", "Outlook", "OUTLOO\u212a & more\r\nS\u0130gns\x85Risk\u2028Manage ment\x0c2024", "a\nbc\n\n\n" * 9 + "Chairman's statement", "Md&a\rpage", "x" * 700 + "\nrisk factors", "y " * 249 + "risk factrs and more " + "z " * 300 + "outlook", "notes to the financial statements\nAuditor\nBusiness  Review", "Proxy form", "\u2029\u00e9\n\u00df 12"]
+
+
+def test_page_beginnings_are_read_as_by_expressions(spark):
+    d = spark.createDataFrame([(x,) for x in ODD], "text string")
+    t, up_to = F.col("text"), lambda n: F.substr(F.col("text"), F.lit(1), F.lit(n))
+    want = d.select(t, sections._first_lines(t), normalize_text(up_to(500)), normalize_text(up_to(1200)), strip(t) == "", F.lower(t).rlike("[a-z0-9&]"), found_in(normalize_text(up_to(900)), dims.IGNORED), page_type(t)["page_type"])
+    got = {r.text: (r.blank, r.filled, r.ignored, r.page_type) for r in sections._judged(d, 0.55).collect()}
+    for text, *rest in want.collect():
+        assert [*sections._tops(text), *got[text]] == rest, text
+
+
+def test_near_headings_are_found_at_joints_and_cuts():
+    def all_near(first, top):
+        return {a for _, a in sections.ALIASES if sections._may_be_near(a) and any(sections._is_near(a, x) for x in (f"{first} {first}", top))}
+
+    bounds, rng = sections._Bounds(), random.Random(5)
+    found = 0
+    for _ in range(20):
+        words = " ".join(rng.choice([a for _, a in sections.ALIASES] + ["plant", "the", "of"]) for _ in range(8)).split()
+        first = " ".join(w[:1] + w[2:] if rng.random() < 0.2 else w for w in words)
+        for top in (first[: rng.randrange(len(first))].strip(), first, "", "chairman " + first):
+            spans = bounds.all_spans(sections._searched(first, top))
+            got = {sections.ALIASES[k][1] for s in spans for k, xs in s.items() if any(sections._is_near(sections.ALIASES[k][1], x) for x in xs)}
+            assert got == all_near(first, top)
+            found += len(got)
+    assert found > 80
+
+
+def test_a_scan_is_judged_by_itself(spark):
+    scans = spark.createDataFrame([(1, 1, "Outlook\n" + "We expect a good year in every market we serve now\n" * 3), (1, 2, "a\nB1\nab c\n\nWe expect a good year in every market we serve now"), (1, 2, None)], "r int, p int, text string")
+    d = sections.diagnose(scans, "r", "p")
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in d.collect()} == {(1, 1, 1.0, True, None, 1, 0.25, 0), (1, 2, 0.0, False, None, 0, 0.0, 0), (1, 2, 0.0, False, "no_section_candidate", 0, 0.75, 1)}
+
+
 def test_sections_of_odd_pages(spark):
     pages = [(1, 1, None), (1, 2, ""), (2, 1, "Outlook\n" + "We expect a good year in every market we serve now\n" * 3), (2, 2, "We also expect much of the new plant in the north\n" * 3), (3, 1, "Stratgc objctvs\nnothing")]
     got = {(r.report_id, r.page_number): (r.section, r.rejection_reason) for r in sections.identify(spark.createDataFrame(pages, "report_id int, page_number int, text string")).collect()}

@@ -137,3 +137,14 @@ def test_texts_are_normalized_once(spark):
     assert [tuple(r) for r in g.orderBy("k").collect()] == [(1, False, "going concern|code of conduct", "reject"), (2, True, "", "review"), (3, True, "", "review"), (4, False, "", "reject"), (5, True, "", "review")]
     plan = g._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction(Contains(lambda" in plan and "lambdafunction(Contains(trim" not in plan and "lambdafunction(Contains(lower" not in plan
+
+
+def test_densities_of_a_batch_are_those_of_the_expressions(spark):
+    rng = random.Random(3)
+    bits = ["a", "We", "expect", " ", "  ", "   ", "\t", "1", "1999", "2024", "x2024", "2024x", "_2001", "\u00e92001", "2001\u00e9", "19 99", "\u00e9", "\u4e2d", "\u00a0", "\n", "\n", "\r\n", "\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029", "\U0001f600", "%,.", " of the plant in the north "]
+    texts = ["", " ", "\n", "\t", "2024", " 2024 ", "19", "2", "a b c d e f", "a  b  c"] + ["".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(2000)]
+    plain = ["".join(rng.choices([b for b in bits if b.isascii()], k=rng.randint(1, 60))) for _ in range(1000)]
+    d = spark.createDataFrame([(x,) for x in texts + plain], "x string")
+    p, t = text.densities(F.col("x"))
+    assert d.select("x", p.alias("p"), t.alias("t"), text.narrative_density(F.col("x")).alias("wp"), text.table_density(F.col("x")).alias("wt")).where("p <> wp OR t <> wt OR p IS NULL OR t IS NULL").collect() == []
+    assert None not in text.count_lines(plain) and text.blocks(["ab", "", "c"], 2) == [(0, 1), (1, 3)]
